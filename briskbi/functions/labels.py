@@ -50,6 +50,13 @@ def grain_for_span(span_days: int | None, limits=DASHBOARD_GRAIN_LIMITS, last: s
     return last
 
 
+def ts_text(ts: str | Column) -> Column:
+    """Timestamp as pandas ``str(Timestamp)``: microseconds only when non-zero."""
+    ts = col_of(ts)
+    whole = F.date_format(ts, "SSSSSS") == "000000"
+    return F.when(whole, F.date_format(ts, "yyyy-MM-dd HH:mm:ss")).otherwise(F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 def week_end_sunday(ts: str | Column) -> Column:
     """The Sunday that ends ``ts``'s Monday-based week (resample "W")."""
     return F.date_add(F.date_trunc("week", col_of(ts)).cast("date"), 6)
