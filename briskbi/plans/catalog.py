@@ -1,4 +1,4 @@
 """All registered queries: importing this module fills the registry."""
 
-from briskbi.plans import chart_queries, summary_queries  # noqa: F401
+from briskbi.plans import chart_queries, segment_queries, summary_queries  # noqa: F401
 from briskbi.plans.registry import ORACLE, QUERIES  # noqa: F401
