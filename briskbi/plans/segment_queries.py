@@ -97,14 +97,14 @@ def q_abc(spark, d):
 
 @register("q_abc_summary", f"""
 WITH {_ABC_BASE},
-g AS (SELECT segment, count(*) AS size, CAST(SUM(CAST(total_value AS DECIMAL(38,2))) AS DOUBLE) AS total_value FROM abc GROUP BY segment),
-tot AS (SELECT SUM(size) AS n, CAST(SUM(CAST(total_value AS DECIMAL(38,2))) AS DOUBLE) AS v FROM g),
+sg AS (SELECT segment, count(*) AS size, CAST(SUM(CAST(total_value AS DECIMAL(38,2))) AS DOUBLE) AS total_value FROM abc GROUP BY segment),
+tot AS (SELECT SUM(size) AS n, CAST(SUM(CAST(total_value AS DECIMAL(38,2))) AS DOUBLE) AS v FROM sg),
 tp AS (SELECT segment, list(CAST(entity AS VARCHAR) ORDER BY rn) AS top_entities FROM
        (SELECT segment, entity, row_number() OVER (PARTITION BY segment ORDER BY total_value DESC, entity) AS rn FROM abc)
        WHERE rn <= 5 GROUP BY segment)
-SELECT g.segment, g.size, g.total_value, round(g.size / tot.n * 100, 1) AS percentage,
-       g.total_value / tot.v * 100 AS value_share, tp.top_entities
-FROM g, tot LEFT JOIN tp ON tp.segment = g.segment
+SELECT sg.segment, sg.size, sg.total_value, round(sg.size / tot.n * 100, 1) AS percentage,
+       sg.total_value / tot.v * 100 AS value_share, tp.top_entities
+FROM sg, tot LEFT JOIN tp ON tp.segment = sg.segment
 """)
 def q_abc_summary(spark, d):
     """ABC class sizes, value sums, shares and top-5 parts."""
@@ -134,16 +134,8 @@ def q_kmeans(spark, d):
     return out
 
 
-@register("q_scatter_sample", """
-SELECT c_custkey, c_acctbal FROM customer ORDER BY hash(c_custkey) LIMIT 0
-""")
+# Hash order is Spark's xxhash64 (DuckDB has no equal function): rows-only check.
+@register("q_scatter_sample")
 def q_scatter_sample(spark, d):
     """Repeatable 500-customer scatter sample."""
     return segment.scatter_sample(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
-
-
-# The scatter sample's hash order is Spark's xxhash64; DuckDB has no equal
-# function, so that key is checked rows-only.
-from briskbi.plans.registry import ORACLE as _OR  # noqa: E402
-
-_OR.pop("q_scatter_sample", None)
