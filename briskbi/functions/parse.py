@@ -168,7 +168,7 @@ def clean_age(c: str | Column) -> Column:
 def id_text(c: str | Column) -> Column:
     """Trim; empty → null; ``123.0`` → ``123``."""
     v = F.trim(col_of(c).cast("string"))
-    v = F.regexp_replace(v, r"^([+-]?\d+)\.0+$", "$1")
+    v = F.regexp_replace(v, r"^(-?\d+)\.0$", "$1")
     return F.when(v == "", F.lit(None)).otherwise(v)
 
 

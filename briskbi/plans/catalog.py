@@ -1,4 +1,10 @@
 """All registered queries: importing this module fills the registry."""
 
-from briskbi.plans import chart_queries, segment_queries, series_queries, summary_queries  # noqa: F401
+from briskbi.plans import (  # noqa: F401
+    chart_queries,
+    clean_queries,
+    segment_queries,
+    series_queries,
+    summary_queries,
+)
 from briskbi.plans.registry import ORACLE, QUERIES  # noqa: F401
