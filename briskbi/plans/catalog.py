@@ -3,6 +3,7 @@
 from briskbi.plans import (  # noqa: F401
     chart_queries,
     clean_queries,
+    flow_queries,
     segment_queries,
     series_queries,
     summary_queries,
