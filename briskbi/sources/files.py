@@ -76,6 +76,26 @@ def sniff(head: bytes) -> dict:
     return {"kind": "csv", "encoding": spark_enc, "sep": sep}
 
 
+def _cp1252_table() -> tuple[str, str]:
+    """Latin-1 characters 0x80–0x9F and what cp1252 decodes the same bytes to."""
+    src, dst = [], []
+    for b in range(0x80, 0xA0):
+        try:
+            ch = bytes([b]).decode("cp1252")
+        except UnicodeDecodeError:
+            continue
+        src.append(bytes([b]).decode("latin-1"))
+        dst.append(ch)
+    return "".join(src), "".join(dst)
+
+
+def _from_latin1_as_cp1252(df: DataFrame) -> DataFrame:
+    """Spark's CSV reader has no cp1252; read as ISO-8859-1 and remap 0x80–0x9F."""
+    src, dst = _cp1252_table()
+    names = [c.encode("latin-1", errors="replace").decode("cp1252", errors="replace") for c in df.columns]
+    return df.select(*[F.translate(F.col(f"`{c}`"), src, dst).alias(n) for c, n in zip(df.columns, names)])
+
+
 @dataclass
 class ReadResult:
     frames: list[DataFrame]
@@ -92,9 +112,10 @@ def read_any(spark: SparkSession, paths: list[str]) -> ReadResult:
             frames.append(spark.read.parquet(p))
             ok.append(p)
         elif info["kind"] == "csv":
+            cp1252 = info["encoding"] == "windows-1252"
             df = (spark.read.option("header", True).option("inferSchema", False).option("sep", info["sep"])
-                  .option("encoding", info["encoding"]).option("multiLine", False).csv(p))
-            frames.append(df)
+                  .option("encoding", "ISO-8859-1" if cp1252 else info["encoding"]).option("multiLine", False).csv(p))
+            frames.append(_from_latin1_as_cp1252(df) if cp1252 else df)
             ok.append(p)
         else:
             bad.append((p, info["kind"], info.get("reason", "")))
