@@ -115,8 +115,10 @@ def to_timestamp_mixed(c: str | Column, dtype: T.DataType | None = None) -> Colu
         return c.cast("timestamp")
     s = F.trim(c.cast("string"))
     tries = [F.try_to_timestamp(s, F.lit(p)) for p in DATETIME_PATTERNS]
-    has_separator = s.rlike(r"[-/.:\s,T]") & ~s.rlike(r"^\s*[+-]?\d+(\.\d+)?\s*$")
-    return F.when(has_separator, F.coalesce(*tries))
+    # Every accepted layout has a 4-digit year and a separator; a bare number is
+    # never a date (D6).  The cheap guard skips the layout list for other text.
+    plausible = s.rlike(r"\d{4}") & s.rlike(r"[-/.:\s,T]") & ~s.rlike(r"^\s*[+-]?\d+(\.\d+)?\s*$")
+    return F.when(plausible, F.coalesce(*tries))
 
 
 def clean_money(c: str | Column) -> Column:

@@ -191,17 +191,30 @@ def _id_like(name: str) -> bool:
 def _conformance(df: DataFrame, roles: dict[str, str]) -> dict:
     """Wide statistics of every column in one pass (parse successes, nulls, uniques)."""
     aggs = [F.count(F.lit(1)).alias("__n")]
+    typed = {}
     for i, c in enumerate(df.columns):
         dt = df.schema[c].dataType
-        aggs += [F.count(F.col(c)).alias(f"nn{i}"),
-                 F.count(P.to_number(F.col(c), dt)).alias(f"num{i}"),
-                 F.count(P.clean_financial(F.col(c))).alias(f"fin{i}"),
-                 F.count(P.to_timestamp_mixed(F.col(c), dt)).alias(f"dt{i}"),
-                 F.count(P.to_bool(F.col(c))).alias(f"bo{i}"),
-                 F.approx_count_distinct(F.col(c)).alias(f"ud{i}"),
-                 F.count(F.when(P.to_bool(F.col(c)) == F.lit(True), 1)).alias(f"bt{i}"),
-                 F.count(F.when(P.to_bool(F.col(c)) == F.lit(False), 1)).alias(f"bf{i}")]
-    return df.agg(*aggs).collect()[0].asDict()
+        nn = F.count(F.col(c))
+        aggs.append(nn.alias(f"nn{i}"))
+        aggs.append(F.approx_count_distinct(F.col(c)).alias(f"ud{i}"))
+        if isinstance(dt, T.StringType):
+            b = P.to_bool(F.col(c))
+            aggs += [F.count(P.to_number(F.col(c), dt)).alias(f"num{i}"),
+                     F.count(P.clean_financial(F.col(c))).alias(f"fin{i}"),
+                     F.count(P.to_timestamp_mixed(F.col(c), dt)).alias(f"dt{i}"),
+                     F.count(b).alias(f"bo{i}"), F.count(F.when(b, 1)).alias(f"bt{i}"),
+                     F.count(F.when(~b, 1)).alias(f"bf{i}")]
+        else:
+            # Typed columns parse exactly as their type allows; no text work.
+            typed[i] = dt
+    st = df.agg(*aggs).collect()[0].asDict()
+    for i, dt in typed.items():
+        nn = st[f"nn{i}"]
+        num = isinstance(dt, (T.NumericType, T.BooleanType))
+        tsl = isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType))
+        st.update({f"num{i}": nn if num else 0, f"fin{i}": nn if num else 0, f"dt{i}": nn if tsl else 0,
+                   f"bo{i}": nn if isinstance(dt, T.BooleanType) else 0, f"bt{i}": 0, f"bf{i}": 0})
+    return st
 
 
 def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,

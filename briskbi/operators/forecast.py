@@ -471,9 +471,8 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
     """
     from briskbi.session import cut_lineage
 
-    prep = S.prepare(df, ts, y, keys, freq, features, policy, scale=scale)
+    prep = S.prepare(df, ts, y, keys, freq, features, policy, scale=scale)  # checkpointed
     keys = list(keys or ["series"])
-    prep = cut_lineage(prep)  # reused by every model and step below
     models = list(models or (["naive", "seasonal_naive", "ets"] if mode == "fast" else MODEL_ORDER))
     metrics, preds = backtest(prep, keys, horizon, models)
     metrics, preds = cut_lineage(metrics), cut_lineage(preds)

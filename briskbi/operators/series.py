@@ -30,6 +30,9 @@ LOG_MIN_VALUE = 1e-9
 READY_TIME_SHARE = 0.8
 READY_TARGET_SHARE = 0.6
 MIN_USABLE_ROWS = 3
+# Series with at most this many distinct timestamps are handled inside one task;
+# larger (hot) series use the range-partitioned path.
+LOCAL_SERIES_LIMIT = 2_000_000
 
 
 def _keys(keys: Sequence[str] | None) -> list[str]:
@@ -74,13 +77,26 @@ def freq_from_median_gap(days: Column, n_dates: Column) -> Column:
 def detect_freq(df: DataFrame, ts: str, keys: Sequence[str] | None = None) -> DataFrame:
     """Frequency per series from the median gap between distinct timestamps.
 
-    Gaps pair each distinct timestamp with its successor through a global rank
-    (range-partitioned, skew-safe) instead of a window over a whole series.
-    Calendar inference (``pd.infer_freq``) is replaced by the median-gap rule.
+    One count per series chooses the plan: when the largest series has at most
+    ``LOCAL_SERIES_LIMIT`` distinct timestamps, a ``lag`` window and an exact
+    per-series percentile suffice; otherwise gaps pair each timestamp with its
+    successor through a global rank (range-partitioned, skew-safe) and the
+    median comes from the distributed selection.  Calendar inference
+    (``pd.infer_freq``) is replaced by the median-gap rule.
     """
     keys = _keys(keys)
     t = to_timestamp_mixed(F.col(ts), df.schema[ts].dataType)
     dates = df.select(*keys, t.alias("t")).where(F.col("t").isNotNull()).distinct()
+    counts = dates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dates")).persist()
+    biggest = counts.agg(F.max("n_dates")).collect()[0][0] or 0
+    if keys and biggest <= LOCAL_SERIES_LIMIT:
+        # Every series fits one task (proven by the count): window + exact percentile.
+        w = Window.partitionBy(*keys).orderBy("t")
+        gaps = dates.withColumn("gap", (F.unix_micros(F.col("t").cast("timestamp"))
+                                        - F.unix_micros(F.lag("t").over(w).cast("timestamp"))) / 86_400_000_000.0)
+        med = gaps.groupBy(*keys).agg(F.percentile("gap", 0.5).alias("median_gap_days"))
+        out = counts.join(med, keys, "left")
+        return out.withColumn("freq", freq_from_median_gap(F.col("median_gap_days"), F.col("n_dates")))
     ranked = global_order(dates, [*(F.col(k) for k in keys), F.col("t")], rank_col="r")
     nxt = ranked.select(*[F.col(k).alias(f"n_{k}") for k in keys], F.col("t").alias("t2"), (F.col("r") - 1).alias("r"))
     cond = [ranked["r"] == nxt["r"]] + [ranked[k].eqNullSafe(nxt[f"n_{k}"]) for k in keys]
@@ -88,7 +104,6 @@ def detect_freq(df: DataFrame, ts: str, keys: Sequence[str] | None = None) -> Da
         *[ranked[k] for k in keys],
         ((F.unix_micros(F.col("t2").cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))) / 86_400_000_000.0).alias("gap"))
     med = exact_percentiles(gaps, keys, "gap", [0.5], ["median_gap_days"])
-    counts = dates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dates"))
     if keys:
         out = counts.join(med, keys, "left")
     else:
@@ -315,7 +330,7 @@ def season_length(freq: Column) -> Column:
 
 def prepare(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, freq: str | None = None,
             features: Sequence[str] = (), policy: str = "drop", max_points: int = MAX_POINTS,
-            scale: int | None = None, log_transform: bool = True) -> DataFrame:
+            scale: int | None = None, log_transform: bool = True, materialize: bool = True) -> DataFrame:
     """T3–T8 composed: resample, fill features, cap outliers, log test, season length.
 
     Output ``(keys…, freq, season, ts, pos, y, y_raw, is_anomaly, direction, use_log,
@@ -336,7 +351,13 @@ def prepare(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, f
         fr = fr.withColumn("use_log", F.lit(False))
     fr = fr.withColumn("y", F.when(F.col("use_log"), F.log(F.greatest(F.col("y"), F.lit(LOG_MIN_VALUE)))).otherwise(F.col("y")))
     w = _part(keys).orderBy("ts")
-    return fr.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumn("season", season_length(F.col("freq")))
+    out = fr.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumn("season", season_length(F.col("freq")))
+    if materialize:
+        # ≤ max_points rows per series; every model and fold reads it again.
+        from briskbi.session import cut_lineage
+
+        out = cut_lineage(out)
+    return out
 
 
 # ---------------------------------------------------------------------------

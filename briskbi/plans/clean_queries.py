@@ -21,10 +21,10 @@ def _re2(pattern: str) -> str:
 
 # B12 ----------------------------------------------------------------------
 def _count_sql(cls: str, t: str = "text") -> str:
-    return f"length(regexp_replace(COALESCE({t}, ''), '[^{_re2(cls)}]', '', 'g'))"
+    return f"length(regexp_replace(COALESCE({t}, ''), '[^{_re2(cls)}]+', '', 'g'))"
 
 
-_OTHER_SQL = f"length(regexp_replace(COALESCE(text, ''), '[{_re2(X.OTHER_EXCLUDED)}]', '', 'g'))"
+_OTHER_SQL = f"length(regexp_replace(COALESCE(text, ''), '[{_re2(X.OTHER_EXCLUDED)}]+', '', 'g'))"
 
 
 @register("q_script_filter", f"""
@@ -42,11 +42,9 @@ FROM c
 """)
 def q_script_filter(spark, d):
     """Script letter counts and the language filter over whole documents."""
-    docs = table(spark, d, "documents")
-    s = X.script_counts(F.col("text"))
-    return docs.select("doc_id", "lang", s["arabic"].alias("arabic"), s["latin"].alias("latin"),
-                       s["devanagari"].alias("devanagari"), s["cyrillic"].alias("cyrillic"), s["other"].alias("other"),
-                       X.allow_script(F.col("text"), F.col("lang")).alias("allowed"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", "text", X.script_counts(F.col("text")).alias("s"))
+    return docs.select("doc_id", "lang", "s.arabic", "s.latin", "s.devanagari", "s.cyrillic", "s.other",
+                       X.allow_script(F.col("text"), F.col("lang"), F.col("s")).alias("allowed"))
 
 
 # P23 ----------------------------------------------------------------------
