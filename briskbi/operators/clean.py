@@ -165,7 +165,9 @@ def clean_expressions(df: DataFrame, case_insensitive_nulls: bool = False) -> li
 
 def clean(df: DataFrame, case_insensitive_nulls: bool = False) -> DataFrame:
     """Names → values → drop low-information columns → drop all-null rows → dedup."""
-    df = normalize_names(df, "clean")
+    from briskbi.session import spread_for_row_work
+
+    df = normalize_names(spread_for_row_work(df), "clean")
     df = df.select(*clean_expressions(df, case_insensitive_nulls))
     df = drop_low_information(df)
     return df.dropna(how="all").dropDuplicates()

@@ -343,6 +343,12 @@ def prepare(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, f
         df = df.withColumn("series", F.lit("all"))
         keys = ["series"]
     fr = resample(df, ts, y, keys, freq, features, policy, max_points, scale)
+    if materialize:
+        # The bucketed series (≤ max_points rows per series) feeds the two clip
+        # passes and the log test; write it once instead of re-aggregating.
+        from briskbi.session import cut_lineage
+
+        fr = cut_lineage(fr)
     fr = fill_features(fr, keys, list(features)).drop("n_obs")
     fr = cap_outliers(fr, keys)
     if log_transform:

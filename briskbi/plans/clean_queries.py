@@ -10,7 +10,7 @@ from briskbi.functions import parse as P
 from briskbi.functions import text as X
 from briskbi.operators import accumulate, charts, clean
 from briskbi.plans.registry import register
-from briskbi.session import ensure_checkpoint_dir, table
+from briskbi.session import ensure_checkpoint_dir, spread_for_row_work, table
 from briskbi.sources import files
 
 
@@ -42,7 +42,8 @@ FROM c
 """)
 def q_script_filter(spark, d):
     """Script letter counts and the language filter over whole documents."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "text", X.script_counts(F.col("text")).alias("s"))
+    docs = spread_for_row_work(table(spark, d, "documents"))
+    docs = docs.select("doc_id", "lang", "text", X.script_counts(F.col("text")).alias("s"))
     return docs.select("doc_id", "lang", "s.arabic", "s.latin", "s.devanagari", "s.cyrillic", "s.other",
                        X.allow_script(F.col("text"), F.col("lang"), F.col("s")).alias("allowed"))
 
@@ -66,7 +67,8 @@ def _md_sql(col: str) -> str:
 @register("q_markdown_strip", f"SELECT doc_id, {_md_sql('text')} AS clean_text FROM documents")
 def q_markdown_strip(spark, d):
     """Markdown and whitespace cleanup of whole documents."""
-    return table(spark, d, "documents").select("doc_id", X.strip_markdown(F.col("text")).alias("clean_text"))
+    docs = spread_for_row_work(table(spark, d, "documents"))
+    return docs.select("doc_id", X.strip_markdown(F.col("text")).alias("clean_text"))
 
 
 @register("q_humanize")
