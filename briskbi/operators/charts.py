@@ -14,6 +14,7 @@ is ``< to + 1 day`` (D17).
 from __future__ import annotations
 
 import datetime as _dt
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -200,7 +201,7 @@ def _order_cols(sort: str, is_date: bool, cumulative: bool) -> list[Column]:
 def aggregate(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", breakdown: str | None = None,
               grain: str | None = None, top_n: int = 12, sort: str = "value_desc", cumulative: bool = False,
               date_field: str | None = None, date_from=None, date_to=None, chart_type: str = "bar",
-              scale: int | None = None) -> DataFrame:
+              scale: int | None = None, grain_limits=DASHBOARD_GRAIN_LIMITS, last_grain: str = "year") -> DataFrame:
     """Single series → (label, value); with ``breakdown`` → (label, series, value).
 
     ``top_n`` is clamped to 1..50.  Dates (and cumulative charts) keep label order
@@ -213,7 +214,7 @@ def aggregate(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", bre
     if date_field and (date_from or date_to):
         df = filter_dates(df, date_field, date_from, date_to)
     use_count = AGG_ALIASES.get(agg, "sum") == "count" or y is None
-    xb = bucket_x(df, x, grain)
+    xb = bucket_x(df, x, grain, grain_limits, last_grain)
     work = xb.df
     v = None if use_count else measure(work, y)
     if breakdown and chart_type not in PART_TO_WHOLE:
@@ -445,6 +446,29 @@ def pareto(df: DataFrame, x: str, y: str, scale: int | None = None) -> DataFrame
 # Column tests
 # ---------------------------------------------------------------------------
 
+def resolve_column(columns: list[str], hint: str | None) -> str | None:
+    """Column named by a hint: exact (case-insensitive) → longest containment →
+    largest token overlap; ``"… by X"`` phrases use X."""
+    if not hint:
+        return None
+    h = hint.strip().lower()
+    m = re.search(r"\bby\s+([a-z0-9_ ]+)$", h)
+    if m:
+        h = m.group(1).strip()
+    norm = {c: c.lower() for c in columns}
+    for c, n in norm.items():
+        if n == h or n == h.replace(" ", "_"):
+            return c
+    hits = [c for c, n in norm.items() if n in h or h.replace(" ", "_") in n]
+    if hits:
+        return max(hits, key=lambda c: (len(c), c))
+    words = set(re.split(r"[\s_]+", h)) - {""}
+    best = max(columns, key=lambda c: (len(words & set(norm[c].split("_"))), -len(c)), default=None)
+    if best is not None and words & set(norm[best].split("_")):
+        return best
+    return None
+
+
 def is_numeric_column(df: DataFrame, c: str, share: float = 0.9) -> bool:
     """Numeric type, or at least ``share`` of non-null values parse."""
     dt = dtype_of(df, c)

@@ -231,3 +231,18 @@ def q_date_filter(spark, d):
     """B4 + C14: a March-1996 window (inclusive end day) at the automatic daily grain."""
     return charts.aggregate(table(spark, d, "lineitem"), "l_shipdate", "l_extendedprice", date_field="l_shipdate",
                             date_from="1996-03-01", date_to="1996-03-31", scale=2)
+
+
+@register("q_chat_grain", f"""
+WITH s AS (SELECT date_diff('day', min(o_orderdate), max(o_orderdate)) AS span FROM orders)
+SELECT CASE WHEN s.span <= 60 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN s.span <= 400 THEN strftime(o_orderdate, '%G-W%V')
+            WHEN s.span <= 2000 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y') END AS label,
+       CAST(SUM({dec('o_totalprice')}) AS DOUBLE) / COUNT(o_totalprice) AS value
+FROM orders, s WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 750
+""")
+def q_chat_grain(spark, d):
+    """Mean order value over time at the chat rule's grain (≤60 d day, ≤400 week, ≤2000 month, else year)."""
+    from briskbi.functions.labels import CHAT_GRAIN_LIMITS
+
+    return charts.aggregate(table(spark, d, "orders"), "o_orderdate", "o_totalprice", agg="mean", scale=2,
+                            grain_limits=CHAT_GRAIN_LIMITS, last_grain="year")

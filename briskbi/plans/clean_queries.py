@@ -321,3 +321,18 @@ def q_latest_turns(spark, d):
 def q_value_filter(spark, d):
     """Filter on the categorical value named in a question."""
     return charts.value_filter(table(spark, d, "orders"), "How much did the 5-LOW orders bring in?")
+
+
+# A9 / A10 -----------------------------------------------------------------
+@register("q_read_log", """
+SELECT conv_id * 1000 + turn AS created_at, role AS kind, text AS input FROM conversations
+WHERE role = 'assistant' ORDER BY created_at DESC LIMIT 100
+""")
+def q_read_log(spark, d):
+    """Conversation turns written as a JSON-lines log, read back newest first by kind."""
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/briskbi-log-{uuid.uuid4().hex}"
+    c = table(spark, d, "conversations")
+    log = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("created_at"), F.col("role").alias("kind"),
+                   F.col("text").alias("input"))
+    log.write.json(root)
+    return files.read_log(spark, root, kind="assistant", limit=100).select("created_at", "kind", "input")

@@ -270,3 +270,23 @@ def q_rank_features(spark, d):
     """Q5: rank lineitem columns as predictors of extended price."""
     li = table(spark, d, "lineitem").drop("l_shipdate")
     return summaries.rank_features(li, "l_extendedprice")
+
+
+# C23 ----------------------------------------------------------------------
+@register("q_grouped_means", """
+SELECT c_nationkey, AVG(CAST(c_acctbal AS DOUBLE)) AS c_acctbal, AVG(CAST(c_custkey AS DOUBLE)) AS c_custkey
+FROM customer WHERE c_nationkey IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 12
+""")
+def q_grouped_means(spark, d):
+    """Mean of up to three metrics for the first 12 nations."""
+    return summaries.grouped_means(table(spark, d, "customer"), "c_nationkey", ["c_acctbal", "c_custkey"])
+
+
+# B13 ----------------------------------------------------------------------
+@register("q_display_names")
+def q_display_names(spark, d):
+    """Display names of the profiled lineitem columns (title case, acronyms upper)."""
+    from briskbi.functions.labels import title_case_name
+
+    prof = summaries.profile(table(spark, d, "customer"))
+    return prof.select("column", title_case_name(F.col("column")).alias("display_name"))
