@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from briskbi.operators import series as S
 
 # Fixed values of the reference's model competition.
-MODEL_MIN_HISTORY = {"naive": 3, "seasonal_naive": 6, "ets": 10, "fourier_ls": 20}
-MODEL_ORDER = ["naive", "seasonal_naive", "ets", "fourier_ls"]
+MODEL_MIN_HISTORY = {"naive": 3, "seasonal_naive": 6, "ets": 10, "fourier_ls": 20, "gbt_lag": 30}
+MODEL_ORDER = ["naive", "seasonal_naive", "ets", "fourier_ls", "gbt_lag"]
 SELECTION_METRICS = ["mae", "rmse", "wape", "mase"]
 PRIMARY_METRIC = "mae"
 ENSEMBLE_MAX_GAP = 0.25
@@ -240,7 +240,7 @@ def backtest(prep: DataFrame, keys: Sequence[str] | None = None, horizon: int =
         plans = p if plans is None else plans.unionByName(p)
     folds = _fold_rows(plans)
     base_models = [m for m in models if m in ("naive", "seasonal_naive")]
-    py_models = [m for m in models if m not in base_models]
+    py_models = [m for m in models if m not in base_models and m != "gbt_lag"]
     preds = None
     if base_models:
         preds = _baseline_predictions(prep, folds.where(F.col("model").isin(*base_models)), keys)
@@ -254,6 +254,9 @@ def backtest(prep: DataFrame, keys: Sequence[str] | None = None, horizon: int =
                            + ["model string", "fold int", "pos int", "y_true double", "pred double"])
         py = grp.groupBy(*keys).applyInPandas(_grouped_backtest(keys, py_models), schema)
         preds = py if preds is None else preds.unionByName(py)
+    if "gbt_lag" in models and folds.where(F.col("model") == "gbt_lag").limit(1).count():
+        g = gbt_backtest_preds(prep, folds, keys)
+        preds = g if preds is None else preds.unionByName(g)
     scale = _train_scale(prep, folds, keys)
     preds = _finish_preds(preds, stats, keys)
     preds = preds.join(scale, [*keys, "model", "fold"])
@@ -482,7 +485,11 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
     parts = []
     for m in [m for m in models if m in ("naive", "seasonal_naive")]:
         parts.append(forecast_baseline(prep, keys, m, horizon).withColumn("model", F.lit(m)).select(*keys, "model", "step", "value"))
-    py = [m for m in models if m not in ("naive", "seasonal_naive")]
+    if "gbt_lag" in models:
+        stats_g = _series_stats(prep, keys)
+        gf = gbt_forecast(prep, keys, horizon).join(stats_g.select(*keys, "use_log"), keys)
+        parts.append(gf.withColumn("value", F.when(F.col("use_log"), F.exp("value")).otherwise(F.col("value"))).drop("use_log"))
+    py = [m for m in models if m not in ("naive", "seasonal_naive", "gbt_lag")]
     if py:
         stats = _series_stats(prep, keys)
         fp = _final_python(prep, keys, py, horizon).join(stats.select(*keys, "use_log"), keys)
@@ -514,3 +521,87 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
     log = log.join(sel.select(*keys, "best_model", "ensemble_partner", "improvement_pct", "confidence"), keys)
     log = log.join(quality_warnings(fc, keys), keys, "left")
     return fc, log
+
+
+# ---------------------------------------------------------------------------
+# One global boosted-tree model on lag features (direct multi-horizon)
+# ---------------------------------------------------------------------------
+
+GBT_LAG_FEATURES = ["lag_1", "lag_2", "lag_3", "lag_7", "lag_14", "lag_21", "lag_season", "diff_1", "pct_change_1",
+                    "pct_change_7", "pct_change_14", "rolling_mean_3", "rolling_mean_7", "rolling_mean_14",
+                    "rolling_mean_30", "rolling_std_3", "rolling_std_7", "ewm_5", "ewm_12", "ewm_diff", "trend_slope_7"]
+GBT_CALENDAR = ["month", "quarter", "weekday", "is_weekend", "is_month_start", "is_month_end", "day_of_year",
+                "sin_yearly", "cos_yearly", "sin_weekly", "cos_weekly"]
+
+
+def _next_ts(ts: Column, freq: Column, k: Column) -> Column:
+    return (F.when(freq == "D", F.date_add(ts, k)).when(freq == "W", F.date_add(ts, k * 7))
+            .when(freq == "MS", F.add_months(ts, k)).otherwise(F.add_months(ts, k * 3))).cast("timestamp_ntz")
+
+
+def _origins(prep: DataFrame, keys: list[str], extend: bool) -> DataFrame:
+    """Past-only lag features for every origin position (plus the first future one)."""
+    base = prep.select(*keys, "pos", "ts", "y", "season", "freq")
+    if extend:
+        last = base.groupBy(*keys).agg(F.max_by(F.struct("pos", "ts", "season", "freq"), F.col("pos")).alias("l"))
+        nxt = last.select(*keys, (F.col("l.pos") + 1).alias("pos"), _next_ts(F.col("l.ts"), F.col("l.freq"), F.lit(1)).alias("ts"),
+                          F.lit(None).cast("double").alias("y"), F.col("l.season").alias("season"), F.col("l.freq").alias("freq"))
+        base = base.unionByName(nxt)
+    f = S.lag_features(base, keys)
+    return f.select(*keys, F.col("pos").alias("origin"), "ts", "freq", *GBT_LAG_FEATURES)
+
+
+def _examples(origins: DataFrame, prep: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    """(origin, h) → target at origin + h − 1 with the target time's calendar features."""
+    ex = origins.select("*", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    ex = ex.withColumn("pos", F.col("origin") + F.col("h") - 1).withColumn(
+        "target_ts", _next_ts(F.col("ts"), F.col("freq"), F.col("h") - 1))
+    ex = S.calendar_features(ex, "target_ts")
+    tgt = prep.select(*keys, "pos", F.col("y").alias("label"))
+    return ex.join(tgt, [*keys, "pos"], "left").na.fill(0.0, subset=GBT_LAG_FEATURES)
+
+
+def _gbt_fit(train: DataFrame, seed: int = 42):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+
+    cols = GBT_LAG_FEATURES + GBT_CALENDAR + ["h"]
+    asm = VectorAssembler(inputCols=cols, outputCol="features", handleInvalid="keep")
+    gbt = GBTRegressor(featuresCol="features", labelCol="label", predictionCol="pred", maxIter=30, maxDepth=5, seed=seed)
+    return Pipeline(stages=[asm, gbt]).fit(train.withColumn("h", F.col("h").cast("double")))
+
+
+def gbt_backtest_preds(prep: DataFrame, folds: DataFrame, keys: list[str]) -> DataFrame:
+    """Backtest predictions of ``gbt_lag``: one global model per fold index, trained
+    only on targets before each series' test window, predicting from its start."""
+    from briskbi.session import cut_lineage
+
+    fl = folds.where(F.col("model") == "gbt_lag")
+    max_h = max([r[0] for r in fl.agg(F.max("bt_h")).collect() if r[0]] or [1])
+    ex = cut_lineage(_examples(_origins(prep, keys, False), prep, keys, int(max_h)))
+    out = None
+    for (fold,) in fl.select("fold").distinct().orderBy("fold").collect():
+        f = fl.where(F.col("fold") == fold).select(*keys, "fold", "test_start", "bt_h", "test_end")
+        j = ex.join(f, keys)
+        train = j.where((F.col("pos") < F.col("test_start")) & F.col("label").isNotNull() & (F.col("origin") >= 1))
+        test = j.where((F.col("origin") == F.col("test_start")) & (F.col("h") <= F.col("bt_h")))
+        model = _gbt_fit(train)
+        p = model.transform(test.withColumn("h", F.col("h").cast("double"))).select(
+            *keys, F.lit("gbt_lag").alias("model"), F.col("fold").cast("int").alias("fold"), F.col("pos").cast("int").alias("pos"),
+            F.col("label").alias("y_true"), F.col("pred"))
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def gbt_forecast(prep: DataFrame, keys: list[str], horizon: int) -> DataFrame:
+    """Refit on all history; forecast steps 1..horizon from the first future origin."""
+    origins = _origins(prep, keys, True)
+    ex = _examples(origins, prep, keys, horizon)
+    n = prep.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    ex = ex.join(n, keys)
+    train = ex.where(F.col("label").isNotNull() & (F.col("origin") >= 1) & (F.col("origin") < F.col("n")))
+    model = _gbt_fit(train)
+    fut = ex.where(F.col("origin") == F.col("n"))
+    return model.transform(fut.withColumn("h", F.col("h").cast("double"))).select(
+        *keys, F.lit("gbt_lag").alias("model"), F.col("h").cast("int").alias("step"), F.col("pred").alias("value"))

@@ -364,3 +364,11 @@ def q_forecast_log(spark, d):
                           models=["naive", "seasonal_naive", "fourier_ls"], scale=2)
     return log.select("event_type", "model", "mae", "rmse", "wape", "mase", "avg_rank", "is_best", "test_mae",
                       "fit_diagnosis", "best_model", "ensemble_partner", "confidence", "repetitive", "wide_intervals")
+
+
+@register("q_forecast_gbt")
+def q_forecast_gbt(spark, d):
+    """Weekly order value per priority with the global boosted-tree lag model in the competition."""
+    fc, _ = forecast.run(table(spark, d, "orders"), "o_orderdate", "o_totalprice", ["o_orderpriority"], horizon=14,
+                         models=["naive", "seasonal_naive", "gbt_lag"], freq="W", scale=2)
+    return fc
