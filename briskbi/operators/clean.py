@@ -104,21 +104,30 @@ def is_datetime_like(name: str) -> bool:
 def low_information_columns(df: DataFrame, max_null: float = MAX_NULL_RATIO_TO_KEEP) -> list[str]:
     """Columns all null, ≥ ``max_null`` null, or with ≤ 1 distinct non-null value.
 
-    One aggregate with null counts and HyperLogLog sketches; the exact
-    distinct count runs only for columns whose sketch says ≤ 3.
+    One aggregate of null counts and min/max (≤ 1 distinct value ⇔ min = max);
+    only unorderable columns use a sketch plus an exact count when it is small.
     """
     cols = df.columns
     if not cols:
         return []
-    st = df.agg(F.count(F.lit(1)).alias("__n"),
-                *[F.count(F.col(c)).alias(f"nn{i}") for i, c in enumerate(cols)],
-                *[F.approx_count_distinct(F.col(c)).alias(f"ad{i}") for i, c in enumerate(cols)]).collect()[0]
+    orderable = {c for c in cols if not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType,
+                                                                           T.BinaryType))}
+    aggs = [F.count(F.lit(1)).alias("__n")] + [F.count(F.col(c)).alias(f"nn{i}") for i, c in enumerate(cols)]
+    for i, c in enumerate(cols):
+        if c in orderable:  # ≤ 1 distinct non-null value ⇔ min = max
+            aggs += [F.min(F.col(c)).alias(f"lo{i}"), F.max(F.col(c)).alias(f"hi{i}")]
+        else:
+            aggs.append(F.approx_count_distinct(F.col(c)).alias(f"ad{i}"))
+    st = df.agg(*aggs).collect()[0]
     n = st["__n"]
     drop, check = [], []
     for i, c in enumerate(cols):
         null_ratio = 1.0 if n == 0 else 1 - st[f"nn{i}"] / n
         if null_ratio == 1.0 or null_ratio >= max_null:
             drop.append(c)
+        elif c in orderable:
+            if st[f"lo{i}"] == st[f"hi{i}"]:
+                drop.append(c)
         elif st[f"ad{i}"] <= 3:
             check.append((i, c))
     if check:

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from briskbi.functions.labels import compact_number, ts_text
 from briskbi.functions.parse import to_number, to_timestamp_mixed
+from briskbi.session import spread_for_row_work
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -214,6 +215,7 @@ def zscore_rows(df: DataFrame, col: str, threshold: float = 2.5) -> DataFrame:
 
 def quality(df: DataFrame) -> DataFrame:
     """Rows, columns, duplicate rows, completeness %, quality score."""
+    df = spread_for_row_work(df)
     cols = df.columns
     nulls = df.agg(F.count(F.lit(1)).alias("rows"),
                    *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)])
@@ -321,6 +323,7 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     Two distributed passes: one wide aggregate, one unpivoted value count (which
     gives both the exact distinct count and the top 5 of every column).
     """
+    df = spread_for_row_work(df)
     types = types or detect_types(df)
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -378,6 +381,7 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
 
 def correlations(df: DataFrame, cols: list[str] | None = None, min_abs: float = 0.3) -> DataFrame:
     """Q3: Pearson r for every numeric pair (pairwise-complete) in one scan; |r| ≥ min_abs."""
+    df = spread_for_row_work(df)
     cols = cols or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     schema = "source string, target string, weight double, method string"
@@ -393,10 +397,14 @@ def correlations(df: DataFrame, cols: list[str] | None = None, min_abs: float =
 
 def correlation_matrix(df: DataFrame, top: int = 12) -> DataFrame:
     """Q6: full Pearson matrix of the ``top`` highest-variance numeric columns."""
+    df = spread_for_row_work(df)
     cols = numeric_columns(df)
+    # More than one distinct value ⇔ min < max (no distinct-count sketch needed).
     st = df.agg(*[x for c in cols for x in (F.var_samp(F.col(c).cast("double")).alias(f"{c}__v"),
-                                             F.approx_count_distinct(F.col(c)).alias(f"{c}__d"))]).collect()[0].asDict()
-    keep = [c for c in cols if (st[f"{c}__d"] or 0) > 1 and st[f"{c}__v"] is not None]
+                                             F.min(F.col(c)).alias(f"{c}__lo"), F.max(F.col(c)).alias(f"{c}__hi"))]
+                ).collect()[0].asDict()
+    keep = [c for c in cols if st[f"{c}__lo"] is not None and st[f"{c}__lo"] < st[f"{c}__hi"]
+            and st[f"{c}__v"] is not None]
     keep = sorted(keep, key=lambda c: (-st[f"{c}__v"], c))[:top]
     if not keep:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
