@@ -277,8 +277,8 @@ def kpi(df: DataFrame, y: str | None, agg: str = "sum", scale: int | None = None
     if a == "median":
         from briskbi.operators.ranking import exact_percentiles
 
-        med = exact_percentiles(df.select(v.alias("_y")), [], "_y", [0.5], ["value"])
-        return df.sparkSession.range(1).join(med, how="left").select(F.coalesce(F.col("value"), F.lit(0.0)).alias("value"))
+        med = exact_percentiles(df.select(v.alias("_y")), [], "_y", [0.5], ["value"])  # one row
+        return med.select(F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
     return df.agg(F.coalesce(value_agg(v, a, scale), F.lit(0.0)).cast("double").alias("value"))
 
 

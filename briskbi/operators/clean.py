@@ -11,12 +11,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briskbi.functions import parse as P
-from briskbi.operators.ranking import exact_percentiles
+from briskbi.operators.ranking import exact_percentiles, forward_fill
 
 # ---------------------------------------------------------------------------
 # Name rules of the cleaning step.
@@ -284,8 +284,6 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
             if null_ratio <= DATE_MAX_FILL and ok > 0 and null_ratio > 0:
                 if order_by is None:
                     raise ValueError("forward fill needs an explicit order_by column (row order is undefined)")
-                w = Window.orderBy(order_by).rowsBetween(Window.unboundedPreceding, 0)
-                expr = F.last(expr, True).over(w)
                 p.transforms.append("fill_forward")
                 p.imputation = "ffill"
             exprs[c] = expr
@@ -325,6 +323,9 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
             plans[c].transforms.append("fill_median")
             plans[c].imputation = f"median:{round(medians[c], 6)}"
     out = df.select(*[(exprs[c] if c in exprs else F.col(c)).alias(c) for c in df.columns])
+    ffill = [c for c, p in plans.items() if p.imputation == "ffill"]
+    if ffill:
+        out = forward_fill(out, [F.col(order_by)], ffill)
     return out, transform_audit(df, exprs, plans)
 
 

@@ -162,3 +162,44 @@ def exact_percentiles(
     per = per.withColumn("_br_q", F.col("_br_lo") + (F.col("_br_hi") - F.col("_br_lo")) * F.col("_br_frac"))
     out = per.groupBy(*keys).pivot("_br_name", names).agg(F.first("_br_q"))
     return out
+
+
+def _ffill_local(cols: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last: dict = {c: None for c in cols}
+        for pdf in batches:
+            for c in cols:
+                s = pdf[c].ffill()
+                if last[c] is not None:
+                    s = s.where(s.notna(), last[c])
+                nn = s.dropna()
+                if len(nn):
+                    last[c] = nn.iloc[-1]
+                pdf[c] = s
+            yield pdf
+
+    return run
+
+
+def forward_fill(df: DataFrame, order_cols: Sequence[Column], cols: Sequence[str],
+                 n_parts: int | None = None) -> DataFrame:
+    """Fill nulls in ``cols`` with the last earlier non-null value.
+
+    Rows are range-partitioned on ``order_cols``; each partition fills locally
+    in order (Arrow batches), and values still missing at a partition's start
+    come from the last non-null value of the partitions before it — a table with
+    one row per partition.  No task sees more than its range.
+    """
+    cols = list(cols)
+    P = _n_parts(df, n_parts)
+    ranged = df.repartitionByRange(P, *order_cols).sortWithinPartitions(*order_cols)
+    ranged = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(_LPOS, F.monotonically_increasing_id())
+    local = cut_lineage(ranged.mapInPandas(_ffill_local(cols), ranged.schema))
+    tail = local.groupBy(_PID).agg(*[F.max_by(F.col(c), F.col(_LPOS)).alias(c) for c in cols])
+    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    prev = tail.select(_PID, *[F.last(F.col(c), ignorenulls=True).over(before).alias(f"_br_prev_{i}")
+                               for i, c in enumerate(cols)])
+    out = local.join(F.broadcast(prev), _PID)
+    filled = [F.coalesce(F.col(c), F.col(f"_br_prev_{cols.index(c)}")).alias(c) if c in cols else F.col(c)
+              for c in df.columns]
+    return out.select(*filled)

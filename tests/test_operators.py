@@ -203,3 +203,43 @@ def test_blueprint_has_three_charts(spark):
             {"column": "region", "data_type": "text", "unique_ratio": 0.03}]
     specs = auto_blueprint(prof, {"order_date": "date", "revenue": "measure", "region": "dimension"}, 100)
     assert len(specs) >= 3
+
+
+def test_forward_fill_matches_pandas(spark):
+    from briskbi.operators.ranking import forward_fill
+
+    rng = np.random.default_rng(11)
+    n = 2000
+    v = np.where(rng.random(n) < 0.6, np.nan, rng.normal(size=n))
+    v[:5] = np.nan  # leading nulls stay null
+    pdf = pd.DataFrame({"k": np.arange(n), "v": v})
+    df = spark.createDataFrame(pdf).repartition(5)
+    got = forward_fill(df, [F.col("k")], ["v"], n_parts=7).toPandas().sort_values("k")
+    exp = pdf["v"].ffill()
+    assert np.allclose(got["v"].to_numpy(dtype=float), exp.to_numpy(), equal_nan=True)
+
+
+def test_gbt_model_skipped_without_history(spark):
+    df = _daily(spark, range(20), [100 + i for i in range(20)])
+    prep = series.prepare(df, "date", "revenue", freq="D")
+    m, _ = forecast.backtest(prep, ["series"], 7, ["naive", "gbt_lag"])
+    rows = {r["model"]: r for r in m.collect()}
+    assert rows["gbt_lag"]["status"] == "failed" and rows["naive"]["status"] == "ok"
+
+
+def test_signal_rules(spark):
+    from briskbi.operators import signals
+
+    fc = spark.createDataFrame([("a", 1, 100.0), ("a", 2, 70.0), ("b", 1, 100.0), ("b", 2, 130.0)],
+                               "k string, step int, value double")
+    log = spark.createDataFrame([("a", "naive", "high"), ("b", "naive", "low")], "k string, best_model string, confidence string")
+    dec, gro = signals.forecast_trend(fc, log, ["k"], "k")
+    d = dec.collect()
+    assert len(d) == 1 and d[0]["severity"] == "critical" and d[0]["evidence"]["drop_pct"] == "30.0"
+    assert [r["affected_entity"] for r in gro.collect()] == ["b"]
+    seg = spark.createDataFrame([("Champions", 1.5, None), ("Lost", 45.0, None), ("A - High Share", 10.0, 75.0)],
+                                "segment string, percentage double, value_share double")
+    out = {r["type"]: r for df in signals.segment_signals(seg, "abc") for r in df.collect()}
+    assert out["shrinking_top_segment"]["severity"] == "critical"
+    assert out["growing_at_risk_segment"]["severity"] == "critical"
+    assert out["concentration_risk"]["affected_entity"] == "A - High Share"
