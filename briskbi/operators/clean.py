@@ -229,7 +229,8 @@ def _conformance(df: DataFrame, roles: dict[str, str]) -> dict:
 
 
 def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
-          confidences: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame]:
+          confidences: dict[str, float] | None = None,
+          stats_from: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Type every column by its role; returns (typed frame, audit).
 
     Measures: plain or financial parse, whichever parses more (P10), applied at
@@ -237,9 +238,14 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
     in ``order_by`` order at ≤ 10 % nulls.  Booleans: ≥ 85 %, mode fill at
     ≤ 20 %.  Ids: trimmed text.  Dimensions: collapsed text, ``Unknown`` at
     ≤ 10 % nulls.  Mostly-numeric dimensions are promoted to measures (P16).
+
+    U8: imputation statistics (medians, boolean modes) come from the rows being
+    typed (``stats_from=None``, the reference's default for appended batches) or
+    from another frame such as the accumulated base (``stats_from=base``).
     """
     confidences = confidences or {}
     st = _conformance(df, roles)
+    fill_st = _conformance(stats_from.select(*df.columns), roles) if stats_from is not None else st
     n = st["__n"] or 0
     plans: dict[str, ColumnPlan] = {}
     for i, c in enumerate(df.columns):
@@ -296,7 +302,7 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
             expr = P.to_bool(F.col(c))
             null_ratio = 1 - ok / n if n else 1.0
             if null_ratio <= BOOLEAN_MAX_FILL and ok > 0:
-                mode = st[f"bt{i}"] > st[f"bf{i}"] if st[f"bt{i}"] != st[f"bf{i}"] else False
+                mode = fill_st[f"bt{i}"] > fill_st[f"bf{i}"] if fill_st[f"bt{i}"] != fill_st[f"bf{i}"] else False
                 expr = F.coalesce(expr, F.lit(mode))
                 p.transforms.append("fill_mode")
                 p.imputation = f"mode:{mode}"
@@ -314,8 +320,9 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
                 p.imputation = "constant:Unknown"
             exprs[c] = expr
     if med_cols:
-        long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), exprs[c].cast("double").alias("v"))
-                                              for c in med_cols])).alias("kv")).select("kv.column", "kv.v")
+        src = stats_from.select(*df.columns) if stats_from is not None else df
+        long = src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), exprs[c].cast("double").alias("v"))
+                                               for c in med_cols])).alias("kv")).select("kv.column", "kv.v")
         for r in exact_percentiles(long, ["column"], "v", [0.5], ["median"]).collect():
             medians[r["column"]] = r["median"]
         for c in med_cols:

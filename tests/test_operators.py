@@ -243,3 +243,13 @@ def test_signal_rules(spark):
     assert out["shrinking_top_segment"]["severity"] == "critical"
     assert out["growing_at_risk_segment"]["severity"] == "critical"
     assert out["concentration_risk"]["affected_entity"] == "A - High Share"
+
+
+def test_smart_stats_from_base(spark):
+    batch = spark.createDataFrame([(1, 10.0), (2, None), (3, 30.0)] + [(i, 20.0) for i in range(4, 12)],
+                                  "k int, amount double")
+    base = spark.createDataFrame([(i, 100.0) for i in range(50)], "k int, amount double")
+    own, _ = clean.smart(batch, {"amount": "measure"})
+    fromb, _ = clean.smart(batch, {"amount": "measure"}, stats_from=base)
+    assert own.where("k = 2").collect()[0]["amount"] == 20.0
+    assert fromb.where("k = 2").collect()[0]["amount"] == 100.0
