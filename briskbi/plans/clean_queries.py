@@ -71,7 +71,18 @@ def q_markdown_strip(spark, d):
     return docs.select("doc_id", X.strip_markdown(F.col("text")).alias("clean_text"))
 
 
-@register("q_humanize")
+_HUMANIZE_STEPS = [(r"([A-Za-z0-9])[_-]([A-Za-z0-9])", r"\1 \2"), (r"([A-Za-z0-9])[_-]([A-Za-z0-9])", r"\1 \2"),
+                   (r"([a-z0-9])([A-Z])", r"\1 \2"), (r"([A-Z]+)([A-Z][a-z])", r"\1 \2"), (r"[ \t]{2,}", " ")]
+
+
+def _humanize_sql(col: str) -> str:
+    t = col
+    for pat, rep in _HUMANIZE_STEPS:
+        t = f"regexp_replace({t}, '{_re2(pat)}', '{rep}', 'g')"
+    return t
+
+
+@register("q_humanize", f"SELECT conv_id, turn, {_humanize_sql('text')} AS text FROM conversations")
 def q_humanize(spark, d):
     """Identifier splitting (snake/kebab/camel case) of conversation turns."""
     return table(spark, d, "conversations").select("conv_id", "turn", X.humanize_identifiers(F.col("text")).alias("text"))

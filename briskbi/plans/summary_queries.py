@@ -283,7 +283,12 @@ def q_grouped_means(spark, d):
 
 
 # B13 ----------------------------------------------------------------------
-@register("q_display_names")
+@register("q_display_names", r"""
+SELECT "column", array_to_string(list_transform(string_split(regexp_replace(trim("column"), '[_\s]+', ' ', 'g'), ' '),
+         lambda w: CASE WHEN lower(w) IN ('id', 'kpi', 'url', 'api', 'ip') THEN upper(w)
+                        ELSE upper(substr(w, 1, 1)) || lower(substr(w, 2)) END), ' ') AS display_name
+FROM (SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS "column")
+""")
 def q_display_names(spark, d):
     """Display names of the profiled lineitem columns (title case, acronyms upper)."""
     from briskbi.functions.labels import title_case_name
