@@ -242,7 +242,6 @@ def _breakdown(work: DataFrame, is_date: bool, breakdown: str, v: Column | None,
     """C11: long (label, series, value) table, zero-filled, top ``top_n`` series."""
     work = work.where(F.col(breakdown).isNotNull()).withColumn("series", F.col(breakdown).cast("string"))
     g = work.groupBy("label", "series").agg(F.coalesce(value_agg(v, agg, scale), F.lit(0.0)).cast("double").alias("value"))
-    g = g.persist()
     # Series totals → top_n keys (≤ 50 rows, safe to broadcast).
     totals = g.groupBy("series").agg(sum_expr(F.col("value"), scale).alias("total"))
     keep = totals.orderBy(F.col("total").desc(), F.col("series").asc()).limit(top_n).select("series")
@@ -315,7 +314,6 @@ def bar(df: DataFrame, x: str, y: str | None = None, scale: int | None = None) -
 def pie(df: DataFrame, x: str, y: str | None = None, scale: int | None = None) -> DataFrame:
     """C4: positive slices by value; above 12 slices → top 11 + ``Others``."""
     g = _grouped(df, x, y, scale).df.where(F.col("value") > 0).withColumnRenamed("label", "name")
-    g = g.persist()
     order = [F.col("value").desc(), F.col("name").asc()]
     head = g.orderBy(*order).limit(MAX_PIE_SLICES)
     w = Window.orderBy(*order)

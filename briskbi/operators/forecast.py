@@ -478,6 +478,7 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
     keys = list(keys or ["series"])
     models = list(models or (["naive", "seasonal_naive", "ets"] if mode == "fast" else MODEL_ORDER))
     metrics, preds = backtest(prep, keys, horizon, models)
+    # Read by several branches below: written once (reliable checkpoint).
     metrics, preds = cut_lineage(metrics), cut_lineage(preds)
     ranked = rank_models(metrics, keys)
     sel = select(ranked, keys)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from briskbi.functions.parse import to_number, to_timestamp_mixed
 from briskbi.operators.ranking import exact_percentiles, global_order
+from briskbi.session import cut_lineage
 
 # ---------------------------------------------------------------------------
 # RFM (recency, frequency, monetary) score triple → segment name.
@@ -159,7 +160,7 @@ def rfm(df: DataFrame, entity: str, date: str, monetary: str, scale: int | None
         F.count("d").alias("frequency"),
         msum.alias("monetary"),
     )
-    ent = ent.persist()
+    ent = cut_lineage(ent)  # read by the percentiles, two global orders and the final join
     n = ent.count()
     edges_row = exact_percentiles(ent, [], "recency", QUINTILE_PROBS).collect()[0]
     edges = [float(edges_row[f"p{i}"]) for i in range(len(QUINTILE_PROBS))]

@@ -423,7 +423,6 @@ def correlation_matrix(df: DataFrame, top: int = 12) -> DataFrame:
 def mutual_info_discrete(df: DataFrame, x: str, y: str) -> DataFrame:
     """Q5 (discrete–discrete): exact plug-in mutual information in nats from counts."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("nxy"))
-    pairs = pairs.persist()
     n = pairs.agg(F.sum("nxy").alias("n"))
     px = pairs.groupBy(x).agg(F.sum("nxy").alias("nx"))
     py = pairs.groupBy(y).agg(F.sum("nxy").alias("ny"))
