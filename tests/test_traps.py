@@ -132,3 +132,39 @@ def test_d19_histogram_matches_numpy(spark, vals):
     right = sorted((r["bin"], r["value"]) for r in charts.histogram(df, "x", closed="right").collect())
     cut = pd.cut(pd.Series(vals), bins=n).value_counts().sort_index()
     assert [c for _, c in right] == list(cut)
+
+
+def test_d10_quantile_std_median(spark):
+    from briskbi.operators.ranking import exact_percentiles
+
+    vals = [1.0, 2.0, 4.0, 7.0, 11.0]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    q = exact_percentiles(df, [], "x", [0.25, 0.5, 0.9], ["a", "b", "c"]).collect()[0]
+    assert [q["a"], q["b"], q["c"]] == list(np.quantile(vals, [0.25, 0.5, 0.9]))
+    sd = df.agg(F.stddev_samp("x")).collect()[0][0]
+    assert sd == pytest.approx(pd.Series(vals).std())
+
+
+def test_d11_mode_smallest_on_ties(spark):
+    df = spark.createDataFrame([(dt.datetime(2024, 1, 1, h), 1.0, c) for h, c in [(1, "b"), (2, "a"), (3, "b"), (4, "a")]],
+                               "t timestamp_ntz, v double, cat string")
+    out = series.resample(df, "t", "v", freq="D", features=["cat"]).collect()
+    assert out[0]["cat"] == "a"
+
+
+def test_d16_last_wins_by_file_then_row(spark):
+    from briskbi.operators import accumulate
+
+    a = spark.createDataFrame([(1, "first"), (1, "second")], "id int, v string").coalesce(1)
+    b = spark.createDataFrame([(2, "x")], "id int, v string")
+    got = dict(accumulate.combine([a, b], ["id"]).collect())
+    assert got == {1: "second", 2: "x"}
+
+
+def test_d18_type_sniffing_full_pass(spark):
+    from briskbi.operators import summaries
+
+    df = spark.createDataFrame([("2024-01-0%d" % (i % 9 + 1), str(i), "x%d" % i, "+96650%d" % i) for i in range(30)],
+                               "when_col string, num string, txt string, phone string")
+    t = summaries.detect_types(df)
+    assert t == {"when_col": "datetime", "num": "numeric", "txt": "text", "phone": "text"}
