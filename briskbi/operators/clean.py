@@ -199,6 +199,28 @@ def _id_like(name: str) -> bool:
     return bool(tokens(name.lower()) & set(IDENTIFIER_HINTS))
 
 
+def _original_types(df: DataFrame, st: dict) -> dict[str, str]:
+    """Q2 types from the schema and the conformance counts (all non-null values must parse)."""
+    out = {}
+    for i, c in enumerate(df.columns):
+        dt = df.schema[c].dataType
+        if any(h in c.lower() for h in ("phone", "mobile", "fax", "tel", "cell", "whatsapp")):
+            out[c] = "text"
+        elif isinstance(dt, T.BooleanType):
+            out[c] = "boolean"
+        elif isinstance(dt, T.NumericType):
+            out[c] = "numeric"
+        elif isinstance(dt, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            out[c] = "datetime"
+        elif st[f"nn{i}"] and st[f"dt{i}"] == st[f"nn{i}"]:
+            out[c] = "datetime"
+        elif st[f"nn{i}"] and st[f"num{i}"] == st[f"nn{i}"]:
+            out[c] = "numeric"
+        else:
+            out[c] = "text"
+    return out
+
+
 def _conformance(df: DataFrame, roles: dict[str, str]) -> dict:
     """Wide statistics of every column in one pass (parse successes, nulls, uniques)."""
     aggs = [F.count(F.lit(1)).alias("__n")]
@@ -248,6 +270,7 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
     fill_st = _conformance(stats_from.select(*df.columns), roles) if stats_from is not None else st
     n = st["__n"] or 0
     plans: dict[str, ColumnPlan] = {}
+    original = _original_types(df, st)
     for i, c in enumerate(df.columns):
         role = ROLE_ALIASES.get(roles.get(c, "unknown"), roles.get(c, "unknown"))
         nn = st[f"nn{i}"]
@@ -258,7 +281,14 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
                 role = "measure"
         risky = role in ("measure", "date", "boolean") and confidences.get(c, 1.0) < RISKY_ROLE_MIN_CONFIDENCE
         if risky:
-            role = "dimension"
+            plans[c] = ColumnPlan(c, role, applied=False,
+                                  reason=f"low_confidence:{confidences.get(c, 1.0):.3f}<required:{RISKY_ROLE_MIN_CONFIDENCE:.3f}")
+            continue
+        allowed = ROLE_TYPE_COMPATIBILITY.get(role)
+        if allowed is not None and original[c] not in allowed:
+            # The role does not fit the column's detected type; leave it as is.
+            plans[c] = ColumnPlan(c, role, applied=False, reason=f"incompatible_role_and_type:{role}/{original[c]}")
+            continue
         plans[c] = ColumnPlan(c, role)
 
     medians: dict[str, float] = {}
@@ -266,6 +296,8 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
     exprs = {}
     for i, c in enumerate(df.columns):
         p, dt, nn = plans[c], df.schema[c].dataType, st[f"nn{i}"]
+        if not p.applied:
+            continue
         if p.role == "measure":
             fin = st[f"fin{i}"] > st[f"num{i}"]
             expr = P.clean_financial(F.col(c)) if fin and not isinstance(dt, T.NumericType) else P.to_number(F.col(c), dt)
@@ -313,6 +345,11 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
         elif p.role in ("dimension", "descriptive", "geographic"):
             expr = P.dimension_text(F.col(c))
             p.transforms = ["normalize_text"]
+            share = (st[f"num{i}"] / nn) if nn and isinstance(dt, T.StringType) else 0.0
+            if 0 < share <= CONFORMANCE_MAX_NUMERIC_TEXT:
+                # A few numeric-looking values in a text column are outliers.
+                expr = F.when(P.is_number_text(expr), F.lit("Unknown")).otherwise(expr)
+                p.transforms.append("text_numeric_outlier_to_unknown")
             null_ratio = 1 - nn / n if n else 1.0
             if null_ratio <= DIMENSION_MAX_FILL:
                 expr = F.coalesce(expr, F.lit("Unknown"))

@@ -222,7 +222,8 @@ def _grouped_backtest(keys: list[str], models: list[str]):
 
 
 def backtest(prep: DataFrame, keys: Sequence[str] | None = None, horizon: int = 30,
-             models: Sequence[str] | None = None, screen_folds: int | None = None) -> tuple[DataFrame, DataFrame]:
+             models: Sequence[str] | None = None, screen_folds: int | None = None,
+             keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rolling-origin backtest of each model on each series.
 
     Returns (metrics, predictions): metrics per (keys, model) with status, folds,
@@ -238,6 +239,8 @@ def backtest(prep: DataFrame, keys: Sequence[str] | None = None, horizon: int =
         if screen_folds is not None:
             p = p.withColumn("folds", F.when(F.col("folds") > 0, F.least(F.col("folds"), F.lit(screen_folds))).otherwise(0))
         plans = p if plans is None else plans.unionByName(p)
+    if keep is not None:  # T16: only the (series, model) pairs kept by the screen
+        plans = plans.join(keep.select(*keys, "model"), [*keys, "model"], "left_semi")
     folds = _fold_rows(plans)
     base_models = [m for m in models if m in ("naive", "seasonal_naive")]
     py_models = [m for m in models if m not in base_models and m != "gbt_lag"]
@@ -477,7 +480,12 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
     prep = S.prepare(df, ts, y, keys, freq, features, policy, scale=scale)  # checkpointed
     keys = list(keys or ["series"])
     models = list(models or (["naive", "seasonal_naive", "ets"] if mode == "fast" else MODEL_ORDER))
-    metrics, preds = backtest(prep, keys, horizon, models)
+    keep = None
+    if len(models) > TOURNAMENT_MIN_CANDIDATES:
+        # A one-fold screen, then the full backtest for the best 3 + baselines.
+        screen, _ = backtest(prep, keys, horizon, models, screen_folds=1)
+        keep = cut_lineage(tournament_keep(screen, keys, len(models)))
+    metrics, preds = backtest(prep, keys, horizon, models, keep=keep)
     # Read by several branches below: written once (reliable checkpoint).
     metrics, preds = cut_lineage(metrics), cut_lineage(preds)
     ranked = rank_models(metrics, keys)

@@ -253,3 +253,13 @@ def test_smart_stats_from_base(spark):
     fromb, _ = clean.smart(batch, {"amount": "measure"}, stats_from=base)
     assert own.where("k = 2").collect()[0]["amount"] == 20.0
     assert fromb.where("k = 2").collect()[0]["amount"] == 100.0
+
+
+def test_smart_role_gate_and_text_conformance(spark):
+    rows = [(i, f"shop {i % 3}", "2024-01-01") for i in range(40)] + [(40, "12345", "2024-01-02")]
+    df = spark.createDataFrame(rows, "k int, shop string, day string")
+    out, audit = clean.smart(df, {"shop": "dimension", "k": "boolean", "day": "date"})
+    a = {r["column"]: r for r in audit.collect()}
+    assert not a["k"]["applied"] and a["k"]["reason"].startswith("incompatible_role_and_type")
+    assert "text_numeric_outlier_to_unknown" in a["shop"]["transforms"]
+    assert out.where("k = 40").collect()[0]["shop"] == "Unknown"
