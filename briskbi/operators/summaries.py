@@ -476,3 +476,13 @@ def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None,
         allp = allp.unionByName(p)
     w = Window.partitionBy(F.lit(1))  # one row per feature column
     return allp.withColumn("scaled", F.col("score") / F.max("score").over(w)).orderBy(F.col("score").desc(), "feature")
+
+
+def attach_roles(profile_df: DataFrame, roles: dict[str, str]) -> DataFrame:
+    """Attach role labels to profile rows by column name (inner: unknown names skipped).
+
+    The roles table has one row per named column (bounded by the schema width).
+    """
+    spark = profile_df.sparkSession
+    rt = spark.createDataFrame(sorted(roles.items()), "column string, role string")
+    return profile_df.join(F.broadcast(rt), "column")

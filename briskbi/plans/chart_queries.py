@@ -246,3 +246,18 @@ def q_chat_grain(spark, d):
 
     return charts.aggregate(table(spark, d, "orders"), "o_orderdate", "o_totalprice", agg="mean", scale=2,
                             grain_limits=CHAT_GRAIN_LIMITS, last_grain="year")
+
+
+@register("q_relative_range", f"""
+SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, CAST(SUM({dec('o_totalprice')}) AS DOUBLE) AS value
+FROM orders
+WHERE o_orderdate >= TIMESTAMP '1998-05-04' AND o_orderdate < TIMESTAMP '1998-08-02' + INTERVAL 1 DAY
+GROUP BY 1 ORDER BY 1 LIMIT 750
+""")
+def q_relative_range(spark, d):
+    """B5 + B4: "last 90 days" as of 1998-08-02, daily order value."""
+    import datetime as dt
+
+    start, end = charts.relative_range("last_90_days", dt.date(1998, 8, 2))
+    return charts.aggregate(table(spark, d, "orders"), "o_orderdate", "o_totalprice", date_field="o_orderdate",
+                            date_from=start.isoformat(), date_to=end.isoformat(), grain="day", scale=2)

@@ -347,3 +347,16 @@ def q_read_log(spark, d):
                    F.col("text").alias("input"))
     log.write.json(root)
     return files.read_log(spark, root, kind="assistant", limit=100).select("created_at", "kind", "input")
+
+
+# U9 -----------------------------------------------------------------------
+@register("q_delete_rows", """
+SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,
+  o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders ORDER BY o_orderkey LIMIT 5000)
+WHERE NOT (row_index >= 100 AND row_index < 1100)
+""")
+def q_delete_rows(spark, d):
+    """Delete a range of stored display rows by ``row_index``."""
+    s = files.display_sample(table(spark, d, "orders"), ["o_orderkey"], 5000).drop("row_json")
+    s = s.withColumn("row_index", F.col("row_index").cast("long"))
+    return accumulate.delete_rows(s, (F.col("row_index") >= 100) & (F.col("row_index") < 1100))

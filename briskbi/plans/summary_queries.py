@@ -295,3 +295,23 @@ def q_display_names(spark, d):
 
     prof = summaries.profile(table(spark, d, "customer"))
     return prof.select("column", title_case_name(F.col("column")).alias("display_name"))
+
+
+# J3 -----------------------------------------------------------------------
+_ORDER_ROLES = {"o_orderkey": "id", "o_totalprice": "measure", "o_orderdate": "date", "o_orderpriority": "dimension",
+                "not_a_column": "measure"}
+
+
+@register("q_profile_roles", """
+WITH cols AS (SELECT column_name AS "column",
+                CASE WHEN column_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric'
+                     WHEN column_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'text' END AS data_type
+              FROM (DESCRIBE orders)),
+roles AS (SELECT * FROM (VALUES ('o_orderkey', 'id'), ('o_totalprice', 'measure'), ('o_orderdate', 'date'),
+  ('o_orderpriority', 'dimension'), ('not_a_column', 'measure')) t("column", role))
+SELECT cols."column", roles.role, cols.data_type FROM cols JOIN roles USING ("column")
+""")
+def q_profile_roles(spark, d):
+    """Roles attached to the profiled order columns (unknown role names are skipped)."""
+    prof = summaries.profile(table(spark, d, "orders"))
+    return summaries.attach_roles(prof, _ORDER_ROLES).select("column", "role", "data_type")
