@@ -341,8 +341,12 @@ def evidence(summary: DataFrame, key: str, silhouette: float | None = None, meth
 
 
 def scatter_sample(df: DataFrame, key: str, n: int = 500, seed: int = 42) -> DataFrame:
-    """Repeatable ``n``-row sample by hash order (a bounded top-k)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """Repeatable ``n``-row sample by hash order (a distributed top-k).
+
+    The order is MD5 of ``key || seed`` — any engine with MD5 draws the same sample.
+    """
+    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
+    return df.orderBy(h, F.col(key)).limit(n)
 
 
 def entity_pareto(abc_df: DataFrame, n: int = 40) -> DataFrame:

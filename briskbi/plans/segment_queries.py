@@ -134,8 +134,9 @@ def q_kmeans(spark, d):
     return out
 
 
-# Hash order is Spark's xxhash64 (DuckDB has no equal function): rows-only check.
-@register("q_scatter_sample")
+@register("q_scatter_sample", """
+SELECT c_custkey, c_acctbal FROM customer ORDER BY md5(CAST(c_custkey AS VARCHAR) || '42'), c_custkey LIMIT 500
+""")
 def q_scatter_sample(spark, d):
     """Repeatable 500-customer scatter sample."""
     return segment.scatter_sample(table(spark, d, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
