@@ -119,7 +119,17 @@ def q_abc_pareto(spark, d):
     return segment.entity_pareto(_abc(spark, d))
 
 
-@register("q_rfm_evidence")
+@register("q_rfm_evidence", f"""
+WITH {_RFM_BASE},
+g AS (SELECT segment, count(*) AS size, CAST(SUM(CAST(monetary AS DECIMAL(38,2))) AS DOUBLE) / count(*) AS k
+      FROM rfm GROUP BY segment),
+ev AS (SELECT *, lag(k) OVER (ORDER BY k, segment) AS prev FROM g)
+SELECT CAST(SUM(size) AS BIGINT) AS entity_count, COUNT(*) AS segment_count, SUM(size) < 30 AS small_sample,
+  COALESCE(list_sort(list(segment) FILTER (WHERE size = 1)), CAST([] AS VARCHAR[])) AS single_entity_segments,
+  COALESCE(max(CASE WHEN abs(k - prev) / greatest(greatest(abs(k), abs(prev)), 1e-300) * 100 <= 10 THEN 1 ELSE 0 END), 0) = 1
+    AS marginal_separation
+FROM ev
+""")
 def q_rfm_evidence(spark, d):
     """Evidence flags of the RFM segmentation (small sample, close segments)."""
     summ = segment.summarize(_rfm(spark, d), "rfm", ["recency", "frequency", "monetary"], "monetary", scale=2)
