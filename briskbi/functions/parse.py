@@ -107,18 +107,22 @@ def is_number_text(c: str | Column) -> Column:
 
 
 def to_timestamp_mixed(c: str | Column, dtype: T.DataType | None = None) -> Column:
-    """Parse mixed date layouts; a bare number is never a date."""
+    """Parse mixed date layouts into wall-clock ``timestamp_ntz``.
+
+    Results never depend on the session time zone (like pandas' naive
+    datetimes); a bare number is never a date.
+    """
     c = col_of(c)
-    if dtype is not None and isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):
-        return c.cast("timestamp")
-    if dtype is not None and isinstance(dtype, T.DateType):
-        return c.cast("timestamp")
+    if dtype is not None and isinstance(dtype, T.TimestampNTZType):
+        return c
+    if dtype is not None and isinstance(dtype, (T.TimestampType, T.DateType)):
+        return c.cast("timestamp_ntz")
     s = F.trim(c.cast("string"))
     tries = [F.try_to_timestamp(s, F.lit(p)) for p in DATETIME_PATTERNS]
     # Every accepted layout has a 4-digit year and a separator; a bare number is
     # never a date (D6).  The cheap guard skips the layout list for other text.
     plausible = s.rlike(r"\d{4}") & s.rlike(r"[-/.:\s,T]") & ~s.rlike(r"^\s*[+-]?\d+(\.\d+)?\s*$")
-    return F.when(plausible, F.coalesce(*tries))
+    return F.when(plausible, F.coalesce(*tries).cast("timestamp_ntz"))
 
 
 def clean_money(c: str | Column) -> Column:

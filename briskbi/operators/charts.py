@@ -80,9 +80,9 @@ def filter_dates(df: DataFrame, col: str, start=None, end=None) -> DataFrame:
     ts = to_timestamp_mixed(F.col(col), dtype_of(df, col))
     cond = ts.isNotNull()
     if start is not None:
-        cond = cond & (ts >= F.to_timestamp(F.lit(str(start))))
+        cond = cond & (ts >= F.lit(str(start)).cast("timestamp_ntz"))
     if end is not None:
-        cond = cond & (ts < F.to_timestamp(F.lit(str(end))) + F.expr("INTERVAL 1 DAY"))
+        cond = cond & (ts < F.lit(str(end)).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY"))
     return df.where(cond)
 
 

@@ -153,10 +153,11 @@ def rfm(df: DataFrame, entity: str, date: str, monetary: str, scale: int | None
     newest = work.agg(F.max("d").alias("mx")).collect()[0]["mx"]
     if newest is None:
         raise ValueError("No valid rows after cleaning for RFM segmentation")
-    ref_us = F.unix_micros(F.lit(newest).cast("timestamp")) + F.lit(86_400_000_000)
+    # Wall-clock arithmetic on timestamp_ntz: independent of the session time zone.
+    ref = F.lit(newest.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
     msum = F.sum(F.col("m").cast(f"decimal(38,{scale})")).cast("double") if scale is not None else F.sum("m")
     ent = work.groupBy("entity").agg(
-        F.floor((ref_us - F.unix_micros(F.max("d").cast("timestamp"))) / F.lit(86_400_000_000)).cast("long").alias("recency"),
+        F.floor(F.timestamp_diff("MICROSECOND", F.max("d"), ref) / F.lit(86_400_000_000)).cast("long").alias("recency"),
         F.count("d").alias("frequency"),
         msum.alias("monetary"),
     )

@@ -92,8 +92,7 @@ def detect_freq(df: DataFrame, ts: str, keys: Sequence[str] | None = None) -> Da
     if keys and biggest <= LOCAL_SERIES_LIMIT:
         # Every series fits one task (proven by the count): window + exact percentile.
         w = Window.partitionBy(*keys).orderBy("t")
-        gaps = dates.withColumn("gap", (F.unix_micros(F.col("t").cast("timestamp"))
-                                        - F.unix_micros(F.lag("t").over(w).cast("timestamp"))) / 86_400_000_000.0)
+        gaps = dates.withColumn("gap", F.timestamp_diff("MICROSECOND", F.lag("t").over(w), F.col("t")) / 86_400_000_000.0)
         med = gaps.groupBy(*keys).agg(F.percentile("gap", 0.5).alias("median_gap_days"))
         out = counts.join(med, keys, "left")
         return out.withColumn("freq", freq_from_median_gap(F.col("median_gap_days"), F.col("n_dates")))
@@ -102,7 +101,7 @@ def detect_freq(df: DataFrame, ts: str, keys: Sequence[str] | None = None) -> Da
     cond = [ranked["r"] == nxt["r"]] + [ranked[k].eqNullSafe(nxt[f"n_{k}"]) for k in keys]
     gaps = ranked.join(nxt, cond).select(
         *[ranked[k] for k in keys],
-        ((F.unix_micros(F.col("t2").cast("timestamp")) - F.unix_micros(F.col("t").cast("timestamp"))) / 86_400_000_000.0).alias("gap"))
+        (F.timestamp_diff("MICROSECOND", F.col("t"), F.col("t2")) / 86_400_000_000.0).alias("gap"))
     med = exact_percentiles(gaps, keys, "gap", [0.5], ["median_gap_days"])
     if keys:
         out = counts.join(med, keys, "left")
@@ -128,10 +127,10 @@ def bucket(t: Column, freq: str | Column) -> Column:
     start = F.when(at_midnight, day).otherwise(F.date_add(day, 1))
     sunday = F.date_add(start, (F.lit(6) - F.weekday(start)) % 7)
     exprs = {
-        "D": F.date_trunc("day", t),
-        "W": sunday.cast("timestamp"),
-        "MS": F.date_trunc("month", t),
-        "QS": F.date_trunc("quarter", t),
+        "D": F.date_trunc("day", t).cast("timestamp_ntz"),
+        "W": sunday.cast("timestamp_ntz"),
+        "MS": F.date_trunc("month", t).cast("timestamp_ntz"),
+        "QS": F.date_trunc("quarter", t).cast("timestamp_ntz"),
     }
     if isinstance(freq, str):
         return exprs[freq].cast("timestamp_ntz")

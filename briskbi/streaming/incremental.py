@@ -45,15 +45,19 @@ def kpi_windows(stream: DataFrame, ts: str, value: str, keys: list[str], window:
     """Per (window, keys) row count and value sum, late data bounded by the watermark."""
     v = F.col(value).cast(f"decimal(38,{scale})") if scale is not None else F.col(value)
     ntz = isinstance(stream.schema[ts].dataType, T.TimestampNTZType)
-    # Watermarks need TIMESTAMP; wall-clock (NTZ) event times are read as UTC.
+    # Watermarks need TIMESTAMP: wall-clock (NTZ) event times become the UTC instant
+    # of the same wall time, so windows align with wall-clock days in any session zone.
     et = "_event_time"
-    agg = (stream.withColumn(et, F.col(ts).cast("timestamp")).withWatermark(et, watermark)
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    event = F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts))) if ntz else F.col(ts)
+    agg = (stream.withColumn(et, event).withWatermark(et, watermark)
            .groupBy(F.window(F.col(et), window).alias("w"), *keys)
            .agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("total")))
     total = F.col("total").cast("double") if scale is not None else F.col("total")
     start, end = F.col("w.start"), F.col("w.end")
     if ntz:
-        start, end = start.cast("timestamp_ntz"), end.cast("timestamp_ntz")
+        start = F.timestamp_add("MICROSECOND", F.unix_micros(start), epoch)
+        end = F.timestamp_add("MICROSECOND", F.unix_micros(end), epoch)
     return agg.select(start.alias("window_start"), end.alias("window_end"), *keys, "n", total.alias("total"))
 
 
