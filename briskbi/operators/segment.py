@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from briskbi.functions.parse import to_number, to_timestamp_mixed
 from briskbi.operators.ranking import exact_percentiles, global_order

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from briskbi.operators import segment
 from briskbi.plans.registry import register
 from briskbi.session import table
