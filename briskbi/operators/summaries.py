@@ -455,7 +455,7 @@ def mutual_info_binned(df: DataFrame, cat: str, num: str, bins: int = 10) -> Dat
 def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None, numeric_share: float = 0.8) -> DataFrame:
     """Q5: score every candidate against ``target``; |Pearson| for numeric pairs, else binned MI.
 
-    Scores are scaled by the maximum (best feature = 1.0).
+    Scores (6 decimals) are scaled by the maximum (best feature = 1.0).
     """
     exclude = set(exclude or []) | {target}
     nums = set(numeric_columns(df))
@@ -464,7 +464,7 @@ def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None,
         if c in exclude:
             continue
         if c in nums and target in nums:
-            r = df.agg(F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))).alias("score"))
+            r = df.agg(F.round(F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))), 6).alias("score"))
             parts.append(r.select(F.lit(c).alias("feature"), F.lit("pearson").alias("method"), "score"))
         else:
             mi = mutual_info_binned(df, c, target) if target in nums else mutual_info_discrete(df, c, target)
@@ -475,7 +475,8 @@ def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None,
     for p in parts[1:]:
         allp = allp.unionByName(p)
     w = Window.partitionBy(F.lit(1))  # one row per feature column
-    return allp.withColumn("scaled", F.col("score") / F.max("score").over(w)).orderBy(F.col("score").desc(), "feature")
+    return allp.withColumn("scaled", F.round(F.col("score") / F.max("score").over(w), 6)).orderBy(
+        F.col("score").desc(), "feature")
 
 
 def attach_roles(profile_df: DataFrame, roles: dict[str, str]) -> DataFrame:

@@ -265,7 +265,38 @@ def q_mi_discrete(spark, d):
     return summaries.mutual_info_discrete(table(spark, d, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@register("q_rank_features")
+@register("q_rank_features", """
+WITH f AS (SELECT 'l_orderkey' AS feature, 'pearson' AS method, round(abs(corr(CAST(l_orderkey AS DOUBLE), CAST(l_extendedprice AS DOUBLE))), 6) AS score FROM lineitem
+UNION ALL
+SELECT 'l_partkey' AS feature, 'pearson' AS method, round(abs(corr(CAST(l_partkey AS DOUBLE), CAST(l_extendedprice AS DOUBLE))), 6) AS score FROM lineitem
+UNION ALL
+SELECT 'l_suppkey' AS feature, 'pearson' AS method, round(abs(corr(CAST(l_suppkey AS DOUBLE), CAST(l_extendedprice AS DOUBLE))), 6) AS score FROM lineitem
+UNION ALL
+SELECT 'l_linenumber' AS feature, 'pearson' AS method, round(abs(corr(CAST(l_linenumber AS DOUBLE), CAST(l_extendedprice AS DOUBLE))), 6) AS score FROM lineitem
+UNION ALL
+SELECT 'l_quantity' AS feature, 'pearson' AS method, round(abs(corr(CAST(l_quantity AS DOUBLE), CAST(l_extendedprice AS DOUBLE))), 6) AS score FROM lineitem
+UNION ALL
+SELECT 'l_discount' AS feature, 'pearson' AS method, round(abs(corr(CAST(l_discount AS DOUBLE), CAST(l_extendedprice AS DOUBLE))), 6) AS score FROM lineitem
+UNION ALL
+SELECT 'l_tax' AS feature, 'pearson' AS method, round(abs(corr(CAST(l_tax AS DOUBLE), CAST(l_extendedprice AS DOUBLE))), 6) AS score FROM lineitem
+UNION ALL
+SELECT 'l_returnflag' AS feature, 'mutual_info' AS method, round(mi / greatest(1.0, mi), 3) AS score FROM (
+  SELECT round(SUM((nxy / n) * ln((nxy * n) / (nx * ny))), 6) AS mi FROM (
+    SELECT x, b, nxy, SUM(nxy) OVER (PARTITION BY x) AS nx, SUM(nxy) OVER (PARTITION BY b) AS ny, SUM(nxy) OVER () AS n FROM (
+      SELECT l_returnflag AS x, least(floor((CAST(l_extendedprice AS DOUBLE) - s.mn) / s.w), 9) AS b, COUNT(*) AS nxy
+      FROM lineitem, (SELECT min(CAST(l_extendedprice AS DOUBLE)) AS mn,
+                             (max(CAST(l_extendedprice AS DOUBLE)) - min(CAST(l_extendedprice AS DOUBLE))) / 10 AS w FROM lineitem) s
+      WHERE l_extendedprice IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1, 2) c) p) m
+UNION ALL
+SELECT 'l_linestatus' AS feature, 'mutual_info' AS method, round(mi / greatest(1.0, mi), 3) AS score FROM (
+  SELECT round(SUM((nxy / n) * ln((nxy * n) / (nx * ny))), 6) AS mi FROM (
+    SELECT x, b, nxy, SUM(nxy) OVER (PARTITION BY x) AS nx, SUM(nxy) OVER (PARTITION BY b) AS ny, SUM(nxy) OVER () AS n FROM (
+      SELECT l_linestatus AS x, least(floor((CAST(l_extendedprice AS DOUBLE) - s.mn) / s.w), 9) AS b, COUNT(*) AS nxy
+      FROM lineitem, (SELECT min(CAST(l_extendedprice AS DOUBLE)) AS mn,
+                             (max(CAST(l_extendedprice AS DOUBLE)) - min(CAST(l_extendedprice AS DOUBLE))) / 10 AS w FROM lineitem) s
+      WHERE l_extendedprice IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1, 2) c) p) m)
+SELECT feature, method, score, round(score / max(score) OVER (), 6) AS scaled FROM f
+""")
 def q_rank_features(spark, d):
     """Q5: rank lineitem columns as predictors of extended price."""
     li = table(spark, d, "lineitem").drop("l_shipdate")
