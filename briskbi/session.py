@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -58,9 +59,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never ``localCheckpoint``."""
+    """Reliable checkpoint (survives executor loss); never ``localCheckpoint``.
+
+    The frame is cached only while the checkpoint is written, so the plan runs
+    once (the eager count fills the cache, the checkpoint writer reads it) and
+    the memory is released as soon as the files exist.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return cached.checkpoint(eager=True)
+    finally:
+        cached.unpersist()
 
 
 # A source spread over fewer files than cores and larger than this is rebalanced.
