@@ -290,12 +290,41 @@ def q_lag_features(spark, d):
     return f.select(*[F.round(c, 6).alias(c) if c in _ROUND6 else F.col(c) for c in _LAG_COLS])
 
 
-@register("q_ewm_slope")
+def _ewm_sql() -> str:
+    part = "PARTITION BY event_type ORDER BY ts"
+    tau = "CAST(6.283185307179586 AS DOUBLE)"
+
+    def ewm(a: str) -> str:
+        num = f"list_sum(list_transform(h, lambda v, i: v * pow(1 - {a}, i - 1)))"
+        den = f"list_sum(list_transform(h, lambda v, i: pow(1 - {a}, i - 1)))"
+        return f"CASE WHEN n >= 2 THEN {num} / {den} ELSE l1 END"
+
+    return f"""
+WITH {_prep_sql('events', 'event_type', 'ts', 'value')},
+f AS (SELECT event_type, ts, y,
+        count(y) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS n,
+        list_reverse(list(y) OVER ({part} ROWS BETWEEN 166 PRECEDING AND 1 PRECEDING)) AS h,
+        regr_slope(y, x) OVER ({part} ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS slope,
+        lag(y, 1) OVER ({part}) AS lag1
+      FROM (SELECT *, CAST(row_number() OVER ({part}) AS DOUBLE) AS x FROM prep)),
+e AS (SELECT *, CASE WHEN n >= 1 THEN lag1 ELSE 0.0 END AS l1,
+        CAST(2.0 AS DOUBLE) / (least(5, n) + 1) AS a5, CAST(2.0 AS DOUBLE) / (least(12, n) + 1) AS a12 FROM f),
+g AS (SELECT *, {ewm('a5')} AS ewm_5, {ewm('a12')} AS ewm_12 FROM e)
+SELECT event_type, ts, round(ewm_5, 6) AS ewm_5, round(ewm_12, 6) AS ewm_12, round(ewm_5 - ewm_12, 6) AS ewm_diff,
+  round(CASE WHEN n >= 7 THEN slope ELSE 0.0 END, 6) AS trend_slope_7,
+  round(sin({tau} * dayofyear(ts) / CAST(365.25 AS DOUBLE)), 6) AS sin_yearly,
+  round(cos({tau} * dayofyear(ts) / CAST(365.25 AS DOUBLE)), 6) AS cos_yearly,
+  round(sin({tau} * (isodow(ts) - 1) / CAST(7 AS DOUBLE)), 6) AS sin_weekly,
+  round(cos({tau} * (isodow(ts) - 1) / CAST(7 AS DOUBLE)), 6) AS cos_weekly
+FROM g"""
+
+
+@register("q_ewm_slope", _ewm_sql())
 def q_ewm_slope(spark, d):
-    """Exponentially weighted means, 7-point slope and sine-cosine terms."""
+    """Exponentially weighted means, 7-point slope and sine-cosine terms (6 decimals)."""
     f = series.lag_features(_prep_events(spark, d), ["event_type"])
-    return f.select("event_type", "ts", "ewm_5", "ewm_12", "ewm_diff", "trend_slope_7", "sin_yearly", "cos_yearly",
-                    "sin_weekly", "cos_weekly")
+    cols = ["ewm_5", "ewm_12", "ewm_diff", "trend_slope_7", "sin_yearly", "cos_yearly", "sin_weekly", "cos_weekly"]
+    return f.select("event_type", "ts", *[F.round(c, 6).alias(c) for c in cols])
 
 
 # T27 ----------------------------------------------------------------------
