@@ -217,7 +217,35 @@ def q_smart(spark, d):
     return out
 
 
-@register("q_smart_audit")
+@register("q_smart_audit", r"""
+SELECT 'o_orderkey' AS "column", 'id' AS role, ['normalize_id_string'] AS transforms, CAST(NULL AS VARCHAR) AS imputation,
+  CAST(NULL AS DOUBLE) AS success, true AS applied, '' AS reason,
+  COUNT(*) FILTER (WHERE CAST(o_orderkey AS VARCHAR) IS DISTINCT FROM NULLIF(regexp_replace(trim(CAST(o_orderkey AS VARCHAR)), '^(-?\d+)\.0$', '\1'), '')) AS values_modified FROM orders
+UNION ALL
+SELECT 'o_custkey' AS "column", 'id' AS role, ['normalize_id_string'] AS transforms, CAST(NULL AS VARCHAR) AS imputation,
+  CAST(NULL AS DOUBLE) AS success, true AS applied, '' AS reason,
+  COUNT(*) FILTER (WHERE CAST(o_custkey AS VARCHAR) IS DISTINCT FROM NULLIF(regexp_replace(trim(CAST(o_custkey AS VARCHAR)), '^(-?\d+)\.0$', '\1'), '')) AS values_modified FROM orders
+UNION ALL
+SELECT 'o_orderstatus', 'dimension',
+  CASE WHEN COUNT(*) FILTER (WHERE o_orderstatus IS NULL) / COUNT(*) <= 0.10 THEN ['normalize_text', 'fill_unknown'] ELSE ['normalize_text'] END,
+  CASE WHEN COUNT(*) FILTER (WHERE o_orderstatus IS NULL) / COUNT(*) <= 0.10 THEN 'constant:Unknown' END,
+  CAST(NULL AS DOUBLE), true, '',
+  COUNT(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM COALESCE(NULLIF(trim(regexp_replace(o_orderstatus, '\s+', ' ', 'g')), ''), 'Unknown')) FROM orders
+UNION ALL
+SELECT 'o_orderpriority', 'dimension',
+  CASE WHEN COUNT(*) FILTER (WHERE o_orderpriority IS NULL) / COUNT(*) <= 0.10 THEN ['normalize_text', 'fill_unknown'] ELSE ['normalize_text'] END,
+  CASE WHEN COUNT(*) FILTER (WHERE o_orderpriority IS NULL) / COUNT(*) <= 0.10 THEN 'constant:Unknown' END,
+  CAST(NULL AS DOUBLE), true, '',
+  COUNT(*) FILTER (WHERE o_orderpriority IS DISTINCT FROM COALESCE(NULLIF(trim(regexp_replace(o_orderpriority, '\s+', ' ', 'g')), ''), 'Unknown')) FROM orders
+UNION ALL
+SELECT 'o_totalprice', 'measure', ['numeric_parse'], CAST(NULL AS VARCHAR),
+  round(COUNT(o_totalprice) / COUNT(o_totalprice), 4), true, '',
+  COUNT(*) FILTER (WHERE CAST(o_totalprice AS VARCHAR) IS DISTINCT FROM CAST(CAST(o_totalprice AS DOUBLE) AS VARCHAR)) FROM orders
+UNION ALL
+SELECT 'o_orderdate', 'date', ['datetime_parse'], CAST(NULL AS VARCHAR),
+  round(COUNT(o_orderdate) / COUNT(o_orderdate), 4), true, '',
+  COUNT(*) FILTER (WHERE CAST(o_orderdate AS VARCHAR) IS DISTINCT FROM CAST(CAST(o_orderdate AS TIMESTAMP) AS VARCHAR)) FROM orders
+""")
 def q_smart_audit(spark, d):
     """Per-column transform audit of the smart typing of orders."""
     _, audit = clean.smart(table(spark, d, "orders"), _ROLES, order_by="o_orderkey")
