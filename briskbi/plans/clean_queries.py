@@ -339,7 +339,13 @@ def q_page(spark, d):
     return files.page(s, 100, 200).drop("row_json").withColumn("row_index", F.col("row_index").cast("long"))
 
 
-@register("q_json_rows")
+@register("q_json_rows", """
+SELECT to_json(struct_pack(event_id := event_id,
+  ts := CASE WHEN microsecond(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END,
+  user_id := user_id, event_type := event_type,
+  value := CASE WHEN isnan(value) OR isinf(value) THEN NULL ELSE value END, props := props))::VARCHAR AS "row"
+FROM events
+""")
 def q_json_rows(spark, d):
     """JSON-safe rows of the events table."""
     return files.to_json_rows(table(spark, d, "events"))

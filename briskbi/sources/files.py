@@ -141,7 +141,10 @@ def json_safe(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.DecimalType):
             c = c.cast("double")
         elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+            # ISO 8601; microseconds only when present (as Python's isoformat)
+            whole = F.date_format(c, "SSSSSS") == "000000"
+            c = F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+                F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
         elif isinstance(f.dataType, T.DateType):
             c = F.date_format(c, "yyyy-MM-dd")
         elif isinstance(f.dataType, T.BinaryType):
