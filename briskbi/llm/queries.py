@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briskbi.llm import decontaminate, substring, urlfilter
+from briskbi.llm import decontaminate, ngram_join, substring, urlfilter
 from briskbi.llm.shared import read
 
 QUERIES: dict = {}
@@ -21,9 +21,26 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+_ALNUM = "regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), x -> x <> '')"
 
 
+@query("op4_ngram_jaccard", f"""
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM docs),
+grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
+inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM grams a JOIN grams b USING (gram)
+  WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM inter WHERE 100 * c >= 75 * (na + nb - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, component_id FROM sets JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x) USING (doc_id)
+""")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 @query("op6_substring_dedup", f"""
 WITH docs AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 win AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS s, w FROM docs WHERE len(w) >= 35),
@@ -41,10 +58,6 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-_ALNUM = "regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
-_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-
-
 @query("op8_winnow_decontaminate", f"""
 WITH docs AS (SELECT doc_id, {_ALNUM} AS w FROM (SELECT doc_id, {_LOWER} AS lower_ascii FROM documents)),
 items AS (SELECT item_id, {_ALNUM} AS w FROM (SELECT item_id, {_LOWER} AS lower_ascii FROM benchmark)),
