@@ -23,12 +23,12 @@ def query(name: str, sql: str | None = None):
 
 _ALNUM = "regexp_extract_all(lower_ascii, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_WORDS = "list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), x -> x <> '')"
+_WORDS = "list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
 @query("op4_ngram_jaccard", f"""
-WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), x -> x <> '') AS w FROM documents),
-sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' ')))
+WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS g FROM docs),
 grams AS (SELECT doc_id, len(g) AS n, unnest(g) AS gram FROM sets),
 inter AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM grams a JOIN grams b USING (gram)
