@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briskbi.llm import decontaminate, ngram_join, substring, urlfilter
+from briskbi.llm import decontaminate, ngram_join, packing, substring, tokenfiles, urlfilter
 from briskbi.llm.shared import read
+from briskbi.session import ensure_checkpoint_dir
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -26,6 +30,21 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS = "list_filter(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
+@query("op1_pack_sequences")
+def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
+    docs = read(spark, sf_dir, "documents")
+    shards = tokenfiles.write(docs, folder, public_tokenizers.path("word_bpe_49k.json"))
+    rows = tokenfiles.read(spark, folder, shards, docs.schema["doc_id"].dataType.simpleString())
+    return rows.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 @query("op4_ngram_jaccard", f"""
 WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
