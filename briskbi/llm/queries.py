@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briskbi.llm import decontaminate, ngram_join, packing, substring, tokenfiles, toxicity, urlfilter
+from briskbi.llm import chat, decontaminate, ngram_join, packing, substring, tokenfiles, toxicity, urlfilter
 from briskbi.llm.shared import read
 from briskbi.session import ensure_checkpoint_dir
 
@@ -44,6 +44,15 @@ def op1_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query("op2_chat_windows")
+def op2_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    windows = chat.format_chats(turns.unionByName(extra), public_tokenizers.path("byte_bpe_50k.json"))
+    return chat.read_back(windows)
+
+
 @query("op3_token_files")
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/token-files-{uuid.uuid4().hex}"
