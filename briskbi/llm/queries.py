@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briskbi.llm import chat, decontaminate, ngram_join, packing, substring, tokenfiles, toxicity, urlfilter, vectors
+from briskbi.llm import chat, decontaminate, html_text, ngram_join, packing, substring, tokenfiles, toxicity, urlfilter, vectors
 from briskbi.llm.shared import read
 from briskbi.session import ensure_checkpoint_dir
 
@@ -94,6 +94,11 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@query("op7_main_text")
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op8_winnow_decontaminate", f"""
 WITH docs AS (SELECT doc_id, {_ALNUM} AS w FROM (SELECT doc_id, {_LOWER} AS lower_ascii FROM documents)),
 items AS (SELECT item_id, {_ALNUM} AS w FROM (SELECT item_id, {_LOWER} AS lower_ascii FROM benchmark)),

@@ -10,13 +10,27 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briskbi.llm import decontaminate, substring
+from briskbi.llm import decontaminate, ngram_join, packing, substring, toxicity
 from briskbi.llm.shared import read
 from briskbi.session import ensure_checkpoint_dir
 
 
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, carry=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents the one with the smallest id stays."""
+    groups = ngram_join.jaccard_components(docs)
+    others = groups.where("component_id < doc_id").select("doc_id")
+    return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that repeat anywhere are cut out; every document stays."""
     spans = substring.duplicate_spans(docs, carry=tuple(docs.columns))
@@ -30,9 +44,17 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return hits.where("n_hit = 0").select(*docs.columns)
 
 
+def packed_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document's tokens, in sequences: one row per piece."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", toxicity_filter),
+    ("ngram_jaccard", near_duplicates),
     ("substring_dedup", substring_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packed_pieces),
 ]
 
 #: The scores of the first stage and the cuts of the last cannot be stated in SQL.
