@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from briskbi.llm.shared import ALNUM, Words, cuts, shingles, steps
+from briskbi.llm.shared import ALNUM, Words, carried, cuts, shingles, steps
 
 BLOCK_BYTES = 32 << 20
 _LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -113,21 +113,20 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``spans`` the runs of hit words (start, length).  A carried column named like
     one of these is left out.  An empty benchmark gives no hits.
     """
-    made = {"n_words", "n_hit", "items", "spans"}
-    kept = [c for c in dict.fromkeys((*carry, text)) if c not in (id_col, *made)]
-    base = docs.select(F.col(id_col), *[F.col(c) for c in kept if c != text], F.col(text).cast("string").alias("_text"))
+    kept, own_columns = carried(docs, id_col, carry, ("n_words", "n_hit", "items", "spans"))
+    base = docs.select(*own_columns, F.col(text).cast("string").alias("_text"))
     item_type = benchmark.schema[item_id].dataType
     items = benchmark.select(F.col(item_id).alias("i"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
-    out = base.withColumns({"_hits": F.lit(None).cast("binary"), "items": F.array().cast(T.ArrayType(item_type))})
+    out = base.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast(T.ArrayType(item_type))})
     schema, sc = out.schema, docs.sparkSession.sparkContext
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         rows = part.orderBy("i", "t").collect()  # at most about block_bytes of text
         shared = sc.broadcast((Fingerprints([r["t"] for r in rows], window, k), [r["i"] for r in rows]))
         out = out.mapInArrow(_marker(shared), schema)
-    return _summed(out, id_col, [c for c in kept if c != text or c in carry], text, item_type)
+    return _summed(out, [id_col, *kept], item_type)
 
 
 def _marker(shared):
@@ -144,7 +143,7 @@ def _marker(shared):
             np.add.at(mark, start + length, -1)
             hit = (np.cumsum(mark)[:-1] > 0).astype(np.uint8)
             of = np.searchsorted(words.first, start, side="right") - 1
-            before, listed = batch.column(names.index("_hits")).to_pylist(), batch.column(names.index("items")).to_pylist()
+            before, listed = batch.column(names.index("_hits")).to_pylist(), batch.column(names.index("_items")).to_pylist()
             hits = []
             for i in range(batch.num_rows):
                 own = hit[words.first[i] : words.first[i + 1]]
@@ -154,15 +153,15 @@ def _marker(shared):
                     listed[i].append(ids[j])
             columns = list(batch.columns)
             columns[names.index("_hits")] = pa.array(hits, pa.binary())
-            columns[names.index("items")] = pa.array(listed, batch.schema.field("items").type)
+            columns[names.index("_items")] = pa.array(listed, batch.schema.field("_items").type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def _summed(marked: DataFrame, id_col: str, kept: list[str], text: str, item_type: T.DataType) -> DataFrame:
+def _summed(marked: DataFrame, names: list[str], item_type: T.DataType) -> DataFrame:
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    fields = [marked.schema[id_col], *[T.StructField(c, marked.schema["_text" if c == text else c].dataType) for c in kept]]
+    fields = [T.StructField(c, f.dataType) for c, f in zip(names, marked.schema, strict=False)]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", span)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +174,7 @@ def _summed(marked: DataFrame, id_col: str, kept: list[str], text: str, item_typ
                 n_words.append(len(hit))
                 n_hit.append(int(hit.sum()))
                 spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edge[:-1], edge[1:], strict=True) if hit[a]])
-            first = [col(id_col), *[col("_text" if c == text else c) for c in kept]]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*first, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), col("items"), pa.array(spans, kind)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), col("_items"), pa.array(spans, kind)], names=[f.name for f in schema])
 
     return marked.mapInArrow(run, schema)

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from briskbi.llm.shared import steps
+from briskbi.llm.shared import carried, steps
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>""", re.DOTALL)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
@@ -179,13 +179,13 @@ def main_text(page: str | None, width: int = 3, surge: int = 86) -> str:
 
 def extract(pages: DataFrame, id_col: str = "page_id", html: str = "html", carry: tuple[str, ...] = ("url",), width: int = 3, surge: int = 86) -> DataFrame:
     """One row per page row: id, carried columns, text, n_chars (code points)."""
-    kept = [c for c in dict.fromkeys(carry) if c not in (id_col, "text", "n_chars")]
-    rows = pages.select(F.col(id_col), *[F.col(c) for c in kept], F.col(html).cast("string").alias("_html"))
+    kept, own_columns = carried(pages, id_col, carry, ("text", "n_chars"))
+    rows = pages.select(*own_columns, F.col(html).cast("string").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "_html"):
             texts = [main_text(p, width, surge) for p in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[id_col, *kept, "text", "n_chars"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip([id_col, *kept], rows.schema, strict=False))
     return rows.mapInArrow(run, f"{kinds}, text string, n_chars long")

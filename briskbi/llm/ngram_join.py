@@ -16,9 +16,10 @@ A text's set holds its distinct ``n``-word shingles.  Two texts link when
 
 Large groups of near copies would meet in all their pairs.  Only links *between*
 components matter for components, so two rounds first verify each set against a
-random partner of a few of its prefix lists; the join then takes pairs of
-different components only, from the sets outside a list's largest component.
-No link that could merge components is left out.
+random partner from each of a few of its prefix lists.  What is left goes two ways: a set
+outside the largest component of one of its lists is verified against that whole
+component, block by block; sets outside the largest component, of different components,
+join on their prefix shingles.  No link that could merge components is left out.
 
 Defined cases: null or empty text, or one without words: empty set, linked with
 nothing; fewer than ``n`` words: the whole sequence is the one shingle; rows with
@@ -271,6 +272,48 @@ def _verified(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "na", "ga", "nb", "gb").mapInArrow(run, "a long, b long")
 
 
+def _block_links(probes: DataFrame, groups: DataFrame, records: DataFrame, percent: int, block: int = 256) -> DataFrame:
+    """(a, b): for every probe (key, comp), a link into that component if there is one for each block of its sets.
+
+    Probes and components are cut into blocks of about ``block`` sets; a row holds one
+    block of each, so no pair of sets is ever a row.
+    """
+    own = records.select("key", F.struct("key", "n", "grams").alias("set"))
+    asked = probes.select("comp").distinct()
+    wide = groups.join(asked, "comp").join(groups.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "comp")
+    there = wide.withColumn("part", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")).join(own, "key").groupBy("comp", "part").agg(F.collect_list("set").alias("there"))
+    blocks = wide.select("comp", "blocks").distinct()
+    many = probes.groupBy("comp").agg(F.ceil(F.count("*") / block).cast("int").alias("probe_blocks"))
+    here = probes.join(many, "comp").withColumn("probe", F.pmod(F.xxhash64("key"), F.col("probe_blocks")).cast("int")).join(own, "key").groupBy("comp", "probe").agg(F.collect_list("set").alias("here"))
+    met = here.join(blocks, "comp").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(there, ["comp", "part"]).select("here", "there")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                here, there = batch.column(0)[row].values, batch.column(1)[row].values
+                keys = there.field(0).to_numpy()
+                sizes = there.field(1).to_numpy().astype(np.int64)
+                sets = [np.frombuffer(x, np.uint64) for x in there.field(2).to_pylist()]
+                grams, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+                order = np.argsort(grams, kind="stable")
+                grams, owner = grams[order], owner[order]
+                a, b = [], []
+                for key, n, x in zip(here.field(0).to_pylist(), here.field(1).to_pylist(), here.field(2).to_pylist(), strict=True):
+                    x = np.frombuffer(x, np.uint64)
+                    lo, hi = np.searchsorted(grams, x), np.searchsorted(grams, x, side="right")
+                    size = hi - lo
+                    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo, size)
+                    both = np.bincount(owner[at], minlength=len(sets))
+                    linked = np.flatnonzero((100 * both >= percent * (n + sizes - both)) & (keys != key))
+                    if len(linked):
+                        other = int(keys[linked[0]])
+                        a.append(min(key, other))
+                        b.append(max(key, other))
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long")
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -283,17 +326,19 @@ def link_components(records: DataFrame, percent: int = 75, rounds: int = 2, part
     for r in range(rounds):
         draw = F.xxhash64("key", "gram", F.lit(r))
         leader = grouped.groupBy("gram").agg(F.min_by(F.struct("key", "comp", "n", *(f"s{i}" for i in range(RANGES))), draw).alias("l"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("gram", "l.*")
-        tries = grouped.where((F.col("rank") >= r * partners) & (F.col("rank") < (r + 1) * partners)).alias("a").join(leader.alias("b"), "gram").where("a.comp <> b.comp").where(_possible(percent))
+        turn = (F.col("rank") >= (0 if r == 0 else partners * 4 ** (r - 1))) & (F.col("rank") < partners * 4**r)
+        tries = grouped.where(turn).alias("a").join(leader.alias("b"), "gram").where("a.comp <> b.comp").where(_possible(percent))
         found = _verified(_ordered(tries.select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))), records, percent)
         links = keep(found if links is None else links.unionByName(found).distinct())
         comps = components(links)
         grouped = postings.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
+    grouped = keep(grouped)
     sizes = grouped.groupBy("gram", "comp").agg(F.count("*").alias("c"))
     home = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("home"), F.count("*").alias("comps")).where("comps > 1").select("gram", "home")
-    mixed = grouped.join(home, "gram")
-    outside = mixed.where("comp <> home").alias("a")
-    both_out = F.col("b.comp") != F.col("b.home")
-    met = outside.join(mixed.alias("b"), "gram").where("a.comp <> b.comp").where(~both_out | (F.col("a.key") < F.col("b.key"))).where(_possible(percent))
+    outside = keep(grouped.join(home, "gram").where("comp <> home"))
+    groups = keep(grouped.select("key", "comp").distinct())
+    links = links.unionByName(_block_links(outside.select("key", F.col("home").alias("comp")).distinct(), groups, records, percent))
+    met = outside.alias("a").join(outside.alias("b"), "gram").where("a.comp <> b.comp").where(F.col("a.key") < F.col("b.key")).where(_possible(percent))
     x, y = F.col("a.key"), F.col("b.key")
     first = x < y
     pick = lambda c: (F.when(first, F.col(f"a.{c}")).otherwise(F.col(f"b.{c}")), F.when(first, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")))
@@ -303,10 +348,10 @@ def link_components(records: DataFrame, percent: int = 75, rounds: int = 2, part
     total = (F.col("na") + F.col("nb")).cast("long")
     pairs = pairs.where((100 + percent) * (F.col("met") + rest) >= percent * total).select("a", "b")
     last = _verified(pairs, records, percent)
-    return components(last if links is None else links.unionByName(last))
+    return components(links.unionByName(last))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, slice_bytes: int = SLICE_BYTES // 2) -> DataFrame:
     """One row per document row: id, n_shingles, component_id (smallest id reachable over links)."""
     texts = docs.select(F.col(text).cast("string").alias("_text"))
     slices = buckets = text_slices(docs, text, slice_bytes)

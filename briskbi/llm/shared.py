@@ -137,6 +137,12 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
             a = b
 
 
+def carried(docs: DataFrame, id_col: str, carry: tuple[str, ...], made: tuple[str, ...]) -> tuple[list[str], list]:
+    """Names to carry (without those of result columns), and the id and those columns under names of our own."""
+    kept = [c for c in dict.fromkeys(carry) if c not in (id_col, *made)]
+    return kept, [F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(kept)]]
+
+
 def rows_of(schema: str, columns: dict) -> pa.RecordBatch:
     """A record batch whose columns are numpy arrays or lists, in the order given."""
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in columns.values()], names=list(columns))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from briskbi.llm.decontaminate import winnow
-from briskbi.llm.shared import SLICE_BYTES, Words, cuts, shingles, steps, text_slices
+from briskbi.llm.shared import SLICE_BYTES, Words, carried, cuts, shingles, steps, text_slices
 
 #: Entries a task gathers before it sends them on.
 FLUSH = 1 << 20
@@ -166,11 +166,10 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     in words, ``kept_text`` the other words joined by one space.  A carried column
     named like a result column is left out.
     """
-    made = ["n_words", "n_removed", "kept_text", "spans"]
-    kept = [c for c in dict.fromkeys(carry) if c not in (id_col, *made)]
+    kept, own_columns = carried(docs, id_col, carry, ("n_words", "n_removed", "kept_text", "spans"))
     slices = buckets = text_slices(docs, text, slice_bytes)
     own = F.xxhash64(F.col(id_col), F.col(text))
-    dealt = docs.select(F.col(id_col), *[F.col(c) for c in kept if c != text], F.col(text).cast("string").alias("_text"), own.alias("_key"), F.pmod(own, F.lit(buckets)).cast("int").alias("_bucket"))
+    dealt = docs.select(*own_columns, F.col(text).cast("string").alias("_text"), own.alias("_key"), F.pmod(own, F.lit(buckets)).cast("int").alias("_bucket"))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = _Buffer(slices, buckets)
@@ -206,7 +205,7 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         return pa.Table.from_batches(out, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
 
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    fields = [dealt.schema[id_col], *[T.StructField(c, dealt.schema["_text" if c == text else c].dataType) for c in kept]]
+    fields = [T.StructField(c, f.dataType) for c, f in zip([id_col, *kept], dealt.schema, strict=False)]
     schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", span)])
     names = [f.name for f in schema]
 
@@ -231,9 +230,8 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 texts.append(b" ".join(all_words if not n else [w for w, g in zip(all_words, cut.tolist(), strict=True) if not g]).decode())
                 edge = cuts(cut) if n else [0]
                 runs.append([{"start": int(x), "length": int(y - x)} for x, y in zip(edge[:-1], edge[1:], strict=True) if cut[x]])
-            col = lambda c: batch.column(batch.schema.names.index(c))
-            out.append(pa.RecordBatch.from_arrays([col(id_col), *[col("_text" if c == text else c) for c in kept], pa.array(words.counts(), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=names))
-        kinds = [left.schema.field(id_col).type, *[left.schema.field("_text" if c == text else c).type for c in kept], pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
+            out.append(pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array(words.counts(), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=names))
+        kinds = [*(left.schema.field(i).type for i in range(len(kept) + 1)), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
         return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds, strict=True))))
 
     index = _second_places(dealt.select("_key", "_text").mapInArrow(anchors, _PACKED), slices, buckets)

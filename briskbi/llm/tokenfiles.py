@@ -97,7 +97,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id",
                     out.write(frame)
                     sizes.append(len(frame))
                     tokens.append(int(b - a) + 1)
-                keys.append(batch.column(0))
+                keys.append(batch.column(0).take(pa.array(range(batch.num_rows))))  # a slice would hold the texts
         finally:
             if out is not None:
                 out.close()

@@ -1,7 +1,7 @@
 """Token ids of many texts: a tokenizer file of the ``tokenizers`` library behind a table of pieces.
 
-Both supported kinds of tokenizer never join tokens across a cut before white space, so
-a text's ids are the ids of its pieces (white-space run and what follows) one
+Both supported kinds of tokenizer never join tokens across a cut before white space, or
+between a letter and a punctuation mark, so a text's ids are the ids of its pieces one
 after the other.  Pieces are hashed with numpy, looked up in a bounded table, and
 only pieces not seen before go through the tokenizer.
 """
@@ -14,16 +14,21 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from briskbi.llm.shared import _BYTE, _PLACE, Words, mix, text_bytes
+from briskbi.llm.shared import _BYTE, _LOWER, _PLACE, SPACED, mix, text_bytes
 
-#: Pieces a worker remembers at most (about 50 bytes each), and the longest one remembered.
-PIECES, PIECE_BYTES = 2_000_000, 64
+#: Pieces a worker remembers at most (about 70 bytes each), and the longest one remembered.
+PIECES, PIECE_BYTES = 1_000_000, 64
 _CUT = np.zeros(256, bool)
 _CUT[[0x20, 0x09, 0x0A, 0x0D]] = True
 _RARE = np.zeros(256, bool)
 _RARE[[0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x1F]] = True
 
 
+_LETTER, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+_MARK[[*range(0x21, 0x27), *range(0x28, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
+
+
 class _Table:
     """Open-addressing table from 64-bit hashes to 0, 1, 2, ..., all operations on arrays."""
 
@@ -69,9 +74,7 @@ class Coder:
         dropped = '"Removed"' in pre and "\\\\s" in pre
         #: "kept": white space belongs to the piece after it; "dropped": it has no tokens; else whole texts.
         self.white = "kept" if by_space else "dropped" if dropped else "whole"
-        self._clear()
-
-    def _clear(self) -> None:
+        self.lower = '"Lowercase"' in json.dumps(kind.get("normalizer"))
         self.table = _Table(PIECES)
         self.flat, self.starts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 12, np.int64)
         self.used = 0
@@ -93,26 +96,44 @@ class Coder:
 
     def _pieces(self, col) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(bytes, starts, ends, hashes, first piece of each text)."""
-        if self.white == "dropped":
-            words = Words(col)
-            return words.raw, words.starts, words.ends, words.hashes, words.first
         raw, off = text_bytes(col)
         cut = np.zeros(len(raw) + 1, bool)
-        if self.white == "kept":
-            white = _CUT[raw]
-            cut[1:-1] = white[1:] & ~white[:-1]
-            for a, b in _odd_texts(raw, off):
-                cut[a:b] = False
+        table = _BYTE
+        if self.white != "whole" and len(raw):
+            cut[1:-1] = _MARK[raw[1:]] & _LETTER[raw[:-1]]  # a mark (not an apostrophe) never joins the letter before it
+            if self.white == "kept":
+                white = _CUT[raw]
+                cut[1:-1] |= white[1:] & ~white[:-1]
+                for a, b in _odd_texts(raw, off):
+                    cut[a:b] = False
+            else:
+                word = SPACED[raw]
+                cut[1:-1] |= word[1:] & ~word[:-1]
+                table = np.where(SPACED, _BYTE[_LOWER] if self.lower else _BYTE, np.uint64(0))
         begins = off[:-1][np.diff(off) > 0]
         cut[begins] = True
         starts = np.flatnonzero(cut[:-1])
         ends = np.append(starts[1:], len(raw))[: len(starts)]
-        place = np.arange(len(raw)) - np.repeat(starts, ends - starts)
+        size = ends - starts
+        if self.white == "dropped" and len(starts):
+            some = np.add.reduceat(word.astype(np.int64), starts)
+            lead = ~word[starts]  # a text that begins with white space
+            shift = np.zeros(len(starts), np.int64)
+            for i in np.flatnonzero(lead & (some > 0)):
+                shift[i] = np.argmax(word[starts[i] : ends[i]])
+            real, starts = some > 0, starts + shift
+            starts, size = starts[real], some[real]
+            ends = starts + size
+        if not len(starts):
+            return raw, starts, ends, np.zeros(0, np.uint64), np.searchsorted(starts, off)
+        stop = np.append(starts[1:], len(raw))
+        place = np.arange(starts[0], len(raw)) - np.repeat(starts, stop - starts)
         with np.errstate(over="ignore"):
             weight = _PLACE[place & 4095]
-            weight += (place >> 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)
-            total = np.add.reduceat(_BYTE[raw] * weight, starts) if len(starts) else np.zeros(0, np.uint64)
-            hashes = mix(total + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            if place.max() > 4095:
+                weight = weight + (place >> 12).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C16)
+            total = np.add.reduceat(table[raw[starts[0] :]] * weight, starts - starts[0])
+            hashes = mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         return raw, starts, ends, hashes, np.searchsorted(starts, off)
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -123,30 +144,22 @@ class Coder:
         new = np.flatnonzero(number < 0)
         flat, at = self.flat, self.starts
         if len(new):
-            own, one = np.unique(hashes[new], return_index=True)
+            own, one, back = np.unique(hashes[new], return_index=True, return_inverse=True)
             one = new[one]
             ids = self._encode([raw[a:b].tobytes().decode() for a, b in zip(starts[one], ends[one], strict=True)])
-            short = np.flatnonzero(ends[one] - starts[one] <= PIECE_BYTES)[:PIECES]
-            if self.table.n + len(short) > PIECES:
-                self._clear()
-            self._remember(own[short], [ids[i] for i in short])
-            number = self.table.find(hashes)
+            short = ends[one] - starts[one] <= PIECE_BYTES
+            short &= np.cumsum(short) <= PIECES - self.table.n  # the first pieces are the frequent ones; a full table stays
+            base, kept = self.table.n, np.flatnonzero(short)
+            self._remember(own[kept], [ids[i] for i in kept])
             flat, at = self.flat, self.starts
-            if len(short) < len(own) or (number < 0).any():
-                back = np.flatnonzero(number < 0)
-                lost = np.setdiff1d(hashes[back], own)  # forgotten just now, when the table was full
-                one = back[np.unique(hashes[back], return_index=True)[1]]
-                one = one[np.isin(hashes[one], lost)]
-                again = self._encode([raw[a:b].tobytes().decode() for a, b in zip(starts[one], ends[one], strict=True)])
-                long = np.setdiff1d(np.arange(len(own)), short)
-                keys = np.concatenate([own[long], lost])
-                extra = [*(ids[i] for i in long), *again]
-                order = np.argsort(keys)
-                size = np.array([len(extra[i]) for i in order], np.int64)
-                n = self.table.n
-                flat = np.concatenate([self.flat[: self.used], *(extra[i] for i in order)])
-                at = np.concatenate([self.starts[: n + 1], self.used + np.cumsum(size)])
-                number[back] = n + np.searchsorted(keys[order], hashes[back])
+            place = base + np.cumsum(short) - 1
+            if len(kept) < len(own):  # ids of the others are known for this batch only
+                rest = np.flatnonzero(~short)
+                size = np.array([len(ids[i]) for i in rest], np.int64)
+                place[rest] = self.table.n + np.arange(len(rest))
+                flat = np.concatenate([self.flat[: self.used], *(ids[i] for i in rest)])
+                at = np.concatenate([self.starts[: self.table.n + 1], self.used + np.cumsum(size)])
+            number[new] = place[back]
         size = at[number + 1] - at[number]
         end = np.cumsum(size)
         ids = flat[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(at[number] - (end - size), size)]

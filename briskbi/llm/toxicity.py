@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from briskbi.llm.shared import Words, steps
+from briskbi.llm.shared import Words, carried, steps
 from briskbi.llm.tokens import _Table
 
 #: Words a worker remembers the value of, and the longest piece of a word that the kernel sees.
@@ -267,10 +267,10 @@ def _apart(words: Words) -> Iterator[tuple[int, str]]:
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document row: id, carried columns, score (0 to 1), predicted (1 from 0.5 on)."""
-    kept = [c for c in dict.fromkeys(carry) if c not in (id_col, "score", "predicted")]
-    rows = docs.select(F.col(id_col), *[F.col(c) for c in kept], F.col(text).cast("string").alias("_text"))
+    kept, own_columns = carried(docs, id_col, carry, ("score", "predicted"))
+    rows = docs.select(*own_columns, F.col(text).cast("string").alias("_text"))
     if model is None:
-        return rows.select(id_col, *kept, F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+        return rows.select(*[F.col(a).alias(b) for a, b in zip(rows.columns, [id_col, *kept], strict=False)], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -299,5 +299,5 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
             p = 1 / (1 + np.exp(-np.clip(4 * best, -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, *kept, "score", "predicted"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip([id_col, *kept], rows.schema, strict=False))
     return rows.mapInArrow(run, f"{kinds}, score double, predicted int")
