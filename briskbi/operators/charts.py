@@ -13,6 +13,7 @@ is ``< to + 1 day`` (D17).
 
 from __future__ import annotations
 
+import calendar
 import datetime as _dt
 import re
 from dataclasses import dataclass, field
@@ -23,11 +24,9 @@ from pyspark.sql import types as T
 
 from briskbi.functions.labels import DASHBOARD_GRAIN_LIMITS, bucket_label, grain_for_span
 from briskbi.functions.parse import to_number, to_timestamp_mixed
+from briskbi.operators.ranking import global_order
 
-# Result caps of the reference.
-MAX_BAR_LINE_GROUPS = 200
-MAX_PIE_SLICES = 12
-MAX_POINTS = 750
+MAX_PIE_SLICES = 12  # the pie's feature: eleven slices and "Others"
 PART_TO_WHOLE = ("pie", "donut", "treemap", "funnel")
 BAR_ALIASES = ("area", "stacked_bar", "area_chart", "horizontal_bar")
 AGG_ALIASES = {"sum": "sum", "avg": "mean", "mean": "mean", "average": "mean", "min": "min",
@@ -98,19 +97,19 @@ def relative_range(preset: str, as_of: _dt.date) -> tuple[_dt.date | None, _dt.d
         y, m = as_of.year, as_of.month - 12
         if m <= 0:
             y, m = y - 1, m + 12
-        day = min(as_of.day, 28)
+        day = min(as_of.day, calendar.monthrange(y, m)[1])
         return _dt.date(y, m, day), as_of
     if preset in ("ytd", "year_to_date"):
         return _dt.date(as_of.year, 1, 1), as_of
     return None, None
 
 
-def value_filter(df: DataFrame, question: str, max_distinct: int = 500, min_len: int = 3) -> DataFrame:
+def value_filter(df: DataFrame, question: str, min_len: int = 3) -> DataFrame:
     """Filter on the longest categorical value contained in the question.
 
-    String columns are unpivoted to (column, value); values of columns with at most
-    ``max_distinct`` distinct values that occur in the lower-cased question are
-    candidates; the longest wins (column name breaks ties).
+    String columns are unpivoted to (column, value); values of any column that occur in
+    the lower-cased question are candidates, found before anything is shuffled; the longest
+    wins (column name breaks ties).
     """
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not text_cols:
@@ -119,11 +118,9 @@ def value_filter(df: DataFrame, question: str, max_distinct: int = 500, min_len:
     long = df.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("value")) for c in text_cols])).alias("kv")
     ).select("kv.column", F.trim(F.col("kv.value")).alias("value")).where(F.col("value").isNotNull())
-    distinct = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    small = distinct.groupBy("column").agg(F.count(F.lit(1)).alias("nd")).where(F.col("nd") <= max_distinct)
     cands = (
-        distinct.join(small, "column", "left_semi")
-        .where((F.length("value") >= min_len) & F.lit(q).contains(F.lower(F.col("value"))))
+        long.where((F.length("value") >= min_len) & F.lit(q).contains(F.lower(F.col("value"))))
+        .distinct()
         .orderBy(F.length("value").desc(), F.col("column"), F.col("value"))
         .limit(1)
         .collect()
@@ -204,10 +201,10 @@ def aggregate(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", bre
               scale: int | None = None, grain_limits=DASHBOARD_GRAIN_LIMITS, last_grain: str = "year") -> DataFrame:
     """Single series → (label, value); with ``breakdown`` → (label, series, value).
 
-    ``top_n`` is clamped to 1..50.  Dates (and cumulative charts) keep label order
-    and at most 750 buckets; other x keep ``top_n`` buckets in ``sort`` order.
+    Dates (and cumulative charts) keep every bucket in label order; other x keep
+    the ``top_n`` buckets in ``sort`` order, which is the chart's feature.
     """
-    top_n = max(1, min(int(top_n or 12), 50))
+    top_n = max(1, int(top_n or 12))
     chart_type = chart_type.lower().replace("-", "_")
     if chart_type == "horizontal_bar" and y is not None:
         x, y = corrected_bar_axes(df, x, y)
@@ -220,10 +217,11 @@ def aggregate(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", bre
     if breakdown and chart_type not in PART_TO_WHOLE:
         return _breakdown(work, xb.is_date, breakdown, v, agg, top_n, cumulative, scale)
     g = work.groupBy("label").agg(F.coalesce(value_agg(v, agg, scale), F.lit(0.0)).cast("double").alias("value"))
-    limit = MAX_POINTS if (xb.is_date or cumulative) else top_n
-    g = g.orderBy(*_order_cols(sort, xb.is_date, cumulative)).limit(limit)
+    g = g.orderBy(*_order_cols(sort, xb.is_date, cumulative))
+    if not (xb.is_date or cumulative):
+        g = g.limit(top_n)
     if cumulative:
-        # ≤ 750 rows: a single-task window is bounded.
+        # One row per bucket label.
         w = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, 0)
         g = g.withColumn("value", _running(F.col("value"), w, scale))
     if chart_type in PART_TO_WHOLE:
@@ -242,17 +240,17 @@ def _breakdown(work: DataFrame, is_date: bool, breakdown: str, v: Column | None,
     """C11: long (label, series, value) table, zero-filled, top ``top_n`` series."""
     work = work.where(F.col(breakdown).isNotNull()).withColumn("series", F.col(breakdown).cast("string"))
     g = work.groupBy("label", "series").agg(F.coalesce(value_agg(v, agg, scale), F.lit(0.0)).cast("double").alias("value"))
-    # Series totals → top_n keys (≤ 50 rows, safe to broadcast).
+    # Series totals → top_n keys (a chart's series, safe to broadcast).
     totals = g.groupBy("series").agg(sum_expr(F.col("value"), scale).alias("total"))
     keep = totals.orderBy(F.col("total").desc(), F.col("series").asc()).limit(top_n).select("series")
     g = g.join(F.broadcast(keep), "series", "left_semi")
-    # x order: chronological, or by row total; cap 750 (last for dates, first otherwise).
+    # x order: chronological, or by row total; every label stays.
     rows = g.groupBy("label").agg(sum_expr(F.col("value"), scale).alias("row_total"))
     if is_date or cumulative:
-        labels = rows.orderBy(F.col("label").desc()).limit(MAX_POINTS)
+        labels = rows.orderBy(F.col("label").desc())
     else:
-        labels = rows.orderBy(F.col("row_total").desc(), F.col("label").asc()).limit(MAX_POINTS)
-    # Zero fill: ≤ 750 labels × ≤ top_n (≤ 50) series; the kept keys are a
+        labels = rows.orderBy(F.col("row_total").desc(), F.col("label").asc())
+    # Zero fill: labels × ≤ top_n series; the kept keys are a
     # bounded list, so each label row is expanded in place (no join).
     keys = [r["series"] for r in keep.collect()]
     grid = labels.select("label", F.explode(F.array(*[F.lit(k) for k in keys] or [F.lit(None).cast("string")])).alias("series"))
@@ -305,10 +303,11 @@ def _grouped(df: DataFrame, x: str, y: str | None, scale: int | None) -> XBucket
     return XBucket(g, is_date)
 
 
-def bar(df: DataFrame, x: str, y: str | None = None, scale: int | None = None) -> DataFrame:
-    """bar/line/area: sum or count by x; dates chronological else value desc; 200 groups."""
+def bar(df: DataFrame, x: str, y: str | None = None, scale: int | None = None, limit: int | None = None) -> DataFrame:
+    """bar/line/area: sum or count by x; dates chronological else value desc; all groups, or the first ``limit``."""
     gb = _grouped(df, x, y, scale)
-    return gb.df.orderBy(*_order_cols("value_desc", gb.is_date, False)).limit(MAX_BAR_LINE_GROUPS)
+    out = gb.df.orderBy(*_order_cols("value_desc", gb.is_date, False))
+    return out if limit is None else out.limit(limit)
 
 
 def pie(df: DataFrame, x: str, y: str | None = None, scale: int | None = None) -> DataFrame:
@@ -331,8 +330,11 @@ def pie(df: DataFrame, x: str, y: str | None = None, scale: int | None = None) -
     return both.where(keep).select("name", "value")
 
 
-def combo(df: DataFrame, x: str, y: str, y2: str | None = None, scale: int | None = None) -> DataFrame:
-    """bars = sum(y); line = sum(y2) by the same label, else growth % vs previous."""
+def combo(df: DataFrame, x: str, y: str, y2: str | None = None, scale: int | None = None, limit: int | None = None) -> DataFrame:
+    """bars = sum(y); line = sum(y2) by the same label, else growth % vs previous; all labels, or the first ``limit``.
+
+    The previous label comes from a range-partitioned order, not from one window over all labels.
+    """
     dt = dtype_of(df, x)
     label = time_text(F.col(x)) if is_temporal(dt) else F.col(x).cast("string")
     work = df.where(F.col(x).isNotNull()).withColumn("label", label)
@@ -340,13 +342,20 @@ def combo(df: DataFrame, x: str, y: str, y2: str | None = None, scale: int | Non
     if y2:
         aggs.append(F.coalesce(value_agg(measure(work, y2), "sum", scale), F.lit(0.0)).cast("double").alias("line2"))
     g = work.groupBy("label").agg(*aggs)  # both measures in one pass, no join
-    g = g.orderBy(*_order_cols("value_desc", is_temporal(dt), False)).limit(MAX_BAR_LINE_GROUPS)
+    if limit is not None:
+        g = g.orderBy(*_order_cols("value_desc", is_temporal(dt), False)).limit(limit)
     order = [F.col("label").asc()] if is_temporal(dt) else [F.col("value").desc(), F.col("label").asc()]
-    w = Window.orderBy(*order)  # ≤ 200 rows
-    prev = F.lag("value", 1).over(w)
+    if y2 is None:
+        ranked = global_order(g, order, rank_col="_r")
+        before = ranked.select((F.col("_r") + 1).alias("_r"), F.col("value").alias("_prev"))
+        g = ranked.join(before, "_r", "left")
+    else:
+        zero = g.agg(F.coalesce(F.sum(F.abs("line2")), F.lit(0.0)).alias("s")).collect()[0]["s"] == 0
+        g = g.withColumn("_prev", F.lag("value", 1).over(Window.orderBy(*order))) if zero else g.withColumn("_prev", F.lit(None).cast("double"))
+    prev = F.col("_prev")
     growth = F.when(prev.isNull() | (prev == 0), F.lit(0.0)).otherwise(F.round((F.col("value") - prev) / prev * 100.0, 2))
     if y2:
-        all_zero = F.sum(F.abs(F.col("line2"))).over(Window.partitionBy(F.lit(1))) == 0
+        all_zero = F.lit(zero)
         line = F.when(all_zero, growth).otherwise(F.col("line2"))
         name = F.when(all_zero, F.lit("Growth %")).otherwise(F.lit(y2))
         is_pct = all_zero
@@ -430,14 +439,24 @@ def histogram(df: DataFrame, x: str, closed: str = "left") -> DataFrame:
     )
 
 
-def pareto(df: DataFrame, x: str, y: str, scale: int | None = None) -> DataFrame:
-    """Positive sums, top 200, cumulative % of the kept total (round 2)."""
+def pareto(df: DataFrame, x: str, y: str, scale: int | None = None, limit: int | None = None) -> DataFrame:
+    """Positive sums by descending value, cumulative % of the whole total (round 2).
+
+    The first ``limit`` labels, or all; shares are always of everything.  The running
+    sum is over a range-partitioned order.
+    """
     g = _grouped(df, x, y, scale).df.where(F.col("value") > 0)
-    top = g.orderBy(F.col("value").desc(), F.col("label").asc()).limit(MAX_BAR_LINE_GROUPS)
-    w = Window.orderBy(F.col("value").desc(), F.col("label").asc())  # ≤ 200 rows
-    cum = _running(F.col("value"), w.rowsBetween(Window.unboundedPreceding, 0), scale)
-    total = _running(F.col("value"), Window.partitionBy(F.lit(1)), scale)
-    return top.select("label", "value", F.round(cum / total * 100.0, 2).alias("cumulative"))
+    order = [F.col("value").desc(), F.col("label").asc()]
+    total = g.agg(sum_expr(F.col("value"), scale).alias("t")).collect()[0]["t"]
+    if scale is None:
+        ordered = global_order(g.withColumn("_share", F.try_divide(F.col("value"), F.lit(total))), order, running_sum="_share", scale=12, rank_col="_r", running_col="_cum")
+        share = F.col("_cum") * 100.0
+    else:
+        ordered = global_order(g, order, running_sum="value", scale=scale, rank_col="_r", running_col="_cum")
+        share = F.try_divide(F.col("_cum"), F.lit(total)) * 100.0
+    if limit is not None:
+        ordered = ordered.where(F.col("_r") <= limit)
+    return ordered.select("label", "value", F.round(share, 2).alias("cumulative"))
 
 
 # ---------------------------------------------------------------------------

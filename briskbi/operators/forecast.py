@@ -333,7 +333,7 @@ def select(ranked: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
         *keys, F.col("model").alias("runner_model"), F.col("mae").alias("runner_mae"))
     naive = ranked.where(F.col("model") == "naive").select(*keys, F.col("mae").alias("naive_mae"))
     out = best.join(runner, keys, "left").join(naive, keys, "left")
-    gap = (F.col("runner_mae") - F.col("best_mae")) / F.col("best_mae")
+    gap = F.try_divide(F.col("runner_mae") - F.col("best_mae"), F.col("best_mae"))
     partner = F.when(F.col("best_mae").isNotNull() & (F.col("best_mae") >= 1e-12) & (gap <= ENSEMBLE_MAX_GAP), F.col("runner_model"))
     improvement = F.when(F.col("naive_mae") > 1e-12, (F.col("naive_mae") - F.col("best_mae")) / F.col("naive_mae") * 100)
     conf = (F.when(improvement.isNull(), F.lit("medium")).when(improvement >= 20, F.lit("high"))
@@ -403,15 +403,16 @@ def accuracy(pred: DataFrame, actual: DataFrame, keys: Sequence[str] | None = No
     summ = rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("abs_error").alias("mae"),
         F.sqrt(F.avg(F.col("abs_error") * F.col("abs_error"))).alias("rmse"), F.avg("pct_error").alias("mape"),
-        (F.sum("abs_error") / F.sum(F.abs("actual"))).alias("wape"))
+        F.try_divide(F.sum("abs_error"), F.sum(F.abs("actual"))).alias("wape"))
     return rows, summ
 
 
 def holdout(prep: DataFrame, keys: Sequence[str] | None, horizon: int, models: Sequence[str]) -> DataFrame:
-    """Train on the first 70 %, test on the first ``horizon`` points of the last 30 %."""
+    """The newest 30 % of the points are the test part, its first ``horizon`` points are scored."""
     keys = list(keys or [])
     stats = _series_stats(prep, keys)
-    test_start = (F.col("n") * (1 - TEST_SPLIT_RATIO)).cast("int")
+    # The test part is the rounded share (halves to even), so 11 points train on 8.
+    test_start = (F.col("n") - F.bround(F.col("n") * F.lit(TEST_SPLIT_RATIO))).cast("int")
     plans = None
     for m in models:
         p = stats.withColumn("model", F.lit(m)).withColumn("folds", F.lit(1)).withColumn(
@@ -525,8 +526,8 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
 
     test = holdout(prep, keys, horizon, [m for m in models if m in ("naive", "seasonal_naive")])
     log = ranked.join(test.select(*keys, "model", F.col("mae").alias("test_mae")), [*keys, "model"], "left")
-    log = log.withColumn("fit_ratio", F.round(F.col("test_mae") / F.col("mae"), 3)).withColumn(
-        "fit_diagnosis", fit_diagnosis(F.col("test_mae") / F.col("mae")))
+    log = log.withColumn("fit_ratio", F.round(F.try_divide(F.col("test_mae"), F.col("mae")), 3)).withColumn(
+        "fit_diagnosis", fit_diagnosis(F.try_divide(F.col("test_mae"), F.col("mae"))))
     log = log.join(sel.select(*keys, "best_model", "ensemble_partner", "improvement_pct", "confidence"), keys)
     log = log.join(quality_warnings(fc, keys), keys, "left")
     return fc, log

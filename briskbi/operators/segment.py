@@ -139,7 +139,7 @@ def value_quintile(x: Column, edges: list[float], reverse: bool = True) -> Colum
     return F.element_at(arr, (bin_ + 1).cast("int"))
 
 
-def rfm(df: DataFrame, entity: str, date: str, monetary: str, scale: int | None = 2) -> DataFrame:
+def rfm(df: DataFrame, entity: str, date: str, monetary: str, scale: int | None = None) -> DataFrame:
     """(entity, recency, frequency, monetary, r_score, f_score, m_score, segment).
 
     Reference date = newest date + 1 day; recency in whole days; rows with a
@@ -151,7 +151,7 @@ def rfm(df: DataFrame, entity: str, date: str, monetary: str, scale: int | None
         F.col("entity").isNotNull() & F.col("d").isNotNull() & F.col("m").isNotNull())
     newest = work.agg(F.max("d").alias("mx")).collect()[0]["mx"]
     if newest is None:
-        raise ValueError("No valid rows after cleaning for RFM segmentation")
+        raise ValueError("RFM needs at least one row with an entity, a date and an amount")
     # Wall-clock arithmetic on timestamp_ntz: independent of the session time zone.
     ref = F.lit(newest.strftime("%Y-%m-%d %H:%M:%S.%f")).cast("timestamp_ntz") + F.expr("INTERVAL 1 DAY")
     msum = F.sum(F.col("m").cast(f"decimal(38,{scale})")).cast("double") if scale is not None else F.sum("m")
@@ -178,21 +178,30 @@ def rfm(df: DataFrame, entity: str, date: str, monetary: str, scale: int | None
     return out.withColumn("segment", rfm_label(F.col("r_score"), F.col("f_score"), F.col("m_score")))
 
 
-def abc(df: DataFrame, entity: str, value: str, scale: int = 2) -> DataFrame:
+def abc(df: DataFrame, entity: str, value: str, scale: int | None = None) -> DataFrame:
     """(entity, total_value, cumulative_pct, segment) by descending value.
 
     The running share uses an exact fixed-point running sum over the global
-    order (value desc, entity asc), range-partitioned across tasks.
+    order (value desc, entity asc), range-partitioned across tasks.  ``scale`` names the
+    decimals of money columns; without it amounts are summed as they are and the
+    running sum keeps twelve significant decimals of the share.  With a total of 0 every share is 0.
     """
     v = to_number(F.col(value), df.schema[value].dataType)
     g = df.select(F.col(entity).alias("entity"), v.alias("v")).where(F.col("entity").isNotNull() & F.col("v").isNotNull())
-    g = g.groupBy("entity").agg(F.sum(F.col("v").cast(f"decimal(38,{scale})")).cast("double").alias("total_value"))
-    total = g.agg(F.sum(F.col("total_value").cast(f"decimal(38,{scale})")).cast("double").alias("t")).collect()[0]["t"]
+    exact = (lambda c: F.sum(c.cast(f"decimal(38,{scale})")).cast("double")) if scale is not None else F.sum
+    g = g.groupBy("entity").agg(exact(F.col("v")).alias("total_value"))
+    total = g.agg(exact(F.col("total_value")).alias("t")).collect()[0]["t"]
     if total is None:
-        raise ValueError("No valid rows after cleaning for ABC analysis")
-    ordered = global_order(g, [F.col("total_value").desc(), F.col("entity").asc()], running_sum="total_value",
-                           scale=scale, rank_col="position", running_col="running")
-    pct = F.round(F.col("running") / F.lit(total) * 100, 2)
+        raise ValueError("ABC needs at least one row with an entity and an amount")
+    if scale is None:  # the running sum is over shares of the total, in fixed point
+        shared = g.withColumn("_share", F.col("total_value") / F.lit(total)) if total else g.withColumn("_share", F.lit(0.0))
+        ordered = global_order(shared, [F.col("total_value").desc(), F.col("entity").asc()], running_sum="_share",
+                               scale=12, rank_col="position", running_col="running")
+        pct = F.round(F.col("running") * 100, 2)
+    else:
+        ordered = global_order(g, [F.col("total_value").desc(), F.col("entity").asc()], running_sum="total_value",
+                               scale=scale, rank_col="position", running_col="running")
+        pct = F.round(F.col("running") / F.lit(total) * 100, 2) if total else F.lit(0.0)
     seg = F.lit(ABC_LAST)
     for bound, name in reversed(ABC_LIMITS):
         seg = F.when(F.col("cumulative_pct") <= bound, F.lit(name)).otherwise(seg)

@@ -30,9 +30,6 @@ LOG_MIN_VALUE = 1e-9
 READY_TIME_SHARE = 0.8
 READY_TARGET_SHARE = 0.6
 MIN_USABLE_ROWS = 3
-# Series with at most this many distinct timestamps are handled inside one task;
-# larger (hot) series use the range-partitioned path.
-LOCAL_SERIES_LIMIT = 2_000_000
 
 
 def _keys(keys: Sequence[str] | None) -> list[str]:
@@ -52,9 +49,9 @@ def check(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None) ->
     keys = _keys(keys)
     t = to_timestamp_mixed(F.col(ts), df.schema[ts].dataType)
     v = to_number(F.col(y), df.schema[y].dataType)
-    g = df.groupBy(*keys).agg(
+    g = (df.dropna(subset=keys) if keys else df).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        (F.count(t) / F.count(F.lit(1))).alias("time_share"),
+        F.coalesce(F.try_divide(F.count(t), F.count(F.lit(1))), F.lit(0.0)).alias("time_share"),
         (F.count(v) / F.greatest(F.count(F.col(y)), F.lit(1))).alias("target_share"),
         F.count(F.when(t.isNotNull() & v.isNotNull(), 1)).alias("usable_rows"),
     )
@@ -77,38 +74,27 @@ def freq_from_median_gap(days: Column, n_dates: Column) -> Column:
 def detect_freq(df: DataFrame, ts: str, keys: Sequence[str] | None = None) -> DataFrame:
     """Frequency per series from the median gap between distinct timestamps.
 
-    One count per series chooses the plan: when the largest series has at most
-    ``LOCAL_SERIES_LIMIT`` distinct timestamps, a ``lag`` window and an exact
-    per-series percentile suffice; otherwise gaps pair each timestamp with its
-    successor through a global rank (range-partitioned, skew-safe) and the
-    median comes from the distributed selection.  Calendar inference
-    (``pd.infer_freq``) is replaced by the median-gap rule.
+    Gaps inside a day come from a window over (series, day); the gap across days
+    from each day's first and last timestamp, one row per series and day.  So no
+    window holds more than a day of a series, or its days.  Calendar inference
+    is replaced by the median-gap rule.  Rows with a null key or time are left out.
     """
     keys = _keys(keys)
     t = to_timestamp_mixed(F.col(ts), df.schema[ts].dataType)
-    dates = df.select(*keys, t.alias("t")).where(F.col("t").isNotNull()).distinct()
-    counts = dates.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dates"))
-    biggest = counts.agg(F.max("n_dates")).collect()[0][0] or 0
-    if keys and biggest <= LOCAL_SERIES_LIMIT:
-        # Every series fits one task (proven by the count): window + exact percentile.
-        w = Window.partitionBy(*keys).orderBy("t")
-        gaps = dates.withColumn("gap", F.timestamp_diff("MICROSECOND", F.lag("t").over(w), F.col("t")) / 86_400_000_000.0)
-        med = gaps.groupBy(*keys).agg(F.percentile("gap", 0.5).alias("median_gap_days"))
-        out = counts.join(med, keys, "left")
-        return out.withColumn("freq", freq_from_median_gap(F.col("median_gap_days"), F.col("n_dates")))
-    ranked = global_order(dates, [*(F.col(k) for k in keys), F.col("t")], rank_col="r")
-    nxt = ranked.select(*[F.col(k).alias(f"n_{k}") for k in keys], F.col("t").alias("t2"), (F.col("r") - 1).alias("r"))
-    cond = [ranked["r"] == nxt["r"]] + [ranked[k].eqNullSafe(nxt[f"n_{k}"]) for k in keys]
-    gaps = ranked.join(nxt, cond).select(
-        *[ranked[k] for k in keys],
-        (F.timestamp_diff("MICROSECOND", F.col("t"), F.col("t2")) / 86_400_000_000.0).alias("gap"))
-    med = exact_percentiles(gaps, keys, "gap", [0.5], ["median_gap_days"])
+    dates = df.select(*keys, t.alias("t")).dropna().distinct().withColumn("_day", F.to_date("t"))
+    micros = lambda a, b: F.timestamp_diff("MICROSECOND", a, b) / 86_400_000_000.0
+    inner = dates.withColumn("gap", micros(F.lag("t").over(Window.partitionBy(*keys, "_day").orderBy("t")), F.col("t")))
+    days = dates.groupBy(*keys, "_day").agg(F.min("t").alias("lo"), F.max("t").alias("hi"), F.count(F.lit(1)).alias("n"))
+    across = days.withColumn("gap", micros(F.lag("hi").over(_part(keys).orderBy("_day")), F.col("lo")))
+    gaps = inner.select(*keys, "gap").unionByName(across.select(*keys, "gap")).where(F.col("gap").isNotNull())
+    med = gaps.groupBy(*keys).agg(F.percentile("gap", 0.5).alias("median_gap_days"))
+    counts = days.groupBy(*keys).agg(F.sum("n").alias("n_dates"))
     if keys:
         out = counts.join(med, keys, "left")
     else:
-        out = counts.unionByName(med.select(F.lit(None).cast("long").alias("n_dates"), "median_gap_days"),
-                                 allowMissingColumns=True).agg(F.max("n_dates").alias("n_dates"),
-                                                               F.max("median_gap_days").alias("median_gap_days"))
+        out = counts.select(F.coalesce("n_dates", F.lit(0)).alias("n_dates"), F.lit(None).cast("double").alias("median_gap_days")).unionByName(
+            med.select(F.lit(None).cast("long").alias("n_dates"), "median_gap_days")).agg(
+            F.max("n_dates").alias("n_dates"), F.max("median_gap_days").alias("median_gap_days"))
     return out.withColumn("freq", freq_from_median_gap(F.col("median_gap_days"), F.col("n_dates")))
 
 
@@ -185,20 +171,31 @@ def choose_freq(stats: DataFrame, detected: Column, forced: str | None, max_poin
 
 def resample(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, freq: str | None = None,
              features: Sequence[str] = (), policy: str = "drop", max_points: int = MAX_POINTS,
-             scale: int | None = None) -> DataFrame:
+             scale: int | None = None, keep_newest: int | None = None) -> DataFrame:
     """Bucket, aggregate (target sum, numeric features mean, text mode,
-    observation count), fill or drop empty buckets, keep the newest
-    ``max_points`` buckets.  Output ``(keys…, freq, ts, y, n_obs, features…)``.
+    observation count), fill or drop empty buckets; ``max_points`` only chooses the
+    frequency, ``keep_newest`` (off by default) keeps that many buckets.  Rows with a null
+    series key are no series and are dropped, here and in ``check``.  Output ``(keys…, freq, ts, y, n_obs, features…)``.
     """
     if policy not in ("drop", "zero"):
-        raise ValueError(f"Unsupported missing_periods_policy: {policy}. Use 'drop' or 'zero'.")
+        raise ValueError(f"policy must be 'drop' or 'zero', not {policy!r}")
     keys = _keys(keys)
     t = to_timestamp_mixed(F.col(ts), df.schema[ts].dataType)
     v = to_number(F.col(y), df.schema[y].dataType)
     base = df.select(*keys, t.alias("t"), v.alias("v"), *features).where(F.col("t").isNotNull() & F.col("v").isNotNull())
-    stats = base.groupBy(*keys).agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"))
+    base = base.dropna(subset=keys) if keys else base
+    raw = base
+    by_day = not features  # sums and counts of a day (and of its midnight, which weeks treat apart) are all a period needs
+    if by_day:
+        midnight = F.date_trunc("day", F.col("t")) == F.col("t")
+        total = F.sum(F.col("v").cast(f"decimal(38,{scale})")) if scale is not None else F.sum("v")
+        base = base.groupBy(*keys, F.to_date("t").alias("_day"), midnight.alias("_midnight")).agg(
+            F.min("t").alias("t"), F.max("t").alias("_last"), total.alias("v"), F.count(F.lit(1)).alias("_n"))
+    else:
+        base = base.withColumns({"_last": F.col("t"), "_n": F.lit(1)})
+    stats = base.groupBy(*keys).agg(F.min("t").alias("t_min"), F.max("_last").alias("t_max"))
     if freq is None:
-        fr = detect_freq(base.select(*keys, "t"), "t", keys)
+        fr = detect_freq(raw.select(*keys, "t"), "t", keys)
         stats = stats.join(fr.select(*keys, "freq"), keys) if keys else stats.withColumn(
             "freq", F.lit(fr.collect()[0]["freq"]))
         stats = choose_freq(stats.withColumnRenamed("freq", "freq_detected"), F.col("freq_detected"), None, max_points)
@@ -213,7 +210,7 @@ def resample(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None,
     num_feats = [f for f in features if isinstance(df.schema[f].dataType, T.NumericType)]
     txt_feats = [f for f in features if f not in num_feats]
     ysum = F.sum(F.col("v").cast(f"decimal(38,{scale})")).cast("double") if scale is not None else F.sum("v")
-    aggs = [ysum.alias("y"), F.count(F.lit(1)).alias("n_obs")]
+    aggs = [ysum.alias("y"), F.sum("_n").alias("n_obs")]
     aggs += [F.avg(F.col(f).cast("double")).alias(f) for f in num_feats]
     aggs += [F.mode(F.col(f), True).alias(f) for f in txt_feats]
     g = joined.groupBy(*keys, "freq", "ts").agg(*aggs)
@@ -224,9 +221,10 @@ def resample(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None,
         g = grid.join(g, [*keys, "freq", "ts"], "left").select(
             *keys, "freq", "ts", F.coalesce(F.col("y"), F.lit(0.0)).alias("y"),
             F.coalesce(F.col("n_obs"), F.lit(0)).alias("n_obs"), *features)
-    # Point cap: newest max_points buckets per series (only forced frequencies can exceed it).
+    if keep_newest is None:
+        return g
     w = Window.partitionBy(*keys).orderBy(F.col("ts").desc()) if keys else Window.orderBy(F.col("ts").desc())
-    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= max_points).drop("_rn")
+    return g.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= keep_newest).drop("_rn")
 
 
 def fill_features(frame: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -255,7 +253,7 @@ def sorted_quantile(sorted_arr: Column, p: float) -> Column:
 
 
 def _quartiles(frame: DataFrame, keys: list[str], col: str) -> DataFrame:
-    # ≤ max_points rows per series (the point cap), so a per-series array is bounded.
+    # One row per bucket of a series: the array grows with its calendar span, not with its rows.
     arr = F.sort_array(F.collect_list(F.col(col).cast("double")))
     g = frame.groupBy(*keys).agg(arr.alias("_a"))
     return g.select(*keys, sorted_quantile(F.col("_a"), 0.25).alias("q1"), sorted_quantile(F.col("_a"), 0.75).alias("q3"))
@@ -343,7 +341,7 @@ def prepare(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, f
         keys = ["series"]
     fr = resample(df, ts, y, keys, freq, features, policy, max_points, scale)
     if materialize:
-        # The bucketed series (≤ max_points rows per series) feeds the two clip
+        # The bucketed series (one row per period) feeds the two clip
         # passes and the log test; write it once instead of re-aggregating.
         from briskbi.session import cut_lineage
 
@@ -358,7 +356,7 @@ def prepare(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, f
     w = _part(keys).orderBy("ts")
     out = fr.withColumn("pos", (F.row_number().over(w) - 1).cast("int")).withColumn("season", season_length(F.col("freq")))
     if materialize:
-        # ≤ max_points rows per series; every model and fold reads it again.
+        # One row per period of a series; every model and fold reads it again.
         from briskbi.session import cut_lineage
 
         out = cut_lineage(out)

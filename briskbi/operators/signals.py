@@ -114,8 +114,8 @@ def profile_signals(profile: DataFrame, as_of: _dt.datetime, date_columns: list[
                 F.sort_array(F.collect_list(F.struct(F.col("column"), F.round(F.col("null_ratio") * 100, 1).alias("pct")))).alias("cols"))
     nulls = _sig(g.where(F.col("count") > 0), "high_null_columns",
                  F.when(F.col("count") > 3, F.lit("critical")).otherwise(F.lit("warning")),
-                 F.array_join(F.transform(F.slice("cols", 1, 3), lambda s: s["column"]), ", "), F.lit(1.0),
-                 _ev(count=F.col("count"), columns=F.to_json(F.slice("cols", 1, 5))))
+                 F.array_join(F.transform("cols", lambda s: s["column"]), ", "), F.lit(1.0),
+                 _ev(count=F.col("count"), columns=F.to_json(F.col("cols"))))
     dates = profile.where(F.col("data_type") == "datetime")
     if date_columns:
         dates = dates.where(F.col("column").isin(*date_columns))
@@ -127,11 +127,13 @@ def profile_signals(profile: DataFrame, as_of: _dt.datetime, date_columns: list[
     return [nulls, stale]
 
 
-def report_insights(sections: DataFrame, entity: str) -> DataFrame:
-    """First five report sections, 400 characters each."""
-    s = sections.orderBy("section_no").limit(5).where(F.length(F.trim(F.substring("content", 1, 400))) > 0)
-    g = s.agg(F.to_json(F.collect_list(F.struct(F.col("title").alias("section"),
-                                                 F.trim(F.substring("content", 1, 400)).alias("summary")))).alias("ins"),
+def report_insights(sections: DataFrame, entity: str, max_sections: int | None = None, max_chars: int | None = None) -> DataFrame:
+    """The report's non-empty sections in order; whole, or ``max_sections`` of ``max_chars`` characters."""
+    text = F.col("content") if max_chars is None else F.substring("content", 1, max_chars)
+    s = sections if max_sections is None else sections.orderBy("section_no").limit(max_sections)
+    s = s.select("section_no", F.col("title").alias("section"), F.trim(text).alias("summary")).where(F.length("summary") > 0)
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("section_no", "section", "summary"))), lambda x: F.struct(x["section"].alias("section"), x["summary"].alias("summary")))
+    g = s.agg(F.to_json(listed).alias("ins"),
               F.count(F.lit(1)).alias("n"))
     return _sig(g.where(F.col("n") > 0), "report_insights", F.lit("info"), F.lit(entity), F.lit(0.85), _ev(insights=F.col("ins")))
 

@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briskbi.functions.labels import compact_number, ts_text
 from briskbi.functions.parse import to_number, to_timestamp_mixed
-from briskbi.session import spread_for_row_work
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -72,8 +71,8 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10, max_cols: int = 8) -> DataFrame:
-    """Top ``k`` value counts for the first ``max_cols`` text columns."""
+def top_values(df: DataFrame, cols: list[str] | None = None, k: int = 10, max_cols: int | None = None) -> DataFrame:
+    """Top ``k`` value counts of every text column (of the first ``max_cols`` if given)."""
     cols = (cols or text_columns(df))[:max_cols]
     return value_counts(df, cols, k)
 
@@ -87,10 +86,10 @@ def date_range(df: DataFrame, col: str | None = None) -> DataFrame:
 
 
 def ranked(df: DataFrame, num_cols: list[str] | None = None, cat_cols: list[str] | None = None,
-           k: int = 10, ascending: bool = False) -> DataFrame:
-    """Top (or bottom) ``k`` group sums for first 3 numeric × first 2 text columns."""
-    num_cols = (num_cols or numeric_columns(df))[:3]
-    cat_cols = (cat_cols or text_columns(df))[:2]
+           k: int = 10, ascending: bool = False, max_num: int | None = None, max_cat: int | None = None) -> DataFrame:
+    """Top (or bottom) ``k`` group sums of every numeric × text column (of the first ``max_num`` × ``max_cat`` if given)."""
+    num_cols = (num_cols or numeric_columns(df))[:max_num]
+    cat_cols = (cat_cols or text_columns(df))[:max_cat]
     parts = []
     for cat in cat_cols:
         g = df.where(F.col(cat).isNotNull()).groupBy(F.col(cat).alias("label")).agg(
@@ -141,9 +140,9 @@ def pick_dimensions(df: DataFrame, lo: int = 2, hi: int = 25) -> DataFrame:
 MEAN_NAME_HINTS = ["rate", "ratio", "ctr", "avg", "average", "percent", "pct", "score", "margin"]
 
 
-def kpi_cards(df: DataFrame, max_cols: int = 6, top: int = 4, currency: bool = False) -> DataFrame:
-    """Row count + the ``top`` numeric columns by |sum| (mean for rate-like names)."""
-    cols = numeric_columns(df)[:max_cols]
+def kpi_cards(df: DataFrame, top: int = 4, currency: bool = False) -> DataFrame:
+    """Row count + the ``top`` of all numeric columns by |sum| (mean for rate-like names)."""
+    cols = numeric_columns(df)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         aggs += [F.sum(F.col(c).cast("double")).alias(f"{c}__sum"), F.avg(F.col(c).cast("double")).alias(f"{c}__mean")]
@@ -156,16 +155,16 @@ def kpi_cards(df: DataFrame, max_cols: int = 6, top: int = 4, currency: bool = F
                               F.col(f"{c}__mean" if use_mean else f"{c}__sum").alias("value"),
                               F.abs(F.col(f"{c}__sum")).alias("weight")))
     long = wide.select(F.explode(F.array(*cards)).alias("r")).select("r.*")
-    w = Window.orderBy(F.col("weight").desc(), F.col("name"))  # ≤ 7 rows
+    w = Window.orderBy(F.col("weight").desc(), F.col("name"))  # one row per numeric column
     long = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top + 1)
     return long.select("name", "agg", "value", compact_number(F.col("value"), currency).alias("display"), "rank")
 
 
-def grouped_means(df: DataFrame, key: str, metrics: list[str], limit: int = 12) -> DataFrame:
-    """Mean of up to 3 metrics by ``key``, first ``limit`` keys in key order."""
-    metrics = metrics[:3]
-    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.avg(F.col(m).cast("double")).alias(m) for m in metrics])
-    return g.orderBy(key).limit(limit)
+def grouped_means(df: DataFrame, key: str, metrics: list[str], limit: int | None = None, agg: str = "mean") -> DataFrame:
+    """Mean (or sum) of the metrics by ``key``; all keys, or the first ``limit`` in key order."""
+    fn = F.sum if agg == "sum" else F.avg
+    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(*[fn(F.col(m).cast("double")).alias(m) for m in metrics])
+    return g if limit is None else g.orderBy(key).limit(limit)
 
 
 # ---------------------------------------------------------------------------
@@ -179,7 +178,7 @@ def zscore_anomalies(df: DataFrame, cols: list[str] | None = None, threshold: fl
     Pass 1 is one aggregate row (mean, std, n per column); pass 2 counts with the
     statistics as literals, so nothing is joined back to the data.
     """
-    cols = (cols or numeric_columns(df))[:5]
+    cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
         v = F.col(c).cast("double")
@@ -215,7 +214,6 @@ def zscore_rows(df: DataFrame, col: str, threshold: float = 2.5) -> DataFrame:
 
 def quality(df: DataFrame) -> DataFrame:
     """Rows, columns, duplicate rows, completeness %, quality score."""
-    df = spread_for_row_work(df)
     cols = df.columns
     nulls = df.agg(F.count(F.lit(1)).alias("rows"),
                    *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)])
@@ -244,7 +242,7 @@ def null_percentages(df: DataFrame) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*").where(F.col("null_pct") > 0)
 
 
-def compare(df1: DataFrame, df2: DataFrame, max_cols: int = 10) -> DataFrame:
+def compare(df1: DataFrame, df2: DataFrame, max_cols: int | None = None) -> DataFrame:
     """Mean and sum of shared numeric columns of two datasets (1×1 rows)."""
     shared = sorted(set(numeric_columns(df1)) & set(numeric_columns(df2)))[:max_cols]
     schema = "column string, ds1_mean double, ds2_mean double, ds1_sum double, ds2_sum double"
@@ -323,7 +321,6 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     Two distributed passes: one wide aggregate, one unpivoted value count (which
     gives both the exact distinct count and the top 5 of every column).
     """
-    df = spread_for_row_work(df)
     types = types or detect_types(df)
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__rows")]
@@ -379,15 +376,21 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
 # Q3–Q6 correlations and mutual information
 # ---------------------------------------------------------------------------
 
+def pearson(a: Column, b: Column) -> Column:
+    """Pearson r over the rows where both are given; null for a constant side (ANSI-safe)."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def correlations(df: DataFrame, cols: list[str] | None = None, min_abs: float = 0.3) -> DataFrame:
     """Q3: Pearson r for every numeric pair (pairwise-complete) in one scan; |r| ≥ min_abs."""
-    df = spread_for_row_work(df)
     cols = cols or numeric_columns(df)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1:]]
     schema = "source string, target string, weight double, method string"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    wide = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    wide = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
     rows = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(f"p{i}").alias("r"))
                      for i, (a, b) in enumerate(pairs)])
     long = wide.select(F.explode(rows).alias("x")).select("x.*")
@@ -395,9 +398,8 @@ def correlations(df: DataFrame, cols: list[str] | None = None, min_abs: float =
         "source", "target", F.round("r", 3).alias("weight"), F.lit("pearson").alias("method"))
 
 
-def correlation_matrix(df: DataFrame, top: int = 12) -> DataFrame:
-    """Q6: full Pearson matrix of the ``top`` highest-variance numeric columns."""
-    df = spread_for_row_work(df)
+def correlation_matrix(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Q6: full Pearson matrix of the non-constant numeric columns (of the ``top`` with the highest variance if given)."""
     cols = numeric_columns(df)
     # More than one distinct value ⇔ min < max (no distinct-count sketch needed).
     st = df.agg(*[x for c in cols for x in (F.var_samp(F.col(c).cast("double")).alias(f"{c}__v"),
@@ -410,7 +412,7 @@ def correlation_matrix(df: DataFrame, top: int = 12) -> DataFrame:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     uniq = [(a, b) for a in keep for b in keep if a < b]
     idx = {pair: f"p{i}" for i, pair in enumerate(uniq)}
-    aggs = [F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(idx[(a, b)]) for a, b in uniq]
+    aggs = [pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(idx[(a, b)]) for a, b in uniq]
     wide = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__n"))
     cells = []
     for a in keep:
@@ -435,11 +437,11 @@ def mutual_info_discrete(df: DataFrame, x: str, y: str) -> DataFrame:
     return j.agg(F.round(F.sum(term), 6).alias("mi")).select(F.lit(x).alias("feature"), F.lit(y).alias("target"), "mi")
 
 
-def mutual_info_binned(df: DataFrame, cat: str, num: str, bins: int = 10) -> DataFrame:
+def mutual_info_binned(df: DataFrame, cat: str, num: str, bins: int = 10, squash: bool = True) -> DataFrame:
     """Q4: category–numeric MI with the numeric side cut into equal-width bins.
 
     A different estimator from the reference's k-NN one (named accordingly);
-    score squashed as ``score / max(1, score)``.
+    with ``squash`` the score is ``score / max(1, score)``, as graph edges need it.
     """
     st = df.agg(F.min(F.col(num).cast("double")).alias("mn"), F.max(F.col(num).cast("double")).alias("mx")).collect()[0]
     if st["mn"] is None:
@@ -449,25 +451,34 @@ def mutual_info_binned(df: DataFrame, cat: str, num: str, bins: int = 10) -> Dat
     binned = df.where(F.col(num).isNotNull()).select(F.col(cat), b.alias("__bin"))
     res = mutual_info_discrete(binned, cat, "__bin")
     return res.select(F.lit(cat).alias("feature"), F.lit(num).alias("target"),
-                      F.round(F.col("mi") / F.greatest(F.lit(1.0), F.col("mi")), 3).alias("mi"))
+                      (F.round(F.col("mi") / F.greatest(F.lit(1.0), F.col("mi")), 3) if squash else F.col("mi")).alias("mi"))
 
 
 def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None, numeric_share: float = 0.8) -> DataFrame:
     """Q5: score every candidate against ``target``; |Pearson| for numeric pairs, else binned MI.
 
+    Text columns of which at least ``numeric_share`` of the values parse as numbers count as numeric.
+
     Scores (6 decimals) are scaled by the maximum (best feature = 1.0).
     """
     exclude = set(exclude or []) | {target}
+    text = [c for c in text_columns(df) if c not in exclude or c == target]
+    if text:  # one pass over all text columns
+        parsed = {c: to_number(F.col(c), T.StringType()) for c in text}
+        st = df.agg(*[x for i, c in enumerate(text) for x in (F.count(F.col(c)).alias(f"n{i}"), F.count(parsed[c]).alias(f"p{i}"))]).collect()[0]
+        for i, c in enumerate(text):
+            if st[f"n{i}"] and st[f"p{i}"] / st[f"n{i}"] >= numeric_share:
+                df = df.withColumn(c, parsed[c])
     nums = set(numeric_columns(df))
     parts = []
     for c in df.columns:
         if c in exclude:
             continue
         if c in nums and target in nums:
-            r = df.agg(F.round(F.abs(F.corr(F.col(c).cast("double"), F.col(target).cast("double"))), 6).alias("score"))
+            r = df.agg(F.round(F.abs(pearson(F.col(c).cast("double"), F.col(target).cast("double"))), 6).alias("score"))
             parts.append(r.select(F.lit(c).alias("feature"), F.lit("pearson").alias("method"), "score"))
         else:
-            mi = mutual_info_binned(df, c, target) if target in nums else mutual_info_discrete(df, c, target)
+            mi = mutual_info_binned(df, c, target, squash=False) if target in nums else mutual_info_discrete(df, c, target)
             parts.append(mi.select(F.lit(c).alias("feature"), F.lit("mutual_info").alias("method"), F.col("mi").alias("score")))
     if not parts:
         return df.sparkSession.createDataFrame([], "feature string, method string, score double, scaled double")
@@ -475,7 +486,7 @@ def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None,
     for p in parts[1:]:
         allp = allp.unionByName(p)
     w = Window.partitionBy(F.lit(1))  # one row per feature column
-    return allp.withColumn("scaled", F.round(F.col("score") / F.max("score").over(w), 6)).orderBy(
+    return allp.withColumn("scaled", F.round(F.try_divide(F.col("score"), F.max("score").over(w)), 6)).orderBy(
         F.col("score").desc(), "feature")
 
 

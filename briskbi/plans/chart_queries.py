@@ -59,7 +59,7 @@ def q_cumulative(spark, d):
 @register("q_bar", f"""
 SELECT p_brand AS label, CAST(SUM({dec('p_retailprice')}) AS DOUBLE) AS value
 FROM part WHERE p_brand IS NOT NULL
-GROUP BY 1 ORDER BY value DESC, label LIMIT 200
+GROUP BY 1
 """)
 def q_bar(spark, d):
     """Bar of summed retail price by brand."""
@@ -69,7 +69,7 @@ def q_bar(spark, d):
 @register("q_bar_count", """
 SELECT CAST(l_suppkey AS VARCHAR) AS label, CAST(COUNT(*) AS DOUBLE) AS value
 FROM lineitem WHERE l_suppkey IS NOT NULL
-GROUP BY 1 ORDER BY value DESC, label LIMIT 200
+GROUP BY 1
 """)
 def q_bar_count(spark, d):
     """C3 without y: row count per supplier, first 200 by count."""
@@ -94,36 +94,36 @@ def q_pie_others(spark, d):
 WITH g AS (
   SELECT CAST(l_partkey AS VARCHAR) AS label, SUM({dec('l_extendedprice')}) AS v
   FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1),
-t AS (SELECT * FROM g WHERE v > 0 ORDER BY v DESC, label LIMIT 200)
+t AS (SELECT * FROM g WHERE v > 0)
 SELECT label, CAST(v AS DOUBLE) AS value,
   round(CAST(SUM(v) OVER (ORDER BY v DESC, label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
         / CAST(SUM(v) OVER () AS DOUBLE) * 100.0, 2) AS cumulative
 FROM t
 """)
 def q_pareto(spark, d):
-    """Part revenue Pareto over the top 200 parts."""
+    """Part revenue Pareto over all parts."""
     return charts.pareto(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", scale=2)
 
 
 @register("q_combo_growth", f"""
 WITH g AS (
   SELECT o_orderdate AS d, CAST(SUM({dec('o_totalprice')}) AS DOUBLE) AS v
-  FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 200),
+  FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1),
 l AS (SELECT d, v, lag(v) OVER (ORDER BY d) AS p FROM g)
 SELECT strftime(d, '%Y-%m-%d') AS label, v AS value,
-  CASE WHEN p IS NULL OR p = 0 THEN 0.0 ELSE round((v - p) / p * 100.0, 2) END AS line,
+  CASE WHEN p IS NULL OR p = 0 THEN 0.0 ELSE round((v - p) / p * 100.0, 2) + 0.0 END AS line,
   'Growth %' AS line_name, true AS line_is_pct
 FROM l
 """)
 def q_combo_growth(spark, d):
-    """Daily order value with growth % line (first 200 days)."""
+    """Daily order value with growth % line."""
     return charts.combo(table(spark, d, "orders"), "o_orderdate", "o_totalprice", scale=2)
 
 
 @register("q_combo_secondary", f"""
 SELECT l_returnflag AS label, CAST(SUM({dec('l_extendedprice')}) AS DOUBLE) AS value,
   CAST(SUM({dec('l_quantity')}) AS DOUBLE) AS line, 'l_quantity' AS line_name, false AS line_is_pct
-FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY value DESC, label LIMIT 200
+FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1
 """)
 def q_combo_secondary(spark, d):
     """Bars and a secondary measure from one grouping (no join)."""

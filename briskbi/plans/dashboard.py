@@ -12,16 +12,15 @@ from pyspark.sql import functions as F
 
 from briskbi.operators import charts
 
-MAX_CHARTS = 5
 DIM_MIN_DISTINCT, DIM_MAX_DISTINCT = 2, 25
 
 
-def auto_blueprint(profile_rows: list[dict], roles: dict[str, str], n_rows: int) -> list[dict]:
+def auto_blueprint(profile_rows: list[dict], roles: dict[str, str], n_rows: int, max_charts: int | None = None) -> list[dict]:
     """Q7: chart specs from the column index — trend, ranking, share, distribution, KPI.
 
     Categories come from the roles (date / measure / dimension); a dimension
-    needs 2–25 distinct values (from the profile's unique ratio).  At most five
-    charts; with no date or dimension the KPI and histogram fallbacks fill in.
+    needs 2–25 distinct values (from the profile's unique ratio).  All charts that fit, or the
+    first ``max_charts``; with no date or dimension the KPI and histogram fallbacks fill in.
     """
     by = {r["column"]: r for r in profile_rows}
     measures = [c for c, r in roles.items() if r == "measure" and c in by]
@@ -47,7 +46,7 @@ def auto_blueprint(profile_rows: list[dict], roles: dict[str, str], n_rows: int)
         specs.append({"chart_type": "kpi_card", "x_axis": None, "y_axis": m})
     if m and dims:
         specs.append({"chart_type": "pareto", "x_axis": dims[0], "y_axis": m})
-    return specs[:MAX_CHARTS]
+    return specs[:max_charts]
 
 
 def chart_cache(df: DataFrame, specs: list[dict], scale: int | None = None) -> DataFrame:

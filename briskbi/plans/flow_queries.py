@@ -27,7 +27,7 @@ FROM events WHERE ts IS NOT NULL GROUP BY ALL
 def q_stream_kpi(spark, d):
     """Daily event KPIs from a file stream with a watermark; the update-mode
     changelog's current state equals the batch aggregate."""
-    agg = S.kpi_windows(_events_stream(spark, d), "ts", "value", ["event_type"], "1 day", "1 day")
+    agg = S.kpi_windows(_events_stream(spark, d), "ts", "value", ["event_type"], "1 day", "1 day", scale=2)
     sink, ckpt = S.scratch(spark, "kpi-out"), S.scratch(spark, "kpi-ckpt")
     S.run_updates(agg, sink, ckpt)
     return S.read_latest(spark, sink, ["window_start", "window_end", "event_type"])
@@ -76,9 +76,9 @@ def q_signals(spark, d):
     dec, gro = signals.forecast_trend(fc, log.where("is_best"), ["event_type"], "event_type")
     parts += [dec, gro]
     parts += signals.forecast_quality(log, ["event_type"], "event_type")
-    rfm = segment.rfm(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+    rfm = segment.rfm(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", scale=2)
     parts += signals.segment_signals(segment.summarize(rfm, "rfm", ["monetary"], "monetary", scale=2), "rfm")
-    abc = segment.abc(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice")
+    abc = segment.abc(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", scale=2)
     parts += signals.segment_signals(segment.summarize(abc, "abc", ["total_value"], "total_value", scale=2), "abc")
     prof = summaries.profile(ev)
     parts += signals.profile_signals(prof, _dt.datetime(2024, 6, 30))

@@ -44,7 +44,7 @@ rfm AS (SELECT sc.*, COALESCE(map.name,
 
 
 def _rfm(spark, d):
-    return segment.rfm(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice")
+    return segment.rfm(table(spark, d, "orders"), "o_custkey", "o_orderdate", "o_totalprice", scale=2)
 
 
 @register("q_rfm", f"WITH {_RFM_BASE} SELECT * FROM rfm")
@@ -84,7 +84,7 @@ abc AS (SELECT entity, total_value, round(running / total * 100, 2) AS cumulativ
 
 
 def _abc(spark, d):
-    return segment.abc(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice")
+    return segment.abc(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", scale=2)
 
 
 @register("q_abc", f"WITH {_ABC_BASE} SELECT * FROM abc")

@@ -73,41 +73,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         cached.unpersist()
 
 
-# A source spread over fewer files than cores and larger than this is rebalanced.
-UNSPLIT_SOURCE_BYTES = 2 * 1024 * 1024
-TARGET_PARTITION_BYTES = 1024 * 1024
-
-
-def _path_stats(spark: SparkSession, path: str) -> tuple[int, int]:
-    """(total bytes, number of data files) of a path, from file-system metadata only."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(conf)
-    summary = fs.getContentSummary(p)
-    return int(summary.getLength()), int(summary.getFileCount())
-
-
-def spread_for_row_work(df: DataFrame) -> DataFrame:
-    """Input parallelism for CPU-heavy per-row operators (regex, parsing).
-
-    A file with one row group is read by one task however large it is.  When
-    the input has fewer files than cores and holds more than 2 MB, rows are
-    spread round-robin first; inputs of many files (the normal case at scale)
-    are returned unchanged, so no shuffle is added there.  Cheap aggregations
-    do not call this: their partial aggregation is faster than a shuffle.
-    """
-    files = df.inputFiles()
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    if not files or len(files) >= cores:
-        return df
-    size = sum(_path_stats(spark, f)[0] for f in files)
-    if size <= UNSPLIT_SOURCE_BYTES:
-        return df
-    return df.repartition(min(cores, max(2, -(-size // TARGET_PARTITION_BYTES))))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table (``<sf_dir>/<name>.parquet``)."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -103,8 +103,29 @@ class ReadResult:
     rejected: DataFrame
 
 
-def read_any(spark: SparkSession, paths: list[str]) -> ReadResult:
-    """A1–A4: read every accepted file; rejected files come back as a DataFrame."""
+def whole_encoding(spark: SparkSession, path: str, guess: str) -> str:
+    """Encoding of a text file judged on all of its bytes, in a distributed pass.
+
+    UTF-8 if every line is valid UTF-8; else cp1252, or Latin-1 where a byte
+    is undefined in cp1252.
+    """
+    if guess == "UTF-8":
+        lines = spark.read.text(path)
+        latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+        row = lines.agg(F.min(F.is_valid_utf8("value")).alias("utf8"),
+                        F.max(latin.rlike("[\\x81\\x8D\\x8F\\x90\\x9D]")).alias("undefined")).first()
+        if row["utf8"] is False:
+            return "ISO-8859-1" if row["undefined"] else "windows-1252"
+    return guess
+
+
+def read_any(spark: SparkSession, paths: list[str], multi_line: bool = True) -> ReadResult:
+    """A1–A4: read every accepted file; rejected files come back as a DataFrame.
+
+    Quoted fields may hold doubled quotes, delimiters and, with ``multi_line``,
+    line breaks; such a file is read by one task, so turn it off for large
+    files that are known to have none.
+    """
     frames, ok, bad = [], [], []
     for p in paths:
         info = sniff(head_bytes(spark, p))
@@ -112,9 +133,11 @@ def read_any(spark: SparkSession, paths: list[str]) -> ReadResult:
             frames.append(spark.read.parquet(p))
             ok.append(p)
         elif info["kind"] == "csv":
+            info["encoding"] = whole_encoding(spark, p, info["encoding"])
             cp1252 = info["encoding"] == "windows-1252"
             df = (spark.read.option("header", True).option("inferSchema", False).option("sep", info["sep"])
-                  .option("encoding", "ISO-8859-1" if cp1252 else info["encoding"]).option("multiLine", False).csv(p))
+                  .option("encoding", "ISO-8859-1" if cp1252 else info["encoding"])
+                  .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(p))
             frames.append(_from_latin1_as_cp1252(df) if cp1252 else df)
             ok.append(p)
         else:

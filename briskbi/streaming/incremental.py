@@ -41,7 +41,7 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str =
 
 
 def kpi_windows(stream: DataFrame, ts: str, value: str, keys: list[str], window: str = "1 day",
-                watermark: str = "1 day", scale: int | None = 2) -> DataFrame:
+                watermark: str = "1 day", scale: int | None = None) -> DataFrame:
     """Per (window, keys) row count and value sum, late data bounded by the watermark."""
     v = F.col(value).cast(f"decimal(38,{scale})") if scale is not None else F.col(value)
     ntz = isinstance(stream.schema[ts].dataType, T.TimestampNTZType)
@@ -82,8 +82,8 @@ def append_stream(stream: DataFrame, target: str, checkpoint: str,
     q.awaitTermination()
 
 
-def latest_version(spark: SparkSession, target: str) -> str | None:
-    """Path of the newest complete version of an upserted table."""
+def latest_version(spark: SparkSession, target: str, below: int | None = None) -> str | None:
+    """Path of the newest complete version of an upserted table (of those below ``below`` if given)."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     p = jvm.org.apache.hadoop.fs.Path(target)
@@ -95,6 +95,8 @@ def latest_version(spark: SparkSession, target: str) -> str | None:
         name = st.getPath().getName()
         if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
             n = int(name[2:])
+            if below is not None and n >= below:
+                continue
             if best is None or n > best[0]:
                 best = (n, st.getPath().toString())
     return best[1] if best else None
@@ -114,8 +116,8 @@ def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: list[str
         rest = [c for c in cols if c not in key]
         last = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(
             *key, *[F.col(f"_r.{c}").alias(c) for c in rest])
-        prev_path = latest_version(spark, target)
-        if prev_path is not None and not prev_path.endswith(f"v={batch_id}"):
+        prev_path = latest_version(spark, target, below=batch_id)  # a retried batch merges again, never with itself
+        if prev_path is not None:
             prev = spark.read.parquet(prev_path)
             last = prev.join(last.select(*key), key, "left_anti").unionByName(last)
         last.write.mode("overwrite").parquet(f"{target.rstrip('/')}/v={batch_id}")
