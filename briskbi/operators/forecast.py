@@ -15,6 +15,7 @@ adds a constant ``series`` key when the caller forecasts one total series.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -132,35 +133,32 @@ def _holt_winters(y: np.ndarray, season: int, horizon: int) -> np.ndarray:
     n = len(y)
     use_trend = n >= 10
     use_season = season > 1 and n >= 2 * season
-    grid = (0.1, 0.3, 0.5, 0.7, 0.9)
-    best = None
-    for a in grid:
-        for b in (grid if use_trend else (0.0,)):
-            for g in (grid[:3] if use_season else (0.0,)):
-                level = y[0]
-                trend = (y[1] - y[0]) if (use_trend and n > 1) else 0.0
-                seas = np.zeros(season if use_season else 1)
-                if use_season:
-                    seas = y[:season] - y[:season].mean()
-                sse = 0.0
-                for t in range(1, n):
-                    s_idx = t % len(seas)
-                    fc = level + trend + (seas[s_idx] if use_season else 0.0)
-                    err = y[t] - fc
-                    sse += err * err
-                    new_level = a * (y[t] - (seas[s_idx] if use_season else 0.0)) + (1 - a) * (level + trend)
-                    if use_trend:
-                        trend = b * (new_level - level) + (1 - b) * trend
-                    if use_season:
-                        seas[s_idx] = g * (y[t] - new_level) + (1 - g) * seas[s_idx]
-                    level = new_level
-                if best is None or sse < best[0]:
-                    best = (sse, level, trend, seas.copy())
-    _, level, trend, seas = best
+    grid = np.array([0.1, 0.3, 0.5, 0.7, 0.9])
+    # One axis holds every setting, so a single pass over time fits them all.
+    alpha, beta, gamma = (x.ravel() for x in np.meshgrid(
+        grid, grid if use_trend else [0.0], grid[:3] if use_season else [0.0], indexing="ij"))
+    level = np.full(len(alpha), y[0], float)
+    trend = np.full(len(alpha), (y[1] - y[0]) if (use_trend and n > 1) else 0.0)
+    width = season if use_season else 1
+    seasonal = np.zeros((width, len(alpha)))
+    if use_season:
+        seasonal += (y[:season] - y[:season].mean())[:, None]
+    sse = np.zeros(len(alpha))
+    for t in range(1, n):
+        now = seasonal[t % width]
+        ahead = level + trend
+        sse += (y[t] - ahead - now) ** 2
+        new_level = alpha * (y[t] - now) + (1 - alpha) * ahead
+        if use_trend:
+            trend = beta * (new_level - level) + (1 - beta) * trend
+        if use_season:
+            seasonal[t % width] = gamma * (y[t] - new_level) + (1 - gamma) * now
+        level = new_level
+    best = int(np.argmin(np.where(np.isnan(sse), np.inf, sse)))
     steps = np.arange(1, horizon + 1)
-    out = level + steps * (trend if use_trend else 0.0)
+    out = level[best] + steps * trend[best]
     if use_season:
-        out = out + np.array([seas[(n - 1 + h) % len(seas)] for h in steps])
+        out = out + seasonal[(n - 1 + steps) % width, best]
     return out.astype(float)
 
 
@@ -221,6 +219,27 @@ def _grouped_backtest(keys: list[str], models: list[str]):
     return run
 
 
+def _grouped_holdout(keys: list[str]):
+    """applyInPandas body: the numpy models of a series on its holdout window."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        y = pdf["y"].to_numpy(dtype=float)
+        meta = pdf.iloc[0]
+        start, h = int(meta["_start"]), int(meta["_h"])
+        out = []
+        for model in meta["_models"]:
+            try:
+                pred = _fit_predict(model, y[:start], int(meta["season"]), str(meta["freq"]), h)
+            except (ValueError, np.linalg.LinAlgError):
+                pred = np.full(h, np.nan)
+            out.append(pd.DataFrame({**{k: [meta[k]] * h for k in keys}, "model": model, "fold": 0,
+                                     "pos": np.arange(start, start + h), "y_true": y[start : start + h], "pred": pred}))
+        return pd.concat(out)
+
+    return run
+
+
 def backtest(prep: DataFrame, keys: Sequence[str] | None = None, horizon: int = 30,
              models: Sequence[str] | None = None, screen_folds: int | None = None,
              keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -420,7 +439,21 @@ def holdout(prep: DataFrame, keys: Sequence[str] | None, horizon: int, models: S
         plans = p if plans is None else plans.unionByName(p)
     folds = plans.withColumn("fold", F.lit(0)).withColumn("test_start", test_start).withColumn(
         "test_end", test_start + F.col("bt_h")).where(F.col("test_start") >= F.col("min_hist"))
-    preds = _baseline_predictions(prep, folds.where(F.col("model").isin("naive", "seasonal_naive")), keys)
+    base = [m for m in models if m in ("naive", "seasonal_naive")]
+    numpy_models = [m for m in models if m not in base and m != "gbt_lag"]
+    parts = []
+    if base:
+        parts.append(_baseline_predictions(prep, folds.where(F.col("model").isin(*base)), keys))
+    if numpy_models:
+        asked = folds.where(F.col("model").isin(*numpy_models)).groupBy(*keys).agg(
+            F.collect_list("model").alias("_models"), F.first("test_start").alias("_start"), F.first("bt_h").alias("_h"))
+        schema = ", ".join([f"{k} {prep.schema[k].dataType.simpleString()}" for k in keys]
+                           + ["model string", "fold int", "pos int", "y_true double", "pred double"])
+        grouped = prep.select(*keys, "pos", "y", "season", "freq").join(asked, keys).groupBy(*keys)
+        parts.append(grouped.applyInPandas(_grouped_holdout(keys), schema))
+    if "gbt_lag" in models and folds.where(F.col("model") == "gbt_lag").limit(1).count():
+        parts.append(gbt_backtest_preds(prep, folds, keys))
+    preds = reduce(DataFrame.unionByName, parts)
     preds = _finish_preds(preds, stats, keys).join(_train_scale(prep, folds, keys), [*keys, "model", "fold"])
     return fold_metrics(preds, keys).drop("fold")
 
@@ -524,7 +557,7 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
     fc = fc.join(stats.select(*keys, "non_negative"), keys).join(fut.select(*keys, "step", "ts"), [*keys, "step"])
     fc = apply_constraints(fc, F.col("non_negative")).select(*keys, "step", "ts", "value", "lower", "upper", "model")
 
-    test = holdout(prep, keys, horizon, [m for m in models if m in ("naive", "seasonal_naive")])
+    test = holdout(prep, keys, horizon, models)  # every candidate gets a test error
     log = ranked.join(test.select(*keys, "model", F.col("mae").alias("test_mae")), [*keys, "model"], "left")
     log = log.withColumn("fit_ratio", F.round(F.try_divide(F.col("test_mae"), F.col("mae")), 3)).withColumn(
         "fit_diagnosis", fit_diagnosis(F.try_divide(F.col("test_mae"), F.col("mae"))))

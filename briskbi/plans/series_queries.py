@@ -224,6 +224,30 @@ def q_backtest(spark, d):
     return _metrics6(m)
 
 
+def _holdout_sql(key: str) -> str:
+    chain = _backtest_sql(key)
+    scored = chain[chain.index("tst AS"):chain.index("fagg AS")].rstrip().rstrip(",")
+    return f"""
+stats AS (SELECT {key}, count(*) AS n, max(season) AS season, bool_and(use_log) AS use_log, min(y_raw) >= 0 AS non_negative
+          FROM prep GROUP BY {key}),
+mods AS (SELECT * FROM (VALUES ('naive'), ('seasonal_naive')) t(model)),
+ho AS (SELECT s.*, m.model, 0 AS fold, CAST(n - round_even(n * 0.3, 0) AS INTEGER) AS test_start,
+         CASE WHEN m.model = 'seasonal_naive' THEN greatest(6, 2 * s.season) ELSE 3 END AS min_hist FROM stats s, mods m),
+fo2 AS (SELECT *, least({_BT_H}, n - test_start) AS bt_h, test_start + least({_BT_H}, n - test_start) AS test_end
+        FROM ho WHERE test_start >= min_hist),
+{scored}"""
+
+
+@register("q_holdout", f"""
+WITH {_prep_sql('events', 'event_type', 'ts', 'value')}, {_holdout_sql('event_type')}
+SELECT event_type, model, round(mae, 6) AS mae, round(rmse, 6) AS rmse, round(wape, 6) AS wape, round(mase, 6) AS mase FROM fm
+""")
+def q_holdout(spark, d):
+    """Holdout errors of the baselines on the first points of each series' newest 30 %."""
+    h = forecast.holdout(_prep_events(spark, d), ["event_type"], _BT_H, ["naive", "seasonal_naive"])
+    return _metrics6(h.select("event_type", "model", *forecast.SELECTION_METRICS))
+
+
 @register("q_rank_models", f"""
 WITH {_prep_sql('events', 'event_type', 'ts', 'value')}, {_backtest_sql('event_type')},
 ok AS (SELECT *, CASE model WHEN 'naive' THEN 0 WHEN 'seasonal_naive' THEN 1 ELSE 9 END AS mi FROM bt WHERE status = 'ok'),
