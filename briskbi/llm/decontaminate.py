@@ -120,20 +120,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     size = items.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     out = base.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast(T.ArrayType(item_type))})
-    schema, sc = out.schema, docs.sparkSession.sparkContext
+    schema = out.schema
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         rows = part.orderBy("i", "t").collect()  # at most about block_bytes of text
-        shared = sc.broadcast((Fingerprints([r["t"] for r in rows], window, k), [r["i"] for r in rows]))
-        out = out.mapInArrow(_marker(shared), schema)
+        index = Fingerprints([r["t"] for r in rows], window, k)
+        out = out.mapInArrow(_marker(index, [r["i"] for r in rows]), schema)
     return _summed(out, [id_col, *kept], item_type)
 
 
-def _marker(shared):
-    """Task function: adds one block's hits to the words marked so far (a byte for each word) and its items."""
+def _marker(index: Fingerprints, ids: list):
+    """Task function: adds one block's hits to the words marked so far (a byte for each word) and its items.
+
+    Spark sends a function of this size to each executor once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, ids = shared.value
         for batch in steps(batches, "_text"):
             names = batch.schema.names
             words = Words(batch.column(names.index("_text")), ALNUM, lower=True)

@@ -8,7 +8,9 @@ a multilinear sum over its word hashes; both end in a 64-bit finaliser.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
+from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +26,12 @@ SLICE_BYTES = 8 << 20
 _U = np.uint64
 
 
+def worker_state(name: str) -> dict:
+    """A dictionary that outlives the task.  Functions reach the workers by value, with module
+    globals of their own in every task; a module object of the interpreter stays."""
+    return vars(sys.modules.setdefault("briskbi_worker_state", ModuleType("briskbi_worker_state"))).setdefault(name, {})
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser (xor-shift and odd multipliers), element-wise."""
     x = x.astype(np.uint64, copy=True)

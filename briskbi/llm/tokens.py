@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from briskbi.llm.shared import _BYTE, _LOWER, _PLACE, SPACED, mix, text_bytes
+from briskbi.llm.shared import _BYTE, _LOWER, _PLACE, SPACED, mix, text_bytes, worker_state
 
 #: Pieces a worker remembers at most (about 70 bytes each), and the longest one remembered.
 PIECES, PIECE_BYTES = 1_000_000, 64
@@ -180,12 +180,10 @@ def _odd_texts(raw: np.ndarray, off: np.ndarray):
         yield int(off[i]), int(off[i + 1])
 
 
-_CODERS: dict[str, Coder] = {}
-
-
 def coder(path: str) -> Coder:
-    """This worker's coder for a tokenizer file; it outlives a task."""
-    if path not in _CODERS:
-        _CODERS[path] = Coder(path)
-    return _CODERS[path]
+    """This worker's coder for a tokenizer file; it and the pieces it remembers outlive a task."""
+    coders = worker_state("coders")
+    if path not in coders:
+        coders[path] = Coder(path)
+    return coders[path]
 

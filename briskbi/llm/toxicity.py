@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from briskbi.llm.shared import Words, carried, steps
+from briskbi.llm.shared import Words, carried, steps, worker_state
 from briskbi.llm.tokens import _Table
 
 #: Words a worker remembers the value of, and the longest piece of a word that the kernel sees.
@@ -265,38 +265,42 @@ def _apart(words: Words) -> Iterator[tuple[int, str]]:
             yield int(of[a]), b"".join(words.text(j) for j in range(a, b)).decode().lower()
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document row: id, carried columns, score (0 to 1), predicted (1 from 0.5 on)."""
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), margin: float = 0.2) -> DataFrame:
+    """One row per document row: id, carried columns, score (0 to 1), predicted (1 from 0.5 on).
+
+    A text is toxic when its decision value reaches ``margin``: parts of insults, which
+    ordinary words happen to hold, lie just above 0, whole ones near 1.
+    """
     kept, own_columns = carried(docs, id_col, carry, ("score", "predicted"))
     rows = docs.select(*own_columns, F.col(text).cast("string").alias("_text"))
     if model is None:
         return rows.select(*[F.col(a).alias(b) for a, b in zip(rows.columns, [id_col, *kept], strict=False)], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        table, known = _Table(REMEMBERED), np.zeros(0, np.float32)
+        state = worker_state("toxicity")
+        own_model = (model.weights.tobytes(), model.bias, model.landmarks.tobytes())
+        if state.get("model") != own_model:
+            state.update(model=own_model, table=_Table(REMEMBERED), known=np.zeros(REMEMBERED, np.float32))
+        table, known = state["table"], state["known"]
         for batch in steps(batches, "_text"):
             words = Words(batch.column(batch.schema.names.index("_text")))
             hashes = np.maximum(words.hashes, np.uint64(1))
             number = table.find(hashes)
-            value = known[number] if len(known) else np.zeros(len(hashes), np.float32)
+            value = known[number]
             new = np.flatnonzero(number < 0)
             if len(new):
                 own, one, back = np.unique(hashes[new], return_index=True, return_inverse=True)
                 got = model.values([words.text(i).decode().lower() for i in new[one]])
                 value[new] = got[back]
-                if table.n + len(own) > REMEMBERED:
-                    table, known = _Table(REMEMBERED), np.zeros(0, np.float32)
-                table.add(own[:REMEMBERED])
-                known = np.concatenate([known, got[:REMEMBERED]])
+                n = min(len(own), REMEMBERED - table.n)  # the first words are the frequent ones; a full table stays
+                known[table.n : table.n + n] = got[:n]
+                table.add(own[:n])
             best = np.full(batch.num_rows, model.bias, np.float64)
             some = np.flatnonzero(words.counts())
             if len(some):
                 best[some] = np.maximum(best[some], np.maximum.reduceat(value, words.first[:-1][some]))
             for i, joined in _apart(words):
                 best[i] = max(best[i], float(model.values([joined])[0]))
-            p = 1 / (1 + np.exp(-np.clip(4 * best, -50, 50)))
+            p = 1 / (1 + np.exp(-np.clip(4 * (best - margin), -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, *kept, "score", "predicted"])
 
     kinds = ", ".join(f"`{c}` {f.dataType.simpleString()}" for c, f in zip([id_col, *kept], rows.schema, strict=False))

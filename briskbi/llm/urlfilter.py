@@ -107,13 +107,11 @@ def judge(urls: DataFrame, rules: Iterable[tuple[str, str]] = RULES, id_col: str
     base = with_parts(urls.select(F.col(id_col).alias(id_col), F.col(url).alias("_url")), "_url").select(id_col, "host", "path")
     kind = base.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, host string, path string, rule string, verdict string"
-    sc = urls.sparkSession.sparkContext
 
     def against(block: list[tuple[str, str]]) -> DataFrame:
-        shared = sc.broadcast(Trie(block))
+        trie = Trie(block)  # Spark sends it with the function, to each executor once
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            trie = shared.value
             for b in batches:
                 found = [trie.find(h, p) or (None, None) for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r for r, _ in found], pa.string()), pa.array([v for _, v in found], pa.string())], names=[id_col, "host", "path", "rule", "verdict"])
