@@ -303,10 +303,25 @@ def _grouped(df: DataFrame, x: str, y: str | None, scale: int | None) -> XBucket
     return XBucket(g, is_date)
 
 
+DATE_LABEL_SHARE = 0.7
+
+
+def _chronological(g: DataFrame, dt: T.DataType) -> list[Column] | None:
+    """Order of text labels that are dates (more than ``DATE_LABEL_SHARE`` of them parse); others come last."""
+    if not isinstance(dt, T.StringType):
+        return None
+    t = to_timestamp_mixed(F.col("label"))
+    row = g.agg(F.count(F.lit(1)).alias("n"), F.count(t).alias("dates")).first()
+    if not row["n"] or row["dates"] / row["n"] <= DATE_LABEL_SHARE:
+        return None
+    return [t.asc_nulls_last(), F.col("label").asc()]
+
+
 def bar(df: DataFrame, x: str, y: str | None = None, scale: int | None = None, limit: int | None = None) -> DataFrame:
     """bar/line/area: sum or count by x; dates chronological else value desc; all groups, or the first ``limit``."""
     gb = _grouped(df, x, y, scale)
-    out = gb.df.orderBy(*_order_cols("value_desc", gb.is_date, False))
+    order = _chronological(gb.df, dtype_of(df, x)) or _order_cols("value_desc", gb.is_date, False)
+    out = gb.df.orderBy(*order)
     return out if limit is None else out.limit(limit)
 
 
@@ -342,9 +357,9 @@ def combo(df: DataFrame, x: str, y: str, y2: str | None = None, scale: int | Non
     if y2:
         aggs.append(F.coalesce(value_agg(measure(work, y2), "sum", scale), F.lit(0.0)).cast("double").alias("line2"))
     g = work.groupBy("label").agg(*aggs)  # both measures in one pass, no join
+    order = _chronological(g, dt) or _order_cols("value_desc", is_temporal(dt), False)
     if limit is not None:
-        g = g.orderBy(*_order_cols("value_desc", is_temporal(dt), False)).limit(limit)
-    order = [F.col("label").asc()] if is_temporal(dt) else [F.col("value").desc(), F.col("label").asc()]
+        g = g.orderBy(*order).limit(limit)
     if y2 is None:
         ranked = global_order(g, order, rank_col="_r")
         before = ranked.select((F.col("_r") + 1).alias("_r"), F.col("value").alias("_prev"))
@@ -413,7 +428,7 @@ def histogram_edges(mn: float, mx: float, n: int, closed: str = "left") -> list[
 def histogram(df: DataFrame, x: str, closed: str = "left") -> DataFrame:
     """C7 (numpy, last bin closed) and C8 (``pd.cut``, right-closed) histograms.
 
-    Output (bin, lo, hi, value) for bins = min(20, max(5, distinct)); empty bins
+    Output (bin, lo, hi, label ``lo–hi`` with two significant digits, value) for bins = min(20, max(5, distinct)); empty bins
     count 0 (D19).  The bin of a value is the number of inner edges it passes,
     compared against the literal edges, so values on an edge land where numpy /
     pandas put them.
@@ -422,7 +437,7 @@ def histogram(df: DataFrame, x: str, closed: str = "left") -> DataFrame:
     spark = df.sparkSession
     mn, mx, nd = _bin_stats(v, df)
     if mn is None:
-        return spark.createDataFrame([], "bin int, lo double, hi double, value long")
+        return spark.createDataFrame([], "bin int, lo double, hi double, label string, value long")
     n = min(20, max(5, nd))
     edges = histogram_edges(float(mn), float(mx), n, closed)
     inner = edges[1:n]
@@ -432,10 +447,10 @@ def histogram(df: DataFrame, x: str, closed: str = "left") -> DataFrame:
         passed = [F.when(v > F.lit(e), 1).otherwise(0) for e in inner]
     idx = sum(passed[1:], passed[0]) if passed else F.lit(0)
     counts = df.where(v.isNotNull()).groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("value"))
-    rows = [(i, edges[i], edges[i + 1]) for i in range(n)]
-    bins = spark.createDataFrame(rows, "bin int, lo double, hi double")  # ≤ 20 rows
+    rows = [(i, edges[i], edges[i + 1], f"{edges[i]:.2g}–{edges[i + 1]:.2g}") for i in range(n)]
+    bins = spark.createDataFrame(rows, "bin int, lo double, hi double, label string")  # ≤ 20 rows
     return bins.join(F.broadcast(counts), "bin", "left").select(
-        "bin", "lo", "hi", F.coalesce(F.col("value"), F.lit(0)).alias("value")
+        "bin", "lo", "hi", "label", F.coalesce(F.col("value"), F.lit(0)).alias("value")
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from briskbi.operators import charts
 from briskbi.plans.registry import dec, register
 from briskbi.session import table
@@ -66,6 +68,16 @@ def q_bar(spark, d):
     return charts.bar(table(spark, d, "part"), "p_brand", "p_retailprice", scale=2)
 
 
+@register("q_bar_text_dates", f"""
+SELECT strftime(o_orderdate, '%-m/%-d/%Y') AS label, CAST(SUM({dec('o_totalprice')}) AS DOUBLE) AS value
+FROM orders WHERE o_orderdate IS NOT NULL GROUP BY 1, o_orderdate ORDER BY o_orderdate LIMIT 30
+""")
+def q_bar_text_dates(spark, d):
+    """The first 30 days of a text date axis, in order of time."""
+    o = table(spark, d, "orders").withColumn("day", F.date_format("o_orderdate", "M/d/yyyy"))
+    return charts.bar(o, "day", "o_totalprice", scale=2, limit=30)
+
+
 @register("q_bar_count", """
 SELECT CAST(l_suppkey AS VARCHAR) AS label, CAST(COUNT(*) AS DOUBLE) AS value
 FROM lineitem WHERE l_suppkey IS NOT NULL
@@ -163,7 +175,7 @@ b AS (SELECT e.bin,
       FROM e, p),
 inner_edges AS (SELECT bin, lo AS edge FROM e WHERE bin >= 1),
 c AS (SELECT v.x, (SELECT count(*) FROM inner_edges ie WHERE v.x {cmp} ie.edge) AS bin FROM v)
-SELECT CAST(b.bin AS INTEGER) AS bin, b.lo, b.hi, COALESCE(cnt, 0) AS value
+SELECT CAST(b.bin AS INTEGER) AS bin, b.lo, b.hi, format('{{:.2g}}–{{:.2g}}', b.lo, b.hi) AS label, COALESCE(cnt, 0) AS value
 FROM b LEFT JOIN (SELECT bin, count(*) AS cnt FROM c GROUP BY bin) k ON k.bin = b.bin
 """
 

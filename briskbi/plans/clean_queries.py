@@ -252,6 +252,41 @@ def q_smart_audit(spark, d):
     return audit
 
 
+# P9–P18 on text columns with nulls, built from the orders table ---------------
+def _orders_as_text(spark, d):
+    k, price, day = F.col("o_orderkey"), F.format_string("%.2f", "o_totalprice"), F.col("o_orderdate")
+    return table(spark, d, "orders").select(
+        k.alias("k"),
+        F.concat(k.cast("string"), F.lit(".0")).alias("row_id"),
+        F.when(k % 10 != 0, F.when(k % 3 == 0, F.concat(F.lit("("), price, F.lit(")")))
+               .when(k % 3 == 1, F.concat(F.lit("$"), price, F.lit(" USD"))).otherwise(price)).alias("paid"),
+        F.when(k % 20 != 0, F.when(k % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(k % 3 == 1, F.date_format(day, "M/d/yyyy"))
+               .otherwise(F.date_format(day, "MMM d, yyyy"))).alias("ordered"),
+        F.when(k % 4 == 0, "yes").when(k % 4 == 1, " No ").when(k % 4 == 2, "TRUE").when(k % 8 == 7, "y").alias("open"),
+        F.when(k % 25 == 7, "42").when(k % 15 != 0, F.concat(F.lit("  "), F.regexp_replace("o_orderpriority", "-", " -  "))).alias("priority"),
+        (k * 7).cast("string").alias("code"),
+        (F.col("o_custkey") % 50).cast("string").alias("points"))
+
+
+@register("q_smart_text", r"""
+WITH t AS (SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS row_id,
+    CASE WHEN o_orderkey % 10 <> 0 THEN CASE WHEN o_orderkey % 3 = 0 THEN -1.0 ELSE 1.0 END * CAST(printf('%.2f', o_totalprice) AS DOUBLE) END AS paid,
+    CASE WHEN o_orderkey % 20 <> 0 THEN date_trunc('day', o_orderdate) END AS ordered,
+    CASE WHEN o_orderkey % 2 = 0 THEN true WHEN o_orderkey % 4 = 1 THEN false WHEN o_orderkey % 8 = 7 THEN true END AS open,
+    CASE WHEN o_orderkey % 25 = 7 THEN 'Unknown' WHEN o_orderkey % 15 <> 0 THEN replace(o_orderpriority, '-', ' - ') ELSE 'Unknown' END AS priority,
+    CAST(o_orderkey * 7 AS VARCHAR) AS code, CAST(o_custkey % 50 AS DOUBLE) AS points FROM orders)
+SELECT k, row_id, COALESCE(paid, (SELECT quantile_cont(paid, 0.5) FROM t)) AS paid,
+  CAST(last_value(ordered IGNORE NULLS) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS TIMESTAMP) AS ordered,
+  COALESCE(open, (SELECT count(*) FILTER (WHERE open) > count(*) FILTER (WHERE NOT open) FROM t)) AS open, priority, code, points
+FROM t
+""")
+def q_smart_text(spark, d):
+    """Orders as messy text: signs in parentheses, currencies, mixed dates, flags, nulls, numeric codes."""
+    roles = {"row_id": "id", "paid": "measure", "ordered": "date", "open": "boolean", "priority": "dimension", "code": "dimension", "points": "dimension"}
+    out, _ = clean.smart(_orders_as_text(spark, d), roles, order_by="k")
+    return out
+
+
 # U3–U6 --------------------------------------------------------------------
 def _orders_by_id(spark, d):
     """Orders with the key named ``order_id`` (the reference's key-name rule needs

@@ -346,3 +346,44 @@ def q_profile_roles(spark, d):
     """Roles attached to the profiled order columns (unknown role names are skipped)."""
     prof = summaries.profile(table(spark, d, "orders"))
     return summaries.attach_roles(prof, _ORDER_ROLES).select("column", "role", "data_type")
+
+
+@register("q_grouped_sums", """
+SELECT c_mktsegment, SUM(CAST(c_nationkey AS DOUBLE)) AS c_nationkey, SUM(CAST(c_custkey AS DOUBLE)) AS c_custkey
+FROM customer WHERE c_mktsegment IS NOT NULL GROUP BY 1
+""")
+def q_grouped_sums(spark, d):
+    """Sums by market segment."""
+    return summaries.grouped_means(table(spark, d, "customer"), "c_mktsegment", ["c_nationkey", "c_custkey"], agg="sum")
+
+
+@register("q_null_percentages", """
+SELECT 'o_totalprice' AS "column", round(100.0 * count(*) FILTER (WHERE o_orderpriority = '5-LOW') / count(*), 2) AS null_pct FROM orders
+""")
+def q_null_percentages(spark, d):
+    """Share of nulls of each column that has any (prices of low-priority orders blanked)."""
+    o = table(spark, d, "orders")
+    return summaries.null_percentages(o.withColumn("o_totalprice", F.when(F.col("o_orderpriority") != "5-LOW", F.col("o_totalprice"))))
+
+
+@register("q_zscore_rows", """
+WITH s AS (SELECT avg(CAST(o_totalprice AS DOUBLE)) AS m, stddev_samp(CAST(o_totalprice AS DOUBLE)) AS d FROM orders)
+SELECT o_orderkey, round((o_totalprice - m) / d, 6) AS z FROM orders, s WHERE abs((o_totalprice - m) / d) > 1.7
+""")
+def q_zscore_rows(spark, d):
+    """The orders whose price is more than 1.7 standard deviations from the mean."""
+    z = summaries.zscore_rows(table(spark, d, "orders"), "o_totalprice", threshold=1.7)
+    return z.select("o_orderkey", F.round("z", 6).alias("z"))
+
+
+@register("q_corr_edges_low", """
+SELECT 'l_quantity' AS source, 'l_extendedprice' AS target, round(corr(l_quantity, l_extendedprice), 3) + 0.0 AS weight, 'pearson' AS method FROM lineitem
+UNION ALL
+SELECT 'l_extendedprice', 'doubled', round(corr(l_extendedprice, l_extendedprice * 2 + l_quantity), 3) + 0.0, 'pearson' FROM lineitem
+UNION ALL
+SELECT 'l_quantity', 'doubled', round(corr(l_quantity, l_extendedprice * 2 + l_quantity), 3) + 0.0, 'pearson' FROM lineitem
+""")
+def q_corr_edges_low(spark, d):
+    """Q3: every correlated pair of three columns and a constant one, which has no edge."""
+    li = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") * 2 + F.col("l_quantity")).alias("doubled"), F.lit(7).alias("same"))
+    return summaries.correlations(li, min_abs=0.0)
