@@ -518,12 +518,12 @@ def corrected_bar_axes(df: DataFrame, x: str, y: str) -> tuple[str, str]:
 
 
 def build_charts(df: DataFrame, specs: list[dict], scale: int | None = None) -> dict[str, DataFrame]:
-    """Aggregate every default chart spec from one persisted frame.
+    """Aggregate every default chart spec; each chart scans only its own columns, nothing stays cached.
 
     Keys are ``type|x|y|y2`` like the reference cache; values are lazy
     DataFrames the caller writes once as a results table.
     """
-    base = df.persist()
+    base = df
     out: dict[str, DataFrame] = {}
     for s in specs:
         kind = s.get("chart_type", "").lower().replace("-", "_")

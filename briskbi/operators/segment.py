@@ -209,12 +209,15 @@ def abc(df: DataFrame, entity: str, value: str, scale: int | None = None) -> Dat
 
 
 def kmeans(df: DataFrame, cols: list[str], entity: str | None = None, ks=range(3, 7), seed: int = 42,
-           max_iter: int = 300) -> tuple[DataFrame, DataFrame, DataFrame]:
+           max_iter: int = 300, starts: int = 10, min_rows: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Standardised K-Means with the best silhouette over ``ks``, plus a 2-D PCA.
 
+    Each k keeps the cheapest of ``starts`` runs.  Fewer than ``min_rows`` complete
+    rows raise an error; no k may exceed the number of rows.
+
     Returns (assignments, centres, importance): assignments carry ``cluster``,
     ``pc1``, ``pc2``; centres carry the centre vector, k and silhouette;
-    importance is the spread (population std) of the centres per feature.
+    importance is each feature's share of the spread (population std) of the centres.
     Cluster ids are ordered by size.
     """
     from pyspark.ml.clustering import KMeans
@@ -227,11 +230,15 @@ def kmeans(df: DataFrame, cols: list[str], entity: str | None = None, ks=range(3
         base = base.withColumn(c, F.col(c).cast("double"))
     vec = VectorAssembler(inputCols=cols, outputCol="raw").transform(base)
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True).fit(vec).transform(vec)
-    scaled = scaled.persist()
+    scaled = cut_lineage(scaled)  # read by every run; its files go when nothing refers to it any more
+    n = scaled.count()
+    if n < min_rows:
+        raise ValueError(f"K-Means needs at least {min_rows} complete rows, not {n}")
     best = None
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster_raw", metricName="silhouette")
-    for k in ks:
-        model = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster_raw").fit(scaled)
+    for k in [k for k in ks if k <= n]:
+        runs = [KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features", predictionCol="cluster_raw").fit(scaled) for i in range(starts)]
+        model = min(runs, key=lambda m: m.summary.trainingCost)
         pred = model.transform(scaled)
         sil = ev.evaluate(pred)
         if best is None or sil > best[0]:
@@ -256,6 +263,8 @@ def kmeans(df: DataFrame, cols: list[str], entity: str | None = None, ks=range(3
         vals = [r[1][j] for r in rows]
         mean = sum(vals) / len(vals)
         imp.append((c, (sum((v - mean) ** 2 for v in vals) / len(vals)) ** 0.5))
+    spread = sum(v for _, v in imp)
+    imp = [(c, v / spread if spread else 0.0) for c, v in imp]
     imp_df = df.sparkSession.createDataFrame(imp, "feature string, importance double")
     meta = cdf.withColumn("k", F.lit(k)).withColumn("silhouette", F.lit(float(sil)))
     return out, meta, imp_df

@@ -138,7 +138,7 @@ def q_rfm_evidence(spark, d):
 def q_kmeans(spark, d):
     """K-Means (k = 3..6 by silhouette) on customers' RFM metrics, with a 2-D PCA."""
     rfm = _rfm(spark, d)
-    out, _, _ = segment.kmeans(rfm, ["recency", "frequency", "monetary"], entity="entity")
+    out, _, _ = segment.kmeans(rfm, ["recency", "frequency", "monetary"], entity="entity", starts=3)
     return out
 
 

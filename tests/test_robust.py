@@ -130,3 +130,13 @@ def test_report_sections_are_whole(spark):
     note = str(signals.report_insights(s, "report").collect()[0])
     assert note.count("summary") == 7 and "x" * 900 in note
     assert str(signals.report_insights(s, "report", 3, 10).collect()[0]).count("summary") == 2
+
+
+def test_kmeans_guards_and_shares(spark):
+    rows = [(float(i % 3) * 10, float(i % 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    out, meta, share = segment.kmeans(df, ["a", "b"], ks=range(3, 5), starts=2)
+    assert out.count() == 60 and meta.first()["k"] == 3
+    assert abs(sum(r.importance for r in share.collect()) - 1) < 1e-9
+    with pytest.raises(ValueError):
+        segment.kmeans(df.limit(9), ["a", "b"])
