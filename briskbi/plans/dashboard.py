@@ -16,7 +16,7 @@ DIM_MIN_DISTINCT, DIM_MAX_DISTINCT = 2, 25
 
 
 def auto_blueprint(profile_rows: list[dict], roles: dict[str, str], n_rows: int, max_charts: int | None = None) -> list[dict]:
-    """Q7: chart specs from the column index — trend, ranking, share, distribution, KPI.
+    """Q7: default chart specs from the column index, in the order of ``FALLBACK``.
 
     Categories come from the roles (date / measure / dimension); a dimension
     needs 2–25 distinct values (from the profile's unique ratio).  All charts that fit, or the
@@ -31,24 +31,89 @@ def auto_blueprint(profile_rows: list[dict], roles: dict[str, str], n_rows: int,
             nd = round((by[c].get("unique_ratio") or 0) * n_rows)
             if DIM_MIN_DISTINCT <= nd <= DIM_MAX_DISTINCT:
                 dims.append((nd, c))
-    dims = [c for _, c in sorted(dims)]
-    specs: list[dict] = []
-    m = measures[0] if measures else None
-    if m and dates:
-        specs.append({"chart_type": "line", "x_axis": dates[0], "y_axis": m})
-    if m and dims:
-        specs.append({"chart_type": "bar", "x_axis": dims[0], "y_axis": m})
-        specs.append({"chart_type": "pie", "x_axis": dims[-1], "y_axis": m})
-    if m and len(measures) > 1 and dims:
-        specs.append({"chart_type": "combo", "x_axis": dims[0], "y_axis": m, "y_axis_secondary": measures[1]})
-    if m:
-        specs.append({"chart_type": "histogram", "x_axis": m, "y_axis": None})
-        specs.append({"chart_type": "kpi_card", "x_axis": None, "y_axis": m})
-    if m and dims:
-        specs.append({"chart_type": "pareto", "x_axis": dims[0], "y_axis": m})
+    pick = {"metric": measures[0] if measures else None, "date": dates[0] if dates else None,
+            "dimension": min(dims)[1] if dims else None}
+    specs = []
+    for kind, x, y, dated in FALLBACK:
+        if dated is not None and dated != bool(pick["date"]):
+            continue
+        axes = {"x_axis": pick[x] if x else None, "y_axis": pick[y] if y else None}
+        if all(pick[a] for a in (x, y) if a):
+            specs.append({"chart_type": kind, **axes})
     return specs[:max_charts]
 
 
+# Default charts in order: type, x, y, and whether a date column must exist or be absent.
+FALLBACK = [
+    ("kpi_card", None, "metric", None),
+    ("line", "date", "metric", None),
+    ("bar", "dimension", "metric", None),
+    ("pie", "dimension", "metric", None),
+    ("combo", "date", "metric", True),
+    ("treemap", "dimension", "metric", False),
+    ("histogram", "metric", None, False),
+    ("pareto", "dimension", "metric", None),
+]
+# What each chart type asks of its axes.  "metric": a number, the first measure where
+# none is named; "number?": a number that is no id, left out otherwise; None: no such axis.
+AXES = {
+    "bar": ("any", "any"), "line": ("any", "any"), "horizontal_bar": ("any", "any"),
+    "combo": ("any", "number"), "pareto": ("any", "number"), "histogram": ("number", None),
+    "pie": ("any", "number?"), "donut": ("any", "number?"), "treemap": ("any", "number?"), "funnel": ("any", "number?"),
+    "kpi_card": (None, "metric"), "radial": (None, "metric"),
+}
+
+
+def validate_charts(specs: list[dict], profile_rows: list[dict], roles: dict[str, str]) -> tuple[list[dict], list[str]]:
+    """Q7: specs whose type and axes the profile supports, and a note on every change or rejection.
+
+    Column names match without regard to case; a horizontal bar with its axes the wrong
+    way round is turned; a combo takes the first other numeric column as its line.
+    """
+    kinds = {r["column"]: r["data_type"] for r in profile_rows}
+    named = {c.lower(): c for c in kinds}
+    number = lambda c: kinds.get(c) == "numeric"
+    first = next((c for c in kinds if number(c) and roles.get(c) == "measure"), None)
+    good, notes = [], []
+    for i, spec in enumerate(specs):
+        kind = str(spec.get("chart_type") or "").strip().lower()
+        if kind not in AXES:
+            notes.append(f"{i}: unknown chart type {kind!r}")
+            continue
+        x, y = (named.get(str(spec.get(a) or "").lower()) for a in ("x_axis", "y_axis"))
+        if kind == "horizontal_bar" and x and y and number(x) and not number(y):
+            x, y = y, x
+            notes.append(f"{i}: axes turned")
+        fault = None
+        found = {}
+        for axis, column, rule in zip(("x_axis", "y_axis"), (x, y), AXES[kind], strict=True):
+            if rule == "metric" and column is None:
+                column = first
+            if rule is None:
+                column = None
+            elif rule == "number?":
+                if column and (not number(column) or roles.get(column) == "id"):
+                    notes.append(f"{i}: {axis} {column} left out")
+                    column = None
+            elif column is None:
+                fault = f"{i}: {kind} needs a column for {axis}"
+            elif rule in ("number", "metric") and not number(column):
+                fault = f"{i}: {kind} needs a number for {axis}, not {column}"
+            found[axis] = column
+        if fault:
+            notes.append(fault)
+            continue
+        if kind == "line" and kinds[found["x_axis"]] != "datetime":
+            notes.append(f"{i}: {found['x_axis']} is no date")
+        if kind == "combo":
+            others = [named.get(str(c).lower()) for c in [spec.get("y_axis_secondary"), *(spec.get("columns") or [])]]
+            second = next((c for c in others if c and c not in found.values() and number(c)), None)
+            if second:
+                found["y_axis_secondary"] = second
+        good.append({"chart_type": kind, **found})
+    return good, notes
+
+
 def chart_cache(df: DataFrame, specs: list[dict], scale: int | None = None) -> DataFrame:
     """Every chart as rows of one results table ``(chart_key, position, row_json)``."""
     built = charts.build_charts(df, specs, scale)

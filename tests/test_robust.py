@@ -140,3 +140,24 @@ def test_kmeans_guards_and_shares(spark):
     assert abs(sum(r.importance for r in share.collect()) - 1) < 1e-9
     with pytest.raises(ValueError):
         segment.kmeans(df.limit(9), ["a", "b"])
+
+
+def test_blueprint_order_and_validation():
+    from briskbi.plans import dashboard
+
+    profile = [{"column": c, "data_type": t, "unique_ratio": u} for c, t, u in
+               (("Day", "datetime", 1.0), ("Amount", "numeric", 0.9), ("Units", "numeric", 0.5), ("Region", "text", 0.05), ("Order", "numeric", 1.0))]
+    roles = {"Day": "date", "Amount": "measure", "Units": "measure", "Region": "dimension", "Order": "id"}
+    kinds = [s["chart_type"] for s in dashboard.auto_blueprint(profile, roles, 100)]
+    assert kinds == ["kpi_card", "line", "bar", "pie", "combo", "pareto"]
+    undated = {k: v for k, v in roles.items() if k != "Day"}
+    assert [s["chart_type"] for s in dashboard.auto_blueprint(profile, undated, 100)] == ["kpi_card", "bar", "pie", "treemap", "histogram", "pareto"]
+    assert len(dashboard.auto_blueprint(profile, roles, 100, max_charts=2)) == 2
+    good, notes = dashboard.validate_charts([
+        {"chart_type": "Bar", "x_axis": "region", "y_axis": "AMOUNT"}, {"chart_type": "gauge"}, {"chart_type": "bar", "x_axis": "Region"},
+        {"chart_type": "horizontal_bar", "x_axis": "Amount", "y_axis": "Region"}, {"chart_type": "pie", "x_axis": "Region", "y_axis": "Order"},
+        {"chart_type": "histogram", "x_axis": "Region"}, {"chart_type": "kpi_card"}, {"chart_type": "combo", "x_axis": "Day", "y_axis": "Amount", "columns": ["Units"]},
+        {"chart_type": "line", "x_axis": "Region", "y_axis": "Amount"}], profile, roles)
+    assert [(g["chart_type"], g["x_axis"], g["y_axis"]) for g in good] == [
+        ("bar", "Region", "Amount"), ("horizontal_bar", "Region", "Amount"), ("pie", "Region", None), ("kpi_card", None, "Amount"), ("combo", "Day", "Amount"), ("line", "Region", "Amount")]
+    assert good[4]["y_axis_secondary"] == "Units" and len(notes) == 6
