@@ -454,6 +454,47 @@ def mutual_info_binned(df: DataFrame, cat: str, num: str, bins: int = 10, squash
                       (F.round(F.col("mi") / F.greatest(F.lit(1.0), F.col("mi")), 3) if squash else F.col("mi")).alias("mi"))
 
 
+def category_edges(df: DataFrame, text: list[str] | None = None, numbers: list[str] | None = None, bins: int = 10,
+                   min_score: float = 0.15, min_rows: int = 10) -> DataFrame:
+    """Q4: edges between text and numeric columns by squashed binned mutual information.
+
+    All pairs in two passes: one for the ranges, one that counts (pair, value, bin); the
+    marginals are sums of those counts.  Pairs with fewer than ``min_rows`` complete rows have no edge.
+    """
+    text, numbers = text or text_columns(df), numbers or numeric_columns(df)
+    schema = "source string, target string, weight double, method string"
+    if not text or not numbers:
+        return df.sparkSession.createDataFrame([], schema)
+    st = df.agg(*[x for i, c in enumerate(numbers) for x in (F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
+    cells = []
+    for i, c in enumerate(numbers):
+        lo, hi = st[f"lo{i}"], st[f"hi{i}"]
+        if lo is None:
+            continue
+        width = (hi - lo) / bins if hi != lo else 1.0
+        bucket = F.least(F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+        cells += [F.struct(F.lit(t).alias("source"), F.lit(c).alias("target"), F.col(t).alias("x"), bucket.alias("b")) for t in text]
+    if not cells:
+        return df.sparkSession.createDataFrame([], schema)
+    pair = ["source", "target"]
+    counts = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where(F.col("x").isNotNull() & F.col("b").isNotNull()).groupBy(*pair, "x", "b").agg(F.count(F.lit(1)).alias("nxy"))
+    total = counts.groupBy(*pair).agg(F.sum("nxy").alias("n"))
+    by_x = counts.groupBy(*pair, "x").agg(F.sum("nxy").alias("nx"))
+    by_b = counts.groupBy(*pair, "b").agg(F.sum("nxy").alias("ny"))
+    full = counts.join(by_x, [*pair, "x"]).join(by_b, [*pair, "b"]).join(total, pair)
+    term = F.col("nxy") / F.col("n") * F.log(F.col("nxy") * F.col("n") / (F.col("nx") * F.col("ny")))
+    mi = full.where(F.col("n") >= min_rows).groupBy(*pair).agg(F.round(F.sum(term), 6).alias("mi"))
+    score = F.round(F.col("mi") / F.greatest(F.lit(1.0), F.col("mi")), 3)
+    return mi.select(*pair, score.alias("weight"), F.lit("mutual_info").alias("method")).where(F.col("weight") >= min_score)
+
+
+def graph_nodes(df: DataFrame, roles: dict[str, str] | None = None) -> DataFrame:
+    """Q3: one node per column with its kind and role."""
+    kinds = {**{c: "numeric" for c in numeric_columns(df)}, **{c: "datetime" for c in datetime_columns(df)}}
+    rows = [(c, kinds.get(c, "text"), (roles or {}).get(c, "unknown")) for c in df.columns]
+    return df.sparkSession.createDataFrame(rows, "column string, type string, role string")
+
+
 def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None, numeric_share: float = 0.8) -> DataFrame:
     """Q5: score every candidate against ``target``; |Pearson| for numeric pairs, else binned MI.
 

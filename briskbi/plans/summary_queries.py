@@ -387,3 +387,19 @@ def q_corr_edges_low(spark, d):
     """Q3: every correlated pair of three columns and a constant one, which has no edge."""
     li = table(spark, d, "lineitem").select("l_quantity", "l_extendedprice", (F.col("l_extendedprice") * 2 + F.col("l_quantity")).alias("doubled"), F.lit(7).alias("same"))
     return summaries.correlations(li, min_abs=0.0)
+
+
+def _category_edge_sql(cat: str, num: str) -> str:
+    return f"""
+SELECT '{cat}' AS source, '{num}' AS target, round(mi / greatest(1.0, mi), 3) AS weight, 'mutual_info' AS method FROM (
+  SELECT round(SUM((nxy / n) * ln((nxy * n) / (nx * ny))), 6) AS mi FROM (
+    SELECT nxy, SUM(nxy) OVER (PARTITION BY x) AS nx, SUM(nxy) OVER (PARTITION BY b) AS ny, SUM(nxy) OVER () AS n FROM (
+      SELECT {cat} AS x, least(floor((CAST({num} AS DOUBLE) - s.mn) / s.w), 9) AS b, COUNT(*) AS nxy
+      FROM lineitem, (SELECT min(CAST({num} AS DOUBLE)) AS mn, (max(CAST({num} AS DOUBLE)) - min(CAST({num} AS DOUBLE))) / 10 AS w FROM lineitem) s
+      WHERE {num} IS NOT NULL AND {cat} IS NOT NULL GROUP BY 1, 2) c) p) m"""
+
+
+@register("q_category_edges", " UNION ALL ".join(_category_edge_sql(c, n) for c in ("l_returnflag", "l_linestatus") for n in ("l_quantity", "l_extendedprice")))
+def q_category_edges(spark, d):
+    """Q4: mutual information of flags with quantity and price, all pairs in one count."""
+    return summaries.category_edges(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"], min_score=0.0)
