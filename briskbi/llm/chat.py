@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from briskbi.llm.shared import steps
+from briskbi.llm.shared import small_batches, steps
 from briskbi.llm.tokens import coder
 
 TURN, AGAIN, END = "<|turn|>", "<|again|>", "<|end|>"
@@ -140,6 +140,7 @@ def format_chats(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn:
     Rows come by conversation and window within their partition.  Tokens count the
     turns' texts; marks are not part of the budget.
     """
+    small_batches(turns.sparkSession)
     kind = turns.schema[conv].dataType.simpleString()
     order = turns.schema[turn].dataType.simpleString()
     plain = turns.select(F.col(conv).alias("_conv"), F.col(turn).alias("_turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("_role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))

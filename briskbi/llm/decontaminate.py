@@ -121,12 +121,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     blocks = max(1, math.ceil(size / block_bytes))
     out = base.withColumns({"_hits": F.lit(None).cast("binary"), "_items": F.array().cast(T.ArrayType(item_type))})
     schema = out.schema
+    names = [id_col, *kept]
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block)
         rows = part.orderBy("i", "t").collect()  # at most about block_bytes of text
         index = Fingerprints([r["t"] for r in rows], window, k)
-        out = out.mapInArrow(_marker(index, [r["i"] for r in rows]), schema)
-    return _summed(out, [id_col, *kept], item_type)
+        mark = _marker(index, [r["i"] for r in rows])
+        if block == blocks - 1:  # the last visit also sums up, in the same task
+            final = _final_schema(schema, names, item_type)
+            summed = _summed(names)
+            return out.mapInArrow(lambda batches, mark=mark, summed=summed: summed(mark(batches)), final)
+        out = out.mapInArrow(mark, schema)
+    raise AssertionError("there is at least one block")
 
 
 def _marker(index: Fingerprints, ids: list):
@@ -161,10 +167,15 @@ def _marker(index: Fingerprints, ids: list):
     return run
 
 
-def _summed(marked: DataFrame, names: list[str], item_type: T.DataType) -> DataFrame:
+def _final_schema(marked: T.StructType, names: list[str], item_type: T.DataType) -> T.StructType:
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
-    fields = [T.StructField(c, f.dataType) for c, f in zip(names, marked.schema, strict=False)]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", span)])
+    fields = [T.StructField(c, f.dataType) for c, f in zip(names, marked, strict=False)]
+    return T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("items", T.ArrayType(item_type)), T.StructField("spans", span)])
+
+
+def _summed(names: list[str]):
+    """Task function: the words' marks as counts and runs."""
+    result = [*names, "n_words", "n_hit", "items", "spans"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,6 +188,6 @@ def _summed(marked: DataFrame, names: list[str], item_type: T.DataType) -> DataF
                 n_hit.append(int(hit.sum()))
                 spans.append([{"start": int(a), "length": int(b - a)} for a, b in zip(edge[:-1], edge[1:], strict=True) if hit[a]])
             kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), col("_items"), pa.array(spans, kind)], names=[f.name for f in schema])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), col("_items"), pa.array(spans, kind)], names=result)
 
-    return marked.mapInArrow(run, schema)
+    return run

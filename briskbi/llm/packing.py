@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from briskbi.llm.shared import steps
+from briskbi.llm.shared import small_batches, steps
 from briskbi.llm.tokens import coder
 
 PIECES = "start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -94,6 +94,7 @@ class Packer:
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "text", length: int = 1024, open_windows: int = 64, end_id: int = 0) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col), F.col(text).cast("string").alias("_text"))
 

@@ -26,6 +26,17 @@ SLICE_BYTES = 8 << 20
 _U = np.uint64
 
 
+#: Bytes of an Arrow batch between Spark and Python; Spark's own default is 64 MB, twice for each running task.
+ARROW_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to ``ARROW_BYTES`` if it is larger: texts can be long."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("bB")) > ARROW_BYTES:
+        spark.conf.set(name, str(ARROW_BYTES))
+
+
 def worker_state(name: str) -> dict:
     """A dictionary that outlives the task.  Functions reach the workers by value, with module
     globals of their own in every task; a module object of the interpreter stays."""
@@ -143,10 +154,12 @@ def steps(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = STE
             b = max(a + 1, int(np.searchsorted(off, off[a] + size, side="right")) - 1)
             yield batch.slice(a, b - a)
             a = b
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 def carried(docs: DataFrame, id_col: str, carry: tuple[str, ...], made: tuple[str, ...]) -> tuple[list[str], list]:
     """Names to carry (without those of result columns), and the id and those columns under names of our own."""
+    small_batches(docs.sparkSession)
     kept = [c for c in dict.fromkeys(carry) if c not in (id_col, *made)]
     return kept, [F.col(id_col).alias("_id"), *[F.col(c).alias(f"_carry{i}") for i, c in enumerate(kept)]]
 
@@ -166,6 +179,7 @@ def cuts(sorted_values: np.ndarray) -> np.ndarray:
 
 def text_slices(docs: DataFrame, text: str, slice_bytes: int = SLICE_BYTES) -> int:
     """Number of slices so that each stands for ``slice_bytes`` of text at every input size."""
+    small_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length(text)).alias("b")).first()["b"] or 0
     return max(12, math.ceil(total / slice_bytes))
 
