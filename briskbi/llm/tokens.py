@@ -17,7 +17,7 @@ from tokenizers import Tokenizer
 from briskbi.llm.shared import _BYTE, _LOWER, _PLACE, SPACED, mix, text_bytes, worker_state
 
 #: Pieces a worker remembers at most (about 70 bytes each), and the longest one remembered.
-PIECES, PIECE_BYTES = 1_000_000, 64
+PIECES, PIECE_BYTES = 600_000, 64
 _CUT = np.zeros(256, bool)
 _CUT[[0x20, 0x09, 0x0A, 0x0D]] = True
 _RARE = np.zeros(256, bool)

@@ -34,7 +34,7 @@ from briskbi.llm.shared import Words, carried, steps, worker_state
 from briskbi.llm.tokens import _Table
 
 #: Words a worker remembers the value of, and the longest piece of a word that the kernel sees.
-REMEMBERED, PIECE = 1_000_000, 40
+REMEMBERED, PIECE = 300_000, 40
 _SENTENCE = re.compile(r"[.!?\n]+\s|\n")
 
 
