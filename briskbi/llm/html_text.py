@@ -4,8 +4,10 @@ Markup is stripped to lines, one for each block element; elements that are never
 article text (by tag, role, class or id) leave an empty line.  A line's weight is its
 text outside links.  Summed over sliding windows of ``width`` lines, the weights surge
 where the article begins and dive to nothing where it ends; the lines between the
-two are the text, with short lines that touch it.  Where the page marks an
-``article`` or ``main`` element, only lines inside count.
+two are the text, with short lines that touch it; a page can have several such
+stretches and all of them stay.  Where ``article`` or ``main`` elements hold text, the
+lines inside all of them, nested ones included, are the page, and any weight is a surge
+there: what dives are runs of ``width`` or more lines of links or skipped elements.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined by one newline in page order; nothing inside the found stretch
@@ -152,28 +154,23 @@ def main_text(page: str | None, width: int = 3, surge: int = 86) -> str:
     found = lines(page or "")
     if not any(t for t, _, _ in found):
         return ""
-    inside = [z for _, _, z in found if z]
-    if inside:
-        size: dict[int, int] = {}
-        for t, _, z in found:
-            if z:
-                size[z] = size.get(z, 0) + len(t)
-        least = 0.3 * max(size.values())
-        found = [x for x in found if x[2] and size[x[2]] >= least]
+    marked = any(z and t for t, _, z in found)
+    if marked:
+        found = [x for x in found if x[2]]
     weights = [w for _, w, _ in found]
-    stretches = _stretches(weights, width, surge)
-    if inside or not stretches:
-        begin, end = 0, len(found)  # an article too short to surge, or one the page itself marks
-        return "\n".join(t for t, _, _ in found[begin:end] if t)
-    mass = [sum(weights[a:b]) for a, b in stretches]
+    stretches = _stretches(weights, width, 0 if marked else surge)
+    if not stretches:  # a text too short to surge
+        return "\n".join(t for t, _, _ in found if t)
     keep = [False] * len(found)
-    for (a, b), m in zip(stretches, mass, strict=True):
-        if m >= 0.2 * max(mass):
-            while weights[a] == 0:  # the first window also reached over lines without weight
-                a += 1
-            while a > 0 and weights[a - 1] > 0:
-                a -= 1
-            keep[a:b] = [True] * (b - a)
+    for a, b in stretches:
+        while weights[a] == 0:  # the first window also reached over lines without weight
+            a += 1
+        while a > 0 and weights[a - 1] > 0:
+            a -= 1
+        if marked:  # a few lines without weight do not part a stretch; neither do they at the ends of what the page marks
+            a = 0 if a < width else a
+            b = len(found) if len(found) - b < width else b
+        keep[a:b] = [True] * (b - a)
     return "\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k and t)
 
 

@@ -83,6 +83,21 @@ def test_main_text(spark):
     assert html_text.main_text("<p>" + "x " * 200_000) == " ".join(["x"] * 200_000)
 
 
+def test_main_text_weighs_marked_pages_too():
+    body = "A long enough paragraph, with many words in it, so that the sums of the line blocks surge and stay. " * 4
+    body = body.strip()
+    links = "".join(f"<li><a>link {i}</a></li>" for i in range(4))
+    cases = {
+        f"<main><h1>T</h1><p>lead</p><article><p>{body}</p></article><p>end</p></main>": f"T\nlead\n{body}\nend",
+        f"<article><p>{body}</p></article><div><p>{body}</p></div><article><p>Second.</p></article>": f"{body}\nSecond.",
+        f"<article><h1><a>T</a></h1><p>{body}</p><ul>{links}</ul><p>On.</p><p><a>more</a></p></article>": f"T\n{body}\nOn.\nmore",
+        f"<p>{body}</p><p>{body}</p><p>{body}</p><ul>{links}</ul><p>{body[:100]}</p>": f"{body}\n{body}\n{body}\n{body[:100].strip()}",
+        f"<article><nav>x</nav></article><p>{body}</p>": body,
+    }
+    for page, text in cases.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 64))
