@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines, one for each block element; elements that are never
-article text (by tag, role, class or id) leave an empty line.  A line's weight is its
-text outside links.  Summed over sliding windows of ``width`` lines, the weights surge
+article text by their tag leave an empty line, and so do those with less than half of the
+page's weight that a whole class, id or role names outright.  A line's weight is its
+text outside links, less where a word of a class, id or role hints at something else.  Summed over sliding windows of ``width`` lines, the weights surge
 where the article begins and dive to nothing where it ends; the lines between the
 two are the text, with short lines that touch it; a page can have several such
 stretches and all of them stay.  Where ``article`` or ``main`` elements hold text, the
@@ -41,8 +42,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements that begin and end a line.
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 ZONE = frozenset(("article", "main"))
-#: Words of a class, id or role that mark a part as something else than the article.
-_MARKS = (
+#: Words in a class, id or role that hint at something else than the article: they lower a line's weight.
+_HINTS = (
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
     "cookie cookies consent gdpr notice notices alert newsletter subscribe subscription popup modal overlay paywall "
     "sidebar rail widget nav navbar navigation menu menus breadcrumb breadcrumbs toolbar masthead footer "
@@ -51,7 +52,15 @@ _MARKS = (
     "pagination pager login signin signup register search "
     "contentinfo complementary"
 ).split()
-_MARK = re.compile(r"(?:^|[\s_-])(?:" + "|".join(_MARKS) + r")(?:$|[\s_-])", re.IGNORECASE)
+_HINT = re.compile(r"(?:^|[\s_-])(?:" + "|".join(_HINTS) + r")(?:$|[\s_-])", re.IGNORECASE)
+#: Whole classes, ids and roles that say it outright: a small part of the page so named is left out.
+_NAMED = frozenset((
+    "ad ads adv advert adverts advertisement advertising adsense sponsored cookie cookies newsletter popup modal "
+    "sidebar navbar navigation menu breadcrumb breadcrumbs toolbar share sharing "
+    "comment comments commentlist disqus pagination pager contentinfo complementary"
+).split())
+#: A hint divides the weight of a line by this.
+LOWER = 4
 
 
 def _is_aside(tag: str, attributes: str) -> bool:
@@ -61,16 +70,31 @@ def _is_aside(tag: str, attributes: str) -> bool:
         return False
     if _HIDDEN.search(attributes) and not re.search(r"[\"'][^\"']*\bhidden\b", attributes):
         return True
-    return any(_MARK.search(a or b or c) for _, a, b, c in _ATTRIBUTE.findall(attributes))
+    return False
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, weight, zone) of each line; empty lines stand for skipped elements, zone 0 is outside any."""
-    out: list[tuple[str, int, int]] = []
+def _mark(tag: str, attributes: str) -> int:
+    """2: the element's class, id or role names something else than an article; 1: it hints at it; 0: neither."""
+    if not attributes or tag in ("html", "body"):
+        return 0
+    values = [a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes)]
+    if any(word in _NAMED for v in values for word in v.lower().split()):
+        return 2
+    return int(any(_HINT.search(v) for v in values))
+
+
+def lines(page: str) -> tuple[list[tuple[str, int, tuple[int, ...], tuple[int, ...]]], list[int]]:
+    """(text, weight, zones, marks) of each line, and the kind of each mark; empty lines stand for skipped elements.
+
+    ``marks`` are the places of the marked elements around the line; ``zones`` has one entry
+    for each zone around it: the place of the zone's own mark, or 0.
+    """
+    out: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
+    kinds = [0]
+    marks: list[list] = []  # [tag, depth, place]
     parts: list[str] = []
     linked = link = 0
     zones: list[int] = []
-    zone_count = 0
     skipped, depth = "", 0
     at = 0
 
@@ -78,7 +102,7 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         nonlocal parts, linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            out.append((text, max(0, len(text) - linked), zones[-1] if zones else 0))
+            out.append((text, max(0, len(text) - linked), tuple(zones), tuple(m[2] for m in marks)))
         parts, linked = [], 0
 
     while True:
@@ -117,9 +141,27 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         if not close and tag not in VOID and not attributes.rstrip().endswith("/") and _is_aside(tag, attributes):
             end_line()
-            out.append(("", 0, zones[-1] if zones else 0))
+            out.append(("", 0, tuple(zones), tuple(m[2] for m in marks)))
             skipped, depth = tag, 1
             continue
+        if marks:
+            around = next((i for i in reversed(range(len(marks))) if marks[i][0] == tag), None)
+            if marks[-1][0] in ("p", "li") and tag in BLOCK and not close:
+                end_line()
+                marks.pop()
+            elif around is not None and not attributes.rstrip().endswith("/"):
+                marks[around][1] += -1 if close else 1
+                if not marks[around][1]:
+                    end_line()
+                    del marks[around:]
+        mark = 0 if close or tag in VOID or attributes.rstrip().endswith("/") else _mark(tag, attributes)
+        if tag in ZONE and not close and not mark and not any(m[0] in ZONE for m in marks):
+            end_line()
+            marks.clear()  # a marked element was never closed, or wraps the article
+        if mark == 2 or mark and tag in BLOCK:
+            end_line()
+            kinds.append(mark)
+            marks.append([tag, 1, len(kinds) - 1])
         if tag == "a":
             link = 0 if close else 1
         if tag in BLOCK:
@@ -127,11 +169,38 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             link = 0
             if tag in ZONE:
                 if not close:
-                    zone_count += 1
-                    zones.append(zone_count)
+                    zones.append(len(kinds) - 1 if mark else 0)
                 elif zones:
                     zones.pop()
     end_line()
+    return out, kinds
+
+
+def _weighed(page: str) -> list[tuple[str, int, bool]]:
+    """(text, weight, in a zone) of each line that marks leave, with lowered weights.
+
+    A mark counts on an element with less than half of the page's weight, and only as long as
+    all lines it would take, or lower, have less than half together.
+    """
+    found, kinds = lines(page)
+    total = sum(x[1] for x in found)
+    held = [0] * len(kinds)
+    for _, w, _, marks in found:
+        for m in marks:
+            held[m] += w
+    small = [k if 2 * h < total else 0 for k, h in zip(kinds, held, strict=True)]
+    level = [max((small[m] for m in marks), default=0) for _, _, _, marks in found]
+    if 2 * sum(x[1] for x, k in zip(found, level, strict=True) if k == 2) >= total:
+        level = [min(k, 1) for k in level]
+    if 2 * sum(x[1] for x, k in zip(found, level, strict=True) if k == 1) >= total:
+        level = [k if k == 2 else 0 for k in level]
+    out: list[tuple[str, int, bool]] = []
+    for i, ((text, w, zones, _), k) in enumerate(zip(found, level, strict=True)):
+        inside = any(not small[m] for m in zones)
+        if k < 2:
+            out.append((text, -(-w // LOWER) if k else w, inside))
+        elif not i or level[i - 1] < 2:
+            out.append(("", 0, inside))
     return out
 
 
@@ -151,7 +220,7 @@ def _stretches(weights: list[int], width: int, surge: int) -> list[tuple[int, in
 
 
 def main_text(page: str | None, width: int = 3, surge: int = 86) -> str:
-    found = lines(page or "")
+    found = _weighed(page or "")
     if not any(t for t, _, _ in found):
         return ""
     marked = any(z and t for t, _, z in found)

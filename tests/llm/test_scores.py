@@ -98,6 +98,25 @@ def test_main_text_weighs_marked_pages_too():
         assert html_text.main_text(page) == text, page
 
 
+def test_marks_of_main_text_do_not_take_whole_parts():
+    body = ("A long enough paragraph, with many words in it, so that the sums of the line blocks surge and stay. " * 4).strip()
+    found = f"Discussion\n{body}"
+    cases = {
+        f"<div class='content has-sidebar'><h1>T</h1><p>{body}</p></div>": f"T\n{body}",
+        f"<div id=page class=no-sidebar><p>{body}</p><div class=ad>buy</div><p>{body}</p></div>": f"{body}\n{body}",
+        f"<article><p>{body}</p><p>{body}</p><section id='discussion'><h2>Discussion</h2><p>{body}</p></section></article>": f"{body}\n{body}\n{found}",
+        f"<p>{body}</p><p>{body}</p><section id='discussion'><h2>Discussion</h2><p>{body}</p></section>": f"{body}\n{body}\n{found}",
+        f"<main><p>{body}</p><div class='notice'>Mind this.</div><section id='related-work'><p>{body}</p></section><p>{body}</p></main>": f"{body}\nMind this.\n{body}\n{body}",
+        f"<div class='search-page'><p>{body}</p></div>": body,
+        f"<div class='sidebar'><p>{body}</p><p>{body}</p></div><p>Short.</p>": f"{body}\n{body}\nShort.",
+        f"<p>{body} <span class='alert'>Mind</span> it.</p>": f"{body} Mind it.",
+        f"<article><p>{body}</p><div class='sidebar'><div><p>a</p></div><p>b</p></div><p>c</p></article><article class='comment'>d</article>": f"{body}\nc",
+        f"<div>{''.join(f'<div class=comment><p>{body}</p></div>' for _ in range(5))}</div>": "\n".join([body] * 5),
+    }
+    for page, text in cases.items():
+        assert html_text.main_text(page) == text, page
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 64))
