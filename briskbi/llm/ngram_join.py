@@ -351,25 +351,33 @@ def link_components(records: DataFrame, percent: int = 75, rounds: int = 2, part
     return components(links.unionByName(last))
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, slice_bytes: int = SLICE_BYTES // 2) -> DataFrame:
-    """One row per document row: id, n_shingles, component_id (smallest id reachable over links)."""
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, slice_bytes: int = SLICE_BYTES // 2, tie: str | None = None) -> DataFrame:
+    """One row per document row: id, n_shingles, component_id (smallest id reachable over links).
+
+    With ``tie``, a long column that tells rows of one id apart, there are two more columns: ``tie``,
+    and ``leads``, which is true on the rows of a component with its smallest id (null ids last)
+    and of these the smallest tie, and null on rows with the empty set.
+    """
     texts = docs.select(F.col(text).cast("string").alias("_text"))
     slices = buckets = text_slices(docs, text, slice_bytes)
-    rows = docs.select(F.col(id_col), F.col(text).cast("string").alias("_text"))
+    ties = [] if tie is None else ["_tie"]
+    rows = docs.select(F.col(id_col), *[F.col(tie).alias(t) for t in ties], F.col(text).cast("string").alias("_text"))
     kind = docs.schema[id_col].dataType.simpleString()
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in steps(batches, "_text"):
-            sets = Sets(batch.column(1), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets.sizes, pa.int64()), pa.array(sets.keys.view(np.int64))], names=[id_col, "n_shingles", "key"])
+            sets = Sets(batch.column(batch.num_columns - 1), n)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sets.sizes, pa.int64()), pa.array(sets.keys.view(np.int64))], names=[id_col, *ties, "n_shingles", "key"])
 
-    members = keep(rows.mapInArrow(sizes, f"`{id_col}` {kind}, n_shingles long, key long"))
+    members = keep(rows.mapInArrow(sizes, f"`{id_col}` {kind}, {''.join(f'{t} long, ' for t in ties)}n_shingles long, key long"))
     packed = texts.mapInArrow(_senders(n, slices), _PACKED).repartition(slices, "part").sortWithinPartitions("part")
     shared = packed.mapInArrow(_counters(slices, buckets), _PACKED).repartition(buckets, "part").sortWithinPartitions("part")
     records = keep(shared.mapInArrow(_recorders(percent), _RECORD))
     linked = link_components(records, percent)
-    least = members.where("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("least")).join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
-    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_key = least.select("key", "root").join(of_root, "root").select("key", "component_id")
-    full = members.where("n_shingles > 0").join(of_key, "key").select(id_col, "n_shingles", "component_id")
-    return full.unionByName(members.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id")))
+    least = members.where("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("least"), *[F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), t)).alias("lead") for t in ties]).join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
+    of_root = least.groupBy("root").agg(F.min("least").alias("component_id"), *[F.min("lead").alias("lead") for _ in ties])
+    of_key = least.select("key", "root").join(of_root, "root").select("key", "component_id", *["lead" for _ in ties])
+    leads = F.col(id_col).eqNullSafe(F.col("lead.id")) & (F.col("_tie") == F.col("lead._tie"))
+    full = members.where("n_shingles > 0").join(of_key, "key").select(id_col, "n_shingles", "component_id", *[x for t in ties for x in (F.col(t).alias(tie), leads.alias("leads"))])
+    rest = members.where("n_shingles = 0").select(id_col, "n_shingles", F.col(id_col).alias("component_id"), *[x for t in ties for x in (F.col(t).alias(tie), F.lit(None).cast("boolean").alias("leads"))])
+    return full.unionByName(rest)

@@ -92,3 +92,28 @@ def test_stages_on_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).collect() == []
+
+
+def test_rows_that_share_ids_or_have_none(spark):
+    rng = random.Random(5)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(60)) for _ in range(5))
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [
+        (1, a, "x"), (1, a, "x"), (1, a, "x"), (2, near, "x"),  # one row three times
+        (7, b, "x"), (5, b, "x"), (7, c, "y"),  # a copy and another text under one id
+        (None, d, "x"), (None, d, "x"), (None, d, "y"), (None, e, "x"),
+        (9, "", "x"), (9, "", "x"), (None, None, "x"), (9, d[:20], "x"),
+    ]
+    docs = spark.createDataFrame([(i, t, s, len(t) if t else None, 0.5, 9) for i, t, s in rows], "doc_id long, text string, source string, n_chars long, Score double, n_words int").repartition(3)
+    left = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    got = sorted(((r.doc_id, r.text) for r in left), key=str)
+    assert got == sorted([(1, a), (5, b), (7, c), (None, d), (None, e), (9, ""), (9, ""), (None, None), (9, d[:20])], key=str)
+    cut = corpus_pipeline.substring_dedup(spark, spark.createDataFrame(left, docs.schema), "")
+    assert cut.columns == docs.columns and sorted(((r.doc_id, r.text) for r in cut.collect()), key=str) == got
+    assert {(r.Score, r.n_words) for r in cut.collect()} == {(0.5, 9)}
+    empty = spark.createDataFrame([], "item_id long, text string")
+    read, corpus_pipeline.read = corpus_pipeline.read, lambda *_: empty
+    try:
+        assert {(r.Score, r.n_words) for r in corpus_pipeline.benchmark_decontamination(spark, docs, "").collect()} == {(0.5, 9)}
+    finally:
+        corpus_pipeline.read = read
