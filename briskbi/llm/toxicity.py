@@ -15,7 +15,8 @@ happens on the driver).  Scoring reads every whole text, in one pass without a s
 
 Defined cases: null and empty texts have no words and get the score of the bias;
 labels that are null are not used; without labels of both classes every score is 0;
-characters set apart by white space (four or more in a row) are also read as one word;
+characters set apart by white space (four or more in a row) are also read as one word, and so are
+pieces between white space that make up a landmark from a word's start to a word's end;
 long words are read in overlapping pieces; repeated rows score alike.
 """
 
@@ -28,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from briskbi.llm.shared import Words, carried, steps, worker_state
@@ -257,7 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 def _apart(words: Words) -> Iterator[tuple[int, str]]:
     """(text, joined letters) of four or more single characters in a row."""
-    single = (words.ends - words.starts) == 1
+    lead = words.raw[words.starts] if len(words.starts) else np.zeros(0, np.uint8)
+    single = (words.ends - words.starts) == 1 + (lead >= 0xC0) + (lead >= 0xE0) + (lead >= 0xF0)
     of = np.repeat(np.arange(len(words.first) - 1), words.counts())
     edge = np.flatnonzero(np.diff(np.concatenate([[0], np.where(single, of + 1, 0), [0]])))
     for a, b in zip(edge[:-1], edge[1:], strict=True):
@@ -265,6 +268,13 @@ def _apart(words: Words) -> Iterator[tuple[int, str]]:
             yield int(of[a]), b"".join(words.text(j) for j in range(a, b)).decode().lower()
 
 
+def _gapped(landmarks: np.ndarray, alphabet: dict[str, int]) -> str:
+    """Pattern of the landmarks as whole words, with up to three white-space characters between letters."""
+    letter = {code: re.escape(c) for c, code in alphabet.items()}
+    words = (r"\s{0,3}".join(letter[c] for c in row if c > 0) for row in landmarks.tolist())
+    return r"(?:^|\s)(" + "|".join(words) + r")(?:$|[\s.,;:!?])"
+
+
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), margin: float = 0.2) -> DataFrame:
     """One row per document row: id, carried columns, score (0 to 1), predicted (1 from 0.5 on).
 
@@ -275,8 +285,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
     rows = docs.select(*own_columns, F.col(text).cast("string").alias("_text"))
     if model is None:
         return rows.select(*[F.col(a).alias(b) for a, b in zip(rows.columns, [id_col, *kept], strict=False)], F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
+    pattern = _gapped(model.landmarks, model.alphabet)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state = worker_state("toxicity")
+        gapped = re.compile(pattern)
         own_model = (model.weights.tobytes(), model.bias, model.landmarks.tobytes())
         if state.get("model") != own_model:
             state.update(model=own_model, table=_Table(REMEMBERED), known=np.zeros(REMEMBERED, np.float32))
@@ -300,6 +313,11 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text: st
                 best[some] = np.maximum(best[some], np.maximum.reduceat(value, words.first[:-1][some]))
             for i, joined in _apart(words):
                 best[i] = max(best[i], float(model.values([joined])[0]))
+            lowered = pc.utf8_lower(batch.column(batch.schema.names.index("_text")))
+            for i in np.flatnonzero(pc.match_substring_regex(lowered, pattern).fill_null(False).to_numpy(zero_copy_only=False)):
+                joined = {"".join(g.split()) for g in gapped.findall(lowered[int(i)].as_py()) if len(g.split()) > 1}
+                if joined:
+                    best[i] = max(best[i], float(model.values(sorted(joined)).max()))
             p = 1 / (1 + np.exp(-np.clip(4 * (best - margin), -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[id_col, *kept, "score", "predicted"])
 

@@ -158,3 +158,15 @@ def test_near_duplicates_match_brute_force(spark, monkeypatch):
     dead = [r for r in got if r.vec_id in (2003, 2004, 2005, 2006, 2007, 2008, 2009)]
     assert all(r.n_links == 0 and r.component_id == r.vec_id and r.kept for r in dead)
     assert vectors.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_toxicity_reads_across_white_space(spark):
+    rng = random.Random(2)
+    insults = ["idiot", "worthless", "дурак", "crétin"]
+    word = lambda: "".join(rng.choices(["an", "er", "on", "th", "re", "да", "но"], k=rng.randrange(1, 4)))
+    text = lambda toxic: " ".join([word() for _ in range(20)] + [rng.choice(insults) for _ in range(2 * toxic)] + [word() for _ in range(20)])
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(600)]
+    model = toxicity.fit(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    probes = ["an idi ot er", "Wor thless", "on д у р а к er", "an c r é t i n", "дур  ак", "an er idi on ot", "th idi otan", None, "д а н о д а"]
+    said = {r.doc_id: r.predicted for r in toxicity.score(spark.createDataFrame(list(enumerate(probes)), "doc_id long, text string"), model).collect()}
+    assert [said[i] for i in range(len(probes))] == [1, 1, 1, 1, 1, 0, 0, 0, 0]
