@@ -192,8 +192,8 @@ def display_sample(df: DataFrame, order_by: list[str], cap: int = 5000) -> DataF
 
 
 def page(sample: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
-    """Rows ``offset`` … ``offset+limit−1`` by ``row_index`` (limit 1–2000, offset ≥ 0)."""
-    limit = max(1, min(int(limit), 2000))
+    """Rows ``offset`` … ``offset+limit−1`` by ``row_index`` (limit ≥ 1, offset ≥ 0)."""
+    limit = max(1, int(limit))
     offset = max(0, int(offset))
     return sample.where((F.col("row_index") >= offset) & (F.col("row_index") < offset + limit)).orderBy("row_index")
 
@@ -204,14 +204,14 @@ def page_info(sample: DataFrame, total_rows: int, limit: int, offset: int) -> di
             "has_more": offset + limit < stored}
 
 
-def read_log(spark: SparkSession, path: str, kind: str | None = None, limit: int = 100) -> DataFrame:
-    """JSON-lines log, bad lines skipped, newest first, optional kind filter."""
-    limit = max(1, min(int(limit), 500))
+def read_log(spark: SparkSession, path: str, kind: str | None = None, limit: int | None = None) -> DataFrame:
+    """JSON-lines log, bad lines skipped, newest first, optional kind filter and number of rows."""
     df = spark.read.option("mode", "DROPMALFORMED").json(path)
     if kind:
         kinds = [kind, "audio_overview"] if kind == "overview" else [kind]
         df = df.where(F.col("kind").isin(*kinds))
-    return df.orderBy(F.col("created_at").desc()).limit(limit)
+    newest = df.orderBy(F.col("created_at").desc())
+    return newest if limit is None else newest.limit(max(1, int(limit)))
 
 
 def query_log(df: DataFrame, columns: list[str], equals: dict, order_col: str = "created_at",

@@ -161,3 +161,12 @@ def test_blueprint_order_and_validation():
     assert [(g["chart_type"], g["x_axis"], g["y_axis"]) for g in good] == [
         ("bar", "Region", "Amount"), ("horizontal_bar", "Region", "Amount"), ("pie", "Region", None), ("kpi_card", None, "Amount"), ("combo", "Day", "Amount"), ("line", "Region", "Amount")]
     assert good[4]["y_axis_secondary"] == "Units" and len(notes) == 6
+
+
+def test_logs_and_pages_are_not_clamped(spark, tmp_path):
+    from briskbi.sources import files
+
+    spark.range(2600).selectExpr("id AS created_at", "'a' AS kind").write.json(str(tmp_path / "log"))
+    assert files.read_log(spark, str(tmp_path / "log")).count() == 2600
+    assert files.read_log(spark, str(tmp_path / "log"), limit=700).count() == 700
+    assert files.page(spark.range(2600).selectExpr("id AS row_index"), 2500).count() == 2500
