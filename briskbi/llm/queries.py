@@ -7,7 +7,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from briskbi.llm import chat, decontaminate, html_text, ngram_join, packing, substring, tokenfiles, toxicity, urlfilter, vectors
+from briskbi.llm import chat, decontaminate, html_text, ngram_join, packing, substring, token_counts, tokenfiles, toxicity, urlfilter, vectors
 from briskbi.llm.shared import read
 from briskbi.session import ensure_checkpoint_dir
 
@@ -149,3 +149,8 @@ SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/')
 """)
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(read(spark, sf_dir, "pages"))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
