@@ -173,4 +173,4 @@ def test_url_rules(spark):
 
 def test_every_oracle_has_a_query():
     assert set(Q.ORACLE) <= set(Q.QUERIES)
-    assert {q.split("_")[0] for q in Q.QUERIES} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in Q.QUERIES} == {f"op{n}" for n in range(1, 14)}
