@@ -36,7 +36,7 @@ from briskbi.llm.shared import Words, carried, steps, worker_state
 from briskbi.llm.tokens import _Table
 
 #: Words a worker remembers the value of, and the longest piece of a word that the kernel sees.
-REMEMBERED, PIECE = 300_000, 40
+REMEMBERED, PIECE = 500_000, 40
 _SENTENCE = re.compile(r"[.!?\n]+\s|\n")
 
 
@@ -52,34 +52,50 @@ def _codes(words: list[str], alphabet: dict[str, int], width: int) -> np.ndarray
     return out
 
 
+def common_letters(words: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of each coded word and landmark (at most 63 letters), by bit rows."""
+    b, m = len(words), len(landmarks)
+    letters = int(max(words.max(initial=0), landmarks.max(initial=0))) + 1
+    place = np.zeros((letters, m), np.uint64)  # bit j of a letter: landmark letter j is that letter
+    for j in range(landmarks.shape[1]):
+        some = np.flatnonzero(landmarks[:, j] > 0)
+        place[landmarks[some, j], some] |= np.uint64(1 << j)
+    row = np.full((b, m), np.uint64((1 << 64) - 1))
+    with np.errstate(over="ignore"):
+        for i in range(words.shape[1]):
+            met = row & place[np.maximum(words[:, i], 0)]
+            row = (row + met) | (row - met)
+    return np.bitwise_count(~row)
+
+
 def subsequence_kernel(words: np.ndarray, landmarks: np.ndarray, order: int, decay: float) -> np.ndarray:
-    """Kernel matrix of coded words and landmarks; an unbroken common run of ``order`` letters counts 1."""
-    b, m, width = len(words), len(landmarks), landmarks.shape[1]
-    total = np.zeros((b, m), np.float32)
+    """Kernel matrix of coded words and landmarks; an unbroken common run of ``order`` letters counts 1.
+
+    A pair without a common subsequence of ``order`` letters has value 0, so the sums are
+    made only for the pairs that have one.
+    """
+    width = landmarks.shape[1]
+    total = np.zeros((len(words), len(landmarks)), np.float32)
+    word, landmark = np.nonzero(common_letters(words, landmarks) >= order)
+    if not len(word):
+        return total
+    words, landmarks = words[word], landmarks[landmark]
+    value = np.zeros(len(words), np.float32)
     # state[q][j]: weight of common subsequences of q letters that end before landmark letter j
-    state = [[np.zeros((b, m), np.float32) for _ in range(width + 1)] for _ in range(order)]
+    state = [[np.zeros(len(words), np.float32) for _ in range(width + 1)] for _ in range(order)]
     for i in range(words.shape[1]):
         letter = words[:, i]
-        if not (letter > 0).any():
-            if (letter < 0).all():
-                break
-            for q in range(1, order):
-                for j in range(width + 1):
-                    state[q][j] *= decay
-            continue
-        same = [(letter[:, None] == landmarks[None, :, j]) & (letter > 0)[:, None] for j in range(width)]
-        live = [s.any() for s in same]
+        if (letter < 0).all():
+            break
+        same = [(letter == landmarks[:, j]) & (letter > 0) for j in range(width)]
         for j in range(order - 1, width):
-            if live[j]:
-                total += same[j] * state[order - 1][j] if order > 1 else same[j]
+            value += same[j] * state[order - 1][j] if order > 1 else same[j]
         for q in range(order - 1, 0, -1):
-            run = np.zeros((b, m), np.float32)
+            run = np.zeros(len(words), np.float32)
             for j in range(width):
-                run *= decay
-                if live[j]:
-                    run = run + (same[j] * state[q - 1][j] if q > 1 else same[j])
-                state[q][j + 1] *= decay
-                state[q][j + 1] += run
+                run = run * np.float32(decay) + (same[j] * state[q - 1][j] if q > 1 else same[j])
+                state[q][j + 1] = state[q][j + 1] * np.float32(decay) + run
+    total[word, landmark] = value
     return total
 
 
@@ -117,12 +133,14 @@ class Model:
         if not words:
             return out
         size = np.array([min(len(w), PIECE) for w in words])
-        for a in range(0, len(words), 4096):
-            by_size = np.argsort(size[a : a + 4096], kind="stable") + a
-            for part in np.array_split(by_size, 4):
+        for a in range(0, len(words), 16384):
+            by_size = np.argsort(size[a : a + 16384], kind="stable") + a
+            for part in np.array_split(by_size, 8):
                 if len(part):
                     coded = _codes([words[i] for i in part], self.alphabet, max(1, int(size[part].max())))
-                    out[part] = self._mapped(subsequence_kernel(coded, self.landmarks, self.order, self.decay), self_kernel(coded, self.order, self.decay))
+                    kernel = subsequence_kernel(coded, self.landmarks, self.order, self.decay)
+                    some = np.flatnonzero(kernel.any(axis=1))  # a word unlike all landmarks has the features 0
+                    out[part[some]] = self._mapped(kernel[some], self_kernel(coded[some], self.order, self.decay))
         return out
 
     def _mapped(self, kernel: np.ndarray, own: np.ndarray) -> np.ndarray:
