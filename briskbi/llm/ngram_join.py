@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from briskbi.llm.shared import SLICE_BYTES, Words, components, cuts, keep, mix, rows_of, shingles, steps, text_slices
+from briskbi.llm.shared import SLICE_BYTES, Tables, Words, components, cuts, keep, mix, rows_of, shingles, steps, text_slices
 
 #: Shingles, and sets, a task gathers before it sends them on.
 FLUSH, FLUSH_SETS = 1 << 20, 60_000
@@ -318,10 +318,10 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def link_components(records: DataFrame, percent: int = 75, rounds: int = 2, partners: int = 4) -> DataFrame:
-    """(node, component) over the linked sets of ``records``."""
-    postings = keep(_postings(records))
-    links = None
+def link_components(records: DataFrame, tables: Tables, percent: int = 75, rounds: int = 2, partners: int = 4) -> DataFrame:
+    """(node, component) over the linked sets of ``records``, a table."""
+    postings = tables.keep(_postings(records))
+    links = comps = None
     grouped = postings.withColumn("comp", F.col("key"))
     for r in range(rounds):
         draw = F.xxhash64("key", "gram", F.lit(r))
@@ -329,15 +329,19 @@ def link_components(records: DataFrame, percent: int = 75, rounds: int = 2, part
         turn = (F.col("rank") >= (0 if r == 0 else partners * 4 ** (r - 1))) & (F.col("rank") < partners * 4**r)
         tries = grouped.where(turn).alias("a").join(leader.alias("b"), "gram").where("a.comp <> b.comp").where(_possible(percent))
         found = _verified(_ordered(tries.select(F.col("a.key").alias("x"), F.col("b.key").alias("y"))), records, percent)
-        links = keep(found if links is None else links.unionByName(found).distinct())
-        comps = components(links)
+        used = [t for t in (links, comps) if t is not None]
+        links = tables.keep(found if links is None else links.unionByName(found).distinct())
+        comps = components(links, tables)
+        tables.drop(*used)
         grouped = postings.join(comps.withColumnRenamed("node", "key"), "key", "left").withColumn("comp", F.coalesce("component", "key")).drop("component")
-    grouped = keep(grouped)
+    grouped = tables.keep(grouped)
+    tables.drop(postings, comps)
     sizes = grouped.groupBy("gram", "comp").agg(F.count("*").alias("c"))
     home = sizes.groupBy("gram").agg(F.max_by("comp", F.struct("c", "comp")).alias("home"), F.count("*").alias("comps")).where("comps > 1").select("gram", "home")
-    outside = keep(grouped.join(home, "gram").where("comp <> home"))
-    groups = keep(grouped.select("key", "comp").distinct())
-    links = links.unionByName(_block_links(outside.select("key", F.col("home").alias("comp")).distinct(), groups, records, percent))
+    outside = tables.keep(grouped.join(home, "gram").where("comp <> home"))
+    groups = tables.keep(grouped.select("key", "comp").distinct())
+    tables.drop(grouped)
+    inner = links.unionByName(_block_links(outside.select("key", F.col("home").alias("comp")).distinct(), groups, records, percent))
     met = outside.alias("a").join(outside.alias("b"), "gram").where("a.comp <> b.comp").where(F.col("a.key") < F.col("b.key")).where(_possible(percent))
     x, y = F.col("a.key"), F.col("b.key")
     first = x < y
@@ -348,7 +352,9 @@ def link_components(records: DataFrame, percent: int = 75, rounds: int = 2, part
     total = (F.col("na") + F.col("nb")).cast("long")
     pairs = pairs.where((100 + percent) * (F.col("met") + rest) >= percent * total).select("a", "b")
     last = _verified(pairs, records, percent)
-    return components(links.unionByName(last))
+    out = components(inner.unionByName(last), tables)
+    tables.drop(links, outside, groups)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, slice_bytes: int = SLICE_BYTES // 2, tie: str | None = None) -> DataFrame:
@@ -372,8 +378,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
     members = keep(rows.mapInArrow(sizes, f"`{id_col}` {kind}, {''.join(f'{t} long, ' for t in ties)}n_shingles long, key long"))
     packed = texts.mapInArrow(_senders(n, slices), _PACKED).repartition(slices, "part").sortWithinPartitions("part")
     shared = packed.mapInArrow(_counters(slices, buckets), _PACKED).repartition(buckets, "part").sortWithinPartitions("part")
-    records = keep(shared.mapInArrow(_recorders(percent), _RECORD))
-    linked = link_components(records, percent)
+    tables = Tables(docs.sparkSession)
+    records = tables.keep(shared.mapInArrow(_recorders(percent), _RECORD))
+    linked = link_components(records, tables, percent)
+    tables.drop(records)
     least = members.where("n_shingles > 0").groupBy("key").agg(F.min(id_col).alias("least"), *[F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), t)).alias("lead") for t in ties]).join(linked.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("component", "key"))
     of_root = least.groupBy("root").agg(F.min("least").alias("component_id"), *[F.min("lead").alias("lead") for _ in ties])
     of_key = least.select("key", "root").join(of_root, "root").select("key", "component_id", *["lead" for _ in ties])

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import sys
+import uuid
 from collections.abc import Iterator
 from types import ModuleType
 
@@ -190,13 +191,36 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def components(edges: DataFrame) -> DataFrame:
+class Tables:
+    """Intermediate results of one call: Parquet tables in the shared folder, each deleted when it is no longer read."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.paths = spark, f"{ensure_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}", []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """The same rows read from a table: the plan runs once and lineage ends here."""
+        self.paths.append(f"{self.folder}/{len(self.paths)}")
+        df.write.parquet(self.paths[-1])
+        out = self.spark.read.schema(df.schema).parquet(self.paths[-1])
+        out._table = self.paths[-1]
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later result reads."""
+        for table in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(table._table)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
     """(node, component) with the smallest node reachable over ``edges`` (a, b).
 
     Alternates large-star and small-star steps (one group-by each) until the
-    edges no longer change; every step is checkpointed.  Nodes without edges do
-    not appear.  A hub's neighbours are aggregated, never collected.
+    edges no longer change; every step is checkpointed, or written to ``tables`` in place of the
+    step before.  Nodes without edges do not appear.  A hub's neighbours are aggregated, never collected.
     """
+    kept = tables.keep if tables else keep
+
     def stars(e: DataFrame, large: bool) -> DataFrame:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
@@ -209,16 +233,23 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    now = keep(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct())
+    now = kept(edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).select("a", "b").distinct())
     old = mark(now)
     while old[0]:
-        now = keep(stars(stars(now, True), False))
+        before, now = now, kept(stars(stars(now, True), False))
+        if tables:
+            tables.drop(before)
         new = mark(now)
         if new == old:
             break
         old = new
     members = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+    least = members.unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+    if not tables:
+        return least
+    out = tables.keep(least)
+    tables.drop(now)
+    return out
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
