@@ -177,7 +177,7 @@ def _landmarks(sentences: list[list[list[str]]], toxic: list[set[str]], clean: l
     for t in sentences:
         for x in t:
             for before, w, after in zip(["", *x], x, [*x[1:], ""], strict=False):
-                places.setdefault(w, set()).add((before, after))
+                places.setdefault(w, set()).add(hash((before, after)))  # a number takes less than the pair
     least = max(8, len(toxic) // 100)
     places = {w: min(len(p), holders[w]) for w, p in places.items()}
     strange = {w for w, c in places.items() if c >= least and c / len(toxic) > 4 * common[w] / max(1, len(clean))}
@@ -208,23 +208,28 @@ def _landmarks(sentences: list[list[list[str]]], toxic: list[set[str]], clean: l
 
 def train_svm(x: np.ndarray, y: np.ndarray, seen: np.ndarray, cost: float = 1.0, rounds: int = 50) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by Newton steps; rows count as often as ``seen``."""
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]).astype(np.float64)
     share = cost * seen
-    ridge = np.eye(x1.shape[1])
+    ridge = np.eye(x.shape[1] + 1)
     ridge[-1, -1] = 1e-6
-    w, active = np.zeros(x1.shape[1]), np.ones(len(x1), bool)
+    w, active = np.zeros(x.shape[1] + 1), np.ones(len(x), bool)
     for _ in range(rounds):
-        xa, sa = x1[active], share[active]
-        w = np.linalg.solve(ridge + (xa.T * sa) @ xa, xa.T @ (sa * y[active]))
-        now = y * (x1 @ w) < 1
+        square, right = ridge.copy(), np.zeros(len(w))
+        for a in range(0, len(x), 8192):  # wide numbers for a block of rows at a time
+            on = np.flatnonzero(active[a : a + 8192]) + a
+            xa = np.hstack([x[on], np.ones((len(on), 1), x.dtype)]).astype(np.float64)
+            square += (xa.T * share[on]) @ xa
+            right += xa.T @ (share[on] * y[on])
+        w = np.linalg.solve(square, right)
+        now = np.concatenate([y[a : a + 8192] * (x[a : a + 8192].astype(np.float64) @ w[:-1] + w[-1]) < 1 for a in range(0, len(x), 8192)])
         if (now == active).all():
             break
         active = now
     return w[:-1].astype(np.float32), float(w[-1])
 
 
-def _sentences(text: str) -> list[list[str]]:
-    return [s.split() for s in _SENTENCE.split(text.lower()) if s.strip()]
+def _sentences(text: str, words: dict[str, str]) -> list[list[str]]:
+    """Sentences as lists of words; equal words are one object, kept in ``words``."""
+    return [[words.setdefault(w, w) for w in s.split()] for s in _SENTENCE.split(text.lower()) if s.strip()]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", train_docs: int = 1500, train_bytes: int = 20_000, landmarks: int = 32, order: int = 4, decay: float = 0.5) -> Model | None:
@@ -234,10 +239,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     marked = docs.sparkSession.createDataFrame(ids, known.schema) if ids else known.limit(0)
     own = docs.select(F.col(id_col), F.col(text).cast("string").alias("_text")).where(F.octet_length("_text") <= train_bytes)
     rows = own.join(F.broadcast(marked), id_col)  # at most 4 * train_docs rows on the broadcast side
-    texts = {}
+    texts, known_words = {}, {}
     for y in (0, 1):
         sample = rows.where(F.col("_y") == y).orderBy(F.xxhash64(id_col), id_col, "_text").limit(train_docs).select("_text").collect()
-        texts[y] = [_sentences(r["_text"]) for r in sample]
+        texts[y] = [_sentences(r["_text"], known_words) for r in sample]
+        del sample
     if not texts[0] or not texts[1]:
         return None
     bags = {y: [{w for s in t for w in s} for t in texts[y]] for y in texts}
