@@ -23,10 +23,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briskbi.operators import series as S
+from briskbi.operators.boosting import LagTable
 
 # Fixed values of the reference's model competition.
-MODEL_MIN_HISTORY = {"naive": 3, "seasonal_naive": 6, "ets": 10, "fourier_ls": 20, "gbt_lag": 30}
-MODEL_ORDER = ["naive", "seasonal_naive", "ets", "fourier_ls", "gbt_lag"]
+MODEL_MIN_HISTORY = {"naive": 3, "seasonal_naive": 6, "ets": 10, "fourier_ls": 20, "boost_lag": 30, "gbt_lag": 30}
+MODEL_ORDER = ["naive", "seasonal_naive", "ets", "fourier_ls", "boost_lag", "gbt_lag"]
+# Candidates without a choice of the caller's.  gbt_lag learns one model across all series; it is asked for by name.
+MODE_MODELS = {"fast": MODEL_ORDER[:3], "accurate": MODEL_ORDER[:5]}
 SELECTION_METRICS = ["mae", "rmse", "wape", "mase"]
 PRIMARY_METRIC = "mae"
 ENSEMBLE_MAX_GAP = 0.25
@@ -116,8 +119,8 @@ def fold_metrics(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def _finish_preds(preds: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Invert the log transform and apply the non-negative clamp."""
-    j = preds.join(stats.select(*keys, "use_log", "non_negative"), keys)
+    """Invert the log transform and apply the non-negative clamp (T22).  Points of a failed fit (null) are left out."""
+    j = preds.where(F.col("pred").isNotNull()).join(stats.select(*keys, "use_log", "non_negative"), keys)
     inv = lambda c: F.when(F.col("use_log"), F.exp(c)).otherwise(c)
     pred = inv(F.col("pred"))
     pred = F.when(F.col("non_negative"), F.greatest(F.lit(0.0), pred)).otherwise(pred)
@@ -191,60 +194,69 @@ def _fit_predict(model: str, y: np.ndarray, season: int, freq: str, horizon: int
     raise ValueError(f"Unsupported model: {model}")
 
 
-def _grouped_backtest(keys: list[str], models: list[str]):
-    """applyInPandas body: backtest the numpy models on one series."""
+class _Series:
+    """One prepared series inside its task: every grouped model learns from a prefix of it."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, pdf: pd.DataFrame, models: Sequence[str], features: Sequence[str], known: Sequence[str], window: int | None):
         pdf = pdf.sort_values("pos")
+        self.meta, self.window = pdf.iloc[0], window
+        self.season, self.freq = int(self.meta["season"]), str(self.meta["freq"])
         y = pdf["y"].to_numpy(dtype=float)
-        rows = []
-        meta = pdf.iloc[0]
-        for model in models:
-            plan_row = pdf[[f"plan_{model}_h", f"plan_{model}_folds"]].iloc[0]
-            h, folds = int(plan_row.iloc[0]), int(plan_row.iloc[1])
-            n = len(y)
-            for fold in range(folds):
-                test_end = n - (folds - fold - 1) * h
-                test_start = test_end - h
-                try:
-                    pred = _fit_predict(model, y[:test_start], int(meta["season"]), str(meta["freq"]), h)
-                except Exception:  # noqa: BLE001
-                    pred = np.full(h, np.nan)
-                for i in range(h):
-                    rows.append({**{k: meta[k] for k in keys}, "model": model, "fold": fold,
-                                 "pos": test_start + i, "y_true": y[test_start + i], "pred": float(pred[i])})
-        cols = [*keys, "model", "fold", "pos", "y_true", "pred"]
-        return pd.DataFrame(rows, columns=cols)
+        self.y = y[~np.isnan(y)]  # periods after the last value are future ones
+        self.lags = LagTable(pdf, self.season, features, known) if "boost_lag" in models else None
+
+    def predict(self, model: str, start: int, horizon: int, quantiles: Sequence[float] = ()) -> np.ndarray:
+        """(horizon, 1 + quantiles) from the periods before ``start``; quantiles a model lacks, and failed fits, are NaN."""
+        out = np.full((horizon, 1 + len(quantiles)), np.nan)
+        try:
+            if model == "boost_lag":
+                return self.lags.forecast(start, horizon, quantiles, self.window)
+            begin = max(0, start - self.window) if self.window else 0
+            out[:, 0] = _fit_predict(model, self.y[begin:start], self.season, self.freq, horizon)
+        except (ValueError, np.linalg.LinAlgError):
+            pass
+        return out
+
+
+def _tested(one: _Series, keys: list[str], model: str, fold: int, start: int, horizon: int) -> pd.DataFrame:
+    return pd.DataFrame({**{k: [one.meta[k]] * horizon for k in keys}, "model": model, "fold": fold, "pos": np.arange(start, start + horizon),
+                         "y_true": one.y[start : start + horizon], "pred": one.predict(model, start, horizon)[:, 0]})
+
+
+def _grouped_backtest(keys: list[str], models: list[str], features: Sequence[str], known: Sequence[str], window: int | None):
+    """applyInPandas body: the folds planned for the models of one series."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        plans = {m: tuple(pdf[[f"plan_{m}_h", f"plan_{m}_folds"]].iloc[0]) for m in models}
+        plans = {m: (int(h), int(f)) for m, (h, f) in plans.items() if not (pd.isna(h) or pd.isna(f)) and f > 0}
+        one = _Series(pdf, list(plans), features, known, window)
+        n = len(one.y)
+        out = [_tested(one, keys, m, fold, n - (folds - fold) * h, h) for m, (h, folds) in plans.items() for fold in range(folds)]
+        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "model", "fold", "pos", "y_true", "pred"])
 
     return run
 
 
-def _grouped_holdout(keys: list[str]):
-    """applyInPandas body: the numpy models of a series on its holdout window."""
+def _grouped_holdout(keys: list[str], features: Sequence[str], known: Sequence[str], window: int | None):
+    """applyInPandas body: the grouped models of a series on its holdout window."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        y = pdf["y"].to_numpy(dtype=float)
-        meta = pdf.iloc[0]
-        start, h = int(meta["_start"]), int(meta["_h"])
-        out = []
-        for model in meta["_models"]:
-            try:
-                pred = _fit_predict(model, y[:start], int(meta["season"]), str(meta["freq"]), h)
-            except (ValueError, np.linalg.LinAlgError):
-                pred = np.full(h, np.nan)
-            out.append(pd.DataFrame({**{k: [meta[k]] * h for k in keys}, "model": model, "fold": 0,
-                                     "pos": np.arange(start, start + h), "y_true": y[start : start + h], "pred": pred}))
-        return pd.concat(out)
+        asked = list(pdf["_models"].iloc[0])
+        one = _Series(pdf, asked, features, known, window)
+        return pd.concat([_tested(one, keys, m, 0, int(one.meta["_start"]), int(one.meta["_h"])) for m in asked])
 
     return run
 
 
 def backtest(prep: DataFrame, keys: Sequence[str] | None = None, horizon: int = 30,
              models: Sequence[str] | None = None, screen_folds: int | None = None,
-             keep: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+             keep: DataFrame | None = None, features: Sequence[str] = (), known: Sequence[str] = (),
+             train_window: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Rolling-origin backtest of each model on each series.
 
+    ``features`` are exogenous columns of ``prep`` for ``boost_lag``, those in ``known`` are known ahead;
+    grouped models learn from the last ``train_window`` periods before a fold (all without it).
+
     Returns (metrics, predictions): metrics per (keys, model) with status, folds,
     backtest horizon and fold-averaged MAE/RMSE/WAPE/MASE; predictions per test
     point (for residuals and intervals).
@@ -271,10 +283,10 @@ def backtest(prep: DataFrame, keys: Sequence[str] | None = None, horizon: int =
             F.first("bt_h").alias("h"), F.first("folds").alias("folds"))
         for m in py_models:
             wide = wide.withColumnRenamed(f"{m}_h", f"plan_{m}_h").withColumnRenamed(f"{m}_folds", f"plan_{m}_folds")
-        grp = prep.select(*keys, "pos", "y", "season", "freq").join(wide, keys)
+        grp = prep.select(*keys, "pos", "ts", "y", "season", "freq", *features).join(wide, keys)
         schema = ", ".join([f"{k} {prep.schema[k].dataType.simpleString()}" for k in keys]
                            + ["model string", "fold int", "pos int", "y_true double", "pred double"])
-        py = grp.groupBy(*keys).applyInPandas(_grouped_backtest(keys, py_models), schema)
+        py = grp.groupBy(*keys).applyInPandas(_grouped_backtest(keys, py_models, features, known, train_window), schema)
         preds = py if preds is None else preds.unionByName(py)
     if "gbt_lag" in models and folds.where(F.col("model") == "gbt_lag").limit(1).count():
         g = gbt_backtest_preds(prep, folds, keys)
@@ -426,7 +438,8 @@ def accuracy(pred: DataFrame, actual: DataFrame, keys: Sequence[str] | None = No
     return rows, summ
 
 
-def holdout(prep: DataFrame, keys: Sequence[str] | None, horizon: int, models: Sequence[str]) -> DataFrame:
+def holdout(prep: DataFrame, keys: Sequence[str] | None, horizon: int, models: Sequence[str],
+            features: Sequence[str] = (), known: Sequence[str] = (), train_window: int | None = None) -> DataFrame:
     """The newest 30 % of the points are the test part, its first ``horizon`` points are scored."""
     keys = list(keys or [])
     stats = _series_stats(prep, keys)
@@ -449,8 +462,8 @@ def holdout(prep: DataFrame, keys: Sequence[str] | None, horizon: int, models: S
             F.collect_list("model").alias("_models"), F.first("test_start").alias("_start"), F.first("bt_h").alias("_h"))
         schema = ", ".join([f"{k} {prep.schema[k].dataType.simpleString()}" for k in keys]
                            + ["model string", "fold int", "pos int", "y_true double", "pred double"])
-        grouped = prep.select(*keys, "pos", "y", "season", "freq").join(asked, keys).groupBy(*keys)
-        parts.append(grouped.applyInPandas(_grouped_holdout(keys), schema))
+        grouped = prep.select(*keys, "pos", "ts", "y", "season", "freq", *features).join(asked, keys).groupBy(*keys)
+        parts.append(grouped.applyInPandas(_grouped_holdout(keys, features, known, train_window), schema))
     if "gbt_lag" in models and folds.where(F.col("model") == "gbt_lag").limit(1).count():
         parts.append(gbt_backtest_preds(prep, folds, keys))
     preds = reduce(DataFrame.unionByName, parts)
@@ -476,35 +489,50 @@ def forecast_baseline(prep: DataFrame, keys: Sequence[str] | None, model: str, h
     return out.select(*keys, "step", "ts", "value", "non_negative")
 
 
-def _final_python(prep: DataFrame, keys: list[str], models: list[str], horizon: int) -> DataFrame:
-    """Refit the numpy models on each full series; (keys, model, step, value)."""
+def _final_python(prep: DataFrame, keys: list[str], asked: DataFrame, horizon: int, coverage: float,
+                  features: Sequence[str], known_ahead: DataFrame | None, train_window: int | None) -> DataFrame:
+    """Refit the grouped models that ``asked`` names per series; (keys, model, step, value, lower, upper)."""
+    tails = ((1 - coverage) / 2, (1 + coverage) / 2)
+    known = [c for c in features if known_ahead is not None and c in known_ahead.columns]
+    at = F.col("ts").cast("timestamp_ntz").alias("ts")
+    ahead = S.future(prep, keys, horizon, features)
+    if known:
+        given = known_ahead.select(*keys, at, *[F.col(c).alias(f"_{c}") for c in known])
+        ahead = ahead.join(given, [*keys, "ts"], "left")
+        for c in known:
+            ahead = ahead.withColumn(c, F.coalesce(F.col(f"_{c}"), F.col(c)))
+    last = prep.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first("season").alias("season"), F.first("freq").alias("freq"))
+    ahead = ahead.join(last, keys).select(*keys, (F.col("n") + F.col("step") - 1).cast("int").alias("pos"), at,
+                                          F.lit(None).cast("double").alias("y"), "season", "freq", *features)
+    rows = prep.select(*keys, "pos", at, "y", "season", "freq", *features).unionByName(ahead)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        y = pdf["y"].to_numpy(dtype=float)
-        meta = pdf.iloc[0]
-        rows = []
+        models = list(pdf["_models"].iloc[0])
+        one = _Series(pdf.drop(columns="_models"), models, features, known, train_window)
+        out = []
         for m in models:
-            if len(y) < MODEL_MIN_HISTORY.get(m, 3):
-                continue
-            try:
-                pred = _fit_predict(m, y, int(meta["season"]), str(meta["freq"]), horizon)
-            except Exception:  # noqa: BLE001
-                continue
-            for i, v in enumerate(pred):
-                rows.append({**{k: meta[k] for k in keys}, "model": m, "step": i + 1, "value": float(v)})
-        return pd.DataFrame(rows, columns=[*keys, "model", "step", "value"])
+            if len(one.y) >= MODEL_MIN_HISTORY.get(m, 3):
+                got = one.predict(m, len(one.y), horizon, tails)
+                out.append(pd.DataFrame({**{k: [one.meta[k]] * horizon for k in keys}, "model": m, "step": np.arange(1, horizon + 1),
+                                         "value": got[:, 0], "lower": got.min(1), "upper": got.max(1)}).dropna(subset=["value"]))
+        return pd.concat(out) if out else pd.DataFrame(columns=[*keys, "model", "step", "value", "lower", "upper"])
 
     schema = ", ".join([f"{k} {prep.schema[k].dataType.simpleString()}" for k in keys]
-                       + ["model string", "step int", "value double"])
-    return prep.select(*keys, "pos", "y", "season", "freq").groupBy(*keys).applyInPandas(run, schema)
+                       + ["model string", "step int", "value double", "lower double", "upper double"])
+    made = rows.join(asked, keys).groupBy(*keys).applyInPandas(run, schema)
+    return made.select(*keys, "model", "step", "value", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in ("lower", "upper")])
 
 
 def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horizon: int = 30, mode: str = "fast",
         models: Sequence[str] | None = None, freq: str | None = None, policy: str = "drop",
-        features: Sequence[str] = (), scale: int | None = None, coverage: float = 0.80) -> tuple[DataFrame, DataFrame]:
+        features: Sequence[str] = (), scale: int | None = None, coverage: float = 0.80,
+        known_ahead: DataFrame | None = None, train_window: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Forecast every series: prepare → backtest → rank → ensemble → intervals.
 
+    ``features`` are exogenous columns: those that ``known_ahead`` (keys, ts, columns) holds for future periods
+    are read there, the others stay at their last value.  Where ``boost_lag`` wins, the interval
+    comes from its quantile trees; else from the residuals of the backtest (T21).
+
     Returns (forecasts, log): forecasts ``(keys…, step, ts, value, lower, upper,
     model)``; log one row per (series, model) with metrics, holdout diagnosis,
     the winner, partner and confidence.  ``mode='fast'`` uses the cheap models.
@@ -513,37 +541,48 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
 
     prep = S.prepare(df, ts, y, keys, freq, features, policy, scale=scale)  # checkpointed
     keys = list(keys or ["series"])
-    models = list(models or (["naive", "seasonal_naive", "ets"] if mode == "fast" else MODEL_ORDER))
+    models = list(models or MODE_MODELS["fast" if mode == "fast" else "accurate"])
+    known = [c for c in features if known_ahead is not None and c in known_ahead.columns]
+    learned = {"features": list(features), "known": known, "train_window": train_window}
     keep = None
     if len(models) > TOURNAMENT_MIN_CANDIDATES:
         # A one-fold screen, then the full backtest for the best 3 + baselines.
-        screen, _ = backtest(prep, keys, horizon, models, screen_folds=1)
+        screen, _ = backtest(prep, keys, horizon, models, screen_folds=1, **learned)
         keep = cut_lineage(tournament_keep(screen, keys, len(models)))
-    metrics, preds = backtest(prep, keys, horizon, models, keep=keep)
+    metrics, preds = backtest(prep, keys, horizon, models, keep=keep, **learned)
     # Read by several branches below: written once (reliable checkpoint).
     metrics, preds = cut_lineage(metrics), cut_lineage(preds)
     ranked = rank_models(metrics, keys)
-    sel = select(ranked, keys)
+    sel = cut_lineage(select(ranked, keys))
+    used = {r[0] for c in ("best_model", "ensemble_partner") for r in sel.select(c).distinct().collect()}  # model names
 
-    parts = []
-    for m in [m for m in models if m in ("naive", "seasonal_naive")]:
-        parts.append(forecast_baseline(prep, keys, m, horizon).withColumn("model", F.lit(m)).select(*keys, "model", "step", "value"))
-    if "gbt_lag" in models:
-        stats_g = _series_stats(prep, keys)
-        gf = gbt_forecast(prep, keys, horizon).join(stats_g.select(*keys, "use_log"), keys)
-        parts.append(gf.withColumn("value", F.when(F.col("use_log"), F.exp("value")).otherwise(F.col("value"))).drop("use_log"))
-    py = [m for m in models if m not in ("naive", "seasonal_naive", "gbt_lag")]
-    if py:
-        stats = _series_stats(prep, keys)
-        fp = _final_python(prep, keys, py, horizon).join(stats.select(*keys, "use_log"), keys)
-        parts.append(fp.withColumn("value", F.when(F.col("use_log"), F.exp("value")).otherwise(F.col("value"))).drop("use_log"))
-    allf = parts[0]
-    for p in parts[1:]:
-        allf = allf.unionByName(p)
+    stats = _series_stats(prep, keys)
+
+    def scaled(df: DataFrame) -> DataFrame:
+        df = df.join(stats.select(*keys, "use_log"), keys)
+        for c in ("value", "lower", "upper"):
+            made = F.col(c) if c in df.columns else F.lit(None).cast("double")
+            df = df.withColumn(c, F.when(F.col("use_log"), F.exp(made)).otherwise(made))
+        return df.select(*keys, "model", "step", "value", "lower", "upper")
+
+    # Only models that won, or are a winner's partner, are fitted again.
+    none = F.lit(None).cast("double")
+    parts = [forecast_baseline(prep, keys, m, horizon).select(*keys, F.lit(m).alias("model"), "step", "value", none.alias("lower"), none.alias("upper"))
+             for m in ("naive", "seasonal_naive") if m in used]
+    if "gbt_lag" in used:
+        parts.append(scaled(gbt_forecast(prep, keys, horizon)))
+    grouped = [m for m in models if m in used and m not in ("naive", "seasonal_naive", "gbt_lag")]
+    if grouped:
+        chosen_models = F.filter(F.array("best_model", "ensemble_partner"), lambda m: m.isin(*grouped))
+        asked = sel.select(*keys, chosen_models.alias("_models")).where(F.size("_models") > 0)
+        parts.append(scaled(_final_python(prep, keys, asked, horizon, coverage, features, known_ahead, train_window)))
+    allf = reduce(DataFrame.unionByName, parts) if parts else scaled(forecast_baseline(prep, keys, "naive", horizon).withColumn("model", F.lit("naive")))
     chosen = allf.join(sel.select(*keys, "best_model", "ensemble_partner"), keys).where(
         (F.col("model") == F.col("best_model")) | (F.col("model") == F.col("ensemble_partner")))
     fc = chosen.groupBy(*keys, "step").agg(F.avg("value").alias("value"),
                                           F.first("best_model").alias("best_model"),
+                                          F.max(F.when(F.col("model") == F.col("best_model"), F.col("lower") - F.col("value"))).alias("down"),
+                                          F.max(F.when(F.col("model") == F.col("best_model"), F.col("upper") - F.col("value"))).alias("up"),
                                           F.first("ensemble_partner").alias("partner"))
     fc = fc.withColumn("model", F.when(F.col("partner").isNotNull(), F.concat_ws("+", "best_model", "partner"))
                        .otherwise(F.col("best_model"))).drop("best_model", "partner")
@@ -551,13 +590,13 @@ def run(df: DataFrame, ts: str, y: str, keys: Sequence[str] | None = None, horiz
     widths = interval_widths(best_preds, keys, horizon, coverage)
     fc = fc.join(widths.select(*keys, "step", "half_width"), [*keys, "step"], "left").withColumn(
         "half_width", F.coalesce(F.col("half_width"), F.lit(1.0)))
-    fc = fc.withColumn("lower", F.col("value") - F.col("half_width")).withColumn("upper", F.col("value") + F.col("half_width"))
-    stats = _series_stats(prep, keys)
+    fc = fc.withColumn("lower", F.col("value") + F.coalesce("down", -F.col("half_width"))).withColumn(
+        "upper", F.col("value") + F.coalesce("up", "half_width"))
     fut = S.future(prep, keys, horizon)
     fc = fc.join(stats.select(*keys, "non_negative"), keys).join(fut.select(*keys, "step", "ts"), [*keys, "step"])
     fc = apply_constraints(fc, F.col("non_negative")).select(*keys, "step", "ts", "value", "lower", "upper", "model")
 
-    test = holdout(prep, keys, horizon, models)  # every candidate gets a test error
+    test = holdout(prep, keys, horizon, models, **learned)  # every candidate gets a test error
     log = ranked.join(test.select(*keys, "model", F.col("mae").alias("test_mae")), [*keys, "model"], "left")
     log = log.withColumn("fit_ratio", F.round(F.try_divide(F.col("test_mae"), F.col("mae")), 3)).withColumn(
         "fit_diagnosis", fit_diagnosis(F.try_divide(F.col("test_mae"), F.col("mae"))))

@@ -424,3 +424,12 @@ def q_forecast_gbt(spark, d):
     fc, _ = forecast.run(table(spark, d, "orders"), "o_orderdate", "o_totalprice", ["o_orderpriority"], horizon=14,
                          models=["naive", "seasonal_naive", "gbt_lag"], freq="W", scale=2)
     return fc
+
+
+@register("q_forecast_boost")
+def q_forecast_boost(spark, d):
+    """Weekly order value per priority by boosted trees with 10/90 bounds, the number of orders as a held column."""
+    orders = table(spark, d, "orders").withColumn("n_orders", F.lit(1.0))
+    fc, _ = forecast.run(orders, "o_orderdate", "o_totalprice", ["o_orderpriority"], horizon=14,
+                         models=["naive", "boost_lag"], freq="W", features=["n_orders"], scale=2)
+    return fc
