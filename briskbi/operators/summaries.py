@@ -1,10 +1,10 @@
 """Dataset summaries, profiling, quality, anomalies and correlations.
 
 C17–C26, Q1–Q6, J5.  Wide statistics are one generated ``agg`` over all columns
-(one scan); value counts are one unpivoted ``groupBy(column, value)`` whose
-per-column top-k uses ``row_number() <= k`` (Spark plans a partial
-WindowGroupLimit before the shuffle, so a hot column never ships all its values
-to one task).  Driver-side choices only read statistics rows.
+(one scan); value counts group the unpivoted cells by column, hash and first
+characters, and look up the texts of the few candidates only.  Per-column top-k
+uses a rank limit (Spark plans a partial WindowGroupLimit before the shuffle, so a
+hot column never ships all its values to one task).  Driver-side choices only read statistics rows.
 """
 
 from __future__ import annotations
@@ -19,6 +19,11 @@ from briskbi.functions.labels import compact_number, ts_text
 from briskbi.functions.parse import to_number, to_timestamp_mixed
 
 
+def quoted(name: str) -> Column:
+    """The column of that very name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
@@ -34,19 +39,56 @@ def datetime_columns(df: DataFrame) -> list[str]:
 
 def _unpivot(df: DataFrame, cols: list[str], value_type: str = "string") -> DataFrame:
     """(column, value) pairs for ``cols`` (one row per input row and column)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(value_type).alias("value")) for c in cols])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).cast(value_type).alias("value")) for c in cols])
     return df.select(F.explode(pairs).alias("kv")).select("kv.column", "kv.value")
 
 
+#: Characters of a value that travel with its hash, and candidates up to which their table is broadcast (under 10 MB).
+PREFIX, MOST_CANDIDATES = 16, 100_000
+
+
+def _cells(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(i, value, hash, prefix): the non-null cells of ``cols`` as text, by column number."""
+    cells = df.select(F.posexplode(F.array(*[quoted(c).cast("string") for c in cols])).alias("i", "value"))
+    return cells.where(F.col("value").isNotNull()).select(
+        "i", "value", F.xxhash64("value").alias("hash"), F.substring("value", 1, PREFIX).alias("prefix"))
+
+
+def _frequent(df: DataFrame, cols: list[str], k: int) -> tuple[DataFrame, DataFrame]:
+    """((i, nunique), (i, value, count, rank)): distinct values of each column and its ``k`` most frequent.
+
+    Whole values are never shuffled.  A value is counted by its 64-bit hash with its first characters; the
+    values that can be among the ``k`` first (by count, then by those characters, ties and all) are
+    the candidates, and only their texts are looked up, in a second scan without a shuffle of the cells.
+    """
+    from briskbi.session import cut_lineage
+
+    cells = _cells(df, cols)
+    counts = cells.groupBy("i", "hash", "prefix").agg(F.count(F.lit(1)).alias("count"))
+    first = Window.partitionBy("i").orderBy(F.col("count").desc(), F.col("prefix").asc())
+    candidates = counts.withColumn("rank", F.rank().over(first)).where(F.col("rank") <= k).select("i", "hash", "prefix", "count")
+    distinct = counts.groupBy("i").agg(F.lit(None).cast("long").alias("hash"), F.lit(None).cast("string").alias("prefix"), F.count(F.lit(1)).alias("count"))
+    both = cut_lineage(candidates.unionByName(distinct))  # one job: the two branches share the counts
+    candidates = both.where(F.col("hash").isNotNull())
+    if candidates.count() <= MOST_CANDIDATES:
+        candidates = F.broadcast(candidates)
+    named = cells.join(candidates, ["i", "hash", "prefix"]).groupBy("i", "value").agg(F.max("count").alias("count"))
+    order = Window.partitionBy("i").orderBy(F.col("count").desc(), F.col("value").asc())
+    top = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return both.where(F.col("hash").isNull()).select("i", F.col("count").alias("nunique")), top
+
+
+def _column_name(cols: list[str]) -> Column:
+    return F.element_at(F.array(*[F.lit(c) for c in cols]), F.col("i") + 1).alias("column")
+
+
 def value_counts(df: DataFrame, cols: list[str], k: int | None = None) -> DataFrame:
     """(column, value, count, rank) for non-null values; rank by count desc, value asc."""
-    counts = _unpivot(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).alias("count")
-    )
+    if not cols:
+        return df.sparkSession.createDataFrame([], "column string, value string, count long" + (", rank int" if k else ""))
     if k is None:
-        return counts
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return _unpivot(df, cols).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    return _frequent(df, cols, k)[1].select(_column_name(cols), "value", "count", "rank")
 
 
 # ---------------------------------------------------------------------------
@@ -58,14 +100,14 @@ def numeric_summary(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
-        v = F.col(c).cast("double")
+        v = quoted(c).cast("double")
         aggs += [F.sum(v).alias(f"{c}__sum"), F.avg(v).alias(f"{c}__mean"), F.min(v).alias(f"{c}__min"),
                  F.max(v).alias(f"{c}__max"), F.count(v).alias(f"{c}__count")]
     wide = df.agg(*aggs)
     rows = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.round(F.col(f"{c}__sum"), 2).alias("sum"),
-                 F.round(F.col(f"{c}__mean"), 2).alias("mean"), F.round(F.col(f"{c}__min"), 2).alias("min"),
-                 F.round(F.col(f"{c}__max"), 2).alias("max"), F.col(f"{c}__count").alias("count"))
+        F.struct(F.lit(c).alias("column"), F.round(quoted(f"{c}__sum"), 2).alias("sum"),
+                 F.round(quoted(f"{c}__mean"), 2).alias("mean"), F.round(quoted(f"{c}__min"), 2).alias("min"),
+                 F.round(quoted(f"{c}__max"), 2).alias("max"), quoted(f"{c}__count").alias("count"))
         for c in cols
     ])
     return wide.select(F.explode(rows).alias("r")).select("r.*")
@@ -92,12 +134,12 @@ def ranked(df: DataFrame, num_cols: list[str] | None = None, cat_cols: list[str]
     cat_cols = (cat_cols or text_columns(df))[:max_cat]
     parts = []
     for cat in cat_cols:
-        g = df.where(F.col(cat).isNotNull()).groupBy(F.col(cat).alias("label")).agg(
-            *[F.sum(F.col(n).cast("double")).alias(n) for n in num_cols]
+        g = df.where(quoted(cat).isNotNull()).groupBy(quoted(cat).alias("label")).agg(
+            *[F.sum(quoted(n).cast("double")).alias(n) for n in num_cols]
         )
         long = g.select(
             F.lit(cat).alias("dimension"), "label",
-            F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.col(n).alias("value")) for n in num_cols])).alias("m"),
+            F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), quoted(n).alias("value")) for n in num_cols])).alias("m"),
         ).select("dimension", "label", "m.measure", "m.value")
         parts.append(long)
     if not parts:
@@ -123,14 +165,14 @@ def pick_dimensions(df: DataFrame, lo: int = 2, hi: int = 25) -> DataFrame:
     counts run only for the survivors.
     """
     cols = df.columns
-    approx = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).collect()[0].asDict()
+    approx = df.agg(*[F.approx_count_distinct(quoted(c)).alias(c) for c in cols]).collect()[0].asDict()
     cand = [c for c in cols if approx[c] <= hi * 2 + 10]
     text = set(text_columns(df))
     if not cand:
         return df.sparkSession.createDataFrame([], "column string, n_distinct long, is_text boolean")
-    exact = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in cand])
+    exact = df.agg(*[F.count_distinct(quoted(c)).alias(c) for c in cand])
     long = exact.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("n_distinct"), F.lit(c in text).alias("is_text"))
+        F.struct(F.lit(c).alias("column"), quoted(c).alias("n_distinct"), F.lit(c in text).alias("is_text"))
         for c in cand
     ])).alias("r")).select("r.*")
     return long.where((F.col("n_distinct") >= lo) & (F.col("n_distinct") <= hi))
@@ -145,15 +187,15 @@ def kpi_cards(df: DataFrame, top: int = 4, currency: bool = False) -> DataFrame:
     cols = numeric_columns(df)
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
-        aggs += [F.sum(F.col(c).cast("double")).alias(f"{c}__sum"), F.avg(F.col(c).cast("double")).alias(f"{c}__mean")]
+        aggs += [F.sum(quoted(c).cast("double")).alias(f"{c}__sum"), F.avg(quoted(c).cast("double")).alias(f"{c}__mean")]
     wide = df.agg(*aggs)
     cards = [F.struct(F.lit("rows").alias("name"), F.lit("count").alias("agg"),
                       F.col("__rows").cast("double").alias("value"), F.lit(1.0e300).alias("weight"))]
     for c in cols:
         use_mean = any(h in c.lower() for h in MEAN_NAME_HINTS)
         cards.append(F.struct(F.lit(c).alias("name"), F.lit("mean" if use_mean else "sum").alias("agg"),
-                              F.col(f"{c}__mean" if use_mean else f"{c}__sum").alias("value"),
-                              F.abs(F.col(f"{c}__sum")).alias("weight")))
+                              quoted(f"{c}__mean" if use_mean else f"{c}__sum").alias("value"),
+                              F.abs(quoted(f"{c}__sum")).alias("weight")))
     long = wide.select(F.explode(F.array(*cards)).alias("r")).select("r.*")
     w = Window.orderBy(F.col("weight").desc(), F.col("name"))  # one row per numeric column
     long = long.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top + 1)
@@ -163,7 +205,7 @@ def kpi_cards(df: DataFrame, top: int = 4, currency: bool = False) -> DataFrame:
 def grouped_means(df: DataFrame, key: str, metrics: list[str], limit: int | None = None, agg: str = "mean") -> DataFrame:
     """Mean (or sum) of the metrics by ``key``; all keys, or the first ``limit`` in key order."""
     fn = F.sum if agg == "sum" else F.avg
-    g = df.where(F.col(key).isNotNull()).groupBy(key).agg(*[fn(F.col(m).cast("double")).alias(m) for m in metrics])
+    g = df.where(quoted(key).isNotNull()).groupBy(key).agg(*[fn(quoted(m).cast("double")).alias(m) for m in metrics])
     return g if limit is None else g.orderBy(key).limit(limit)
 
 
@@ -181,7 +223,7 @@ def zscore_anomalies(df: DataFrame, cols: list[str] | None = None, threshold: fl
     cols = cols or numeric_columns(df)
     aggs = []
     for c in cols:
-        v = F.col(c).cast("double")
+        v = quoted(c).cast("double")
         aggs += [F.avg(v).alias(f"{c}__m"), F.stddev_samp(v).alias(f"{c}__s"), F.count(v).alias(f"{c}__n")]
     st = df.agg(*aggs).collect()[0].asDict() if cols else {}
     usable = [c for c in cols if (st[f"{c}__n"] or 0) >= min_rows and st[f"{c}__s"] not in (None, 0.0)
@@ -190,12 +232,12 @@ def zscore_anomalies(df: DataFrame, cols: list[str] | None = None, threshold: fl
     if not usable:
         return df.sparkSession.createDataFrame([], schema)
     counts = df.agg(*[
-        F.count(F.when(F.abs((F.col(c).cast("double") - F.lit(st[f"{c}__m"])) / F.lit(st[f"{c}__s"])) > threshold, 1)).alias(c)
+        F.count(F.when(F.abs((quoted(c).cast("double") - F.lit(st[f"{c}__m"])) / F.lit(st[f"{c}__s"])) > threshold, 1)).alias(c)
         for c in usable
     ])
     rows = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).alias("outlier_count"), F.lit(st[f"{c}__n"]).cast("long").alias("total_rows"),
-                 F.round(F.col(c) / F.lit(st[f"{c}__n"]) * 100, 2).alias("percentage"),
+        F.struct(F.lit(c).alias("column"), quoted(c).alias("outlier_count"), F.lit(st[f"{c}__n"]).cast("long").alias("total_rows"),
+                 F.round(quoted(c) / F.lit(st[f"{c}__n"]) * 100, 2).alias("percentage"),
                  F.lit(threshold).alias("threshold"), F.round(F.lit(st[f"{c}__m"]), 2).alias("mean"),
                  F.round(F.lit(st[f"{c}__s"]), 2).alias("std"))
         for c in usable
@@ -205,20 +247,26 @@ def zscore_anomalies(df: DataFrame, cols: list[str] | None = None, threshold: fl
 
 def zscore_rows(df: DataFrame, col: str, threshold: float = 2.5) -> DataFrame:
     """C24 row-level variant: the rows whose |z| exceeds ``threshold``."""
-    st = df.agg(F.avg(F.col(col).cast("double")).alias("m"), F.stddev_samp(F.col(col).cast("double")).alias("s")).collect()[0]
+    st = df.agg(F.avg(quoted(col).cast("double")).alias("m"), F.stddev_samp(quoted(col).cast("double")).alias("s")).collect()[0]
     if st["s"] in (None, 0.0):
         return df.limit(0).withColumn("z", F.lit(None).cast("double"))
-    z = (F.col(col).cast("double") - F.lit(st["m"])) / F.lit(st["s"])
+    z = (quoted(col).cast("double") - F.lit(st["m"])) / F.lit(st["s"])
     return df.withColumn("z", z).where(F.abs(F.col("z")) > threshold)
 
 
 def quality(df: DataFrame) -> DataFrame:
-    """Rows, columns, duplicate rows, completeness %, quality score."""
+    """Rows, columns, duplicate rows, completeness %, quality score.
+
+    Rows are equal when two 64-bit hashes of all their values (and of which are null) are, so the
+    shuffle carries 16 bytes a row whatever the table's width.
+    """
     cols = df.columns
     nulls = df.agg(F.count(F.lit(1)).alias("rows"),
-                   *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)])
-    dups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate_rows"))
-    total_nulls = sum((F.col(f"n{i}") for i in range(len(cols))), F.lit(0))
+                   *[F.count(F.when(quoted(c).isNull(), 1)).alias(f"n{i}") for i, c in enumerate(cols)])
+    given = [quoted(c).isNull() for c in cols]  # hashes skip nulls
+    row = [F.xxhash64(*given, *[quoted(c) for c in cols]).alias("a"), F.xxhash64(F.lit(1), *[quoted(c) for c in reversed(cols)], *given).alias("b")]
+    dups = df.groupBy(*row).agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("duplicate_rows"))
+    total_nulls = sum((quoted(f"n{i}") for i in range(len(cols))), F.lit(0))
     cells = F.col("rows") * F.lit(len(cols))
     comp = F.when(cells > 0, F.round((1 - total_nulls / cells) * 100, 1)).otherwise(F.lit(100.0))
     base = nulls.select("rows", comp.alias("completeness_pct"))
@@ -237,8 +285,8 @@ def quality(df: DataFrame) -> DataFrame:
 def null_percentages(df: DataFrame) -> DataFrame:
     """C25 detail: null % per column (round 2), only columns with nulls."""
     cols = df.columns
-    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cols])
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.round(F.col(c) / F.col("__n") * 100, 2).alias("null_pct")) for c in cols])
+    wide = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.when(quoted(c).isNull(), 1)).alias(c) for c in cols])
+    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.round(quoted(c) / F.col("__n") * 100, 2).alias("null_pct")) for c in cols])
     return wide.select(F.explode(rows).alias("r")).select("r.*").where(F.col("null_pct") > 0)
 
 
@@ -250,10 +298,10 @@ def compare(df1: DataFrame, df2: DataFrame, max_cols: int | None = None) -> Data
         return df1.sparkSession.createDataFrame([], schema)
 
     def stats(df, tag):
-        wide = df.agg(*[x for c in shared for x in (F.avg(F.col(c).cast("double")).alias(f"{c}__mean"),
-                                                     F.sum(F.col(c).cast("double")).alias(f"{c}__sum"))])
-        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.round(F.col(f"{c}__mean"), 2).alias(f"{tag}_mean"),
-                                  F.round(F.col(f"{c}__sum"), 2).alias(f"{tag}_sum")) for c in shared])
+        wide = df.agg(*[x for c in shared for x in (F.avg(quoted(c).cast("double")).alias(f"{c}__mean"),
+                                                     F.sum(quoted(c).cast("double")).alias(f"{c}__sum"))])
+        rows = F.array(*[F.struct(F.lit(c).alias("column"), F.round(quoted(f"{c}__mean"), 2).alias(f"{tag}_mean"),
+                                  F.round(quoted(f"{c}__sum"), 2).alias(f"{tag}_sum")) for c in shared])
         return wide.select(F.explode(rows).alias("r")).select("r.*")
 
     # ≤ 10 rows per side: a keyed join of two tiny tables.
@@ -294,8 +342,8 @@ def detect_types(df: DataFrame) -> dict[str, str]:
     if text:
         aggs = []
         for c in text:
-            aggs += [F.count(F.col(c)).alias(f"{c}__nn"), F.count(to_timestamp_mixed(F.col(c))).alias(f"{c}__dt"),
-                     F.count(to_number(F.col(c))).alias(f"{c}__num")]
+            aggs += [F.count(quoted(c)).alias(f"{c}__nn"), F.count(to_timestamp_mixed(quoted(c))).alias(f"{c}__dt"),
+                     F.count(to_number(quoted(c))).alias(f"{c}__num")]
         st = df.agg(*aggs).collect()[0].asDict()
         for c in text:
             nn = st[f"{c}__nn"]
@@ -318,29 +366,29 @@ PROFILE_SCHEMA = ("column string, data_type string, null_ratio double, unique_ra
 def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
     """Q1: one row per column: type, null/unique ratios, top 5 values, typed stats.
 
-    Two distributed passes: one wide aggregate, one unpivoted value count (which
-    gives both the exact distinct count and the top 5 of every column).
+    One wide aggregate for the typed statistics; distinct counts and the top 5 come from hashes of
+    the values (``_frequent``), so no column is shuffled as text.
     """
     types = types or detect_types(df)
     cols = df.columns
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for c in cols:
         t = types[c]
-        aggs.append(F.count(F.when(F.col(c).isNull(), 1)).alias(f"{c}__nulls"))
+        aggs.append(F.count(F.when(quoted(c).isNull(), 1)).alias(f"{c}__nulls"))
         if t == "numeric":
-            v = to_number(F.col(c), df.schema[c].dataType)
+            v = to_number(quoted(c), df.schema[c].dataType)
             aggs += [F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"), F.avg(v).alias(f"{c}__mean"),
                      F.stddev_samp(v).alias(f"{c}__std")]
         elif t == "datetime":
-            ts = to_timestamp_mixed(F.col(c), df.schema[c].dataType)
+            ts = to_timestamp_mixed(quoted(c), df.schema[c].dataType)
             aggs += [F.min(ts).alias(f"{c}__mind"), F.max(ts).alias(f"{c}__maxd")]
         elif t == "text":
-            aggs.append(F.avg(F.length(F.col(c).cast("string"))).alias(f"{c}__len"))
+            aggs.append(F.avg(F.length(quoted(c).cast("string"))).alias(f"{c}__len"))
     wide = df.agg(*aggs)
 
     def stat(c, key, kind="double"):
         name = f"{c}__{key}"
-        return F.col(name).cast(kind) if name in wide.columns else F.lit(None).cast(kind)
+        return quoted(name).cast(kind) if name in wide.columns else F.lit(None).cast(kind)
 
     rows = F.array(*[
         F.struct(
@@ -356,12 +404,10 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
         for c in cols
     ])
     base = wide.select(F.explode(rows).alias("r")).select("r.*")
-    counts = value_counts(df, cols)
-    w = Window.partitionBy("column").orderBy(F.col("count").desc(), F.col("value").asc())
-    top5 = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 5).groupBy("column").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("t")
-    ).select("column", F.transform("t", lambda s: s["value"]).alias("top_5"))
-    nd = counts.groupBy("column").agg(F.count(F.lit(1)).alias("nunique"))
+    distinct, top = _frequent(df, cols, 5)
+    nd = distinct.select(_column_name(cols), "nunique")
+    top5 = top.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("rank", "value"))).alias("t")).select(
+        _column_name(cols), F.transform("t", lambda s: s["value"]).alias("top_5"))
     # Both sides have one row per column (bounded by the schema width).
     out = base.join(F.broadcast(nd), "column", "left").join(F.broadcast(top5), "column", "left")
     return out.select(
@@ -390,8 +436,8 @@ def correlations(df: DataFrame, cols: list[str] | None = None, min_abs: float =
     schema = "source string, target string, weight double, method string"
     if not pairs:
         return df.sparkSession.createDataFrame([], schema)
-    wide = df.agg(*[pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
-    rows = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), F.col(f"p{i}").alias("r"))
+    wide = df.agg(*[pearson(quoted(a).cast("double"), quoted(b).cast("double")).alias(f"p{i}") for i, (a, b) in enumerate(pairs)])
+    rows = F.array(*[F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), quoted(f"p{i}").alias("r"))
                      for i, (a, b) in enumerate(pairs)])
     long = wide.select(F.explode(rows).alias("x")).select("x.*")
     return long.where(F.col("r").isNotNull() & ~F.isnan("r") & (F.abs("r") >= min_abs)).select(
@@ -402,8 +448,8 @@ def correlation_matrix(df: DataFrame, top: int | None = None) -> DataFrame:
     """Q6: full Pearson matrix of the non-constant numeric columns (of the ``top`` with the highest variance if given)."""
     cols = numeric_columns(df)
     # More than one distinct value ⇔ min < max (no distinct-count sketch needed).
-    st = df.agg(*[x for c in cols for x in (F.var_samp(F.col(c).cast("double")).alias(f"{c}__v"),
-                                             F.min(F.col(c)).alias(f"{c}__lo"), F.max(F.col(c)).alias(f"{c}__hi"))]
+    st = df.agg(*[x for c in cols for x in (F.var_samp(quoted(c).cast("double")).alias(f"{c}__v"),
+                                             F.min(quoted(c)).alias(f"{c}__lo"), F.max(quoted(c)).alias(f"{c}__hi"))]
                 ).collect()[0].asDict()
     keep = [c for c in cols if st[f"{c}__lo"] is not None and st[f"{c}__lo"] < st[f"{c}__hi"]
             and st[f"{c}__v"] is not None]
@@ -412,19 +458,19 @@ def correlation_matrix(df: DataFrame, top: int | None = None) -> DataFrame:
         return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
     uniq = [(a, b) for a in keep for b in keep if a < b]
     idx = {pair: f"p{i}" for i, pair in enumerate(uniq)}
-    aggs = [pearson(F.col(a).cast("double"), F.col(b).cast("double")).alias(idx[(a, b)]) for a, b in uniq]
+    aggs = [pearson(quoted(a).cast("double"), quoted(b).cast("double")).alias(idx[(a, b)]) for a, b in uniq]
     wide = df.agg(*aggs) if aggs else df.agg(F.count(F.lit(1)).alias("__n"))
     cells = []
     for a in keep:
         for b in keep:
-            r = F.lit(1.0) if a == b else F.round(F.col(idx[(min(a, b), max(a, b))]), 3)
+            r = F.lit(1.0) if a == b else F.round(quoted(idx[(min(a, b), max(a, b))]), 3)
             cells.append(F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), r.alias("r")))
     return wide.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
 
 
 def mutual_info_discrete(df: DataFrame, x: str, y: str) -> DataFrame:
     """Q5 (discrete–discrete): exact plug-in mutual information in nats from counts."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("nxy"))
+    pairs = df.where(quoted(x).isNotNull() & quoted(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("nxy"))
     n = pairs.agg(F.sum("nxy").alias("n"))
     px = pairs.groupBy(x).agg(F.sum("nxy").alias("nx"))
     py = pairs.groupBy(y).agg(F.sum("nxy").alias("ny"))
@@ -443,12 +489,12 @@ def mutual_info_binned(df: DataFrame, cat: str, num: str, bins: int = 10, squash
     A different estimator from the reference's k-NN one (named accordingly);
     with ``squash`` the score is ``score / max(1, score)``, as graph edges need it.
     """
-    st = df.agg(F.min(F.col(num).cast("double")).alias("mn"), F.max(F.col(num).cast("double")).alias("mx")).collect()[0]
+    st = df.agg(F.min(quoted(num).cast("double")).alias("mn"), F.max(quoted(num).cast("double")).alias("mx")).collect()[0]
     if st["mn"] is None:
         return df.sparkSession.createDataFrame([(cat, num, 0.0)], "feature string, target string, mi double")
     width = (st["mx"] - st["mn"]) / bins if st["mx"] != st["mn"] else 1.0
-    b = F.least(F.floor((F.col(num).cast("double") - F.lit(st["mn"])) / F.lit(width)), F.lit(bins - 1))
-    binned = df.where(F.col(num).isNotNull()).select(F.col(cat), b.alias("__bin"))
+    b = F.least(F.floor((quoted(num).cast("double") - F.lit(st["mn"])) / F.lit(width)), F.lit(bins - 1))
+    binned = df.where(quoted(num).isNotNull()).select(quoted(cat), b.alias("__bin"))
     res = mutual_info_discrete(binned, cat, "__bin")
     return res.select(F.lit(cat).alias("feature"), F.lit(num).alias("target"),
                       (F.round(F.col("mi") / F.greatest(F.lit(1.0), F.col("mi")), 3) if squash else F.col("mi")).alias("mi"))
@@ -465,15 +511,15 @@ def category_edges(df: DataFrame, text: list[str] | None = None, numbers: list[s
     schema = "source string, target string, weight double, method string"
     if not text or not numbers:
         return df.sparkSession.createDataFrame([], schema)
-    st = df.agg(*[x for i, c in enumerate(numbers) for x in (F.min(F.col(c).cast("double")).alias(f"lo{i}"), F.max(F.col(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
+    st = df.agg(*[x for i, c in enumerate(numbers) for x in (F.min(quoted(c).cast("double")).alias(f"lo{i}"), F.max(quoted(c).cast("double")).alias(f"hi{i}"))]).collect()[0]
     cells = []
     for i, c in enumerate(numbers):
         lo, hi = st[f"lo{i}"], st[f"hi{i}"]
         if lo is None:
             continue
         width = (hi - lo) / bins if hi != lo else 1.0
-        bucket = F.least(F.floor((F.col(c).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
-        cells += [F.struct(F.lit(t).alias("source"), F.lit(c).alias("target"), F.col(t).alias("x"), bucket.alias("b")) for t in text]
+        bucket = F.least(F.floor((quoted(c).cast("double") - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))
+        cells += [F.struct(F.lit(t).alias("source"), F.lit(c).alias("target"), quoted(t).alias("x"), bucket.alias("b")) for t in text]
     if not cells:
         return df.sparkSession.createDataFrame([], schema)
     pair = ["source", "target"]
@@ -505,8 +551,8 @@ def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None,
     exclude = set(exclude or []) | {target}
     text = [c for c in text_columns(df) if c not in exclude or c == target]
     if text:  # one pass over all text columns
-        parsed = {c: to_number(F.col(c), T.StringType()) for c in text}
-        st = df.agg(*[x for i, c in enumerate(text) for x in (F.count(F.col(c)).alias(f"n{i}"), F.count(parsed[c]).alias(f"p{i}"))]).collect()[0]
+        parsed = {c: to_number(quoted(c), T.StringType()) for c in text}
+        st = df.agg(*[x for i, c in enumerate(text) for x in (F.count(quoted(c)).alias(f"n{i}"), F.count(parsed[c]).alias(f"p{i}"))]).collect()[0]
         for i, c in enumerate(text):
             if st[f"n{i}"] and st[f"p{i}"] / st[f"n{i}"] >= numeric_share:
                 df = df.withColumn(c, parsed[c])
@@ -516,7 +562,7 @@ def rank_features(df: DataFrame, target: str, exclude: list[str] | None = None,
         if c in exclude:
             continue
         if c in nums and target in nums:
-            r = df.agg(F.round(F.abs(pearson(F.col(c).cast("double"), F.col(target).cast("double"))), 6).alias("score"))
+            r = df.agg(F.round(F.abs(pearson(quoted(c).cast("double"), quoted(target).cast("double"))), 6).alias("score"))
             parts.append(r.select(F.lit(c).alias("feature"), F.lit("pearson").alias("method"), "score"))
         else:
             mi = mutual_info_binned(df, c, target, squash=False) if target in nums else mutual_info_discrete(df, c, target)
