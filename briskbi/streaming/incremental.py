@@ -4,8 +4,7 @@
   each micro-batch writes its own ``batch_id=`` partition with dynamic
   partition overwrite, so a retried batch replaces itself (idempotent sink).
 * ``upsert_stream`` (X2 / U4): each micro-batch keeps the last row per key
-  (``max_by``), and the batch's keys replace theirs in a new table version;
-  readers use the newest complete version.
+  (``max_by``) and rewrites the hash buckets its keys fall in (``keyed_table``).
 * ``kpi_windows`` (X3 / C10+C13): watermark + event-time window aggregates.
 
 Checkpoints live under the session's ``spark.checkpoint.dir`` (a shared
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from briskbi.session import ensure_checkpoint_dir
+from briskbi.streaming import keyed_table
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -82,45 +82,15 @@ def append_stream(stream: DataFrame, target: str, checkpoint: str,
     q.awaitTermination()
 
 
-def latest_version(spark: SparkSession, target: str, below: int | None = None) -> str | None:
-    """Path of the newest complete version of an upserted table (of those below ``below`` if given)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    p = jvm.org.apache.hadoop.fs.Path(target)
-    fs = p.getFileSystem(conf)
-    if not fs.exists(p):
-        return None
-    best = None
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if name.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            n = int(name[2:])
-            if below is not None and n >= below:
-                continue
-            if best is None or n > best[0]:
-                best = (n, st.getPath().toString())
-    return best[1] if best else None
-
-
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: list[str], order: list[str]) -> None:
-    """Last row per key wins across batches.
-
-    A batch is reduced to one row per key with ``max_by`` (partial aggregation
-    before the shuffle), then the previous version minus the touched keys plus
-    the batch rows is written as version ``v=<batch_id>``.
+def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: list[str], order: list[str], buckets: int = 64) -> None:
+    """Last row per key wins across batches; a batch rewrites only the buckets of its keys.
+
+    A batch that is tried again starts from the state before it, so it never merges with itself.
+    ``keyed_table.read`` gives the current rows.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        cols = batch.columns
-        rest = [c for c in cols if c not in key]
-        last = batch.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(
-            *key, *[F.col(f"_r.{c}").alias(c) for c in rest])
-        prev_path = latest_version(spark, target, below=batch_id)  # a retried batch merges again, never with itself
-        if prev_path is not None:
-            prev = spark.read.parquet(prev_path)
-            last = prev.join(last.select(*key), key, "left_anti").unionByName(last)
-        last.write.mode("overwrite").parquet(f"{target.rstrip('/')}/v={batch_id}")
+        keyed_table.upsert(batch, target, key, order, batch_id, buckets)
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from briskbi.operators import accumulate, charts, clean, segment, series, signals, summaries
 from briskbi.sources import files
-from briskbi.streaming import incremental
+from briskbi.streaming import incremental, keyed_table
 
 
 def test_retried_upsert_batch_keeps_earlier_rows(spark, tmp_path):
@@ -23,7 +23,7 @@ def test_retried_upsert_batch_keeps_earlier_rows(spark, tmp_path):
     upsert("c1")
     spark.createDataFrame([(8, "b", 2), (9, "b", 2)], schema).write.mode("append").parquet(source)
     upsert("c1")
-    rows = {r.k: r.v for r in spark.read.parquet(incremental.latest_version(spark, target)).collect()}
+    rows = {r.k: r.v for r in keyed_table.read(spark, target).collect()}
     assert len(rows) == 10 and rows[8] == "b" and rows[0] == "a"
     # The second batch again, as after a crash between writing and committing it.
     commits = sorted((tmp_path / "c1" / "commits").glob("[0-9]*"))
@@ -31,7 +31,7 @@ def test_retried_upsert_batch_keeps_earlier_rows(spark, tmp_path):
     for crc in (tmp_path / "c1" / "commits").glob(".*.crc"):
         crc.unlink()
     upsert("c1")
-    again = {r.k: r.v for r in spark.read.parquet(incremental.latest_version(spark, target)).collect()}
+    again = {r.k: r.v for r in keyed_table.read(spark, target).collect()}
     assert again == rows
 
 
