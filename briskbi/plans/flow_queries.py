@@ -6,7 +6,7 @@ import datetime as _dt
 
 from pyspark.sql import functions as F
 
-from briskbi.operators import charts, forecast, segment, signals, summaries, usage
+from briskbi.operators import charts, forecast, profile_state, segment, signals, summaries, usage
 from briskbi.plans import dashboard
 from briskbi.plans.registry import register
 from briskbi.session import table
@@ -45,6 +45,21 @@ def q_stream_append(spark, d):
     return spark.read.parquet(target).drop("batch_id")
 
 
+# Profile kept per batch --------------------------------------------
+from briskbi.plans.summary_queries import _profile_sql  # noqa: E402
+
+
+@register("q_stream_profile", _profile_sql())
+def q_stream_profile(spark, d):
+    """The profile of events after three appended batches, merged from what each batch left."""
+    ev = table(spark, d, "events")
+    inbox, target, ckpt, state = (S.scratch(spark, f"profile-{x}") for x in ("in", "out", "ckpt", "state"))
+    for part in range(3):
+        ev.where(F.pmod("event_id", F.lit(3)) == part).write.mode("append").parquet(inbox)  # the three parts are all events
+        S.append_stream(S.file_stream(spark, inbox, ev.schema, glob="*.parquet"), target, ckpt, profile=state)
+    return profile_state.profile(spark, state)
+
+
 # X2 -----------------------------------------------------------------------
 @register("q_stream_upsert", """
 WITH base AS (SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01'),

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from briskbi.operators import profile_state
 from briskbi.session import ensure_checkpoint_dir
 from briskbi.streaming import keyed_table
 
@@ -69,13 +70,22 @@ def run_available_now(df: DataFrame, sink: str, checkpoint: str, mode: str = "ap
 
 
 def append_stream(stream: DataFrame, target: str, checkpoint: str,
-                  transform: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Clean each new batch and append it (no dedup), idempotently per batch."""
+                  transform: Callable[[DataFrame], DataFrame] | None = None, profile: str | None = None) -> None:
+    """Clean each new batch and append it (no dedup), idempotently per batch.
+
+    With ``profile``, a folder, the profile of all rows is kept up to date there (``profile_state``), and a batch
+    whose columns or types differ from the first one's fails before it is appended.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         out = transform(batch) if transform else batch
+        known = profile_state.known_columns(batch.sparkSession, profile) if profile else None
+        if known:
+            profile_state.check_schema(out, known)
         (out.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(target))
+        if profile:
+            profile_state.update(out, profile, batch_id)
 
     q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
