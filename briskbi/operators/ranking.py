@@ -24,7 +24,10 @@ from pyspark.sql import types as T
 
 from briskbi.session import cut_lineage
 
-_PID, _LPOS, _LCUM = "_br_pid", "_br_lpos", "_br_lcum"
+_PID, _LPOS = "_br_pid", "_br_lpos"
+#: A running sum in fixed point is kept as two whole numbers, billions and the rest, so it passes 64 bits.
+_LIMB = 1_000_000_000
+_LCUM = ("_br_high", "_br_low")
 
 
 def _n_parts(df: DataFrame, n_parts: int | None) -> int:
@@ -33,23 +36,17 @@ def _n_parts(df: DataFrame, n_parts: int | None) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _local_cumsum(sum_col: str | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pos = 0
-        acc = 0
-        for pdf in batches:
-            n = len(pdf)
-            pdf[_LPOS] = np.arange(pos + 1, pos + n + 1, dtype=np.int64)
-            pos += n
-            if sum_col is not None:
-                vals = pdf[sum_col].fillna(0).astype(np.int64).to_numpy()
-                cs = np.cumsum(vals, dtype=np.int64) + acc
-                if n:
-                    acc = int(cs[-1])
-                pdf[_LCUM] = cs
-            yield pdf
-
-    return run
+def _local_cumsum(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Numbers a partition's rows and adds up both parts of the running sum."""
+    pos, acc = 0, [0, 0]
+    for pdf in batches:
+        n = len(pdf)
+        pdf[_LPOS] = np.arange(pos + 1, pos + n + 1, dtype=np.int64)
+        pos += n
+        for i, c in enumerate(_LCUM):
+            pdf[c] = np.cumsum(pdf[c].fillna(0).astype(np.int64).to_numpy(), dtype=np.int64) + acc[i]
+            acc[i] = int(pdf[c].iloc[-1]) if n else acc[i]
+        yield pdf
 
 
 def global_order(
@@ -73,33 +70,30 @@ def global_order(
     if running_sum is None:
         local = ranged.withColumn(_LPOS, F.monotonically_increasing_id())
     else:
-        fixed = "_br_fixed"
-        ranged = ranged.withColumn(fixed, F.round(F.col(running_sum) * (10**scale)).cast("long"))
-        schema = T.StructType(
-            ranged.schema.fields
-            + [T.StructField(_LPOS, T.LongType()), T.StructField(_LCUM, T.LongType())]
-        )
-        local = ranged.mapInPandas(_local_cumsum(fixed), schema).drop(fixed)
+        fixed = F.round(F.col(running_sum) * (10**scale)).cast("decimal(38,0)")
+        ranged = ranged.withColumn("_br_fixed", fixed).withColumn(_LCUM[0], F.expr(f"_br_fixed div {_LIMB}")).withColumn(
+            _LCUM[1], F.expr(f"_br_fixed % {_LIMB}").cast("long")).drop("_br_fixed")
+        local = ranged.mapInPandas(_local_cumsum, T.StructType(ranged.schema.fields + [T.StructField(_LPOS, T.LongType())]))
     local = cut_lineage(local)
 
     aggs = [F.min(_LPOS).alias("_br_first"), F.count(F.lit(1)).alias("_br_n")]
     if running_sum is not None:
-        aggs.append(F.max(_LCUM).alias("_br_psum"))
+        total = F.col(_LCUM[0]).cast("decimal(28,0)") * _LIMB + F.col(_LCUM[1])
+        local = local.withColumn("_br_sum", total.cast("decimal(38,0)"))
+        aggs.append(F.max_by("_br_sum", _LPOS).alias("_br_psum"))
     offs = local.groupBy(_PID).agg(*aggs)
     # One row per partition: a single-task window over P rows is bounded.
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offs = offs.withColumn("_br_before", F.coalesce(F.sum("_br_n").over(before), F.lit(0)))
     if running_sum is not None:
-        offs = offs.withColumn("_br_sum_before", F.coalesce(F.sum("_br_psum").over(before), F.lit(0)))
+        offs = offs.withColumn("_br_sum_before", F.coalesce(F.sum("_br_psum").over(before), F.lit(0)).cast("decimal(38,0)"))
     out = local.join(F.broadcast(offs), _PID)
     if running_sum is None:
         out = out.withColumn(rank_col, F.col("_br_before") + F.col(_LPOS) - F.col("_br_first") + 1)
     else:
         out = out.withColumn(rank_col, F.col("_br_before") + F.col(_LPOS))
-        out = out.withColumn(
-            running_col, ((F.col("_br_sum_before") + F.col(_LCUM)).cast(f"decimal(38,{scale})") / (10**scale)).cast("double")
-        )
-    drop = [_PID, _LPOS, _LCUM, "_br_first", "_br_n", "_br_psum", "_br_before", "_br_sum_before"]
+        out = out.withColumn(running_col, ((F.col("_br_sum_before") + F.col("_br_sum")) / F.lit(10**scale)).cast("double"))
+    drop = [_PID, _LPOS, *_LCUM, "_br_sum", "_br_first", "_br_n", "_br_psum", "_br_before", "_br_sum_before"]
     return out.drop(*[c for c in drop if c in out.columns])
 
 

@@ -13,8 +13,11 @@ used.
 from __future__ import annotations
 
 import datetime as _dt
+import hashlib
+from collections.abc import Callable, Iterable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Names that mark a top segment / an at-risk segment (lower-case substrings).
@@ -144,15 +147,41 @@ def missing(datasets: DataFrame, done: DataFrame, key: str, kind: str) -> DataFr
     return _sig(miss, f"missing_{kind}", F.lit("info"), F.col(key), F.lit(1.0), _ev(dataset=F.col(key)))
 
 
-def detect(parts: list[DataFrame]) -> DataFrame:
-    """Union of all detector outputs in registry order."""
-    spark = parts[0].sparkSession if parts else None
-    out = spark.createDataFrame([], SCHEMA) if spark else None
-    for p in parts:
-        out = out.unionByName(p)
-    return out
+def detect(parts: list[DataFrame], spark: SparkSession | None = None) -> DataFrame:
+    """Union of all detector outputs in registry order; without any, no rows."""
+    if not parts:
+        spark = spark or SparkSession.active()
+        return spark.createDataFrame([], SCHEMA)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def snapshot_hash(*parts: Column) -> Column:
     """First 16 hex digits of SHA-1 over the '|'-joined identifiers."""
     return F.substring(F.sha1(F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])), 1, 16)
+
+
+def run_all(spark: SparkSession, detectors: dict[str, Callable[[], DataFrame | Iterable[DataFrame]]], folder: str, snapshot: Iterable) -> DataFrame:
+    """Every detector by itself; a table of their signals, reused while the ``snapshot`` stays the same.
+
+    ``detectors`` gives by name what makes a detector's output.  One that fails, when planned or when run, leaves
+    the others alone and becomes a ``detector_failed`` row.  ``snapshot`` are the ids and times of the results read;
+    a second call with the same ones reads the table under ``folder`` that the first one finished.
+    """
+    said = "|".join("" if x is None else str(x) for x in snapshot)
+    place = f"{folder.rstrip('/')}/{hashlib.sha1(said.encode()).hexdigest()[:16]}"
+    done = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/failed/_SUCCESS")  # written last
+    if not done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done):
+        failed = []
+        for i, (name, make) in enumerate(detectors.items()):
+            try:
+                made = make()
+                made = detect([made] if isinstance(made, DataFrame) else list(made), spark)
+                made.write.mode("overwrite").parquet(f"{place}/signals/detector={i}")
+            except Exception as error:  # noqa: BLE001  any fault of a detector is reported as its row
+                failed.append(("detector_failed", "info", name, 1.0, {"error": f"{type(error).__name__}: {error}".splitlines()[0][:500]}, len(DETECTOR_ORDER)))
+        spark.createDataFrame(failed, SCHEMA).write.mode("overwrite").parquet(f"{place}/failed")
+    missing_rows = spark.read.schema(SCHEMA).parquet(f"{place}/failed")
+    kept = spark._jvm.org.apache.hadoop.fs.Path(f"{place}/signals")
+    if not kept.getFileSystem(spark._jsc.hadoopConfiguration()).exists(kept):
+        return missing_rows
+    return spark.read.schema(f"{SCHEMA}, detector int").parquet(f"{place}/signals").drop("detector").unionByName(missing_rows)

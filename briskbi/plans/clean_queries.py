@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from briskbi.functions import parse as P
 from briskbi.functions import text as X
-from briskbi.operators import accumulate, charts, clean
+from briskbi.operators import accumulate, charts, clean, ranking
 from briskbi.plans.registry import register
 from briskbi.session import ensure_checkpoint_dir, table
 from briskbi.sources import files
@@ -71,21 +71,22 @@ def q_markdown_strip(spark, d):
     return docs.select("doc_id", X.strip_markdown(F.col("text")).alias("clean_text"))
 
 
-_HUMANIZE_STEPS = [(r"([A-Za-z0-9])[_-]([A-Za-z0-9])", r"\1 \2"), (r"([A-Za-z0-9])[_-]([A-Za-z0-9])", r"\1 \2"),
-                   (r"([a-z0-9])([A-Z])", r"\1 \2"), (r"([A-Z]+)([A-Z][a-z])", r"\1 \2"), (r"[ \t]{2,}", " ")]
+# The texts get an identifier of each kind, names and a date between them.
+_IDENTIFIERS = " 'spend_vs_cost' on 2024-01-01: McDonald re-entry, iPhone, revenueByMarketingChannel_KPIList and salesByRegionAndMonth, 3a_b"
 
 
-def _humanize_sql(col: str) -> str:
-    t = col
-    for pat, rep in _HUMANIZE_STEPS:
-        t = f"regexp_replace({t}, '{_re2(pat)}', '{rep}', 'g')"
-    return t
-
-
-@register("q_humanize", f"SELECT conv_id, turn, {_humanize_sql('text')} AS text FROM conversations")
+@register("q_humanize", rf"""
+WITH t AS (SELECT conv_id, turn, text || '{_IDENTIFIERS.replace("'", "''")}' AS text FROM conversations),
+pieces AS (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z][A-Za-z0-9]*(?:[_-][A-Za-z0-9]+)+|[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') AS p FROM t),
+spaced AS (SELECT conv_id, turn, array_to_string(list_transform(p, lambda x:
+  CASE WHEN regexp_matches(x, '^[A-Za-z][A-Za-z0-9]*([_-][A-Za-z0-9]+)+$') OR regexp_matches(x, '^[a-z]+([A-Z][a-z]+){{3,}}$') OR regexp_matches(x, '^([A-Z][a-z]+){{3,}}$')
+  THEN regexp_replace(regexp_replace(translate(x, '_-', '  '), '([a-z0-9])([A-Z])', '\1 \2', 'g'), '([A-Z])([A-Z][a-z])', '\1 \2', 'g') ELSE x END), '') AS s FROM pieces)
+SELECT conv_id, turn, regexp_replace(s, '[''"`‘’“”]([A-Za-z][A-Za-z0-9 ]{{2,40}})[''"`‘’“”]', '\1', 'g') AS text FROM spaced
+""")
 def q_humanize(spark, d):
-    """Identifier splitting (snake/kebab/camel case) of conversation turns."""
-    return table(spark, d, "conversations").select("conv_id", "turn", X.humanize_identifiers(F.col("text")).alias("text"))
+    """Identifier splitting (snake/kebab/camel case) of conversation turns; names, dates and prose stay."""
+    turns = table(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(_IDENTIFIERS)).alias("text"))
+    return turns.withColumn("text", X.humanize_identifiers("text"))
 
 
 # P3–P6, P11 -----------------------------------------------------------------
@@ -386,6 +387,23 @@ def q_json_rows(spark, d):
     return files.to_json_rows(table(spark, d, "events"))
 
 
+@register("q_json_nested", """
+SELECT to_json(struct_pack(event_id := event_id, value := CASE WHEN event_id % 5 <> 0 AND event_id % 7 <> 0 THEN value END,
+  "values" := [value, NULL, CASE WHEN event_id % 3 <> 0 THEN 1.5::DOUBLE END],
+  nested := struct_pack(kind := CASE WHEN event_id % 2 = 0 THEN event_type END,
+    points := [struct_pack(x := NULL::DOUBLE, day := strftime(ts, '%Y-%m-%d'))])))::VARCHAR AS "row"
+FROM events
+""")
+def q_json_nested(spark, d):
+    """Nulls keep their keys; NaN and infinity inside arrays and structs become null."""
+    nan, even = F.lit(float("nan")), F.col("event_id") % 2 == 0
+    value = F.when(F.col("event_id") % 5 != 0, F.when(F.col("event_id") % 7 == 0, nan).otherwise(F.col("value")))
+    third = F.when(F.col("event_id") % 3 == 0, F.lit(float("-inf"))).otherwise(F.lit(1.5))
+    point = F.struct(nan.alias("x"), F.to_date("ts").alias("day"))
+    nested = F.struct(F.when(even, F.col("event_type")).alias("kind"), F.array(point).alias("points"))
+    return files.to_json_rows(table(spark, d, "events").select("event_id", value.alias("value"), F.array("value", nan, third).alias("values"), nested.alias("nested")))
+
+
 # A11 / L4 -----------------------------------------------------------------
 @register("q_latest_turns", """
 SELECT conv_id, turn, role, text FROM (
@@ -420,12 +438,11 @@ def q_read_log(spark, d):
 
 # U9 -----------------------------------------------------------------------
 @register("q_delete_rows", """
-SELECT * FROM (SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS o_orderdate,
-  o_orderpriority, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_index FROM orders ORDER BY o_orderkey LIMIT 5000)
+SELECT * FROM (SELECT *, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row_index FROM orders)
 WHERE NOT (row_index >= 100 AND row_index < 1100)
 """)
 def q_delete_rows(spark, d):
-    """Delete a range of stored display rows by ``row_index``."""
-    s = files.display_sample(table(spark, d, "orders"), ["o_orderkey"], 5000).drop("row_json")
-    s = s.withColumn("row_index", F.col("row_index").cast("long"))
-    return accumulate.delete_rows(s, (F.col("row_index") >= 100) & (F.col("row_index") < 1100))
+    """Delete a range of rows by their index in the whole table's order."""
+    rows = ranking.global_order(table(spark, d, "orders"), [F.col("o_orderdate"), F.col("o_orderkey")])
+    rows = rows.withColumn("row_index", F.col("global_rank") - 1)
+    return accumulate.delete_rows(rows, (F.col("row_index") >= 100) & (F.col("row_index") < 1100)).drop("global_rank")

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as _dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -154,32 +154,43 @@ def write_artifact(df: DataFrame, path: str, mode: str = "overwrite", partition_
     w.parquet(path)
 
 
+def _json_value(c: Column, kind: T.DataType) -> Column:
+    """A value as JSON can hold it, at any depth; null stays null."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, T.DecimalType):
+        return c.cast("double")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        # ISO 8601; microseconds only when present (as Python's isoformat)
+        whole = F.date_format(c, "SSSSSS") == "000000"
+        return F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
+    if isinstance(kind, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(kind, T.BinaryType):
+        return F.make_valid_utf8(c.cast("string"))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _json_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: _json_value(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[_json_value(c.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    return c
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """NaN/±inf → null, timestamps ISO text, decimals → double."""
-    cols = []
-    for f in df.schema.fields:
-        c = F.col(f.name)
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.when(F.isnan(c) | (F.abs(c) == float("inf")), F.lit(None)).otherwise(c)
-        elif isinstance(f.dataType, T.DecimalType):
-            c = c.cast("double")
-        elif isinstance(f.dataType, (T.TimestampType, T.TimestampNTZType)):
-            # ISO 8601; microseconds only when present (as Python's isoformat)
-            whole = F.date_format(c, "SSSSSS") == "000000"
-            c = F.when(whole, F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
-                F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))
-        elif isinstance(f.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(f.dataType, T.BinaryType):
-            c = F.decode(c, "UTF-8")
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+    """NaN/±inf → null, timestamps ISO text, decimals → double, inside arrays, maps and structs too."""
+    return df.select(*[_json_value(F.col("`" + f.name.replace("`", "``") + "`"), f.dataType).alias(f.name) for f in df.schema.fields])
+
+
+def _json_object(df: DataFrame) -> Column:
+    """All columns as one JSON object; nulls keep their keys."""
+    return F.to_json(F.struct(*["`" + c.replace("`", "``") + "`" for c in df.columns]), {"ignoreNullFields": "false"})
 
 
 def to_json_rows(df: DataFrame) -> DataFrame:
     """One JSON object per row."""
     safe = json_safe(df)
-    return safe.select(F.to_json(F.struct(*safe.columns)).alias("row"))
+    return safe.select(_json_object(safe).alias("row"))
 
 
 def display_sample(df: DataFrame, order_by: list[str], cap: int = 5000) -> DataFrame:
@@ -187,8 +198,7 @@ def display_sample(df: DataFrame, order_by: list[str], cap: int = 5000) -> DataF
     top = df.orderBy(*order_by).limit(cap)
     w = Window.orderBy(*order_by)  # ≤ cap rows
     safe = json_safe(top)
-    row_json = F.to_json(F.struct(*[safe[c] for c in safe.columns]))
-    return safe.select(*top.columns, row_json.alias("row_json")).withColumn("row_index", F.row_number().over(w) - 1)
+    return safe.withColumn("row_json", _json_object(safe)).withColumn("row_index", F.row_number().over(w) - 1)
 
 
 def page(sample: DataFrame, limit: int = 100, offset: int = 0) -> DataFrame:
