@@ -103,28 +103,29 @@ class ReadResult:
     rejected: DataFrame
 
 
-def whole_encoding(spark: SparkSession, path: str, guess: str) -> str:
-    """Encoding of a text file judged on all of its bytes, in a distributed pass.
+def judge_text(spark: SparkSession, path: str, guess: str, quote: str = '"') -> tuple[str, bool]:
+    """(encoding, whether a quoted field holds a line break) of a text file, judged on all of its bytes in one distributed pass.
 
-    UTF-8 if every line is valid UTF-8; else cp1252, or Latin-1 where a byte
-    is undefined in cp1252.
+    UTF-8 if every line is valid UTF-8; else cp1252, or Latin-1 where a byte is undefined in
+    cp1252.  A line with an odd number of quotes opens or closes a field that goes on in another
+    line; without such a line every line is a record, and the file can be split among tasks.
     """
-    if guess == "UTF-8":
-        lines = spark.read.text(path)
-        latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-        row = lines.agg(F.min(F.is_valid_utf8("value")).alias("utf8"),
-                        F.max(latin.rlike("[\\x81\\x8D\\x8F\\x90\\x9D]")).alias("undefined")).first()
-        if row["utf8"] is False:
-            return "ISO-8859-1" if row["undefined"] else "windows-1252"
-    return guess
-
-
-def read_any(spark: SparkSession, paths: list[str], multi_line: bool = True) -> ReadResult:
+    lines = spark.read.text(path)
+    latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")  # a character for each byte, whatever they mean
+    quotes = F.length(latin) - F.length(F.replace(latin, F.lit(quote), F.lit("")))
+    row = lines.agg(F.min(F.is_valid_utf8("value")).alias("utf8"), F.max(quotes % 2).alias("odd"),
+                    F.max(latin.rlike("[\\x81\\x8D\\x8F\\x90\\x9D]")).alias("undefined")).first()
+    encoding = guess
+    if guess == "UTF-8" and row["utf8"] is False:
+        encoding = "ISO-8859-1" if row["undefined"] else "windows-1252"
+    return encoding, row["odd"] == 1
+
+
+def read_any(spark: SparkSession, paths: list[str], multi_line: bool | None = None) -> ReadResult:
     """A1–A4: read every accepted file; rejected files come back as a DataFrame.
 
-    Quoted fields may hold doubled quotes, delimiters and, with ``multi_line``,
-    line breaks; such a file is read by one task, so turn it off for large
-    files that are known to have none.
+    Quoted fields may hold doubled quotes, delimiters and line breaks.  A file with quoted line breaks is
+    read by one task, any other by many; ``judge_text`` finds out which, ``multi_line`` overrules it.
     """
     frames, ok, bad = [], [], []
     for p in paths:
@@ -133,11 +134,11 @@ def read_any(spark: SparkSession, paths: list[str], multi_line: bool = True) ->
             frames.append(spark.read.parquet(p))
             ok.append(p)
         elif info["kind"] == "csv":
-            info["encoding"] = whole_encoding(spark, p, info["encoding"])
+            info["encoding"], breaks = judge_text(spark, p, info["encoding"])
             cp1252 = info["encoding"] == "windows-1252"
             df = (spark.read.option("header", True).option("inferSchema", False).option("sep", info["sep"])
                   .option("encoding", "ISO-8859-1" if cp1252 else info["encoding"])
-                  .option("quote", '"').option("escape", '"').option("multiLine", multi_line).csv(p))
+                  .option("quote", '"').option("escape", '"').option("multiLine", breaks if multi_line is None else multi_line).csv(p))
             frames.append(_from_latin1_as_cp1252(df) if cp1252 else df)
             ok.append(p)
         else:
