@@ -6,6 +6,7 @@ from briskbi.plans import (  # noqa: F401
     flow_queries,
     segment_queries,
     series_queries,
+    signal_queries,
     summary_queries,
 )
 from briskbi.plans.registry import ORACLE, QUERIES  # noqa: F401
