@@ -5,6 +5,7 @@ from briskbi.plans import (  # noqa: F401
     clean_queries,
     flow_queries,
     segment_queries,
+    selection_queries,
     series_queries,
     signal_queries,
     summary_queries,
