@@ -16,7 +16,7 @@ from briskbi.session import table
 @register("q_month_revenue", f"""
 SELECT strftime(l_shipdate, '%Y-%m') AS label, CAST(SUM({dec('l_extendedprice')}) AS DOUBLE) AS value
 FROM lineitem WHERE l_shipdate IS NOT NULL
-GROUP BY 1 ORDER BY 1 LIMIT 750
+GROUP BY 1 ORDER BY 1
 """)
 def q_month_revenue(spark, d):
     """C10 + C13: monthly revenue (the flagship slice)."""
@@ -38,7 +38,7 @@ _SPAN = "(SELECT date_diff('day', min(l_shipdate), max(l_shipdate)) AS span FROM
 SELECT {_AUTO_LABEL} AS label, CAST(SUM({dec('l_extendedprice')}) AS DOUBLE) AS value
 FROM lineitem, {_SPAN}
 WHERE l_shipdate IS NOT NULL
-GROUP BY 1 ORDER BY 1 LIMIT 750
+GROUP BY 1 ORDER BY 1
 """)
 def q_auto_grain(spark, d):
     """C14: grain chosen from the span of l_shipdate."""
@@ -48,7 +48,7 @@ def q_auto_grain(spark, d):
 @register("q_cumulative", f"""
 WITH g AS (
   SELECT strftime(l_shipdate, '%Y') AS label, SUM({dec('l_extendedprice')}) AS v
-  FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 750)
+  FROM lineitem WHERE l_shipdate IS NOT NULL GROUP BY 1 ORDER BY 1)
 SELECT label, CAST(SUM(v) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value
 FROM g
 """)
@@ -197,7 +197,7 @@ WITH g AS (
   SELECT strftime(o_orderdate, '%Y-%m') AS label, o_orderpriority AS series, CAST(count(*) AS DOUBLE) AS value
   FROM orders WHERE o_orderdate IS NOT NULL AND o_orderpriority IS NOT NULL GROUP BY 1, 2),
 k AS (SELECT series FROM g GROUP BY 1 ORDER BY sum(value) DESC, series LIMIT 12),
-l AS (SELECT label FROM g WHERE series IN (SELECT series FROM k) GROUP BY 1 ORDER BY label DESC LIMIT 750)
+l AS (SELECT label FROM g WHERE series IN (SELECT series FROM k) GROUP BY 1 ORDER BY label DESC)
 SELECT l.label, k.series, COALESCE(g.value, 0.0) AS value
 FROM l CROSS JOIN k LEFT JOIN g ON g.label = l.label AND g.series = k.series
 """)
@@ -237,7 +237,7 @@ def q_top_mean(spark, d):
 SELECT strftime(l_shipdate, '%Y-%m-%d') AS label, CAST(SUM({dec('l_extendedprice')}) AS DOUBLE) AS value
 FROM lineitem
 WHERE l_shipdate >= TIMESTAMP '1996-03-01' AND l_shipdate < TIMESTAMP '1996-03-31' + INTERVAL 1 DAY
-GROUP BY 1 ORDER BY 1 LIMIT 750
+GROUP BY 1 ORDER BY 1
 """)
 def q_date_filter(spark, d):
     """B4 + C14: a March-1996 window (inclusive end day) at the automatic daily grain."""
@@ -250,7 +250,7 @@ WITH s AS (SELECT date_diff('day', min(o_orderdate), max(o_orderdate)) AS span F
 SELECT CASE WHEN s.span <= 60 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN s.span <= 400 THEN strftime(o_orderdate, '%G-W%V')
             WHEN s.span <= 2000 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y') END AS label,
        CAST(SUM({dec('o_totalprice')}) AS DOUBLE) / COUNT(o_totalprice) AS value
-FROM orders, s WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1 LIMIT 750
+FROM orders, s WHERE o_orderdate IS NOT NULL GROUP BY 1 ORDER BY 1
 """)
 def q_chat_grain(spark, d):
     """Mean order value over time at the chat rule's grain (≤60 d day, ≤400 week, ≤2000 month, else year)."""
@@ -264,7 +264,7 @@ def q_chat_grain(spark, d):
 SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, CAST(SUM({dec('o_totalprice')}) AS DOUBLE) AS value
 FROM orders
 WHERE o_orderdate >= TIMESTAMP '1998-05-04' AND o_orderdate < TIMESTAMP '1998-08-02' + INTERVAL 1 DAY
-GROUP BY 1 ORDER BY 1 LIMIT 750
+GROUP BY 1 ORDER BY 1
 """)
 def q_relative_range(spark, d):
     """B5 + B4: "last 90 days" as of 1998-08-02, daily order value."""
