@@ -7,7 +7,8 @@ labels wins, then the longest path; an entry listed twice takes ``block``.
 
 Defined cases: null url or no ``://``: host and path are empty, no rule, default
 verdict.  Rules with a null host or verdict are ignored; no rules: every url gets
-the default.  Repeated rows are judged alike.  Extra columns are not read.
+the default.  Repeated rows are judged alike.  Extra columns are not read.  A very long url takes
+time in proportion to its length and the number of different lengths of rule tails.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ class Trie:
             tails = node.setdefault("/tails", {})
             if tail not in tails or verdict == "block":
                 tails[tail] = (rule, verdict)
+            lengths = node.setdefault("/lengths", [])
+            if len(tail) not in lengths:
+                lengths.append(len(tail))
+                lengths.sort(reverse=True)
 
     @staticmethod
     def _below(paths: dict, path: str) -> tuple[str, str] | None:
@@ -57,8 +62,8 @@ class Trie:
         best, node = None, paths
         for segment in path.split("/"):
             tails = node.get("/tails", {})
-            for n in range(len(segment), -1, -1) if tails else ():
-                if segment[:n] in tails:
+            for n in node.get("/lengths", ()):  # no other prefix of the segment can be a tail
+                if n <= len(segment) and segment[:n] in tails:
                     best = tails[segment[:n]]
                     break
             if segment not in node:

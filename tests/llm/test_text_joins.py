@@ -1,6 +1,7 @@
 """N-gram Jaccard join, substring dedup, decontamination and URL filter against brute force."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -174,3 +175,21 @@ def test_url_rules(spark):
 def test_every_oracle_has_a_query():
     assert set(Q.ORACLE) <= set(Q.QUERIES)
     assert {q.split("_")[0] for q in Q.QUERIES} == {f"op{n}" for n in range(1, 14)}
+
+
+def test_very_long_urls_and_equal_prefixes():
+    rules = [("a.org/x", "allow"), ("a.org/xyz", "block"), ("a.org/", "allow"), ("b.org/d/e", "block"), ("a.org/xyz", "allow")]
+    trie = urlfilter.Trie(rules)
+
+    def brute(host, path):
+        fits = [(r, v) for r, v in rules if r is not None and (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return max((len(r), v == "block", r, v) for r, v in fits)[2:] if fits else None
+
+    for host in ("a.org", "c.a.org", "b.org", "org", ""):
+        for path in ("", "/", "/x", "/xy", "/xyz", "/xyzz/a", "/y", "/d", "/d/", "/d/ef", "/d/f"):
+            assert trie.find(host, path) == brute(host, path), (host, path)
+    began = time.process_time()
+    assert trie.find("a.org", "/xyz" + "x" * 2_000_000) == ("a.org/xyz", "block")
+    assert trie.find("a.org", "/" * 1_000_000) == ("a.org/", "allow")
+    assert trie.find("." * 1_000_000 + "a.org", "/q") == ("a.org/", "allow")
+    assert time.process_time() - began < 5
