@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 
 import numpy as np
 
@@ -106,7 +107,7 @@ def test_marks_of_main_text_do_not_take_whole_parts():
         f"<div id=page class=no-sidebar><p>{body}</p><div class=ad>buy</div><p>{body}</p></div>": f"{body}\n{body}",
         f"<article><p>{body}</p><p>{body}</p><section id='discussion'><h2>Discussion</h2><p>{body}</p></section></article>": f"{body}\n{body}\n{found}",
         f"<p>{body}</p><p>{body}</p><section id='discussion'><h2>Discussion</h2><p>{body}</p></section>": f"{body}\n{body}\n{found}",
-        f"<main><p>{body}</p><div class='notice'>Mind this.</div><section id='related-work'><p>{body}</p></section><p>{body}</p></main>": f"{body}\nMind this.\n{body}\n{body}",
+        f"<main><p>{body}</p><div class='notice'>Mind this.</div><section id='related-work'><p>{body}</p></section><p>{body}</p></main>": f"{body}\n{body}\n{body}",
         f"<div class='search-page'><p>{body}</p></div>": body,
         f"<div class='sidebar'><p>{body}</p><p>{body}</p></div><p>Short.</p>": f"{body}\n{body}\nShort.",
         f"<p>{body} <span class='alert'>Mind</span> it.</p>": f"{body} Mind it.",
@@ -117,6 +118,34 @@ def test_marks_of_main_text_do_not_take_whole_parts():
         assert html_text.main_text(page) == text, page
 
 
+def test_small_blocks_named_as_notices_adverts_or_comments_go():
+    body = ("A long enough paragraph, with many words in it, so that the sums of the line blocks surge and stay. " * 4).strip()
+    gone = "notice alert banner promo sponsor related subscribe signup advert-box cookie-banner comment-list article-comments user-comments site_notice".split()
+    stays = "has-sidebar no-comments comments-open with-banner notice-board-less discussion related-work banner-heading noticeable".split()
+    for name in gone:
+        for zone in ("article", "div"):
+            assert html_text.main_text(f"<{zone}><p>{body}</p><div class='x {name}'><p>Buy or mind this.</p></div><p>{body}</p></{zone}>") == f"{body}\n{body}", name
+        assert html_text.main_text(f"<div class='{name}'><p>{body}</p></div>") == body, name  # not when it is most of the page
+    for name in set(stays) - {"notice-board-less", "banner-heading"}:
+        assert html_text.main_text(f"<article><p>{body}</p><div class='{name}'><p>Part of the text.</p></div><p>{body}</p></article>") == f"{body}\nPart of the text.\n{body}", name
+    assert html_text.main_text(f"<article><h2 class='banner-heading'>T</h2><p>{body} <span class='alert'>Mind</span> it.</p></article>") == f"T\n{body} Mind it."
+
+
+def test_hostile_pages_take_linear_time():
+    units = ["<a", '<a ">" ', "<!", "<a '", "<div class=ad>x", "<article>x", "<div class=ad><i>", "<a \"'>'", "<nav>", "<li class=ad>", "&#9999999999"]
+    for unit in units:
+        page = unit * (1_000_000 // len(unit))
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 15, unit
+    assert html_text.main_text("&#" + "9" * 6000 + "; &#" + "0" * 6000 + "65;") == "\ufffd A"
+    assert html_text.main_text("<p title=\"x y>one</p><p>two") == "one\ntwo"  # no end of the quote: the first > ends the tag
+
+
+def test_main_text_of_an_empty_table(spark):
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+
+
 def test_estimates_are_unbiased_and_bounded():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 64))
