@@ -69,10 +69,25 @@ def train_dictionary(samples: list[bytes], size: int = 64 << 10) -> bytes:
         return b"".join(samples)[-size:]
 
 
+def dictionary_sample(rows: DataFrame, id_col: str, most: int, longest: int) -> DataFrame:
+    """At most ``most`` rows with a ``_text`` of at most ``longest`` bytes, chosen by a hash of id and text.
+
+    A threshold on the hash leaves about twice as many of all rows, so what the tasks send to the
+    driver doesn't grow with the table.  Long texts among those leave fewer than ``most`` rows.
+    """
+    total = rows.count()
+    share = min(1.0, 2 * most / max(1, total))
+    chance = F.shiftrightunsigned(F.xxhash64(id_col, "_text"), 1)
+    few = (F.octet_length("_text") > 0) & (F.octet_length("_text") <= longest)
+    if share < 1:
+        few &= chance <= F.lit(int(share * (2**63 - 1)))
+    return rows.where(few).orderBy("_hash", id_col).limit(most).select("_text")
+
+
 def write(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text: str = "text", end_id: int = 1, dictionary_docs: int = 512, dictionary_bytes: int = 16 << 10, shard_bytes: int = 16 << 20, level: int = 3) -> list[tuple[int, int, int]]:
     """Writes the files; returns (shard, documents, tokens) of every shard in ascending order (one small row each)."""
     rows = docs.select(F.col(id_col), F.col(text).cast("string").alias("_text"), F.xxhash64(F.col(text).cast("string")).alias("_hash"))
-    sample = rows.where((F.octet_length("_text") > 0) & (F.octet_length("_text") <= dictionary_bytes)).orderBy("_hash", id_col).limit(dictionary_docs).collect()
+    sample = dictionary_sample(rows, id_col, dictionary_docs, dictionary_bytes).collect()
     ids, first = coder(tokenizer).encode(pa.array([r["_text"] for r in sample], pa.string()))
     dictionary = train_dictionary([ids[a:b].astype("<u4").tobytes() for a, b in zip(first[:-1], first[1:], strict=True)])
     store, root = _open(folder)

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from briskbi.llm import chat, packing, tokenfiles, tokens
+from briskbi.llm import chat, packing, shared, tokenfiles, tokens
 
 FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
 
@@ -124,3 +124,32 @@ def test_chat_windows(spark):
         assert back[conv].loss_chars == len(texts) and back[conv].loss_sha256 == hashlib.sha256(texts.encode()).hexdigest()
         assert back[conv].n_turns == sum(1 for r in rows if r[0] == conv)
     assert chat.read_back(chat.format_chats(turns.limit(0), public_tokenizers.path(FILES[0]))).collect() == []
+
+
+def test_dictionary_sample_is_spread_and_bounded(spark):
+    F = chat.F
+    rows = spark.range(0, 20_000, 1, 8).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit("the same")).when(F.col("id") % 50 == 1, F.lit("")).when(F.col("id") % 50 == 2, F.lit("x" * 300)).otherwise(F.concat(F.lit("text "), F.col("id").cast("string"))).alias("_text")).withColumn("_hash", F.xxhash64("_text"))
+    got = [r["_text"] for r in tokenfiles.dictionary_sample(rows, "doc_id", 100, 200).collect()]
+    assert 50 <= len(got) <= 100 and got == [r["_text"] for r in tokenfiles.dictionary_sample(rows.repartition(5), "doc_id", 100, 200).collect()]
+    assert "" not in got and max(map(len, got)) <= 200 and len(set(got)) > 20
+    few = rows.limit(60).where(F.length("_text") > 0)
+    assert tokenfiles.dictionary_sample(few, "doc_id", 100, 10**6).count() == few.count()
+
+
+def test_an_open_window_does_not_hold_the_whole_document():
+    packer = packing.Packer(64, 4, 0)
+    ids = np.arange(100_000, dtype=np.uint32)
+    list(packer.add(1, ids, len(ids)))
+    assert all(piece[2].base is None and len(piece[2]) <= 64 for w in packer.windows for piece in w)
+
+
+def test_batch_sizes_with_units(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, then in (("16m", str(shared.ARROW_BYTES)), ("1m", "1m"), ("2048k", "2048k"), ("5000000b", str(shared.ARROW_BYTES)), ("4194304", "4194304"), ("1g", str(shared.ARROW_BYTES))):
+            spark.conf.set(name, given)
+            shared.small_batches(spark)
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
