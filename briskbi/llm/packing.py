@@ -65,7 +65,7 @@ class Packer:
                 yield from self._emit(window)
                 start += cut
                 continue
-            self.windows[best].append((doc, start, ids[start:], total))
+            self.windows[best].append((doc, start, ids[start:].copy(), total))  # a view would hold the whole document
             self.room[best] -= n
             if not self.room[best]:
                 self.room.pop(best)
