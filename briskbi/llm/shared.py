@@ -8,6 +8,7 @@ a multilinear sum over its word hashes; both end in a 64-bit finaliser.
 from __future__ import annotations
 
 import math
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -34,7 +35,9 @@ ARROW_BYTES = 4 << 20
 def small_batches(spark: SparkSession) -> None:
     """Lowers the session's Arrow batch size to ``ARROW_BYTES`` if it is larger: texts can be long."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name).rstrip("bB")) > ARROW_BYTES:
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)b?\s*", spark.conf.get(name).lower()).groups()
+    size = int(number) << 10 * " kmgtp".index(unit or " ")
+    if size <= 0 or size > ARROW_BYTES:  # 0 and less: no limit
         spark.conf.set(name, str(ARROW_BYTES))
 
 
