@@ -139,8 +139,8 @@ def test_dictionary_sample_is_spread_and_bounded(spark):
 def test_an_open_window_does_not_hold_the_whole_document():
     packer = packing.Packer(64, 4, 0)
     ids = np.arange(100_000, dtype=np.uint32)
-    list(packer.add(1, ids, len(ids)))
-    assert all(piece[2].base is None and len(piece[2]) <= 64 for w in packer.windows for piece in w)
+    list(packer.add(1, ids))
+    assert sum(len(w) for w in packer.windows) == 1 and all(piece[2].base is None and len(piece[2]) <= 64 for w in packer.windows for piece in w)
 
 
 def test_batch_sizes_with_units(spark):
