@@ -1,7 +1,7 @@
 """Chat formatting in token-budgeted, turn-aligned windows.
 
-A conversation's turns are laid end to end by their token counts (prefix sums).
-A window takes the leading system turn, then repeats the newest turns before it
+A conversation's turns are laid end to end by the token counts of their formatted
+turns, marks and escapes included (prefix sums).  A window takes the leading system turn, then repeats the newest turns before it
 within ``history`` tokens, then new turns as long as the whole fits ``budget``.
 Every turn is new in exactly one window; only assistant text that is new there
 carries loss, a repeated target is masked.
@@ -18,7 +18,8 @@ and its history, however long the conversation.
 
 Defined cases: null text and null role are empty; null conversation ids form one
 conversation; null turns come first; equal turns (repeated rows) keep all their rows, by role
-and text; a turn longer than the budget is a window of its own, never cut; an
+and text; a turn longer than the budget is a window of its own (after the system turn), never
+cut, however long; further columns, also those named like a result column, are left out; an
 empty table gives no windows.
 """
 
@@ -28,6 +29,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -54,6 +56,11 @@ def escape_role(role: str) -> str:
     return escape(role).replace("\n", "\\n")
 
 
+def form(role: str, text: str, mark: str = TURN) -> str:
+    """A turn as it stands in a window."""
+    return f"{mark}{escape_role(role)}\n{escape(text)}{END}\n"
+
+
 def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
@@ -94,8 +101,9 @@ class Windows:
         self.index = 0
         self.first = True
 
-    def add(self, role: str, text: str, tokens: int) -> Iterator[tuple]:
-        turn = (role, text, tokens)
+    def add(self, role: str, text: str, tokens: int, repeated: int) -> Iterator[tuple]:
+        """The next turn, with its tokens as a new turn and as a repeated one."""
+        turn = (role, text, repeated)
         if self.first and role == "system":
             self.system = turn
         self.first = False
@@ -137,8 +145,8 @@ _LOSS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 def format_chats(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = 1024, history: int = 256, target: str = "assistant") -> DataFrame:
     """One row per window: conversation, window (0, 1, ...), formatted text, loss spans (characters), n_new, tokens.
 
-    Rows come by conversation and window within their partition.  Tokens count the
-    turns' texts; marks are not part of the budget.
+    Rows come by conversation and window within their partition.  ``budget`` and ``history``
+    hold for the formatted text: a window of several new turns has at most ``budget`` tokens.
     """
     small_batches(turns.sparkSession)
     kind = turns.schema[conv].dataType.simpleString()
@@ -148,8 +156,16 @@ def format_chats(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = coder(tokenizer)
         for batch in steps(batches, "_text"):
-            _, first = encoder.encode(batch.column(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first[1:] - first[:-1], pa.int64())], names=["_conv", "_turn", "_role", "_text", "_tokens"])
+            roles, texts = (batch.column(i).to_pylist() for i in (2, 3))
+            _, first = encoder.encode(pa.array(map(form, roles, texts), pa.string()))
+            tokens = first[1:] - first[:-1]
+            # A repeated turn differs in its mark only.
+            kinds = list(dict.fromkeys(roles))
+            _, edge = encoder.encode(pa.array([f"{mark}{escape_role(r)}\n" for mark in (TURN, AGAIN) for r in kinds], pa.string()))
+            heads = (edge[1:] - edge[:-1]).reshape(2, -1)
+            more = dict(zip(kinds, (heads[1] - heads[0]).tolist(), strict=True))
+            repeated = tokens + np.array([more[r] for r in roles])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(tokens, pa.int64()), pa.array(repeated, pa.int64())], names=["_conv", "_turn", "_role", "_text", "_tokens", "_repeated"])
 
     def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, held, arrow = None, [], 0, None
@@ -160,12 +176,12 @@ def format_chats(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn:
 
         for batch in batches:
             arrow = batch.column(0).type
-            for c, _, r, t, n in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for c, _, r, t, n, again in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if now is None or now.conv != c:
                     if now is not None and now.new:
                         out.append(now.emit())
                     now = Windows(c, budget, history, target)
-                for made in now.add(r, t, n):
+                for made in now.add(r, t, n, again):
                     out.append(made)
                     held += len(made[2])
                 if held > 1 << 20:
@@ -176,7 +192,7 @@ def format_chats(turns: DataFrame, tokenizer: str, conv: str = "conv_id", turn:
         if out:
             yield batch_of(out)
 
-    counted = plain.mapInArrow(count, f"_conv {kind}, _turn {order}, _role string, _text string, _tokens long")
+    counted = plain.mapInArrow(count, f"_conv {kind}, _turn {order}, _role string, _text string, _tokens long, _repeated long")
     dealt = counted.repartition("_conv").sortWithinPartitions("_conv", "_turn", "_role", "_text")
     return dealt.mapInArrow(window, f"`{conv}` {kind}, window long, formatted string, loss array<struct<start:bigint,end:bigint>>, n_new long, tokens long")
 

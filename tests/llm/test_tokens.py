@@ -118,6 +118,11 @@ def test_chat_windows(spark):
         if conv == 3:
             assert all(p[0][1] == "system" for p in parsed) and any(not new and r != "system" for p in parsed for new, r, _ in p)
             assert all(w.tokens <= 120 or w.n_new == 1 for w in ws)
+    ids = plain(FILES[0])
+    assert all(w.tokens == len(ids(w.formatted)) for ws in by.values() for w in ws)
+    short = spark.createDataFrame([(7, i, "user" if i % 2 else "assistant", "\\" * (i % 4)) for i in range(900)], "conv_id long, turn long, role string, text string")
+    made = chat.format_chats(short, public_tokenizers.path(FILES[0])).collect()
+    assert len(made) > 5 and all(w.n_new > 1 and len(ids(w.formatted)) <= 1024 for w in made)
     back = {r.conv_id: r for r in chat.read_back(windows).collect()}
     for conv, ws in by.items():
         texts = "".join(x for w in ws for x in chat.spread(w.formatted, w.loss))
