@@ -1,24 +1,28 @@
-"""Substring duplicates by relative Lempel-Ziv parsing.
+"""Substring duplicates by relative Lempel-Ziv parsing against reference blocks.
 
-Every document is parsed against the blocks of all documents (its own included).
-Blocks are anchored by content: of every window of ``window`` consecutive words
-the smallest ``anchor``-word hash is its anchor, so equal windows share an anchor
-at the same place.  The parse has three steps, each one hash shuffle:
+Every document is factored against the blocks of all documents (its own included).
+A factor is a stretch of at least ``window`` words that stands, word for word, at
+another place too: (start, length, source, source_start).  Three steps, each one hash shuffle:
 
-1. anchors: (hash, document, position) of every anchor; those that occur twice
-   anywhere are the index entries a factor can start from;
-2. factors: greedily, the windows of a document follow each other as long as
-   their anchors are index entries; every window of such a factor is looked up
-   whole, which also checks the windows across factor boundaries;
-3. spans: windows found at a second place cover words; those words go.
+1. index: of every window the smallest ``anchor``-word hash is its anchor, so equal
+   windows share an anchor at the same place; anchors that occur twice anywhere are the
+   places where factors can start, all other text is left out;
+2. blocks: each block (a slice of the hashes) holds the places of its windows.  The windows
+   of step 1 are looked up there, also those across the borders of factors, and
+   each gets a source: the first place of the same words, the first place itself the second;
+3. factors: from left to right a factor goes on as long as its source goes on word for
+   word; then the next one starts.  Words that factors cover go.
+
+A literal parse, whose next factor starts where the last one ended, misses windows that
+lie across two factors; here such a window is a factor of its own, so factors may overlap.
 
 Rows in the shuffles are packed binary slices of about ``slice_bytes`` of text.
-A hash that repeats inside one task is resolved there and sent on once, so a
-passage in a third of all documents reaches its slice once for each task.
+A window that repeats inside one task gets its source there and is sent on once, so a
+passage in a third of all documents reaches its block once for each task.
 
 Defined cases: null or empty text has no words; texts shorter than a window lose
-nothing; the same row twice loses every word of every full window in both;
-extra columns are carried only on request.
+nothing; the same row twice loses every word of every full window in both, and is its own source;
+very long texts are one row of a bucket; extra columns are carried only on request.
 """
 
 from __future__ import annotations
@@ -34,49 +38,94 @@ from briskbi.llm.shared import SLICE_BYTES, Words, carried, cuts, shingles, step
 
 #: Entries a task gathers before it sends them on.
 FLUSH = 1 << 20
-_NOWHERE = np.uint32(0xFFFFFFFF)
+#: In a position sent to a block: the task has given this hash's places their sources itself.
+_DECIDED = np.uint32(1 << 31)
 _PACKED = "part int, data binary"
+_PLACE = (np.uint64, np.uint32)  # document key, position
+_ENTRY = (np.uint64, *_PLACE)  # hash, then its place
+_FACTOR = (*_PLACE, np.uint32, *_PLACE)  # first window, number of windows, its source
+
+
+def _pack(columns: list[np.ndarray]) -> bytes:
+    return b"".join(c.tobytes() for c in columns)
+
+
+def _unpack(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    size = sum(np.dtype(k).itemsize for k in kinds)
+    parts = []
+    for blob in blobs:
+        n, at, columns = len(blob) // size, 0, []
+        for k in kinds:
+            columns.append(np.frombuffer(blob, k, n, at))
+            at += n * np.dtype(k).itemsize
+        parts.append(columns)
+    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, k) for k in kinds]
+
+
+def _grow(key: np.ndarray, pos: np.ndarray, n: np.ndarray, source: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Factors by key and position: neighbours whose sources are neighbours too become one,
+    what lies inside an earlier factor of its document goes."""
+    if not len(key):
+        return [key, pos, n, source, at]
+    order = np.lexsort((-n.astype(np.int64), pos, key))
+    key, pos, n, source, at = (c[order] for c in (key, pos, n, source, at))
+    document = np.repeat(np.arange(len(cuts(key)) - 1, dtype=np.int64), np.diff(cuts(key))) << 33
+    end = np.maximum.accumulate(document + pos + n)
+    new = np.concatenate([[True], (document + pos + n)[1:] > end[:-1]])
+    key, pos, n, source, at = (c[new] for c in (key, pos, n, source, at))
+    on = (key[1:] == key[:-1]) & (source[1:] == source[:-1]) & (pos[1:] == pos[:-1] + n[:-1]) & (at[1:] == at[:-1] + n[:-1])
+    first = np.flatnonzero(np.concatenate([[True], ~on]))
+    return [key[first], pos[first], np.add.reduceat(n, first, dtype=np.uint32), source[first], at[first]]
+
+
+def _sources(size: np.ndarray) -> np.ndarray:
+    """For places sorted by hash, in runs of these sizes: where the source of each is (itself, if it has none)."""
+    first = np.cumsum(size) - size
+    source = np.repeat(first, size)
+    source[first[size > 1]] += 1
+    return source
+
+
+def _return(columns: list[np.ndarray], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """Packed rows of places or factors, each to the bucket of its document."""
+    bucket = np.mod(columns[0].view(np.int64), buckets)  # as pmod in Spark
+    order = np.lexsort((columns[1], columns[0], bucket))
+    bucket, columns = bucket[order], [c[order] for c in columns]
+    at = cuts(bucket)
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        if b > a:
+            yield int(bucket[a]), _pack([c[a:b] for c in columns])
 
 
-def _place(key: np.ndarray, buckets: int) -> np.ndarray:
-    """As pmod(key, buckets) in Spark."""
-    return np.mod(key.view(np.int64), buckets)
+def _found(key: np.ndarray, pos: np.ndarray, source: np.ndarray, of: np.ndarray, sourced: bool) -> list[np.ndarray]:
+    """Columns to return for the places ``of``; with sources, as factors."""
+    if not sourced:
+        return [key[of], pos[of]]
+    return _grow(key[of], pos[of], np.ones(len(of), np.uint32), key[source[of]], pos[source[of]])
 
 
-def _send(hashes: np.ndarray, keys: np.ndarray, pos: np.ndarray, slices: int, buckets: int) -> Iterator[tuple[int, bytes]]:
-    """Packed rows: places with a hash seen once go to the hash's slice; places of
-    hashes seen twice here are decided and go to their document's bucket."""
+def _send(hashes: np.ndarray, key: np.ndarray, pos: np.ndarray, slices: int, buckets: int, sourced: bool) -> Iterator[tuple[int, bytes]]:
+    """Packed rows: one place of each hash goes to the hash's block; places of hashes seen
+    twice here are decided and go to their document's bucket."""
     order = np.argsort(hashes, kind="stable")
-    hashes, keys, pos = hashes[order], keys[order], pos[order]
+    hashes, key, pos = hashes[order], key[order], pos[order]
     edge = cuts(hashes)
     size = np.diff(edge)
-    again = np.repeat(size > 1, size)
     first = edge[:-1]
-    out_pos = pos[first].copy()
-    out_pos[size > 1] = _NOWHERE
-    out_hash, out_key = hashes[first], keys[first]
-    part = ((out_hash >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
+    out = hashes[first], key[first], np.where(size > 1, pos[first] | _DECIDED, pos[first])
+    part = ((out[0] >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
     at = cuts(part)
     for a, b in zip(at[:-1], at[1:], strict=True):
         if b > a:
-            yield int(part[a]), out_hash[a:b].tobytes() + out_key[a:b].tobytes() + out_pos[a:b].tobytes()
-    for bucket, data in _return(keys[again], pos[again], buckets):
+            yield int(part[a]), _pack([c[a:b] for c in out])
+    again = np.flatnonzero(np.repeat(size > 1, size))
+    for bucket, data in _return(_found(key, pos, _sources(size), again, sourced), buckets):
         yield slices + bucket, data
 
 
-def _return(keys: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
-    bucket = _place(keys, buckets)
-    order = np.argsort(bucket, kind="stable")
-    bucket, keys, pos = bucket[order], keys[order], pos[order]
-    at = cuts(bucket)
-    for a, b in zip(at[:-1], at[1:], strict=True):
-        if b > a:
-            yield int(bucket[a]), keys[a:b].tobytes() + pos[a:b].tobytes()
-
-
 class _Buffer:
-    def __init__(self, slices: int, buckets: int):
-        self.slices, self.buckets, self.parts, self.n = slices, buckets, [], 0
+    def __init__(self, slices: int, buckets: int, sourced: bool):
+        self.slices, self.buckets, self.sourced, self.parts, self.n = slices, buckets, sourced, [], 0
 
     def add(self, hashes: np.ndarray, keys: np.ndarray, pos: np.ndarray) -> None:
         self.parts.append((hashes, keys, pos.astype(np.uint32)))
@@ -85,7 +134,7 @@ class _Buffer:
     def rows(self) -> pa.RecordBatch:
         h, k, p = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.n = [], 0
-        return _batch(_send(h, k, p, self.slices, self.buckets))
+        return _batch(_send(h, k, p, self.slices, self.buckets, self.sourced))
 
 
 def _batch(rows: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -93,18 +142,17 @@ def _batch(rows: Iterator[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(data, pa.binary())], names=["part", "data"])
 
 
-def _resolver(slices: int, buckets: int):
+def _resolver(slices: int, buckets: int, sourced: bool):
     """Task function on packed rows by part: places whose hash occurs a second time, by document bucket."""
 
     def decide(blobs: list[bytes]) -> pa.RecordBatch:
-        n = [len(b) // 20 for b in blobs]
-        h = np.concatenate([np.frombuffer(b, np.uint64, m) for b, m in zip(blobs, n, strict=True)])
-        k = np.concatenate([np.frombuffer(b, np.uint64, m, 8 * m) for b, m in zip(blobs, n, strict=True)])
-        p = np.concatenate([np.frombuffer(b, np.uint32, m, 16 * m) for b, m in zip(blobs, n, strict=True)])
-        order = np.argsort(h, kind="stable")
-        size = np.diff(cuts(h[order]))
-        found = np.repeat(size > 1, size) & (p[order] != _NOWHERE)
-        return _batch(_return(k[order][found], p[order][found], buckets))
+        h, k, p = _unpack(blobs, _ENTRY)
+        own = p & ~_DECIDED
+        order = np.lexsort((own, k, h))  # all blocks take the same document as the first one
+        h, k, own, decided = h[order], k[order], own[order], p[order] >= _DECIDED
+        size = np.diff(cuts(h))
+        open_ = np.flatnonzero(np.repeat(size > 1, size) & ~decided)
+        return _batch(_return(_found(k, own, _sources(size), open_, sourced), buckets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, blobs = None, []
@@ -124,9 +172,10 @@ def _resolver(slices: int, buckets: int):
     return run
 
 
-def _second_places(packed: DataFrame, slices: int, buckets: int) -> DataFrame:
+def _second_places(packed: DataFrame, slices: int, buckets: int, sourced: bool) -> DataFrame:
+    """What the blocks find, dealt by document bucket."""
     dealt = packed.repartition(slices, "part").sortWithinPartitions("part")
-    return dealt.mapInArrow(_resolver(slices, buckets), _PACKED).withColumnRenamed("part", "_bucket")
+    return dealt.mapInArrow(_resolver(slices, buckets, sourced), _PACKED).withColumnRenamed("part", "_bucket").repartition(buckets, "_bucket")
 
 
 def _windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,20 +186,8 @@ def _windows(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.nda
     return grams, at, of[: len(at)] == of[window - 1 : window - 1 + len(at)] if len(at) else np.zeros(0, bool)
 
 
-def _places(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, positions) of all packed rows of a bucket, sorted by key and position."""
-    blobs = table.column("data").to_pylist()
-    if not blobs:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-    n = [len(b) // 12 for b in blobs]
-    k = np.concatenate([np.frombuffer(b, np.uint64, m) for b, m in zip(blobs, n, strict=True)])
-    p = np.concatenate([np.frombuffer(b, np.uint32, m, 8 * m) for b, m in zip(blobs, n, strict=True)])
-    order = np.lexsort((p, k))
-    return k[order], p[order]
-
-
 def _marked(words: Words, keys: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Per word: whether its position is among the places of its text."""
+    """Per word: whether its position is among the places (sorted by key) of its text."""
     mark = np.zeros(len(words.hashes), bool)
     lo, hi = np.searchsorted(k, keys), np.searchsorted(k, keys, side="right")
     for i in np.flatnonzero(lo < hi):
@@ -159,20 +196,23 @@ def _marked(words: Words, keys: np.ndarray, k: np.ndarray, p: np.ndarray) -> np.
 
 
 def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 35, anchor: int = 10, carry: tuple[str, ...] = (), slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """One row per document row: id, carried columns, n_words, n_removed, kept_text, spans.
+    """One row per document row: id, carried columns, n_words, n_removed, kept_text, spans, row_key, factors.
 
     A word goes when a window of ``window`` words that covers it also starts at
     another place of any document.  ``spans`` are the removed runs (start, length)
-    in words, ``kept_text`` the other words joined by one space.  A carried column
-    named like a result column is left out.
+    in words, ``kept_text`` the other words joined by one space.  ``factors`` are the parse:
+    (start, length, source, source_start) in words; the source is the row with that ``row_key``, or
+    an equal row.  Which of several sources a factor names may depend on the partitioning, the spans
+    never do.  A carried column named like a result column is left out.
     """
-    kept, own_columns = carried(docs, id_col, carry, ("n_words", "n_removed", "kept_text", "spans"))
+    kept, own_columns = carried(docs, id_col, carry, ("n_words", "n_removed", "kept_text", "spans", "row_key", "factors"))
     slices = buckets = text_slices(docs, text, slice_bytes)
     own = F.xxhash64(F.col(id_col), F.col(text))
-    dealt = docs.select(*own_columns, F.col(text).cast("string").alias("_text"), own.alias("_key"), F.pmod(own, F.lit(buckets)).cast("int").alias("_bucket"))
+    plain = docs.select(*own_columns, F.col(text).cast("string").alias("_text"), own.alias("_key"), F.pmod(own, F.lit(buckets)).cast("int").alias("_bucket"))
+    dealt = plain.repartition(buckets, "_bucket")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buffer = _Buffer(slices, buckets)
+        buffer = _Buffer(slices, buckets, False)
         for batch in steps(batches, "_text"):
             words = Words(batch.column(1))
             grams, at, inside = _windows(words, window, anchor)
@@ -185,9 +225,11 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         if buffer.n:
             yield buffer.rows()
 
-    def factors(left: pa.Table, right: pa.Table) -> pa.Table:
-        k, p = _places(right)
-        buffer, out = _Buffer(slices, buckets), []
+    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
+        k, p = _unpack(right.column("data").to_pylist(), _PLACE)
+        order = np.argsort(k, kind="stable")
+        k, p = k[order], p[order]
+        buffer, out = _Buffer(slices, buckets, True), []
         if len(k) and left.num_rows:
             left = left.select(["_key", "_text"]).filter(pa.array(np.isin(left.column("_key").to_numpy().view(np.uint64), k)))
             for batch in steps(iter(left.combine_chunks().to_batches()), "_text"):
@@ -204,37 +246,49 @@ def duplicate_spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
                 out.append(buffer.rows())
         return pa.Table.from_batches(out, pa.schema([("part", pa.int32()), ("data", pa.binary())]))
 
-    span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("length", T.LongType())]))
+    def structs(*names: str) -> T.ArrayType:
+        return T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in names]))
+
     fields = [T.StructField(c, f.dataType) for c, f in zip([id_col, *kept], dealt.schema, strict=False)]
-    schema = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType()), T.StructField("spans", span)])
+    made = [("n_words", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("kept_text", T.StringType(), pa.string())]
+    for name, parts in (("spans", ("start", "length")), ("factors", ("start", "length", "source", "source_start"))):
+        made.append((name, structs(*parts), pa.list_(pa.struct([(x, pa.int64()) for x in parts]))))
+    made.insert(4, ("row_key", T.LongType(), pa.int64()))
+    schema = T.StructType([*fields, *(T.StructField(n, t) for n, t, _ in made)])
     names = [f.name for f in schema]
 
     def spans(left: pa.Table, right: pa.Table) -> pa.Table:
-        k, p = _places(right)
+        k, *rest = _grow(*_unpack(right.column("data").to_pylist(), _FACTOR))
+        p, n, source, source_at = (c.astype(np.int64) for c in rest)
         out = []
         for batch in steps(iter(left.combine_chunks().to_batches()), "_text"):
             words = Words(batch.column(batch.schema.names.index("_text")))
-            starts = _marked(words, batch.column(batch.schema.names.index("_key")).to_numpy().view(np.uint64), k, p)
-            cover = np.zeros(len(starts) + window, np.int64)
-            at = np.flatnonzero(starts)
-            np.add.at(cover, at, 1)
-            np.add.at(cover, at + window, -1)
-            gone = np.cumsum(cover)[: len(starts)] > 0
-            n_removed, texts, runs = [], [], []
+            own_key = batch.column(batch.schema.names.index("_key"))
+            keys = own_key.to_numpy().view(np.uint64)
+            lo, hi = np.searchsorted(k, keys), np.searchsorted(k, keys, side="right")
+            cover = np.zeros(len(words.hashes) + 1, np.int64)
+            for i in np.flatnonzero(lo < hi):
+                at = words.first[i] + p[lo[i] : hi[i]]
+                np.add.at(cover, at, 1)
+                np.add.at(cover, at + n[lo[i] : hi[i]] + window - 1, -1)
+            gone = np.cumsum(cover)[:-1] > 0
+            n_removed, texts, runs, factors = [], [], [], []
             for i in range(batch.num_rows):
-                a, b = int(words.first[i]), int(words.first[i + 1])
-                cut = gone[a:b]
-                n = int(cut.sum())
+                cut = gone[int(words.first[i]) : int(words.first[i + 1])]
+                removed = int(cut.sum())
                 all_words = words.raw[words.offsets[i] : words.offsets[i + 1]].tobytes().split()
-                n_removed.append(n)
-                texts.append(b" ".join(all_words if not n else [w for w, g in zip(all_words, cut.tolist(), strict=True) if not g]).decode())
-                edge = cuts(cut) if n else [0]
+                n_removed.append(removed)
+                texts.append(b" ".join(all_words if not removed else [w for w, g in zip(all_words, cut.tolist(), strict=True) if not g]).decode())
+                edge = cuts(cut) if removed else [0]
                 runs.append([{"start": int(x), "length": int(y - x)} for x, y in zip(edge[:-1], edge[1:], strict=True) if cut[x]])
-            out.append(pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], pa.array(words.counts(), pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string()), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))], names=names))
-        kinds = [*(left.schema.field(i).type for i in range(len(kept) + 1)), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))]
+                own_factors = zip(*(c[lo[i] : hi[i]].tolist() for c in (p, n, source, source_at)), strict=True)
+                factors.append([{"start": x, "length": y + window - 1, "source": z, "source_start": w} for x, y, z, w in own_factors])
+            result = words.counts(), n_removed, texts, runs, own_key, factors
+            out.append(pa.RecordBatch.from_arrays([*batch.columns[: len(kept) + 1], *(pa.array(x, kind) if not isinstance(x, pa.Array) else x for x, (_, _, kind) in zip(result, made, strict=True))], names=names))
+        kinds = [*(left.schema.field(i).type for i in range(len(kept) + 1)), *(kind for _, _, kind in made)]
         return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds, strict=True))))
 
-    index = _second_places(dealt.select("_key", "_text").mapInArrow(anchors, _PACKED), slices, buckets)
-    looked_up = dealt.groupBy("_bucket").cogroup(index.groupBy("_bucket")).applyInArrow(factors, _PACKED)
-    twice = _second_places(looked_up, slices, buckets)
+    index = _second_places(plain.select("_key", "_text").mapInArrow(anchors, _PACKED), slices, buckets, False)
+    looked_up = dealt.groupBy("_bucket").cogroup(index.groupBy("_bucket")).applyInArrow(windows, _PACKED)
+    twice = _second_places(looked_up, slices, buckets, True)
     return dealt.groupBy("_bucket").cogroup(twice.groupBy("_bucket")).applyInArrow(spans, schema)

@@ -109,8 +109,21 @@ def test_spans_match_brute_force(spark, window, anchor):
     passage = " ".join(words(60, rng, 10**6))
     rows += [(600 + i, f"{' '.join(words(i, rng))} {passage} {' '.join(words(3, rng))}") for i in range(40)]
     rows += [(600, rows[-1][1])]
-    got = substring.duplicate_spans(frame(spark, rows), window=window, anchor=anchor, slice_bytes=30_000)
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got.collect()), key=str) == brute_spans(rows, window)
+    got = substring.duplicate_spans(frame(spark, rows), window=window, anchor=anchor, carry=("text",), slice_bytes=30_000)
+    got = got.collect()
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got), key=str) == brute_spans(rows, window)
+    at = {r.row_key: (r.text or "").encode().split() for r in got}
+    rows_alike = Counter(r.row_key for r in got)
+    for r in got:
+        covered = set()
+        for f in r.factors:
+            assert f.length >= window and (rows_alike[r.row_key] > 1 or (f.source, f.source_start) != (r.row_key, f.start))
+            assert at[r.row_key][f.start : f.start + f.length] == at[f.source][f.source_start : f.source_start + f.length]
+            covered |= set(range(f.start, f.start + f.length))
+        assert covered == {x for s in r.spans for x in range(s.start, s.start + s.length)} and len(covered) == r.n_removed
+        for f, g in zip(r.factors, r.factors[1:]):  # a factor goes on as long as its source does
+            on = f.length - window + 1
+            assert g.start > f.start and (g.start, g.source, g.source_start) != (f.start + on, f.source, f.source_start + on)
 
 
 def test_spans_carry_columns(spark):
