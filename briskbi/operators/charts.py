@@ -1,8 +1,8 @@
 """Dashboard chart aggregations.
 
 Every chart is one ``groupBy`` on a bucketed x (partial aggregation before the
-shuffle), followed by a bounded ``orderBy().limit()`` (TakeOrderedAndProject)
-or by a window over a result that is already capped (≤ 750 rows).  Driver-side
+shuffle); orders and running sums over all labels go over ranges, not through one
+window.  The charts of a dashboard share one pass (``build_charts``).  Driver-side
 decisions (is x a date? which grain?) come from one tiny statistics row.
 
 Semantics follow the reference's pandas code, with these documented choices:
@@ -24,10 +24,12 @@ from pyspark.sql import types as T
 
 from briskbi.functions.labels import DASHBOARD_GRAIN_LIMITS, bucket_label, grain_for_span
 from briskbi.functions.parse import to_number, to_timestamp_mixed
-from briskbi.operators.ranking import global_order
+from briskbi.operators.ranking import exact_percentiles, global_order
+from briskbi.session import cut_lineage
 
 MAX_PIE_SLICES = 12  # the pie's feature: eleven slices and "Others"
 PART_TO_WHOLE = ("pie", "donut", "treemap", "funnel")
+CHARTS = ("bar", "line", "combo", "kpi_card", "radial", "histogram", "pareto")
 BAR_ALIASES = ("area", "stacked_bar", "area_chart", "horizontal_bar")
 AGG_ALIASES = {"sum": "sum", "avg": "mean", "mean": "mean", "average": "mean", "min": "min",
                "max": "max", "median": "median", "count": "count"}
@@ -216,12 +218,21 @@ def aggregate(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", bre
     v = None if use_count else measure(work, y)
     if breakdown and chart_type not in PART_TO_WHOLE:
         return _breakdown(work, xb.is_date, breakdown, v, agg, top_n, cumulative, scale)
-    g = work.groupBy("label").agg(F.coalesce(value_agg(v, agg, scale), F.lit(0.0)).cast("double").alias("value"))
+    if v is not None and AGG_ALIASES.get(agg, "sum") == "median":
+        # By selection: no group's values are gathered.  Labels without a number stay, with 0.
+        middle = exact_percentiles(work.select("label", v.alias("_y")), ["label"], "_y", [0.5], ["value"])
+        g = work.select("label").distinct().join(middle, "label", "left").select("label", F.coalesce("value", F.lit(0.0)).alias("value"))
+    else:
+        g = work.groupBy("label").agg(F.coalesce(value_agg(v, agg, scale), F.lit(0.0)).cast("double").alias("value"))
+    if cumulative and not xb.is_date:
+        # As many labels as the data has: a running sum over ranges, in fixed point.
+        places = CUMULATIVE_PLACES if scale is None else scale
+        g = global_order(g, [F.col("label").asc()], running_sum="value", scale=places, running_col="_cum").select("label", F.col("_cum").alias("value"))
     g = g.orderBy(*_order_cols(sort, xb.is_date, cumulative))
     if not (xb.is_date or cumulative):
         g = g.limit(top_n)
-    if cumulative:
-        # One row per bucket label.
+    if cumulative and xb.is_date:
+        # One row per calendar bucket.
         w = Window.orderBy("label").rowsBetween(Window.unboundedPreceding, 0)
         g = g.withColumn("value", _running(F.col("value"), w, scale))
     if chart_type in PART_TO_WHOLE:
@@ -229,6 +240,10 @@ def aggregate(df: DataFrame, x: str, y: str | None = None, agg: str = "sum", bre
     return g
 
 
+#: Decimals of a running sum over text labels whose scale is not given.
+CUMULATIVE_PLACES = 6
+
+
 def _running(v: Column, w: Window, scale: int | None) -> Column:
     if scale is None:
         return F.sum(v).over(w)
@@ -272,8 +287,6 @@ def kpi(df: DataFrame, y: str | None, agg: str = "sum", scale: int | None = None
         return df.agg(F.count(F.col(y)).cast("double").alias("value"))
     v = measure(df, y)
     if a == "median":
-        from briskbi.operators.ranking import exact_percentiles
-
         med = exact_percentiles(df.select(v.alias("_y")), [], "_y", [0.5], ["value"])  # one row
         return med.select(F.coalesce(F.col("value").cast("double"), F.lit(0.0)).alias("value"))
     return df.agg(F.coalesce(value_agg(v, a, scale), F.lit(0.0)).cast("double").alias("value"))
@@ -289,18 +302,18 @@ def time_text(c: Column) -> Column:
     return F.when(midnight, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
 
 
-def _grouped(df: DataFrame, x: str, y: str | None, scale: int | None) -> XBucket:
-    """Group by x as the cache does: sum(y) or row count; value fill 0."""
-    dt = dtype_of(df, x)
-    if is_temporal(dt):
-        work = df.where(F.col(x).isNotNull()).withColumn("label", time_text(F.col(x)))
-        is_date = True
-    else:
-        work = df.where(F.col(x).isNotNull()).withColumn("label", F.col(x).cast("string"))
-        is_date = False
-    v = None if y is None else measure(work, y)
-    g = work.groupBy("label").agg(F.coalesce(value_agg(v, "sum", scale), F.lit(0.0)).cast("double").alias("value"))
-    return XBucket(g, is_date)
+def _label(df: DataFrame, x: str) -> Column:
+    return time_text(F.col(x)) if is_temporal(dtype_of(df, x)) else F.col(x).cast("string")
+
+
+def _total(v: Column | None, scale: int | None) -> Column:
+    return F.coalesce(value_agg(v, "sum", scale), F.lit(0.0)).cast("double")
+
+
+def _grouped(df: DataFrame, x: str, y: str | None, scale: int | None) -> DataFrame:
+    """(label, value): group by x as the cache does: sum(y) or row count; value fill 0."""
+    work = df.where(F.col(x).isNotNull()).withColumn("label", _label(df, x))
+    return work.groupBy("label").agg(_total(None if y is None else measure(work, y), scale).alias("value"))
 
 
 DATE_LABEL_SHARE = 0.7
@@ -319,15 +332,21 @@ def _chronological(g: DataFrame, dt: T.DataType) -> list[Column] | None:
 
 def bar(df: DataFrame, x: str, y: str | None = None, scale: int | None = None, limit: int | None = None) -> DataFrame:
     """bar/line/area: sum or count by x; dates chronological else value desc; all groups, or the first ``limit``."""
-    gb = _grouped(df, x, y, scale)
-    order = _chronological(gb.df, dtype_of(df, x)) or _order_cols("value_desc", gb.is_date, False)
-    out = gb.df.orderBy(*order)
+    return _bar(_grouped(df, x, y, scale), dtype_of(df, x), limit)
+
+
+def _bar(g: DataFrame, dt: T.DataType, limit: int | None = None) -> DataFrame:
+    out = g.orderBy(*(_chronological(g, dt) or _order_cols("value_desc", is_temporal(dt), False)))
     return out if limit is None else out.limit(limit)
 
 
 def pie(df: DataFrame, x: str, y: str | None = None, scale: int | None = None) -> DataFrame:
     """C4: positive slices by value; above 12 slices → top 11 + ``Others``."""
-    g = _grouped(df, x, y, scale).df.where(F.col("value") > 0).withColumnRenamed("label", "name")
+    return _pie(_grouped(df, x, y, scale), scale)
+
+
+def _pie(g: DataFrame, scale: int | None) -> DataFrame:
+    g = g.where(F.col("value") > 0).withColumnRenamed("label", "name")
     order = [F.col("value").desc(), F.col("name").asc()]
     head = g.orderBy(*order).limit(MAX_PIE_SLICES)
     w = Window.orderBy(*order)
@@ -350,23 +369,22 @@ def combo(df: DataFrame, x: str, y: str, y2: str | None = None, scale: int | Non
 
     The previous label comes from a range-partitioned order, not from one window over all labels.
     """
-    dt = dtype_of(df, x)
-    label = time_text(F.col(x)) if is_temporal(dt) else F.col(x).cast("string")
-    work = df.where(F.col(x).isNotNull()).withColumn("label", label)
-    aggs = [F.coalesce(value_agg(measure(work, y), "sum", scale), F.lit(0.0)).cast("double").alias("value")]
-    if y2:
-        aggs.append(F.coalesce(value_agg(measure(work, y2), "sum", scale), F.lit(0.0)).cast("double").alias("line2"))
-    g = work.groupBy("label").agg(*aggs)  # both measures in one pass, no join
+    work = df.where(F.col(x).isNotNull()).withColumn("label", _label(df, x))
+    aggs = [_total(measure(work, c), scale).alias(name) for c, name in ((y, "value"), (y2, "line2")) if c]
+    return _combo(work.groupBy("label").agg(*aggs), dtype_of(df, x), y2, limit)  # both measures in one pass, no join
+
+
+def _combo(g: DataFrame, dt: T.DataType, y2: str | None, limit: int | None = None) -> DataFrame:
     order = _chronological(g, dt) or _order_cols("value_desc", is_temporal(dt), False)
     if limit is not None:
         g = g.orderBy(*order).limit(limit)
-    if y2 is None:
+    zero = y2 is None or g.agg(F.coalesce(F.sum(F.abs("line2")), F.lit(0.0)).alias("s")).first()["s"] == 0
+    if zero:
         ranked = global_order(g, order, rank_col="_r")
         before = ranked.select((F.col("_r") + 1).alias("_r"), F.col("value").alias("_prev"))
         g = ranked.join(before, "_r", "left")
     else:
-        zero = g.agg(F.coalesce(F.sum(F.abs("line2")), F.lit(0.0)).alias("s")).collect()[0]["s"] == 0
-        g = g.withColumn("_prev", F.lag("value", 1).over(Window.orderBy(*order))) if zero else g.withColumn("_prev", F.lit(None).cast("double"))
+        g = g.withColumn("_prev", F.lit(None).cast("double"))
     prev = F.col("_prev")
     growth = F.when(prev.isNull() | (prev == 0), F.lit(0.0)).otherwise(F.round((F.col("value") - prev) / prev * 100.0, 2))
     if y2:
@@ -382,7 +400,10 @@ def combo(df: DataFrame, x: str, y: str, y2: str | None = None, scale: int | Non
 def radial(df: DataFrame, y: str, scale: int | None = None) -> DataFrame:
     """Gauge of the mean; 0–1 → percent of 100, 0–100 → of 100, else of max."""
     v = measure(df, y)
-    s = df.agg(F.min(v).alias("mn"), F.max(v).alias("mx"), value_agg(v, "mean", scale).alias("mean"))
+    return _radial(df.agg(F.min(v).alias("mn"), F.max(v).alias("mx"), value_agg(v, "mean", scale).alias("mean")))
+
+
+def _radial(s: DataFrame) -> DataFrame:
     unit01 = (F.col("mn") >= 0) & (F.col("mx") <= 1)
     unit100 = (F.col("mn") >= 0) & (F.col("mx") <= 100)
     return s.select(
@@ -434,19 +455,28 @@ def histogram(df: DataFrame, x: str, closed: str = "left") -> DataFrame:
     pandas put them.
     """
     v = measure(df, x)
-    spark = df.sparkSession
+    edges = _edges(df, v, closed)
+    counts = df.where(v.isNotNull()).groupBy(_bin(v, edges, closed).alias("bin")).agg(F.count(F.lit(1)).alias("value"))
+    return _histogram(counts, edges)
+
+
+def _edges(df: DataFrame, v: Column, closed: str = "left") -> list[float]:
+    """Edges of the bins of ``v``; none without values."""
     mn, mx, nd = _bin_stats(v, df)
-    if mn is None:
+    return [] if mn is None else histogram_edges(float(mn), float(mx), min(20, max(5, nd)), closed)
+
+
+def _bin(v: Column, edges: list[float], closed: str = "left") -> Column:
+    """Number of inner edges that a value passes; null for null."""
+    passed = [F.when(v >= F.lit(e) if closed == "left" else v > F.lit(e), 1).otherwise(0) for e in edges[1:-1]]
+    return F.when(v.isNotNull(), sum(passed[1:], passed[0]) if passed else F.lit(0)).cast("int")
+
+
+def _histogram(counts: DataFrame, edges: list[float]) -> DataFrame:
+    """The bins of ``edges`` with their (bin, value) counts, empty ones too."""
+    spark, n = counts.sparkSession, len(edges) - 1
+    if n < 1:
         return spark.createDataFrame([], "bin int, lo double, hi double, label string, value long")
-    n = min(20, max(5, nd))
-    edges = histogram_edges(float(mn), float(mx), n, closed)
-    inner = edges[1:n]
-    if closed == "left":
-        passed = [F.when(v >= F.lit(e), 1).otherwise(0) for e in inner]
-    else:
-        passed = [F.when(v > F.lit(e), 1).otherwise(0) for e in inner]
-    idx = sum(passed[1:], passed[0]) if passed else F.lit(0)
-    counts = df.where(v.isNotNull()).groupBy(idx.cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("value"))
     rows = [(i, edges[i], edges[i + 1], f"{edges[i]:.2g}–{edges[i + 1]:.2g}") for i in range(n)]
     bins = spark.createDataFrame(rows, "bin int, lo double, hi double, label string")  # ≤ 20 rows
     return bins.join(F.broadcast(counts), "bin", "left").select(
@@ -460,7 +490,11 @@ def pareto(df: DataFrame, x: str, y: str, scale: int | None = None, limit: int |
     The first ``limit`` labels, or all; shares are always of everything.  The running
     sum is over a range-partitioned order.
     """
-    g = _grouped(df, x, y, scale).df.where(F.col("value") > 0)
+    return _pareto(_grouped(df, x, y, scale), scale, limit)
+
+
+def _pareto(g: DataFrame, scale: int | None, limit: int | None = None) -> DataFrame:
+    g = g.where(F.col("value") > 0)
     order = [F.col("value").desc(), F.col("label").asc()]
     total = g.agg(sum_expr(F.col("value"), scale).alias("t")).collect()[0]["t"]
     if scale is None:
@@ -518,31 +552,63 @@ def corrected_bar_axes(df: DataFrame, x: str, y: str) -> tuple[str, str]:
 
 
 def build_charts(df: DataFrame, specs: list[dict], scale: int | None = None) -> dict[str, DataFrame]:
-    """Aggregate every default chart spec; each chart scans only its own columns, nothing stays cached.
+    """Every chart of a dashboard from one pass over ``df``.
 
-    Keys are ``type|x|y|y2`` like the reference cache; values are lazy
-    DataFrames the caller writes once as a results table.
+    One GROUPING SETS aggregate sums all measures for all x axes, the bins of histograms and the
+    whole table; its cells (one per axis and label) are checkpointed, and each chart reads its own
+    axis' cells.  Histograms need the range of their column first, one more pass each.
+    Keys are ``type|x|y|y2`` like the reference cache; a chart given twice is built once.
     """
-    base = df
-    out: dict[str, DataFrame] = {}
+    wanted = {}
     for s in specs:
         kind = s.get("chart_type", "").lower().replace("-", "_")
         x, y, y2 = s.get("x_axis"), s.get("y_axis"), s.get("y_axis_secondary")
         key = f"{kind}|{x}|{y}|{y2}"
-        if kind in PART_TO_WHOLE:
-            out[key] = pie(base, x, y, scale)
-        elif kind in ("bar", "line") or kind in BAR_ALIASES:
-            if kind == "horizontal_bar" and y:
-                x, y = corrected_bar_axes(base, x, y)
-            out[key] = bar(base, x, y, scale)
-        elif kind == "combo":
-            out[key] = combo(base, x, y, y2, scale)
-        elif kind == "kpi_card":
-            out[key] = kpi(base, y or x, "sum", scale)
+        if kind == "horizontal_bar" and y:
+            x, y = corrected_bar_axes(df, x, y)
+        if kind in ("kpi_card", "radial"):
+            x, y = None, y or x
+        if kind in CHARTS or kind in BAR_ALIASES or kind in PART_TO_WHOLE:
+            wanted[key] = (kind, x, y, y2)
+    if not wanted:
+        return {}
+    edges = {x: _edges(df, measure(df, x)) for kind, x, _, _ in wanted.values() if kind == "histogram"}
+    axes = {x: _label(df, x) for kind, x, _, _ in wanted.values() if x and kind != "histogram"}
+    bins = {x: _bin(measure(df, x), e).cast("string") for x, e in edges.items()}
+    labels = [*axes.values(), *bins.values()]
+    place = {**{x: i for i, x in enumerate(axes)}, **{("bins", x): len(axes) + i for i, x in enumerate(bins)}}
+    ys = list(dict.fromkeys(c for _, _, y, y2 in wanted.values() for c in (y, y2) if c))
+    at = {c: i for i, c in enumerate(ys)}
+    names = [f"_axis{i}" for i in range(len(labels))]
+    flat = df.select(*[c.alias(n) for c, n in zip(labels, names, strict=True)], *[measure(df, c).alias(f"_y{i}") for c, i in at.items()])
+    sums = [a for i in at.values() for v in [F.col(f"_y{i}")]
+            for a in (_total(v, scale).alias(f"sum{i}"), F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}"), value_agg(v, "mean").alias(f"mean{i}"))]
+    which = F.coalesce(*[F.when(F.grouping(n) == 0, F.lit(i)) for i, n in enumerate(names)], F.lit(-1)) if names else F.lit(-1)
+    grouped = flat.groupingSets([[F.col(n)] for n in names] + [[]], *names) if names else flat.groupBy()
+    cells = cut_lineage(grouped.agg(which.alias("_axis"), F.count(F.lit(1)).cast("double").alias("_rows"), *sums).withColumn("label", F.coalesce(*names, F.lit(None).cast("string"))).drop(*names))
+    whole = cells.where("_axis = -1")
+
+    def slices(axis, **columns: Column) -> DataFrame:
+        return cells.where((F.col("_axis") == place[axis]) & F.col("label").isNotNull()).select("label", *[c.alias(n) for n, c in columns.items()])
+
+    def value(y: str | None) -> Column:
+        return F.col(f"sum{at[y]}") if y else F.col("_rows")
+
+    out: dict[str, DataFrame] = {}
+    for key, (kind, x, y, y2) in wanted.items():
+        if kind == "kpi_card":
+            out[key] = whole.agg(F.coalesce(F.max(value(y)) if y else F.lit(0.0), F.lit(0.0)).alias("value"))
         elif kind == "radial":
-            out[key] = radial(base, y or x)
+            out[key] = _radial(whole.agg(*[F.max(f"{stat}{at[y]}").alias(name) for stat, name in (("min", "mn"), ("max", "mx"), ("mean", "mean"))]))
         elif kind == "histogram":
-            out[key] = histogram(base, x)
+            counts = slices(("bins", x), value=F.col("_rows").cast("long"))
+            out[key] = _histogram(counts.select(F.col("label").cast("int").alias("bin"), "value"), edges[x])
+        elif kind == "combo":
+            out[key] = _combo(slices(x, value=value(y), **({"line2": value(y2)} if y2 else {})), dtype_of(df, x), y2)
         elif kind == "pareto":
-            out[key] = pareto(base, x, y, scale)
+            out[key] = _pareto(slices(x, value=value(y)), scale)
+        elif kind in PART_TO_WHOLE:
+            out[key] = _pie(slices(x, value=value(y)), scale)
+        else:
+            out[key] = _bar(slices(x, value=value(y)), dtype_of(df, x))
     return out

@@ -131,15 +131,13 @@ def _finish_preds(preds: DataFrame, stats: DataFrame, keys: list[str]) -> DataFr
 # Grouped-map models (per series, numpy)
 # ---------------------------------------------------------------------------
 
-def _holt_winters(y: np.ndarray, season: int, horizon: int) -> np.ndarray:
-    """Additive Holt-Winters: trend when n ≥ 10, season when n ≥ 2 seasons; grid-searched."""
+#: Halvings of the step when smoothing parameters are fitted after the grid.
+SMOOTHING_ROUNDS = 4
+
+
+def _smooth(y: np.ndarray, season: int, alpha: np.ndarray, beta: np.ndarray, gamma: np.ndarray, use_trend: bool, use_season: bool) -> tuple[np.ndarray, ...]:
+    """(squared error, level, trend, seasonal) of additive smoothing, one entry per setting: a single pass over time."""
     n = len(y)
-    use_trend = n >= 10
-    use_season = season > 1 and n >= 2 * season
-    grid = np.array([0.1, 0.3, 0.5, 0.7, 0.9])
-    # One axis holds every setting, so a single pass over time fits them all.
-    alpha, beta, gamma = (x.ravel() for x in np.meshgrid(
-        grid, grid if use_trend else [0.0], grid[:3] if use_season else [0.0], indexing="ij"))
     level = np.full(len(alpha), y[0], float)
     trend = np.full(len(alpha), (y[1] - y[0]) if (use_trend and n > 1) else 0.0)
     width = season if use_season else 1
@@ -157,11 +155,35 @@ def _holt_winters(y: np.ndarray, season: int, horizon: int) -> np.ndarray:
         if use_season:
             seasonal[t % width] = gamma * (y[t] - new_level) + (1 - gamma) * now
         level = new_level
-    best = int(np.argmin(np.where(np.isnan(sse), np.inf, sse)))
+    return np.where(np.isnan(sse), np.inf, sse), level, trend, seasonal
+
+
+def _holt_winters(y: np.ndarray, season: int, horizon: int, rounds: int = SMOOTHING_ROUNDS) -> np.ndarray:
+    """Additive Holt-Winters: trend when n ≥ 10, season when n ≥ 2 seasons.
+
+    The best setting of a grid is fitted further by a pattern search within [0, 1]: all steps from it
+    are tried at once, then the step is halved, so the error is never above the grid's.
+    """
+    n = len(y)
+    use_trend = n >= 10
+    use_season = season > 1 and n >= 2 * season
+    grid = np.array([0.1, 0.3, 0.5, 0.7, 0.9])
+    free = np.array([True, use_trend, use_season])
+    trial = np.stack([x.ravel() for x in np.meshgrid(grid, grid if use_trend else [0.0], grid[:3] if use_season else [0.0], indexing="ij")])
+    moves = np.stack([x.ravel() for x in np.meshgrid(*[[-1.0, 0.0, 1.0] if f else [0.0] for f in free], indexing="ij")])
+    best, step = None, 0.1
+    for _ in range(rounds + 1):
+        sse, level, trend, seasonal = _smooth(y, season, *trial, use_trend, use_season)
+        i = int(np.argmin(sse))
+        if best is None or sse[i] < best[0]:
+            best = sse[i], trial[:, i], level[i], trend[i], seasonal[:, i].copy()
+        trial = np.clip(best[1][:, None] + step * moves, 0.0, 1.0)
+        step /= 2
+    _, _, level, trend, seasonal = best
     steps = np.arange(1, horizon + 1)
-    out = level[best] + steps * trend[best]
+    out = level + steps * trend
     if use_season:
-        out = out + seasonal[(n - 1 + steps) % width, best]
+        out = out + seasonal[(n - 1 + steps) % season]
     return out.astype(float)
 
 

@@ -97,6 +97,40 @@ def global_order(
     return out.drop(*[c for c in drop if c in out.columns])
 
 
+#: Accuracy of the sketches that bracket a percentile: ranks are off by at most 1 / SKETCH of the rows.
+SKETCH = 1_000
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys``, nulls equal, with the left side's keys; without keys ``right`` has one row."""
+    if not keys:
+        return left.join(F.broadcast(right))
+    other = right.withColumnsRenamed({k: f"_br_k{i}" for i, k in enumerate(keys)})
+    same = [F.col(k).eqNullSafe(F.col(f"_br_k{i}")) for i, k in enumerate(keys)]
+    return left.join(other, same).drop(*[f"_br_k{i}" for i in range(len(keys))])
+
+
+def _at_positions(rows: DataFrame, keys: Sequence[str], wanted: DataFrame, n_parts: int) -> DataFrame:
+    """(keys, _br_pos, _br_found): the value at each wanted 0-based position of a group's sorted ``_br_v``.
+
+    Rows are range-partitioned on (keys, value), so a group larger than a task is spread over many.
+    """
+    order = [F.col(k) for k in keys] + [F.col("_br_v")]
+    ranged = rows.select(*keys, "_br_v").repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
+    ranged = cut_lineage(ranged.withColumn(_PID, F.spark_partition_id()).withColumn(_LPOS, F.monotonically_increasing_id()))
+    # Per (partition, group): first id and row count, at most #groups + #partitions rows.
+    seg = ranged.groupBy(_PID, *keys).agg(F.min(_LPOS).alias("_br_first"), F.count(F.lit(1)).alias("_br_cnt"))
+    before = Window.partitionBy(*keys).orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    seg = seg.withColumn("_br_off", F.coalesce(F.sum("_br_cnt").over(before), F.lit(0)))
+    part = F.col("_br_pos") - F.col("_br_off")
+    if keys:
+        hit = _beside(wanted, seg, keys).where((part >= 0) & (part < F.col("_br_cnt")))
+    else:
+        hit = seg.join(F.broadcast(wanted), (part >= 0) & (part < F.col("_br_cnt")))
+    hit = hit.select(*keys, "_br_pos", (F.col("_br_first") + part).alias(_LPOS))
+    return hit.join(ranged.select(_LPOS, F.col("_br_v").alias("_br_found")), _LPOS).select(*keys, "_br_pos", "_br_found")
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -104,58 +138,72 @@ def exact_percentiles(
     probs: Sequence[float],
     names: Sequence[str] | None = None,
     n_parts: int | None = None,
+    sketch: int = SKETCH,
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles per group (``keys`` may be empty).
 
     Same definition as ``quantile_cont`` / pandas ``quantile``: with the group's
     ``n`` non-null values sorted, position ``(n-1)·p`` is interpolated between its
-    floor and ceiling neighbours.  Rows are range-partitioned on
-    ``(keys, value)`` so a group larger than a task is spread over many tasks.
+    floor and ceiling neighbours.
+
+    By selection: a mergeable sketch brackets each percentile, one pass counts what lies below, on
+    and inside the bracket, and only the rows strictly inside (about 6 / ``sketch`` of a group at
+    most) are sorted.  Values on the edges of a bracket are known, so a frequent value is never
+    moved.  A position that its bracket misses is found by sorting its group.
     """
     keys = list(keys)
     names = list(names or [f"p{i}" for i in range(len(probs))])
     P = _n_parts(df, n_parts)
     base = df.select(*keys, F.col(value).cast("double").alias("_br_v")).where(F.col("_br_v").isNotNull())
-    order = [F.col(k) for k in keys] + [F.col("_br_v")]
-    ranged = base.repartitionByRange(P, *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(_LPOS, F.monotonically_increasing_id())
-    ranged = cut_lineage(ranged)
-
-    # Per (partition, group): first id and row count; a group spans few partitions
-    # unless it is hot, so this table has at most #groups + #partitions rows.
-    seg = ranged.groupBy(_PID, *keys).agg(F.min(_LPOS).alias("_br_first"), F.count(F.lit(1)).alias("_br_cnt"))
-    wk = Window.partitionBy(*keys).orderBy(_PID) if keys else Window.orderBy(_PID)
-    seg = seg.withColumn(
-        "_br_off", F.coalesce(F.sum("_br_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    seg = seg.withColumn("_br_n", F.sum("_br_cnt").over(Window.partitionBy(*keys) if keys else Window.partitionBy()))
-
-    # Target positions for every probability (0-based, floor and ceiling).
-    targets = []
-    for name, p in zip(names, probs):
-        pos = (F.col("_br_n") - 1) * F.lit(float(p))
-        targets.append(
-            F.struct(
-                F.lit(name).alias("name"),
-                F.floor(pos).cast("long").alias("lo"),
-                F.ceil(pos).cast("long").alias("hi"),
-                (pos - F.floor(pos)).alias("frac"),
-            )
-        )
-    seg = seg.withColumn("_br_t", F.array(*targets))
-    ranked = ranged.join(seg, [_PID, *keys]) if keys else ranged.join(F.broadcast(seg), [_PID])
-    ranked = ranked.withColumn("_br_rank", F.col("_br_off") + F.col(_LPOS) - F.col("_br_first"))
-    hit = ranked.select(*keys, "_br_v", "_br_rank", F.explode("_br_t").alias("t")).where(
-        (F.col("_br_rank") == F.col("t.lo")) | (F.col("_br_rank") == F.col("t.hi"))
-    )
-    per = hit.groupBy(*keys, F.col("t.name").alias("_br_name")).agg(
-        F.max(F.when(F.col("_br_rank") == F.col("t.lo"), F.col("_br_v"))).alias("_br_lo"),
-        F.max(F.when(F.col("_br_rank") == F.col("t.hi"), F.col("_br_v"))).alias("_br_hi"),
-        F.first("t.frac").alias("_br_frac"),
-    )
-    per = per.withColumn("_br_q", F.col("_br_lo") + (F.col("_br_hi") - F.col("_br_lo")) * F.col("_br_frac"))
-    out = per.groupBy(*keys).pivot("_br_name", names).agg(F.first("_br_q"))
-    return out
+    slack = 2.0 / sketch
+    edges = [F.percentile_approx("_br_v", [max(0.0, p - slack), min(1.0, p + slack)], sketch).alias(f"_br_e{i}") for i, p in enumerate(probs)]
+    # Without keys this is one row, which the driver holds.
+    once = cut_lineage if keys else lambda rows: df.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    brackets = once(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_br_n"), *edges))
+
+    v, per = F.col("_br_v"), _beside(base, brackets, keys)
+    count = lambda c: F.count(F.when(c, 1))
+    stats = []
+    for i in range(len(probs)):
+        lo, hi = F.col(f"_br_e{i}")[0], F.col(f"_br_e{i}")[1]
+        stats.append(F.struct(
+            F.first(lo).alias("lo"), F.first(hi).alias("hi"), count(v < lo).alias("below"), count(v == lo).alias("on_lo"),
+            count((v > lo) & (v < hi)).alias("inside"), count((v == hi) & (hi > lo)).alias("on_hi"),
+            F.max(F.when(v < lo, v)).alias("before"), F.min(F.when(v > hi, v)).alias("after")).alias(f"_br_s{i}"))
+    wide = per.groupBy(*keys).agg(F.first("_br_n").alias("_br_n"), *stats)
+    spot = [(F.col("_br_n") - 1) * F.lit(float(p)) for p in probs]
+    rows = F.array(*[F.struct(F.lit(i).alias("i"), F.floor(pos).cast("long").alias("floor"), F.ceil(pos).cast("long").alias("ceil"),
+                              (pos - F.floor(pos)).alias("frac"), F.col(f"_br_s{i}").alias("s")) for i, pos in enumerate(spot)])
+    asked = wide.select(*keys, F.explode(rows).alias("_br_t")).select(
+        *keys, F.col("_br_t.i").alias("_br_i"), F.col("_br_t.frac").alias("_br_frac"), F.col("_br_t.s").alias("_br_s"),
+        F.explode(F.array_distinct(F.array("_br_t.floor", "_br_t.ceil"))).alias("_br_pos"))
+    s = {c: F.col(f"_br_s.{c}") for c in ("lo", "hi", "below", "on_lo", "inside", "on_hi", "before", "after")}
+    at = F.col("_br_pos") - s["below"]
+    known = (F.when(at == -1, s["before"]).when((at >= 0) & (at < s["on_lo"]), s["lo"])
+             .when((at >= s["on_lo"] + s["inside"]) & (at < s["on_lo"] + s["inside"] + s["on_hi"]), s["hi"])
+             .when(at == s["on_lo"] + s["inside"] + s["on_hi"], s["after"]))
+    inner = (at >= s["on_lo"]) & (at < s["on_lo"] + s["inside"])
+    asked = once(asked.select(*keys, "_br_i", "_br_frac", "_br_pos", known.alias("_br_found"), inner.alias("_br_inner"),
+                                     (at - s["on_lo"]).alias("_br_rank"), s["lo"].alias("_br_lo"), s["hi"].alias("_br_hi")))
+
+    found = asked.where("_br_found is not null").select(*keys, "_br_i", "_br_frac", "_br_pos", "_br_found")
+    sort = asked.where("_br_found is null and _br_inner")
+    if not sort.isEmpty():
+        group = [*keys, "_br_i"]
+        spans = sort.select(*group, "_br_lo", "_br_hi").distinct()
+        inside = _beside(base, spans.groupBy(*keys).agg(F.collect_list(F.struct("_br_i", "_br_lo", "_br_hi")).alias("_br_b")), keys)  # a few percentiles a group
+        inside = inside.select(*keys, "_br_v", F.explode("_br_b").alias("b")).where("_br_v > b._br_lo and _br_v < b._br_hi").select(*keys, F.col("b._br_i").alias("_br_i"), "_br_v")
+        got = _at_positions(inside, group, sort.select(*group, F.col("_br_rank").alias("_br_pos")), P).withColumnRenamed("_br_pos", "_br_rank")
+        found = found.unionByName(_beside(sort.drop("_br_found"), got, [*group, "_br_rank"]).select(*found.columns))
+    missed = asked.where("_br_found is null and not _br_inner").drop("_br_found")
+    if not missed.isEmpty():
+        whole = _beside(base, missed.select(*keys).distinct(), keys) if keys else base
+        got = _at_positions(whole, keys, missed.select(*keys, "_br_pos").distinct(), P)
+        found = found.unionByName(_beside(missed, got, [*keys, "_br_pos"]).select(*found.columns))
+
+    ends = found.groupBy(*keys, "_br_i").agg(F.min_by("_br_found", "_br_pos").alias("a"), F.max_by("_br_found", "_br_pos").alias("b"), F.first("_br_frac").alias("f"))
+    q = F.col("a") + (F.col("b") - F.col("a")) * F.col("f")
+    return ends.groupBy(*keys).agg(*[F.max(F.when(F.col("_br_i") == i, q)).alias(name) for i, name in enumerate(names)])
 
 
 def _ffill_local(cols: list[str]):

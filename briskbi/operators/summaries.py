@@ -363,8 +363,8 @@ PROFILE_SCHEMA = ("column string, data_type string, null_ratio double, unique_ra
                   "avg_char_length double")
 
 
-def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
-    """Q1: one row per column: type, null/unique ratios, top 5 values, typed stats.
+def profile(df: DataFrame, types: dict[str, str] | None = None, counts: bool = False) -> DataFrame:
+    """Q1: one row per column: type, null/unique ratios, top 5 values, typed stats; with ``counts`` also ``distinct``.
 
     One wide aggregate for the typed statistics; distinct counts and the top 5 come from hashes of
     the values (``_frequent``), so no column is shuffled as text.
@@ -415,6 +415,7 @@ def profile(df: DataFrame, types: dict[str, str] | None = None) -> DataFrame:
         F.round(F.coalesce(F.col("nunique"), F.lit(0)) / F.greatest(F.col("rows"), F.lit(1)), 4).alias("unique_ratio"),
         F.coalesce(F.col("top_5"), F.array().cast("array<string>")).alias("top_5"),
         "min", "max", "mean", "std_dev", "min_date", "max_date", "avg_char_length",
+        *([F.coalesce(F.col("nunique"), F.lit(0)).alias("distinct")] if counts else []),
     )
 
 

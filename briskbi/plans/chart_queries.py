@@ -273,3 +273,26 @@ def q_relative_range(spark, d):
     start, end = charts.relative_range("last_90_days", dt.date(1998, 8, 2))
     return charts.aggregate(table(spark, d, "orders"), "o_orderdate", "o_totalprice", date_field="o_orderdate",
                             date_from=start.isoformat(), date_to=end.isoformat(), grain="day", scale=2)
+
+
+@register("q_median_by_part", """
+WITH g AS (
+  SELECT CAST(l_partkey AS VARCHAR) AS label, median(l_extendedprice) AS value
+  FROM lineitem WHERE l_partkey IS NOT NULL GROUP BY 1)
+SELECT label, coalesce(value, 0.0) AS value FROM g ORDER BY value DESC, label LIMIT 12
+""")
+def q_median_by_part(spark, d):
+    """The twelve parts with the highest median price, medians by selection."""
+    return charts.aggregate(table(spark, d, "lineitem"), "l_partkey", "l_extendedprice", agg="median")
+
+
+@register("q_cumulative_labels", f"""
+WITH g AS (
+  SELECT CAST(o_custkey AS VARCHAR) AS label, SUM({dec('o_totalprice')}) AS v
+  FROM orders WHERE o_custkey IS NOT NULL GROUP BY 1)
+SELECT label, CAST(SUM(v) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS value
+FROM g
+""")
+def q_cumulative_labels(spark, d):
+    """Running total over customers in label order, all labels, without one window over them."""
+    return charts.aggregate(table(spark, d, "orders"), "o_custkey", "o_totalprice", cumulative=True, scale=2)

@@ -1,8 +1,7 @@
 """Dashboard blueprint (Q7) and the chart cache run.
 
 The blueprint is a rule set over the (small) profile table: it never touches
-the data; ``charts.build_charts`` then aggregates every chosen chart from one
-persisted frame.
+the data; ``charts.build_charts`` then aggregates every chosen chart in one pass.
 """
 
 from __future__ import annotations
@@ -19,7 +18,8 @@ def auto_blueprint(profile_rows: list[dict], roles: dict[str, str], n_rows: int,
     """Q7: default chart specs from the column index, in the order of ``FALLBACK``.
 
     Categories come from the roles (date / measure / dimension); a dimension
-    needs 2–25 distinct values (from the profile's unique ratio).  All charts that fit, or the
+    needs 2–25 distinct values (``distinct`` of the profile row where given, which stays exact on
+large tables, else from its rounded unique ratio).  All charts that fit, or the
     first ``max_charts``; with no date or dimension the KPI and histogram fallbacks fill in.
     """
     by = {r["column"]: r for r in profile_rows}
@@ -28,7 +28,9 @@ def auto_blueprint(profile_rows: list[dict], roles: dict[str, str], n_rows: int,
     dims = []
     for c, r in roles.items():
         if r in ("dimension", "category") and c in by:
-            nd = round((by[c].get("unique_ratio") or 0) * n_rows)
+            nd = by[c].get("distinct")
+            if nd is None:
+                nd = round((by[c].get("unique_ratio") or 0) * n_rows)
             if DIM_MIN_DISTINCT <= nd <= DIM_MAX_DISTINCT:
                 dims.append((nd, c))
     pick = {"metric": measures[0] if measures else None, "date": dates[0] if dates else None,
@@ -115,7 +117,7 @@ def validate_charts(specs: list[dict], profile_rows: list[dict], roles: dict[str
 
 
 def chart_cache(df: DataFrame, specs: list[dict], scale: int | None = None) -> DataFrame:
-    """Every chart as rows of one results table ``(chart_key, position, row_json)``."""
+    """Every chart as rows of one results table ``(chart_key, row_json)``."""
     built = charts.build_charts(df, specs, scale)
     out = None
     for key, res in built.items():

@@ -168,3 +168,80 @@ def test_d18_type_sniffing_full_pass(spark):
                                "when_col string, num string, txt string, phone string")
     t = summaries.detect_types(df)
     assert t == {"when_col": "datetime", "num": "numeric", "txt": "text", "phone": "text"}
+
+
+@pytest.mark.parametrize("sketch", [10_000, 50, 1])
+def test_percentiles_by_selection(spark, sketch):
+    import random
+
+    import numpy as np
+    import pandas as pd
+
+    from briskbi.operators.ranking import exact_percentiles
+
+    rng = random.Random(sketch)
+    rows = [("many", rng.gauss(0, 1)) for _ in range(4000)] + [("ties", rng.choice([1.0, 1.0, 1.0, 2.0, 7.5])) for _ in range(2000)]
+    rows += [("one", 3.5), ("two", 1.0), ("two", 4.0), (None, 1.0), (None, 2.0), ("few", -1.0), ("few", 0.0), ("few", float("1e300")), ("none", None), ("many", None)]
+    probs, names = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0], list("abcdef")
+    df = spark.createDataFrame(rows, "g string, x double").repartition(5)
+    got = {r.g: [r[n] for n in names] for r in exact_percentiles(df, ["g"], "x", probs, names, sketch=sketch).collect()}
+    frame = pd.DataFrame(rows, columns=["g", "x"]).dropna(subset=["x"])
+    assert set(got) == {"many", "ties", "one", "two", "few", None}
+    for g, values in frame.groupby(frame["g"].fillna("null"))["x"]:
+        np.testing.assert_allclose(got[None if g == "null" else g], [values.quantile(p) for p in probs], rtol=1e-12, atol=1e-12)
+    whole = exact_percentiles(df, [], "x", probs, names, sketch=sketch).first()
+    np.testing.assert_allclose(list(whole), [frame["x"].quantile(p) for p in probs], rtol=1e-12)
+    assert list(exact_percentiles(df.where("x > 1e301"), [], "x", [0.5], ["m"], sketch=sketch).collect()) in ([], [(None,)])
+
+
+def test_selection_sorts_only_the_bracket(spark, monkeypatch):
+    from briskbi.operators import ranking
+
+    sizes = []
+    plain = ranking._at_positions
+    monkeypatch.setattr(ranking, "_at_positions", lambda rows, *rest: sizes.append(rows.count()) or plain(rows, *rest))
+    df = spark.range(0, 200_000, 1, 6).selectExpr("id % 3 AS g", "cast(hash(id) as double) AS x")
+    ranking.exact_percentiles(df, ["g"], "x", [0.25, 0.5], ["a", "b"]).collect()
+    assert sizes and max(sizes) <= 200_000 * 2 * 6 / ranking.SKETCH + 12
+
+
+def test_smoothing_fit_is_never_worse_than_its_grid():
+    import numpy as np
+
+    from briskbi.operators import forecast
+
+    rng = np.random.default_rng(3)
+    t = np.arange(160)
+    for y in (rng.normal(size=160).cumsum(), 5 + 0.3 * t + 4 * np.sin(2 * np.pi * t / 7) + rng.normal(size=160), np.full(30, 2.0), np.arange(12.0)):
+        errors = []
+        plain = forecast._smooth
+        try:
+            forecast._smooth = lambda *a: (lambda r: errors.append(r[0].min()) or r)(plain(*a))
+            got = forecast._holt_winters(y, 7, 7)
+        finally:
+            forecast._smooth = plain
+        assert len(errors) == forecast.SMOOTHING_ROUNDS + 1 and min(errors) <= errors[0] and errors[-1] <= errors[0] + 1e-9 and np.isfinite(got).all()
+    line = forecast._holt_winters(np.arange(40.0), 1, 3)
+    assert np.allclose(line, [40, 41, 42], atol=1e-6)
+
+
+def test_dashboard_charts_share_one_pass(spark, tmp_path):
+    from briskbi.operators import charts
+
+    rows = [(None if i % 11 == 0 else f"c{i % 4}", i % 30 / 2, None if i % 7 == 0 else i % 5, dt.datetime(2024, 1, 1 + i % 20)) for i in range(400)]
+    spark.createDataFrame(rows, "c string, x double, y int, d timestamp").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    alone = {
+        "kpi_card|None|x|None": charts.kpi(df, "x", scale=2), "radial|None|x|None": charts.radial(df, "x"), "bar|c|x|None": charts.bar(df, "c", "x", 2),
+        "line|d|x|None": charts.bar(df, "d", "x", 2), "bar|c|None|None": charts.bar(df, "c"), "pie|c|y|None": charts.pie(df, "c", "y", 2), "combo|c|x|y": charts.combo(df, "c", "x", "y", 2),
+        "combo|d|x|None": charts.combo(df, "d", "x", scale=2), "histogram|x|None|None": charts.histogram(df, "x"), "pareto|c|x|None": charts.pareto(df, "c", "x", 2),
+    }
+    specs = [dict(zip(("chart_type", "x_axis", "y_axis", "y_axis_secondary"), (None if p == "None" else p for p in key.split("|")))) for key in alone]
+    made = charts.build_charts(df, specs, 2)
+    assert list(made) == list(alone)
+    for key, chart in made.items():
+        assert sorted(map(str, chart.collect())) == sorted(map(str, alone[key].collect())), key
+        assert "parquet" not in chart._jdf.queryExecution().executedPlan().toString().lower(), key
+    empty = charts.build_charts(df.limit(0), specs, 2)
+    assert {k: f.count() for k, f in empty.items() if f.count()} == {"kpi_card|None|x|None": 1, "radial|None|x|None": 1}
+    assert empty["kpi_card|None|x|None"].first().value == 0.0
