@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from briskbi.functions.labels import compact_number, ts_text
 from briskbi.functions.parse import to_number, to_timestamp_mixed
+from briskbi.operators.ranking import global_order
 
 
 def quoted(name: str) -> Column:
@@ -501,6 +502,56 @@ def mutual_info_binned(df: DataFrame, cat: str, num: str, bins: int = 10, squash
                       (F.round(F.col("mi") / F.greatest(F.lit(1.0), F.col("mi")), 3) if squash else F.col("mi")).alias("mi"))
 
 
+def _digamma(x: Column) -> Column:
+    """Digamma of numbers of at least one: eight steps up the recurrence, then the asymptotic series."""
+    y = x + 8.0
+    i2 = 1.0 / (y * y)
+    series = F.log(y) - 0.5 / y - i2 * (1 / 12 - i2 * (1 / 120 - i2 / 252))
+    return series - sum((1.0 / (x + float(i)) for i in range(1, 8)), 1.0 / x)
+
+
+def mutual_info_neighbors(df: DataFrame, cat: str, num: str, k: int = 5, block: int = 100_000) -> DataFrame:
+    """Q4: mutual information (nats) of a category and a number by nearest neighbours: (feature, target, mi).
+
+    For every row the distance to its ``k``-th neighbour of the same category (all of them in
+    smaller ones) and the number of rows of any category closer than that, itself included; equal
+    rows count where the distance is 0.  Rows with a null or NaN and categories of one row are left out; mi is at least 0.
+
+    Rows are ordered over ranges; neighbours are found inside blocks of ``block`` ranks that repeat
+    ``k`` rows of the blocks beside them, counts are differences of ranks.  No category is one task.
+    """
+    base = df.select(quoted(cat).cast("string").alias("c"), quoted(num).cast("double").alias("v")).where("c is not null and v is not null and not isnan(v)")
+    classes = base.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    n = F.col("n").cast("double")
+    part = classes.agg(F.sum("n").alias("rows"), F.sum(n * _digamma(n)).alias("own"), F.sum(n * _digamma(F.least(n - 1, F.lit(float(k))))).alias("near")).first()
+    if not part["rows"]:
+        return df.sparkSession.createDataFrame([(cat, num, 0.0)], "feature string, target string, mi double")
+    total = float(part["rows"])
+
+    ordered = global_order(base.join(classes, "c").withColumn("_id", F.monotonically_increasing_id()), [F.col("c"), F.col("v"), F.col("_id")], rank_col="r")
+    place, own = (F.col("r") - 1) % block, F.floor((F.col("r") - 1) / block)
+    copies = F.array(own, F.when((place < k) & (own > 0), own - 1), F.when(place >= block - k, own + 1))
+    blocks = ordered.select("c", "n", "v", "r", own.alias("_own"), F.explode(F.array_compact(copies)).alias("_block"))
+    w = Window.partitionBy("_block").orderBy("r")
+    side = lambda step: F.array(F.lit(0.0), *[F.when(step("c", i).over(w) == F.col("c"), F.abs(step("v", i).over(w) - F.col("v"))) for i in range(1, k + 1)])
+    points = blocks.select("*", side(F.lag).alias("_left"), side(F.lead).alias("_right")).where("_block = _own")
+    pick = F.least(F.col("n") - 1, F.lit(k)).cast("int")
+    both = F.transform(F.sequence(F.lit(0), pick), lambda i: F.when(F.col("_left")[i].isNotNull() & F.col("_right")[pick - i].isNotNull(), F.greatest(F.col("_left")[i], F.col("_right")[pick - i])))
+    points = points.select("r", "v", F.array_min(both).alias("d"))
+
+    # Rows and bounds in one order: kind 1 is a row, kind 0 counts rows below a bound, kind 2 also those on it.
+    event = lambda t, kind, one, sign: F.struct(t.alias("t"), kind.alias("kind"), F.lit(one).alias("one"), F.lit(sign).alias("sign"))
+    apart = F.col("d") > 0
+    events = points.select("r", F.explode(F.array(
+        event(F.col("v"), F.lit(1), 1.0, 0), event(F.col("v") + F.col("d"), F.when(apart, 0).otherwise(2), 0.0, 1),
+        event(F.col("v") - F.col("d"), F.when(apart, 2).otherwise(0), 0.0, -1))).alias("e")).select("r", "e.*")
+    counted = global_order(events, [F.col("t"), F.col("kind"), F.col("r")], running_sum="one", scale=0, running_col="below")
+    closer = counted.where("sign <> 0").groupBy("r").agg(F.greatest(F.sum(F.col("sign") * F.col("below")), F.lit(1.0)).alias("m"))
+    mean = F.sum(_digamma(F.col("m"))) / F.lit(total)
+    mi = _digamma(F.lit(total)) + F.lit((part["near"] - part["own"]) / total) - mean
+    return closer.agg(F.round(F.greatest(mi, F.lit(0.0)), 6).alias("mi")).select(F.lit(cat).alias("feature"), F.lit(num).alias("target"), "mi")
+
+
 def category_edges(df: DataFrame, text: list[str] | None = None, numbers: list[str] | None = None, bins: int = 10,
                    min_score: float = 0.15, min_rows: int = 10) -> DataFrame:
     """Q4: edges between text and numeric columns by squashed binned mutual information.

@@ -403,3 +403,9 @@ SELECT '{cat}' AS source, '{num}' AS target, round(mi / greatest(1.0, mi), 3) AS
 def q_category_edges(spark, d):
     """Q4: mutual information of flags with quantity and price, all pairs in one count."""
     return summaries.category_edges(table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_quantity", "l_extendedprice"], min_score=0.0)
+
+
+@register("q_mi_neighbors")
+def q_mi_neighbors(spark, d):
+    """Q4: nearest-neighbour mutual information of order status and total price."""
+    return summaries.mutual_info_neighbors(table(spark, d, "orders"), "o_orderstatus", "o_totalprice")

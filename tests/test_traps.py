@@ -245,3 +245,32 @@ def test_dashboard_charts_share_one_pass(spark, tmp_path):
     empty = charts.build_charts(df.limit(0), specs, 2)
     assert {k: f.count() for k, f in empty.items() if f.count()} == {"kpi_card|None|x|None": 1, "radial|None|x|None": 1}
     assert empty["kpi_card|None|x|None"].first().value == 0.0
+
+
+def test_neighbour_mutual_information_matches_brute_force(spark):
+    import random
+
+    from briskbi.operators import summaries
+
+    psi = lambda m: -0.5772156649015329 + sum(1.0 / i for i in range(1, int(m)))
+
+    def brute(rows, k):
+        rows = [(c, v) for c, v in rows if c is not None and v is not None and v == v]
+        size = pd.Series([c for c, _ in rows]).value_counts()
+        rows = [(c, v) for c, v in rows if size[c] > 1]
+        values, labels = np.array([v for _, v in rows]), np.array([c for c, _ in rows])
+        out = 0.0
+        for c, v in rows:
+            near = min(k, size[c] - 1)
+            d = np.sort(np.abs(values[labels == c] - v))[near]
+            m = ((values > v - d) & (values < v + d)).sum() if d > 0 else (values == v).sum()
+            out += psi(near) - psi(size[c]) - psi(max(m, 1))
+        return max(0.0, psi(len(rows)) + out / len(rows))
+
+    rng = random.Random(8)
+    mixed = [(c, rng.gauss(ord(c) % 3, 1)) for c in rng.choices("abc", weights=[6, 3, 1], k=1960)]
+    mixed += [("d", float(i % 3)) for i in range(30)] + [("e", 1.5), ("f", 2.5), ("f", 9.0), ("g", 0.25), ("g", 0.5), ("g", 4.0), (None, 1.0), ("a", None), ("a", float("nan"))]
+    for rows, k, block in ((mixed, 5, 97), (mixed, 3, 100_000), ([(c, x) for c in "ab" for x in [1.0] * 20], 5, 7)):
+        got = summaries.mutual_info_neighbors(spark.createDataFrame(rows, "c string, v double").repartition(4), "c", "v", k, block).first()
+        assert got.mi == pytest.approx(brute(rows, k), abs=2e-6)
+    assert summaries.mutual_info_neighbors(spark.createDataFrame([("a", 1.0)], "c string, v double"), "c", "v").first().mi == 0.0
