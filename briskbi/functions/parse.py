@@ -6,6 +6,8 @@ so it stays inside whole-stage codegen; no Python runs per row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,9 +69,25 @@ DATETIME_PATTERNS = [
 # ---------------------------------------------------------------------------
 
 _NUMBER_RE = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+_WHOLE_NUMBER_RE = _NUMBER_RE.removesuffix("$") + r"\z"
 _INF_RE = r"^\s*[+-]?(?i)(inf|infinity)\s*$"
 
 
+# What a text needs at least so that a layout's field can accept it: digits, and months and days that exist.
+# Month names have three letters when short, and more when not, except for May, which both spell alike.
+_FIELD_SHAPES = {
+    "yyyy": r"[+-]?\d{4,}", "MMMM": "[A-Za-z]{4,}", "MMM": "[A-Za-z]{3}", "MM": r"(?:0[1-9]|1[0-2])", "M": r"0*(?:[1-9]|1[0-2])",
+    "dd": r"(?:0[1-9]|[12]\d|3[01])", "d": r"0*(?:[1-9]|[12]\d|3[01])", "HH": r"\d\d", "H": r"\d+", "mm": r"\d\d",
+    "ss": r"\d\d", "SSSSSS": r"\d{1,6}", "'T'": "[Tt]",
+}
+
+
+def _layout_shape(pattern: str) -> str:
+    """Regex that every text of a timestamp layout matches; no text matches those of two layouts."""
+    fields = re.finditer(r"'T'|([A-Za-z])\1*|.", pattern)
+    return "".join(_FIELD_SHAPES.get(m[0]) or re.escape(m[0]) for m in fields)
+
+
 def col_of(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -96,10 +114,12 @@ def to_number(c: str | Column, dtype: T.DataType | None = None) -> Column:
     if dtype is not None and isinstance(dtype, T.BooleanType):
         return c.cast("double")
     s = F.trim(c.cast("string"))
-    parsed = F.when(s.rlike(_NUMBER_RE), s.try_cast("double")).when(
+    # The match itself is cast, so the text, often the end of a chain of replacements, is built once; without
+    # a match there is nothing to cast, as a failed cast costs an exception.
+    number = F.get(F.regexp_extract_all(s, F.lit(_WHOLE_NUMBER_RE), F.lit(0)), F.lit(0))
+    return F.coalesce(number.try_cast("double"), F.when(
         s.rlike(_INF_RE), F.when(s.startswith("-"), F.lit(float("-inf"))).otherwise(F.lit(float("inf")))
-    )
-    return parsed
+    ))
 
 
 def is_number_text(c: str | Column) -> Column:
@@ -118,11 +138,15 @@ def to_timestamp_mixed(c: str | Column, dtype: T.DataType | None = None) -> Colu
     if dtype is not None and isinstance(dtype, (T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     s = F.trim(c.cast("string"))
-    tries = [F.try_to_timestamp(s, F.lit(p)) for p in DATETIME_PATTERNS]
-    # Every accepted layout has a 4-digit year and a separator; a bare number is
-    # never a date (D6).  The cheap guard skips the layout list for other text.
-    plausible = s.rlike(r"\d{4}") & s.rlike(r"[-/.:\s,T]") & ~s.rlike(r"^\s*[+-]?\d+(\.\d+)?\s*$")
-    return F.when(plausible, F.coalesce(*tries).cast("timestamp_ntz"))
+    # Each failed parse costs an exception, so a text is parsed by the one layout whose shape it has.
+    by_mark = {"/": [], "-": [], "": []}
+    for p in DATETIME_PATTERNS:
+        by_mark[next(m for m in by_mark if m in p)].append(F.when(s.rlike(f"^{_layout_shape(p)}$"), F.lit(p)))
+    layout = F.coalesce(*[F.when(s.contains(mark), F.coalesce(*found)) for mark, found in by_mark.items()])
+    # Every layout has a 4-digit year and a separator; a bare number is never a
+    # date (D6).  The cheap guard skips the layout list for other text.
+    plausible = s.rlike(r"\d{4}") & s.rlike(r"[-/.:\s,T]")
+    return F.when(plausible, F.try_to_timestamp(s, layout).cast("timestamp_ntz"))
 
 
 def clean_money(c: str | Column) -> Column:
@@ -139,13 +163,13 @@ def clean_money(c: str | Column) -> Column:
 def clean_financial(c: str | Column) -> Column:
     """``(x)`` → −x; strip ``$ , € £ _``, spaces and currency words."""
     s = F.trim(col_of(c).cast("string"))
-    negative = s.rlike(r"^\(.*\)$")
-    body = F.regexp_replace(s, r"^\((.*)\)$", "$1")
+    negative = s.startswith("(") & s.rlike(r"^\(.*\)$")
+    body = F.lower(F.when(negative, F.regexp_replace(s, r"^\((.*)\)$", "$1")).otherwise(s))
     words = "|".join(MONEY_CURRENCY_WORDS)
-    body = F.regexp_replace(F.lower(body), rf"\b(?:{words})s?\b", "")
+    body = F.when(body.rlike("[a-z]"), F.regexp_replace(body, rf"\b(?:{words})s?\b", "")).otherwise(body)
     body = F.regexp_replace(body, r"[$,€£_\s]", "")
-    num = to_number(body)
-    return F.when(negative, -num).otherwise(num)
+    num = to_number(body) * F.when(negative, F.lit(-1.0)).otherwise(F.lit(1.0))
+    return F.when(s.rlike("[0-9fF]"), num)  # no amount without a digit or the f of infinity
 
 
 def to_bool(c: str | Column) -> Column:

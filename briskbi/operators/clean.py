@@ -231,24 +231,23 @@ def _original_types(df: DataFrame, st: dict) -> dict[str, str]:
 
 
 def _conformance(df: DataFrame, roles: dict[str, str]) -> dict:
-    """Wide statistics of every column in one pass (parse successes, nulls, uniques)."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    typed = {}
-    for i, c in enumerate(df.columns):
-        dt = df.schema[c].dataType
-        nn = F.count(F.col(c))
-        aggs.append(nn.alias(f"nn{i}"))
-        if isinstance(dt, T.StringType):
-            b = P.to_bool(F.col(c))
-            aggs += [F.count(P.to_number(F.col(c), dt)).alias(f"num{i}"),
-                     F.count(P.clean_financial(F.col(c))).alias(f"fin{i}"),
-                     F.count(P.to_timestamp_mixed(F.col(c), dt)).alias(f"dt{i}"),
-                     F.count(b).alias(f"bo{i}"), F.count(F.when(b, 1)).alias(f"bt{i}"),
-                     F.count(F.when(~b, 1)).alias(f"bf{i}")]
-        else:
-            # Typed columns parse exactly as their type allows; no text work.
-            typed[i] = dt
-    st = df.agg(*aggs).collect()[0].asDict()
+    """Wide statistics of every column (parse successes, nulls)."""
+    types = [df.schema[c].dataType for c in df.columns]
+    # Text columns as rows (column, text): one set of expressions for all, as many sets make code too long to be compiled.
+    text = [i for i, dt in enumerate(types) if isinstance(dt, T.StringType)]
+    typed = {i: dt for i, dt in enumerate(types) if i not in text}  # parse exactly as their type allows; no text work
+    st = df.agg(F.count(F.lit(1)).alias("__n"), *[F.count(F.col(df.columns[i])).alias(f"nn{i}") for i in typed]).collect()[0].asDict()
+    if text:
+        cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(df.columns[i]).alias("v")) for i in text]))
+        v, dt = F.col("v"), T.StringType()
+        b, num = P.to_bool(v), P.to_number(v, dt)
+        # What is a number is the same amount of money, and never a date.
+        counts = df.select(cells.alias("c")).select("c.i", "c.v").groupBy("i").agg(
+            F.count(v).alias("nn"), F.count(num).alias("num"), F.count(F.coalesce(num, P.clean_financial(v))).alias("fin"),
+            F.count(F.when(num.isNull(), P.to_timestamp_mixed(v, dt))).alias("dt"), F.count(b).alias("bo"),
+            F.count(F.when(b, 1)).alias("bt"), F.count(F.when(~b, 1)).alias("bf"))
+        found = {r["i"]: r.asDict() for r in counts.collect()}  # one row per text column
+        st.update({f"{k}{i}": found.get(i, {}).get(k, 0) for i in text for k in ("nn", "num", "fin", "dt", "bo", "bt", "bf")})
     for i, dt in typed.items():
         nn = st[f"nn{i}"]
         num = isinstance(dt, (T.NumericType, T.BooleanType))
@@ -371,19 +370,30 @@ def smart(df: DataFrame, roles: dict[str, str], order_by: str | None = None,
                 p.transforms.append("fill_unknown")
                 p.imputation = "constant:Unknown"
             exprs[c] = expr
+    ffill = [c for c, p in plans.items() if p.imputation == "ffill"]
+    out = source = df
+    done = {}
+    if ffill and order_by not in med_cols:
+        # Filled dates are kept on disk in order; measures are parsed beside them once, so their medians read numbers.
+        done = {c: exprs[c] for c in df.columns if c in exprs and c in {*ffill, *med_cols, order_by}}
+        out = forward_fill(df, [exprs.get(order_by, F.col(order_by))], ffill, typed=done)
+        source = out
     if med_cols:
-        src = stats_from.select(*df.columns) if stats_from is not None else df
-        long = src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), exprs[c].cast("double").alias("v"))
+        parsed = {c: F.col(c) if c in done and stats_from is None else exprs[c] for c in med_cols}
+        src = stats_from.select(*df.columns) if stats_from is not None else source
+        long = src.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), parsed[c].cast("double").alias("v"))
                                                for c in med_cols])).alias("kv")).select("kv.column", "kv.v")
         for r in exact_percentiles(long, ["column"], "v", [0.5], ["median"]).collect():
             medians[r["column"]] = r["median"]
         for c in med_cols:
+            if c in done:
+                done[c] = F.coalesce(F.col(c), F.lit(medians[c]))
             exprs[c] = F.coalesce(exprs[c], F.lit(medians[c]))
             plans[c].transforms.append("fill_median")
             plans[c].imputation = f"median:{round(medians[c], 6)}"
-    out = df.select(*[(exprs[c] if c in exprs else F.col(c)).alias(c) for c in df.columns])
-    ffill = [c for c, p in plans.items() if p.imputation == "ffill"]
-    if ffill:
+    left = {**exprs, **{c: done[c] if c in med_cols else F.col(c) for c in done}}
+    out = out.select(*[left.get(c, F.col(c)).alias(c) for c in df.columns])
+    if ffill and not done:
         out = forward_fill(out, [F.col(order_by)], ffill)
     return out, transform_audit(df, exprs, plans)
 

@@ -18,6 +18,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -207,40 +209,48 @@ def exact_percentiles(
 
 
 def _ffill_local(cols: list[str]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last: dict = {c: None for c in cols}
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: dict = {}
+        for batch in batches:
+            out = dict(zip(batch.schema.names, batch.columns))
+            for c, v in out.items():
+                if pa.types.is_floating(v.type):  # NaN counts as missing
+                    out[c] = pc.if_else(pc.is_nan(v), pa.scalar(None, v.type), v)
             for c in cols:
-                s = pdf[c].ffill()
-                if last[c] is not None:
-                    s = s.where(s.notna(), last[c])
-                nn = s.dropna()
-                if len(nn):
-                    last[c] = nn.iloc[-1]
-                pdf[c] = s
-            yield pdf
+                v = pc.fill_null_forward(out[c])
+                if c in last:
+                    v = pc.coalesce(v, last[c])
+                if len(v) and v[-1].is_valid:
+                    last[c] = v[-1]
+                out[c] = v
+            yield pa.RecordBatch.from_arrays(list(out.values()), schema=batch.schema)
 
     return run
 
 
 def forward_fill(df: DataFrame, order_cols: Sequence[Column], cols: Sequence[str],
-                 n_parts: int | None = None) -> DataFrame:
+                 n_parts: int | None = None, typed: dict[str, Column] | None = None) -> DataFrame:
     """Fill nulls in ``cols`` with the last earlier non-null value.
 
     Rows are range-partitioned on ``order_cols``; each partition fills locally
     in order (Arrow batches), and values still missing at a partition's start
     come from the last non-null value of the partitions before it — a table with
     one row per partition.  No task sees more than its range.
+
+    ``typed`` replaces columns by expressions over ``df`` before the fill, but after the
+    rows have moved: the sampling for the ranges reads ``df`` too, and would compute them again.
     """
     cols = list(cols)
     P = _n_parts(df, n_parts)
     ranged = df.repartitionByRange(P, *order_cols).sortWithinPartitions(*order_cols)
-    ranged = ranged.withColumn(_PID, F.spark_partition_id()).withColumn(_LPOS, F.monotonically_increasing_id())
-    local = cut_lineage(ranged.mapInPandas(_ffill_local(cols), ranged.schema))
+    ranged = ranged.select(*[(typed or {}).get(c, F.col(c)).alias(c) for c in df.columns],
+                           F.spark_partition_id().alias(_PID), F.monotonically_increasing_id().alias(_LPOS))
+    local = cut_lineage(ranged.mapInArrow(_ffill_local(cols), ranged.schema))
     tail = local.groupBy(_PID).agg(*[F.max_by(F.col(c), F.col(_LPOS)).alias(c) for c in cols])
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     prev = tail.select(_PID, *[F.last(F.col(c), ignorenulls=True).over(before).alias(f"_br_prev_{i}")
                                for i, c in enumerate(cols)])
+    prev = cut_lineage(prev)  # found once, not whenever the result is read
     out = local.join(F.broadcast(prev), _PID)
     filled = [F.coalesce(F.col(c), F.col(f"_br_prev_{cols.index(c)}")).alias(c) if c in cols else F.col(c)
               for c in df.columns]
